@@ -1,6 +1,7 @@
 """The corpus queries by name, and SQL for those that SQL can express."""
 
 from .mixing import op1_mixing
+from .secrets import op9_secrets
 
-QUERIES = {"op1_mixing": op1_mixing}
+QUERIES = {"op1_mixing": op1_mixing, "op9_secrets": op9_secrets}
 SQL: dict[str, str] = {}
