@@ -2,6 +2,7 @@
 
 from .mixing import op1_mixing
 from .secrets import op9_secrets
+from .toxicity import op5_toxicity
 
-QUERIES = {"op1_mixing": op1_mixing, "op9_secrets": op9_secrets}
+QUERIES = {"op1_mixing": op1_mixing, "op5_toxicity": op5_toxicity, "op9_secrets": op9_secrets}
 SQL: dict[str, str] = {}
