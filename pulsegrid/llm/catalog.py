@@ -1,8 +1,9 @@
 """The corpus queries by name, and SQL for those that SQL can express."""
 
+from .language import op7_language
 from .mixing import op1_mixing
 from .secrets import op9_secrets
 from .toxicity import op5_toxicity
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_toxicity": op5_toxicity, "op9_secrets": op9_secrets}
+QUERIES = {"op1_mixing": op1_mixing, "op5_toxicity": op5_toxicity, "op7_language": op7_language, "op9_secrets": op9_secrets}
 SQL: dict[str, str] = {}
