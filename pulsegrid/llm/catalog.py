@@ -1,6 +1,7 @@
 """The corpus queries by name, and SQL for those that SQL can express."""
 
 from .decontaminate import op10_decontamination
+from .fingerprints import op2_fingerprints
 from .jaccard import op6_jaccard
 from .language import op7_language
 from .mixing import op1_mixing
@@ -8,5 +9,5 @@ from .secrets import op9_secrets
 from .substrings import op4_substrings
 from .toxicity import op5_toxicity
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
 SQL: dict[str, str] = {}
