@@ -7,7 +7,8 @@ from .language import op7_language
 from .mixing import op1_mixing
 from .secrets import op9_secrets
 from .substrings import op4_substrings
+from .suffixes import op3_suffixes
 from .toxicity import op5_toxicity
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op3_suffixes": op3_suffixes, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
 SQL: dict[str, str] = {}
