@@ -150,7 +150,7 @@ def _digest(features: np.ndarray) -> tuple[str, np.ndarray]:
     for k in range(HASHES):
         bits[at, ((features >> _U(11 * k)) & _U(FILTER_BITS - 1)).astype(np.int64)] = True
     packed = np.packbits(bits, axis=1)
-    return (f"{len(features)}:{base64.b64encode(packed.tobytes()).decode()}" if n else ""), packed.view(_U).reshape(n, -1)
+    return (f"{len(features)}:{base64.b64encode(packed.tobytes()).decode()}" if n else ""), packed.view(_U).reshape(n, FILTER_BITS // 64)
 
 
 def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:

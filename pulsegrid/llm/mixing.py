@@ -63,10 +63,10 @@ def with_schedule(targets: DataFrame, curriculum: Sequence = CURRICULUM) -> Data
 
 def due(share: Column, segments: Column) -> Column:
     """The time at which a source's demand has reached this share of its target: the integral inverted."""
-    at = F.element_at(F.filter(segments, lambda s: s["before"] <= share), -1)
+    at = F.try_element_at(F.filter(segments, lambda s: s["before"] <= share), F.lit(-1))
     rest = (share - at["before"]) * at["area"]
     root = F.sqrt(F.greatest(at["w"] * at["w"] + 2 * at["slope"] * rest, F.lit(0.0)))
-    return F.least(F.lit(1.0), at["t"] + F.when(rest <= 0, F.lit(0.0)).otherwise(2 * rest / (at["w"] + root)))
+    return F.least(F.lit(1.0), at["t"] + F.when(rest <= 0, F.lit(0.0)).otherwise(F.try_divide(2 * rest, at["w"] + root)))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, curriculum: Sequence = CURRICULUM, seed: int = 11, keep: Sequence[str] = ()) -> DataFrame:
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     def one(e: Column) -> Column:
         start = e * F.col("source_size") + F.col("_at")
         words = F.least(F.col("size"), end - start)
-        return F.struct(e.alias("epoch"), words.alias("words"), due((start + words / 2) / F.col("target"), F.col("segments")).alias("position"))
+        return F.struct(e.alias("epoch"), words.alias("words"), due(F.try_divide(start + words / 2, F.col("target")), F.col("segments")).alias("position"))
     epochs = F.sequence(F.lit(0), F.ceil(F.lit(cap)).cast("int"))
     copies = F.filter(F.transform(epochs, one), lambda c: c["words"] > 0)
     out = both.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.filter(F.transform(epochs, one), lambda c: F.lit(False))))
