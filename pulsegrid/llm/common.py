@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import pickle
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,17 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object | None:
+    """A model fitted on a bounded sample, in one task; only the model comes to the driver. None without rows."""
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            sample = pa.Table.from_batches(parts)
+            model = fit(sample.sort_by([(c, "ascending") for c in ("doc_id", "text")]))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import fold, table
+from .common import fitted, fold, table
 
 #: Most rows of each language that the classifiers are fitted on.
 SAMPLE = 1200
@@ -134,8 +134,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     h, share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)), F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample / n) * (1 << 30)))).otherwise(share)
-    rows = known.where(h < share).select("doc_id", F.lower("text").alias("text"), "lang", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)).alias("part")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(rows["text"].combine_chunks(), rows["lang"].to_pylist(), rows["part"].to_numpy()) if rows.num_rows else None
+    rows = known.where(h < share).select("doc_id", F.lower("text").alias("text"), "lang", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)).alias("part"))
+    return fitted(rows, lambda r: fit(r["text"].combine_chunks(), r["lang"].to_pylist(), r["part"].to_numpy()))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
