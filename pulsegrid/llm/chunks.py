@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, shared_dir
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 #: Cut points are gathered on the driver: eight bytes for each chunk, at most so many.
 MOST_CHUNKS = 100_000
 

@@ -77,21 +77,33 @@ def sketch_rows(h: np.ndarray, g: np.ndarray, count: np.ndarray) -> list[tuple[n
     return out
 
 
+def dense(cells: np.ndarray, full: np.ndarray) -> bytes:
+    """Sorted cells and one bit for each, in a form that shuffles compress: gaps, split into planes of bytes."""
+    gaps = np.diff(cells, prepend=np.uint32(0)).astype("<u4")
+    return np.uint32(len(cells)).tobytes() + gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(full).tobytes()
+
+
+def undense(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Cells, bits, and what follows."""
+    n = int(np.frombuffer(data[:4], np.uint32)[0])
+    gaps = np.frombuffer(data[4 : 4 + 4 * n], np.uint8).reshape(4, n).T.copy().view("<u4")[:, 0]
+    end = 4 + 4 * n + -(-n // 8)
+    return np.cumsum(gaps, dtype=np.uint32), np.unpackbits(np.frombuffer(data[4 + 4 * n : end], np.uint8))[:n], data[end:]
+
+
 def message(parts: list[tuple[int, int, bytes]]) -> pa.Table:
     chunk, shard, data = zip(*parts, strict=True) if parts else ((), (), ())
     return pa.table({"chunk": pa.array(chunk, pa.int32()), "shard": pa.array(shard, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
 def candidates_sketched(chunked: Chunked, size: int, n_shards: int) -> DataFrame:
-    """Step 1. A message: number of cells of the first row, all cells with the top bit for a count of 2."""
+    """Step 1. A message: for both rows the cells hit and which of them have a count of 2."""
 
     def f(docs: pa.Table) -> pa.Table:
         h, g, count = distinct(docs["text"], size)
         parts, chunk = [], docs["chunk"][0].as_py()
         for shard, s in enumerate(split_by_shard(h, n_shards)):
-            rows = sketch_rows(h[s], g[s], count[s])
-            packed = [c | ((n == 2).astype(np.uint32) << np.uint32(31)) for c, n in rows]
-            parts.append((chunk, shard, np.concatenate([[np.uint32(len(packed[0]))], *packed]).astype(np.uint32).tobytes()))
+            parts.append((chunk, shard, b"".join(dense(c, n == 2) for c, n in sketch_rows(h[s], g[s], count[s]))))
         return message(parts)
 
     return chunked.each(f, MESSAGE)
@@ -104,12 +116,13 @@ def merged(sketches: DataFrame) -> DataFrame:
         total = np.zeros((2, CELLS), np.uint8)
         sent = []
         for blob in parts["data"]:
-            x = np.frombuffer(blob.as_buffer(), np.uint32)
-            n, x = int(x[0]), x[1:]
-            sent.append((n, x & np.uint32(CELLS - 1)))
-            for row, c, more in ((0, sent[-1][1][:n], x[:n] >> np.uint32(31)), (1, sent[-1][1][n:], x[n:] >> np.uint32(31))):
-                total[row, c] = np.minimum(total[row, c] + 1 + more.astype(np.uint8), 2)
-        flags = [np.packbits(np.concatenate([total[0, c[:n]], total[1, c[n:]]]) > 1).tobytes() for n, c in sent]
+            rest, own = blob.as_py(), []
+            for row in (0, 1):
+                c, more, rest = undense(rest)
+                total[row, c] = np.minimum(total[row, c] + 1 + more, 2)
+                own.append(c)
+            sent.append(own)
+        flags = [np.packbits(np.concatenate([total[row, c] for row, c in enumerate(own)]) > 1).tobytes() for own in sent]
         return pa.table({"chunk": parts["chunk"], "shard": parts["shard"], "data": pa.array(flags, pa.binary())})
 
     return sketches.groupBy("shard").applyInArrow(f, MESSAGE)
