@@ -7,9 +7,11 @@ from .language import op7_language
 from .mixing import op1_mixing
 from .quality import op8_quality
 from .secrets import op9_secrets
+from .sql import SQL
 from .substrings import op4_substrings
 from .suffixes import op3_suffixes
 from .toxicity import op5_toxicity
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op3_suffixes": op3_suffixes, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]

@@ -57,3 +57,16 @@ def test_run_gives_the_last_stage(spark, tables):
 def test_every_operator_is_registered():
     names = {int(n[2:].split("_")[0]) for n in catalog.QUERIES}
     assert names == set(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
+def test_sql_gives_the_same_rows(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got, want = catalog.QUERIES[name](spark, sf).toPandas(), con.sql(catalog.SQL[name]).df()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    assert got[cols].sort_values(cols).reset_index(drop=True).equals(want[cols].sort_values(cols).reset_index(drop=True))
