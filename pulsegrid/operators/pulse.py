@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters
+from ..functions.modes import modes
 
 RGB = ("r", "g", "b")
 
@@ -169,3 +170,39 @@ def independent_component(df: DataFrame, keys: Sequence[str], key_schema: str, s
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in names}, "pulse": [(band @ best).tolist()]})
 
     return df.groupBy(*names).applyInPandas(one, f"{key_schema}, pulse array<double>")
+
+
+def moving_average(df: DataFrame, keys: Sequence[str], value: str, width: int) -> DataFrame:
+    """The centred mean of `width` samples, zeros beyond the window."""
+    near = Window.partitionBy(*keys).orderBy("at").rowsBetween(-(width // 2), (width - 1) // 2)
+    return df.withColumn("smooth", F.sum(value).over(near) / width)
+
+
+def guided_component(df: DataFrame, keys: Sequence[str], key_schema: str, size: int, fps: float = 30.0) -> DataFrame:
+    """(keys, pulse): as independent_component, but the source is chosen by its peak times its likeness to green,
+    reduced to its three fastest modes, smoothed over two seconds and filtered."""
+    detrend = filters.detrend_matrix(size)
+    band = filters.filtfilt_matrix(size, 3, 0.7, 2.5, fps)
+    width, names = int(fps * 2), list(keys)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) != size:
+            return pd.DataFrame({**{k: [] for k in names}, "pulse": []})
+        x = detrend @ pdf.sort_values("at")[list(RGB)].to_numpy()
+        x = (x - x.mean(0)) / x.std(0)
+        sources = jade(x.T)
+        p = np.abs(np.fft.fft(sources, axis=1)[:, 1:][:, : (size - 1) // 2]) ** 2
+        likeness = np.abs([np.corrcoef(s, x[:, 1])[0, 1] for s in sources])
+        best = sources[((p / p.sum(1, keepdims=True)).max(1) * likeness).argmax()]
+        parts = modes(best)
+        smooth = np.convolve(np.sum(parts, axis=0) if parts else best, np.ones(width) / width, mode="same")
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in names}, "pulse": [(band @ smooth).tolist()]})
+
+    return df.groupBy(*names).applyInPandas(one, f"{key_schema}, pulse array<double>")
+
+
+def whole_clips(df: DataFrame, key: str, size: int = 180) -> DataFrame:
+    """Rows with their clip's number; fails for a key whose rows don't fill whole clips."""
+    n = F.count("*").over(Window.partitionBy(key))
+    fills = F.assert_true(n % size == 0, F.concat(F.lit(f"not a multiple of {size} frames: "), F.col(key).cast("string")))
+    return df.withColumn("clip_id", F.when(fills.isNull(), F.floor(F.col("pos") / size)))

@@ -127,6 +127,8 @@ SQL = {
     "pos_projection": f"WITH {PLANE} SELECT face_id, win_id, at, round(h, 4) AS h FROM h",
     "pos_heart_rate": f"WITH {PLANE.replace('w AS (SELECT', 'w0 AS (SELECT').replace('FROM w WINDOW', 'FROM w0 WINDOW')}, w AS (SELECT * FROM h), {weighted('h', detrended=True, filtered=True)}",
     "chrom_projection": f"WITH {WINDOWS}, x AS (SELECT *, unnest([at // 24 - 1, at // 24]) AS i FROM w), y AS (SELECT *, at - i * 24 AS j, r / avg(r) OVER z AS nr, g / avg(g) OVER z AS ng, b / avg(b) OVER z AS nb FROM x WHERE i >= 0 AND i < 6 WINDOW z AS (PARTITION BY face_id, win_id, i)), p AS (SELECT *, 3 * nr - 2 * ng AS xs, 1.5::DOUBLE * nr + ng - 1.5::DOUBLE * nb AS ys FROM y), q AS (SELECT *, (xs - stddev_pop(xs) OVER z / stddev_pop(ys) OVER z * ys) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 47)) AS sw FROM p WINDOW z AS (PARTITION BY face_id, win_id, i)) SELECT face_id, win_id, at, round(sum(sw), 4) AS s FROM q GROUP BY ALL",
+    "moving_average_signal": f"WITH {WINDOWS} SELECT face_id, win_id, at, round(sum(r) OVER (PARTITION BY face_id, win_id ORDER BY at ROWS BETWEEN 30 PRECEDING AND 29 FOLLOWING) / 60, 6) AS smooth FROM w",
+    "clip_ids": f"WITH {WINDOWS} SELECT face_id, pos, win_id AS clip_id FROM w",
     "hr_fft_sql": f"WITH {WINDOWS}, {spectrum('g')}",
     "hr_full_chain": f"WITH {WINDOWS}, {weighted('r', cumulative=True, detrended=True, filtered=True)}",
     "hr_peaks": f"WITH {WINDOWS}, n AS (SELECT *, CASE WHEN r = lag(r) OVER o THEN 0 ELSE 1 END AS new FROM w WINDOW o AS (PARTITION BY face_id, win_id ORDER BY at)), u AS (SELECT *, sum(new) OVER (PARTITION BY face_id, win_id ORDER BY at) AS run FROM n), f AS (SELECT face_id, win_id, run, min(r) AS v, min(at) AS a, max(at) AS z FROM u GROUP BY ALL), k AS (SELECT *, v > lag(v) OVER o AND v > lead(v) OVER o AS peak FROM f WINDOW o AS (PARTITION BY face_id, win_id ORDER BY run)), c AS (SELECT face_id, win_id, count(*) FILTER (peak) AS n_peaks, min((a + z) // 2) FILTER (peak) AS p0, max((a + z) // 2) FILTER (peak) AS p1 FROM k GROUP BY ALL) SELECT face_id, win_id, n_peaks, CASE WHEN n_peaks > 1 THEN round(60.0::DOUBLE / ((p1 - p0) / (n_peaks - 1)::DOUBLE / 30.0::DOUBLE), 6) END AS heart_rate FROM c",

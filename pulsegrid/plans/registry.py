@@ -128,6 +128,26 @@ def ica_heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulse.spectral_rate(long, WIN, "v", SIZE, filtered=True)
 
 
+@query
+def guided_ica_heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pulse.guided_component(trace_windows(spark, sf_dir), WIN, "face_id long, win_id long", SIZE)
+    long = rows.select(*WIN, F.posexplode("pulse").alias("at", "v"))
+    return pulse.spectral_rate(long, WIN, "v", SIZE, filtered=True)
+
+
+@query
+def moving_average_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pulse.moving_average(trace_windows(spark, sf_dir), WIN, "r", 60)
+    return rows.select("face_id", "win_id", "at", F.round("smooth", 6).alias("smooth"))
+
+
+@query
+def clip_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole clips of the rows that fill them, checked."""
+    t = trace_windows(spark, sf_dir)
+    return pulse.whole_clips(t, "face_id", SIZE).select("face_id", "pos", "clip_id")
+
+
 @query
 def hr_fft_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the periodogram's strongest in-band bin of each subject's windows."""

@@ -74,3 +74,29 @@ def test_unmixing_finds_sources():
     got = pulse.jade(np.random.default_rng(3).standard_normal((3, 3)) @ sources)
     match = np.abs(np.corrcoef(np.vstack([sources, got]))[:3, 3:])
     assert (match.max(1) > 0.97).all()
+
+
+def test_modes_separate_fast_and_slow():
+    from pulsegrid.functions import modes
+
+    t = np.arange(300) / FPS
+    fast, slow = np.sin(2 * np.pi * 2.0 * t), 3 * np.sin(2 * np.pi * 0.2 * t)
+    found = modes.modes(fast + slow)
+    assert np.corrcoef(found[0][30:-30], fast[30:-30])[0, 1] > 0.95
+    assert modes.modes(np.arange(50.0)) == []
+
+
+def test_extensions(spark):
+    from pulsegrid.operators import extensions
+
+    x = 100 + np.sin(2 * np.pi * 10 * np.arange(180) / 256)
+    df = spark.createDataFrame([(1, 0, i, 90.0, float(v), 80.0) for i, v in enumerate(x)], "face_id long, win_id long, at long, r double, g double, b double")
+    rate = extensions.heart_rates(df, ["face_id", "win_id"], 180, extract="green").first()["heart_rate"]
+    assert rate == 10 * FPS / 256 * 60
+
+
+def test_clips_must_be_whole(spark):
+    df = spark.createDataFrame([(1, i) for i in range(7)], "face_id long, pos long")
+    assert pulse.whole_clips(df.where("pos < 6"), "face_id", 3).where("clip_id = 1").count() == 3
+    with pytest.raises(Exception, match="not a multiple"):
+        pulse.whole_clips(df, "face_id", 3).collect()
