@@ -39,6 +39,8 @@ from .substrings import MESSAGE, message
 WIDTH, GRAM = 200, 32
 #: Text that shares a shard, bytes of segments that share a block, and segments of one key compared in one block.
 SHARD_BYTES, BLOCK_BYTES, MOST = 64 << 20, 2 << 20, 2000
+#: Text scanned at once; the arrays stay in cache.
+SCAN = 1 << 18
 U = K.U
 SINGLE, WHOLE, ASK, SHOW = 0, 1, 2, 3
 
@@ -83,7 +85,7 @@ def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def all_segments(texts: pa.ChunkedArray, width: int) -> list[tuple]:
-    return [(data, at, *segments(data, at, width)) for _, _, data, at in K.blocks(texts.combine_chunks())]
+    return [(data, at, *segments(data, at, width)) for _, _, data, at in K.blocks(texts.combine_chunks(), SCAN)]
 
 
 def keyed(work: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +177,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = (key << 9) | wide[j : j + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     k = key[sa]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -191,7 +193,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
         own = sa[open_at]
         second = rank[np.minimum(own + h, n)]
         first = rank[own]
-        order = np.argsort(first * (n + 1) + second + 1, kind="stable")
+        order = np.argsort(first * (n + 1) + second + 1)
         own, first, second = own[order], first[order], second[order]
         sa[open_at] = own
         split = np.ones(len(own), bool)
@@ -211,10 +213,12 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
     are again an interval, found through the last-to-first mapping.
     """
     n = len(s)
-    bwt = s[sa - 1].astype(np.int64)
+    bwt = s[sa - 1].astype(np.int16)
     bwt[sa == 0] = 0
     lf = np.empty(n, np.int64)
     lf[np.argsort(bwt, kind="stable")] = np.arange(n)
+    bwt = bwt.astype(np.int64)
+    bits = int(n).bit_length()
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
     lo, hi = np.array([0]), np.array([n])
@@ -226,11 +230,10 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
             m_lo, m_size = lo[~one], size[~one]
             owner = np.repeat(np.arange(len(m_lo)), m_size)
             place = np.repeat(m_lo - np.concatenate([[0], np.cumsum(m_size)[:-1]]), m_size) + np.arange(m_size.sum())
-            pair = owner * 512 + bwt[place]
-            order = np.argsort(pair, kind="stable")
-            pair = pair[order]
+            order = np.sort(((owner << 9 | bwt[place]) << bits) | place)  # by interval, symbol and place
+            pair = order >> bits
             head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            more = lf[place[order[head]]]
+            more = lf[order[head] & ((1 << bits) - 1)]
             start = np.concatenate([start, more])
             end = np.concatenate([end, more + np.diff(np.concatenate([head, [len(pair)]]))])
         fresh = ~known[end]
