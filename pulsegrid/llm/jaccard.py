@@ -190,7 +190,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     info = nodes.select("node", "rep", "copies").join(named.select("node", "root").join(least, "root"), "node", "left").join(links, "node", "left")
-    info = info.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    info = stored(info.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))  # a plain join follows, which Spark can split where a text has many copies
     return signed.select("doc_id", "node").join(info, "node").select("doc_id", "class_id", "n_links")
 
 
