@@ -63,10 +63,12 @@ def recent_mean(df: DataFrame, key: str, value: str, order: Sequence[str], rows:
     return df.withColumn("recent_mean", F.avg(value).over(w))
 
 
-def expired(df: DataFrame, key: str, now, timeout: float, ts: str = "ts") -> DataFrame:
-    """Keys whose last row is older than `timeout` seconds at `now`, a column of epoch seconds joined beforehand."""
-    last = df.groupBy(key).agg((F.max(F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6).alias("last_seen"))
-    return last.where(now - F.col("last_seen") > timeout)
+def expired(df: DataFrame, key: str, timeout: float, ts: str = "ts") -> DataFrame:
+    """Keys whose last row is more than `timeout` seconds older than the table's last, and by how much."""
+    seen = df.groupBy(key).agg(F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("_seen"))
+    now = seen.agg(F.max("_seen").alias("_now"))
+    idle = (F.col("_now") - F.col("_seen")) / 1e6
+    return seen.join(F.broadcast(now)).where(idle > timeout).select(key, idle.alias("idle_seconds"))  # one row
 
 
 def root_mean_square_error(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:

@@ -449,11 +449,8 @@ def recent_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def expired_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faces without a sample in the last day of the table."""
-    s = samples(spark, sf_dir)
-    last = s.groupBy("face_id").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("seen"))
-    now = s.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("now"))
-    return last.join(F.broadcast(now)).where(F.col("now") - F.col("seen") > F.lit(3_600_000_000)).select("face_id", ((F.col("now") - F.col("seen")) / 1e6).alias("idle_seconds"))  # one row
+    """Faces without a sample in the last hour of the table."""
+    return reports.expired(samples(spark, sf_dir), "face_id", 3600.0)
 
 
 @query
