@@ -175,3 +175,24 @@ SQL = {
 }
 #: `at` is a word of DuckDB's grammar.
 SQL = {name: re.sub(r"\bat\b", '"at"', text) for name, text in SQL.items()}
+#: Values that may round to minus zero here, where Spark has plain zero.
+SIGNED = {
+    "clip_zscore": ["z"],
+    "diff_normalize": ["dn"],
+    "chunk_standardized": ["std_value", "diff_value"],
+    "pos_projection": ["h"],
+    "chrom_projection": ["s"],
+    "detrend_signal": ["y"],
+    "bandpass_signal": ["y"],
+    "decode_boxes": ["x1", "y1", "x2", "y2"],
+    "decode_priors": ["x1", "y1", "x2", "y2"],
+    "decode_landmarks": ["p0x", "p0y", "p1x", "p1y"],
+    "decode_prior_landmarks": ["p0x", "p0y", "p1x", "p1y"],
+    "dequantised_values": ["value"],
+    "channels_first": ["v"],
+    "last_frame_pad": ["last_v"],
+    "resize_bilinear": ["v"],
+    "resize_area": ["v"],
+    "spatial_mean": ["mean_r", "mean_g", "mean_b"],
+}
+SQL |= {name: f"SELECT * REPLACE ({', '.join(f'{c} + 0.0::DOUBLE AS {c}' for c in columns)}) FROM ({SQL[name]})" for name, columns in SIGNED.items()}

@@ -30,15 +30,14 @@ def test_ids_are_not_used_again():
 
 def test_more_boxes_than_objects_do_not_age():
     t = tracking.step(tracking.Tracks(), [A, B])
-    near = [(1, 0, 11, 10), (2, 0, 12, 10), (3, 0, 13, 10)]
-    t = tracking.step(t, near)
+    t = tracking.step(t, [(50, 50, 60, 60), (-300, -300, -290, -290), (-400, -400, -390, -390)])  # both objects want the first
     assert t.missing[0] == 0 and t.missing[1] == 0 and len(t.boxes) == 4 and t.boxes[1] == B
 
 
 def test_unmatched_boxes_are_ignored_among_as_many_objects():
     t = tracking.step(tracking.Tracks(), [A, B])
-    t = tracking.step(t, [(1, 0, 11, 10), (2, 0, 12, 10)])
-    assert len(t.boxes) == 2 and t.missing[1] == 1
+    t = tracking.step(t, [(50, 50, 60, 60), (-400, -400, -390, -390)])
+    assert t.boxes == {0: (50, 50, 60, 60), 1: B} and t.missing[1] == 1
 
 
 @settings(max_examples=50, deadline=None)
