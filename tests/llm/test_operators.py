@@ -146,6 +146,13 @@ def test_suffixes(docs, rows, small_chunks, monkeypatch, most):
     assert Counter(map(tuple, suffixes.remove_repeats(docs).collect())) == brute_bytes(rows, 200)
 
 
+def test_segment_keys_reach_all_shards():
+    data = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8)
+    anchors = suffixes.segments(data, np.array([0, len(data)]), 200)[3]
+    per = np.bincount(chunks.shard_of(anchors, 8), minlength=8)
+    assert len(per) == 8 and per.min() > len(anchors) / 16 and per.max() < len(anchors) / 4
+
+
 def test_common_prefixes_of_a_text():
     s = np.random.default_rng(2).integers(1, 4, 400).astype(np.int16)
     sa = suffixes.suffix_order(s, 12)
