@@ -8,8 +8,8 @@ group of candidates is cut into blocks and each pair of blocks is a task of its
 holds a whole group; pairs are counted there and never become rows.
 
 Defined results: a text of one to four words has one shingle, all its words; texts without words
-and null texts have no links and are a class of their own id; a row without an id can't be a
-representative; repeated rows are copies, rows that repeat an id with another text are documents
+and null texts have no links and are a class of their own id; a row without an id names
+no class but links as any other; repeated rows are copies, rows that repeat an id with another text are documents
 of their own that share the id.
 """
 
@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import stored, table
@@ -78,6 +79,14 @@ def band_keys(sets: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.
     return out
 
 
+def node_keys(ids: pa.Array, sets: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The node of each text: its set's key, and for a text without words its id."""
+    keys = set_keys(sets, first)
+    for i in np.flatnonzero(np.diff(first) == 0):
+        keys[i] = b"-" + str(ids[int(i)]).encode()
+    return keys
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, node, n_shingles, bands) of each row."""
 
@@ -86,10 +95,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             ids = batch.column("doc_id")
             for lo, hi, data, at in K.blocks(batch.column("text")):
                 sets, first = shingles(data, at, n)
-                size, keys = np.diff(first), set_keys(sets, first)
                 own = ids.slice(lo, hi - lo)
-                for i in np.flatnonzero(size == 0):
-                    keys[i] = b"-" + str(own[int(i)]).encode()
+                size, keys = np.diff(first), node_keys(own, sets, first)
                 flat = band_keys(sets, first, bands, rows)
                 lists = [flat[i].view(np.int64) if size[i] else flat[i][:0].view(np.int64) for i in range(len(size))]
                 yield pa.RecordBatch.from_arrays([own.cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "node", "n_shingles", "bands"])
@@ -97,6 +104,26 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node binary, n_shingles long, bands array<long>")
 
 
+def node_rows(docs: DataFrame, n: int = N) -> DataFrame:
+    """(node, row): the first row of each node by id (null last), text and the other columns.
+
+    Rows are reduced before they are dealt out, so a node with many copies sends one row from each task.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, keys = batch.column("_id"), []
+            for lo, hi, data, at in K.blocks(batch.column("text")):
+                keys += node_keys(ids.slice(lo, hi - lo), *shingles(data, at, n))
+            names = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(keys, pa.binary())], names=[*names, "node"])
+
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    keyed = keyed.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("node", T.BinaryType())]))
+    columns = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    return keyed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_no_id"), *columns)).alias("row"))
+
+
 def linked_pairs(sets: np.ndarray, owner: np.ndarray, size: np.ndarray, side: np.ndarray, within: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of owners whose sets reach the threshold; pairs of different sides only, unless `within`."""
     m = len(size)
@@ -147,8 +174,7 @@ def verify(candidates: DataFrame, n: int, threshold: float) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, part in pdf.groupby("comp", sort=False):
-            keys = set_keys(*shingles(*K.packed(pa.array(part["text"], pa.string())), n))  # an id may stand for other texts as well
-            part = part[[k == v for k, v in zip(keys, part["node"], strict=True)]].drop_duplicates("node").sort_values("node")
+            part = part.sort_values("node")
             sets, first = shingles(*K.packed(pa.array(part["text"], pa.string())), n)
             size = np.diff(first)
             a, b = linked_pairs(sets, np.repeat(np.arange(len(size)), size), size, part["side"].to_numpy(), bool(part["within"].all()), threshold)
@@ -161,11 +187,11 @@ def verify(candidates: DataFrame, n: int, threshold: float) -> DataFrame:
     return candidates.groupBy("grp").applyInPandas(one, "node binary, root binary, links long, split boolean")
 
 
-def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, n_links) of each row: the least id linked directly or through others, and how many rows are at the threshold or above."""
+def linked_nodes(docs: DataFrame, texts: DataFrame, n: int, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, node, ..) of each row; (node, rep, copies, ..); (node, rep, root) of the nodes in verified groups; (node, links, ..) by task. `texts` has one text of each node."""
     signed = stored(signatures(docs, n, n_bands(threshold, recall, rows), rows))
     nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    banded = nodes.where(F.col("rep").isNotNull()).select("node", F.explode("bands").alias("key"))
+    banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "least")
     edges = banded.join(buckets, banded["key"] == buckets["_key"]).select(F.col("node").alias("u"), F.col("least").alias("v"))
     groups = stored(components(edges))
@@ -173,20 +199,25 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     members = nodes.drop("bands").join(groups, "node")
     whole = members.groupBy("component").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("m"))
     whole = whole.select(F.col("component").alias("comp"), F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_NODES)).cast("int").alias("n_blocks"))
-    members = members.join(whole, members["component"] == whole["comp"]).select("node", "rep", "copies", "n_shingles", "comp", "n_blocks")
+    members = members.join(whole, members["component"] == whole["comp"]).select("node", "copies", "n_shingles", "comp", "n_blocks")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where(F.col("rep").isNotNull())
     side = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
     alone = F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(max(1, total // 400_000))).cast("string"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    placed = members.join(texts, "rep").withColumn("side", side).withColumn("other", other).withColumn("split", F.col("n_blocks") > 1)
+    placed = members.join(texts, "node").withColumn("side", side).withColumn("other", other).withColumn("split", F.col("n_blocks") > 1)
     group = F.when(~F.col("split"), alone).otherwise(F.concat_ws(":", F.hex("comp"), F.least("side", "other"), F.greatest("side", "other")))
     tasks = placed.select(group.alias("grp"), "comp", "side", (F.col("side") == F.col("other")).alias("within"), "split", "node", "copies", "text")
     checked = stored(verify(tasks, n, threshold))
 
     across = components(checked.where("split").select(F.col("node").alias("u"), F.col("root").alias("v"))).select("node", F.col("component").alias("root"))
     within = checked.where("not split").select("node", "root")
-    named = within.unionByName(across).join(nodes.select("node", "rep"), "node")
+    return signed, nodes, within.unionByName(across).join(nodes.select("node", "rep"), "node"), checked
+
+
+def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id, n_links) of each row: the least id linked directly or through others, and how many rows are at the threshold or above."""
+    texts = node_rows(docs.select("doc_id", "text"), n).select("node", "row.text")
+    signed, nodes, named, checked = linked_nodes(docs, texts, n, threshold, recall, rows)
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     info = nodes.select("node", "rep", "copies").join(named.select("node", "root").join(least, "root"), "node", "left").join(links, "node", "left")

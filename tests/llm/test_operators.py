@@ -212,6 +212,16 @@ def test_jaccard_classes(docs, rows, monkeypatch, block):
     assert kept == len({r["class_id"] for r in got if r["class_id"] is not None})
 
 
+LONG = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcd"]
+
+
+def test_rows_without_an_id_are_linked(spark):
+    rows = [(1, LONG[0]), (None, LONG[0] + " x"), (None, LONG[0] + " y"), (None, LONG[1]), (None, LONG[1] + " z"), (7, LONG[2]), (7, LONG[3]), (8, LONG[3] + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, jaccard.jaccard_classes(df).collect()))
+    assert got == Counter([(1, 1, 2), (None, 1, 2), (None, 1, 2), (None, None, 1), (None, None, 1), (7, 7, 0), (7, 7, 1), (8, 7, 1)])
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
