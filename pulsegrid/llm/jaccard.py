@@ -226,10 +226,23 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of docs that represent their class."""
+    """The rows of docs that represent their class, by id: for tables whose ids stand for one row each. `representatives` has no such bound."""
     gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def representatives(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """Exactly one row of each class: of the node with the least id (null last), its first row.
+
+    Classes are of texts, not of ids: another text under a dropped row's id stays. Texts without words are a class by
+    id, in which null counts as an id.
+    """
+    first = stored(node_rows(docs, n))
+    named = linked_nodes(docs, first.select("node", "row.text"), n, threshold, recall, rows)[2]
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("_no_id"), "rep", "node")).alias("best"))
+    gone = named.join(best, "root").where(F.col("node") != F.col("best.node")).select("node")
+    return first.join(gone, "node", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))

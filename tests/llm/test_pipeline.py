@@ -50,6 +50,16 @@ def test_stages(spark, tables):
     assert [s[0] for s in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
 
 
+def test_one_row_of_each_class(spark):
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcde"]
+    rows = [(1, long[0]), (1, long[0]), (2, long[0] + " x"), (2, long[1]), (None, long[1]), (None, long[2]), (None, long[2]), (None, long[2] + " y"), (3, long[3]), (3, long[3] + " z"), (3, long[4]), (4, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()))
+    assert [i for i, _ in got] == [0, 1, 2, 3, 3, 4, 5]
+    texts = {t for _, t in got}
+    assert {long[0], long[1], long[4], ""} <= texts and len(texts & {long[2], long[2] + " y"}) == len(texts & {long[3], long[3] + " z"}) == 1
+
+
 def test_run_gives_the_last_stage(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 100
 
