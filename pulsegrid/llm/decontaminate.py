@@ -27,7 +27,7 @@ BLOCK_BYTES = 4 << 20
 RATE = 0.1
 LEAST_PIECE = 8
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-CHUNK = 1 << 14  # windows verified at once
+CHUNK, SYMBOLS = 1 << 14, 1 << 24  # windows verified at once, and characters in them
 
 
 def normal(text: Column) -> Column:
@@ -65,10 +65,13 @@ class Items:
         self.code = np.zeros(self.top, np.int32)
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.n_words = -(-self.length // 64)
-        self.masks = np.zeros((len(self.texts), len(letters) + 1, int(self.n_words.max())), np.uint64)
+        size = (len(letters) + 1) * self.n_words  # a row of words for each letter, as long as the item needs
+        self.start = np.cumsum(size) - size
+        self.masks = np.zeros(int(size.sum()), np.uint64)
         for i, t in enumerate(self.texts):
             at = np.arange(len(t))
-            np.bitwise_or.at(self.masks, (i, self.code[np.frombuffer(t.encode("utf-32-le"), np.uint32)], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+            row = self.code[np.frombuffer(t.encode("utf-32-le"), np.uint32)].astype(np.int64) * self.n_words[i]
+            np.bitwise_or.at(self.masks, self.start[i] + row + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
 
     def candidates(self, text: str) -> set[tuple[int, int]]:
         """(item, slot) of all piece hits; a slot is a run of errors + 1 starts of the item."""
@@ -88,13 +91,16 @@ class Items:
         for a in range(0, len(order), CHUNK):
             part = order[a : a + CHUNK]
             for w in np.unique(self.n_words[item[part]]):
-                own = part[self.n_words[item[part]] == w]
-                window = np.zeros((int(width[own].max()), len(own)), np.int32)
-                for k, c in enumerate(own):
-                    piece = texts[doc[c]][lo[c] : lo[c] + width[c]]
-                    window[: len(piece), k] = piece
-                    window[len(piece) :, k] = -1
-                best[own], where[own] = self._myers(window, item[own], int(w))
+                same = part[self.n_words[item[part]] == w]
+                step = max(1, SYMBOLS // int(width[same].max()))
+                for b in range(0, len(same), step):
+                    own = same[b : b + step]
+                    window = np.zeros((int(width[own].max()), len(own)), np.int32)
+                    for k, c in enumerate(own):
+                        piece = texts[doc[c]][lo[c] : lo[c] + width[c]]
+                        window[: len(piece), k] = piece
+                        window[len(piece) :, k] = -1
+                    best[own], where[own] = self._myers(window, item[own], int(w))
         return best, lo + where
 
     def _myers(self, window: np.ndarray, item: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,10 +110,12 @@ class Items:
         last = ((self.length[item] - 1) & 63).astype(np.uint64)
         score = self.length[item].copy()
         best, where = score.copy(), np.zeros(n, np.int64)
+        start = self.start[item]
         for step, codes in enumerate(window):
+            row = start + np.maximum(codes, 0).astype(np.int64) * words
             plus, minus = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             for b in range(words):
-                eq, pv, mv = self.masks[item, np.maximum(codes, 0), b], up[b], down[b]
+                eq, pv, mv = self.masks[row + b], up[b], down[b]
                 xv = eq | mv
                 eq = eq | minus
                 xh = (((eq & pv) + pv) ^ pv) | eq

@@ -294,6 +294,19 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df, spark.createDataFrame([], "item_id long, text string")).where(F.size("leaks") > 0).count() == 0
 
 
+def test_memory_of_a_long_item_is_its_own(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (6400, *[100] * 300)]
+    items = decontaminate.Items(list(range(len(texts))), texts, decontaminate.RATE)
+    items.prepare()
+    assert items.masks.size <= 12 * sum(len(t) // 64 + 1 for t in texts)
+    docs = [f"no {texts[0][:3000]}#{texts[0][3001:]} end", f"so {texts[7]} on {texts[9]}"]
+    want = [[(0, 1, 6403)], [(7, 0, 103), (9, 0, 207)]]
+    assert decontaminate.leaks(items, docs) == want
+    monkeypatch.setattr(decontaminate, "SYMBOLS", 10_000)
+    assert decontaminate.leaks(items, docs) == want
+
+
 def labelled(spark, n=400):
     rng = random.Random(8)
     rows, labels = [], []
