@@ -133,11 +133,10 @@ def fingerprints(texts: list[bytes], rank: np.ndarray) -> list[tuple[str, np.nda
             h = K.mix(h ^ column) * K.BASE
         h = K.mix(h)
         edge = np.searchsorted(owner, np.arange(len(begin) + 1))
-        sums = K.prefix_sums(K.byte_values(9)[data])
         for i in range(len(begin)):
             own = h[edge[i] : edge[i + 1]]
             if not len(own) and at[i + 1] > at[i]:
-                own = K.span_hash(sums, at[i : i + 1], at[i + 1 : i + 2])
+                own = K.digests(data, at[i : i + 1], at[i + 1 : i + 2], 1)[0]
             own = own[np.sort(np.unique(own, return_index=True)[1])]
             out.append(_digest(own))
     return out

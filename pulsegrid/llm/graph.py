@@ -12,30 +12,32 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); a component is named by its least node.
 
     Large-star links a node's larger neighbours to the least node around it, small-star its
-    smaller ones; repeated, this ends in stars after about log(n) rounds. Each round is written
-    to the shared folder. Hubs stay spread: rounds are sums by node and joins, never a group in one task.
+    smaller ones; repeated, this ends in stars after about log(n) rounds. Each half-round is written
+    to the shared folder. A node's least neighbour is summed in two steps and written before it is
+    joined to the node's edges, so both sides of the join are plain tables: Spark sends the small one
+    to all tasks where its size allows, and else splits a hub's edges over tasks (adaptive skew joins).
     """
-    now, mark = stored(_undirected(edges)), None
-    while True:
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign == mark or not sign[0]:
-            break
-        mark = sign
-        now = stored(_star(_star(now, large=True), large=False))
+    now = stored(_undirected(edges))
+    while not _stars(now):
+        now = _star(_star(now, large=True), large=False)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, or only edges from larger ones."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v"), F.lit(0), F.lit(1)))
+    one = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return one.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def _undirected(edges: DataFrame) -> DataFrame:
     """Distinct edges, the larger end first."""
     return edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    near = edges.unionByName(back) if large else edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("_u", "m").alias("m"))
+    near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = stored(near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")))
     linked = near.join(least, near["u"] == least["_u"])
-    if large:
-        out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return _undirected(out.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))))
-    return _undirected(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))))
+    moved = linked.where("v > u") if large else linked
+    return stored(_undirected(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v")))))

@@ -3,14 +3,19 @@
 Documents are sets of five-word shingles.  Texts with equal sets form one node, so copies cost
 nothing further.  A node's MinHash signature is cut into bands; their number follows from the
 target recall at the threshold.  Band hashes are shuffled; nodes that share one are candidates.
-Connected candidates are brought together and every pair is verified on the full sets.  A large
-group of candidates is cut into blocks and each pair of blocks is a task of its own, so no task
-holds a whole group; pairs are counted there and never become rows.
+A link is a pair that shares a band and whose full sets reach the threshold.
+
+Candidates that are connected through bands and fit a block are verified together in one task.
+Where they don't fit, each band's bucket is a task of its own, and a bucket that doesn't fit is cut
+into blocks, each pair of blocks a task; a pair counts in the first band that it shares.  So no task
+holds a whole group, no text is held against what it shares no bucket with beyond a block, and pairs
+are counted there and never become rows.
 
 Defined results: a text of one to four words has one shingle, all its words; texts without words
 and null texts have no links and are a class of their own id; a row without an id names
 no class but links as any other; repeated rows are copies, rows that repeat an id with another text are documents
-of their own that share the id.
+of their own that share the id; the length of a text has no bound; an empty table gives no rows.
+Columns of the input other than doc_id and text may have any names: `representatives` returns them as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +34,7 @@ from .common import stored, table
 from .graph import components
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 5
-#: A block of a candidate group holds at most about so many shingles and nodes.
+#: A block of candidates holds at most about so many shingles and nodes.
 BLOCK_SHINGLES, BLOCK_NODES = 1_000_000, 1500
 #: Shingles in at least so many nodes of a task are multiplied as dense columns, others pair by pair.
 DENSE = 32
@@ -43,12 +48,15 @@ def n_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = RO
 def shingles(data: np.ndarray, at: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted within it, and where each text's begin."""
     starts, ends, first = K.words(data, at)
-    sums = K.prefix_sums(K.word_hashes(data, starts, ends))
+    (word,) = K.digests(data, starts, ends, 1)
     count = np.diff(first)
     per = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(count)), per)
     begin = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum())
-    h = K.span_hash(sums, begin, np.minimum(begin + n, first[row + 1]))
+    width = np.minimum(count, n)[row]
+    h = np.zeros(len(row), K.U)
+    for w in np.unique(width):
+        h[width == w] = K.mix(K.run_hash(word, int(w))[begin[width == w]] + K.U(w))
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
@@ -109,19 +117,21 @@ def node_rows(docs: DataFrame, n: int = N) -> DataFrame:
 
     Rows are reduced before they are dealt out, so a node with many copies sends one row from each task.
     """
+    columns = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    row = F.struct(F.col("doc_id").isNull(), *columns)  # fields by place: a column may have any name
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"), row.alias("row"))
 
     def run(batches):
         for batch in batches:
-            ids, keys = batch.column("_id"), []
-            for lo, hi, data, at in K.blocks(batch.column("text")):
+            ids, keys = batch.column(0), []
+            for lo, hi, data, at in K.blocks(batch.column(1)):
                 keys += node_keys(ids.slice(lo, hi - lo), *shingles(data, at, n))
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(keys, pa.binary())], names=[*names, "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(2)], names=["node", "row"])
 
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    keyed = keyed.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("node", T.BinaryType())]))
-    columns = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
-    return keyed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_no_id"), *columns)).alias("row"))
+    kind = T.StructType([T.StructField("no_id", T.BooleanType()), *[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(columns)]])
+    named = packed.withColumn("row", F.col("row").cast(kind))
+    keyed = named.mapInArrow(run, T.StructType([T.StructField("node", T.BinaryType()), T.StructField("row", kind)]))
+    return keyed.groupBy("node").agg(F.min("row").alias("row"))
 
 
 def linked_pairs(sets: np.ndarray, owner: np.ndarray, size: np.ndarray, side: np.ndarray, within: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -168,69 +178,96 @@ def roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def first_shared(bands: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each pair of rows shares a band, and the key of the first one."""
+    some, key = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+    for lo in range(0, len(a), 1 << 16):
+        x, y = bands[a[lo : lo + (1 << 16)]], bands[b[lo : lo + (1 << 16)]]
+        same = x == y
+        some[lo : lo + len(x)] = same.any(1)
+        key[lo : lo + len(x)] = x[np.arange(len(x)), same.argmax(1)]
+    return some, key
+
+
 def verify(candidates: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(node, root, links, split) by task; candidates: grp, comp, side, within, split, node, copies, text."""
+    """(id, root, links, split) by task; candidates: grp, comp, bucket (null where connected candidates fit), side, within, id, copies, bands, text."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, part in pdf.groupby("comp", sort=False):
-            part = part.sort_values("node")
+            part = part.sort_values("id")
             sets, first = shingles(*K.packed(pa.array(part["text"], pa.string())), n)
-            size = np.diff(first)
+            size, split = np.diff(first), bool(part["split"].iloc[0])
             a, b = linked_pairs(sets, np.repeat(np.arange(len(size)), size), size, part["side"].to_numpy(), bool(part["within"].all()), threshold)
-            copies, nodes = part["copies"].to_numpy(), part["node"].to_numpy()
+            some, key = first_shared(np.stack(part["bands"].to_list()), a, b)
+            own = some & (key == part["bucket"].iloc[0]) if split else some
+            a, b = a[own], b[own]
+            copies, ids = part["copies"].to_numpy(), part["id"].to_numpy()
             links = np.bincount(a, copies[b], len(size)) + np.bincount(b, copies[a], len(size))
             if len(a):
-                found.append(pd.DataFrame({"node": nodes, "root": nodes[roots(len(size), a, b)], "links": links.astype(np.int64), "split": part["split"].to_numpy()}))
-        return pd.concat(found) if found else pd.DataFrame({"node": [], "root": [], "links": [], "split": []})
+                found.append(pd.DataFrame({"id": ids, "root": ids[roots(len(size), a, b)], "links": links.astype(np.int64), "split": split}))
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "root": [], "links": [], "split": []})
+
+    return candidates.groupBy("grp").applyInPandas(one, "id long, root long, links long, split boolean")
+
+
+def fits(shingles: str, nodes: str) -> Column:
+    return (F.col(shingles) <= BLOCK_SHINGLES) & (F.col(nodes) <= BLOCK_NODES)
+
 
-    return candidates.groupBy("grp").applyInPandas(one, "node binary, root binary, links long, split boolean")
+def tasks(members: DataFrame) -> DataFrame:
+    """What each task verifies; members: component, id, copies, n_shingles, bands, text.
+
+    Sizes are summed and written before they are joined, so a large component or bucket is split in the join.
+    """
+    sums = (F.sum("n_shingles").alias("s"), F.count("*").alias("m"))
+    large = stored(members.groupBy("component").agg(*sums).where(~fits("s", "m")).select("component"))
+    alone = members.join(large, "component", "left_anti")
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    grp = F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(max(1, total // 400_000))).cast("string"))
+    rest = ["id", "copies", "bands", "text"]
+    whole = alone.select(grp.alias("grp"), F.col("component").alias("comp"), F.lit(None).cast("long").alias("bucket"), F.lit(0).alias("side"), F.lit(True).alias("within"), F.lit(False).alias("split"), *rest)
+
+    by_bucket = members.join(large, "component", "left_semi").withColumn("bucket", F.explode("bands"))
+    counted = by_bucket.groupBy("bucket").agg(*sums).where("m > 1")
+    blocks = stored(counted.select(F.col("bucket").alias("_bucket"), F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_NODES)).cast("int").alias("n_blocks")))
+    placed = by_bucket.join(blocks, by_bucket["bucket"] == blocks["_bucket"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    grp = F.concat_ws(":", "bucket", F.least("side", "other"), F.greatest("side", "other"))
+    return whole.unionByName(placed.select(grp.alias("grp"), F.col("bucket").alias("comp"), "bucket", "side", (F.col("side") == F.col("other")).alias("within"), F.lit(True).alias("split"), *rest))
 
 
 def linked_nodes(docs: DataFrame, texts: DataFrame, n: int, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(doc_id, node, ..) of each row; (node, rep, copies, ..); (node, rep, root) of the nodes in verified groups; (node, links, ..) by task. `texts` has one text of each node."""
+    """(doc_id, node, ..) of each row; (id, node, rep, copies, ..) of each node; (id, root, node, rep) of the linked nodes; (id, links, ..) by task.
+
+    `texts` has one text of each node. Nodes are numbered for this run, and results don't depend on the numbers.
+    """
     signed = stored(signatures(docs, n, n_bands(threshold, recall, rows), rows))
-    nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    banded = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "least")
-    edges = banded.join(buckets, banded["key"] == buckets["_key"]).select(F.col("node").alias("u"), F.col("least").alias("v"))
+    grouped = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    nodes = stored(grouped.withColumn("id", F.monotonically_increasing_id()))
+    banded = nodes.select("id", F.explode("bands").alias("key"))
+    buckets = stored(banded.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "least"))
+    edges = banded.join(buckets, banded["key"] == buckets["_key"]).select(F.col("id").alias("u"), F.col("least").alias("v"))
     groups = stored(components(edges))
 
-    members = nodes.drop("bands").join(groups, "node")
-    whole = members.groupBy("component").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("m"))
-    whole = whole.select(F.col("component").alias("comp"), F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_NODES)).cast("int").alias("n_blocks"))
-    members = members.join(whole, members["component"] == whole["comp"]).select("node", "copies", "n_shingles", "comp", "n_blocks")
-    total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    side = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    alone = F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(max(1, total // 400_000))).cast("string"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    placed = members.join(texts, "node").withColumn("side", side).withColumn("other", other).withColumn("split", F.col("n_blocks") > 1)
-    group = F.when(~F.col("split"), alone).otherwise(F.concat_ws(":", F.hex("comp"), F.least("side", "other"), F.greatest("side", "other")))
-    tasks = placed.select(group.alias("grp"), "comp", "side", (F.col("side") == F.col("other")).alias("within"), "split", "node", "copies", "text")
-    checked = stored(verify(tasks, n, threshold))
-
-    across = components(checked.where("split").select(F.col("node").alias("u"), F.col("root").alias("v"))).select("node", F.col("component").alias("root"))
-    within = checked.where("not split").select("node", "root")
-    return signed, nodes, within.unionByName(across).join(nodes.select("node", "rep"), "node"), checked
+    members = nodes.join(groups, nodes["id"] == groups["node"]).select(nodes["node"], "id", "copies", "n_shingles", "bands", "component")
+    checked = stored(verify(tasks(stored(members.join(texts, "node").drop("node"))), n, threshold))
+    across = components(checked.where("split").select(F.col("id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    named = checked.where("not split").select("id", "root").unionByName(across)
+    return signed, nodes, named.join(nodes.select("id", "node", "rep"), "id"), checked
 
 
 def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, n_links) of each row: the least id linked directly or through others, and how many rows are at the threshold or above."""
-    texts = node_rows(docs.select("doc_id", "text"), n).select("node", "row.text")
+    texts = node_rows(docs.select("doc_id", "text"), n).select("node", F.col("row.c1").alias("text"))
     signed, nodes, named, checked = linked_nodes(docs, texts, n, threshold, recall, rows)
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    info = nodes.select("node", "rep", "copies").join(named.select("node", "root").join(least, "root"), "node", "left").join(links, "node", "left")
+    links = checked.groupBy("id").agg(F.sum("links").alias("links"))
+    info = nodes.select("id", "node", "rep", "copies").join(named.select("id", "root").join(stored(least), "root"), "id", "left").join(links, "id", "left")
     info = stored(info.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))  # a plain join follows, which Spark can split where a text has many copies
     return signed.select("doc_id", "node").join(info, "node").select("doc_id", "class_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of docs that represent their class, by id: for tables whose ids stand for one row each. `representatives` has no such bound."""
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 def representatives(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """Exactly one row of each class: of the node with the least id (null last), its first row.
 
@@ -238,10 +275,11 @@ def representatives(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     id, in which null counts as an id.
     """
     first = stored(node_rows(docs, n))
-    named = linked_nodes(docs, first.select("node", "row.text"), n, threshold, recall, rows)[2]
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("_no_id"), "rep", "node")).alias("best"))
+    named = linked_nodes(docs, first.select("node", F.col("row.c1").alias("text")), n, threshold, recall, rows)[2]
+    best = stored(named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "node")).alias("best")))
     gone = named.join(best, "root").where(F.col("node") != F.col("best.node")).select("node")
-    return first.join(gone, "node", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    place = {c: i for i, c in enumerate(["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]])}
+    return first.join(gone, "node", "left_anti").select(*[F.col("row")[f"c{place[c]}"].alias(c) for c in docs.columns])
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

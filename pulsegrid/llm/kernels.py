@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,6 +11,9 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
+LONG_SPAN = 512
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+_ODD = (U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 BLOCK = 2 << 20  # bytes of text worked on at once; a longer document is a block of its own
 
 
@@ -52,7 +56,7 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], the same wherever the span stands."""
+    """Hash of values[start:end], the same wherever the span stands. For features only: what must be exact takes digests()."""
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
@@ -102,8 +106,41 @@ def words(data: np.ndarray, at: np.ndarray, kind: str = "space") -> tuple[np.nda
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    return span_hash(prefix_sums(byte_values(seed)[data]), starts, ends)
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, halves: int = 2) -> list[np.ndarray]:
+    """128 bits of each span in two halves (or only the first), taken in by eight bytes at a time and scrambled after each; spans beyond `LONG_SPAN` by BLAKE2."""
+    size = (ends - starts).astype(np.int64)
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8).view(U)[:, 0]
+    out = [mix(size.astype(U) * BASE + U(k + 1)) for k in range(halves)]
+    for at in range(0, min(int(size.max(initial=0)), LONG_SPAN), 8):
+        on = np.flatnonzero((size > at) & (size <= LONG_SPAN)) if at else np.flatnonzero(size <= LONG_SPAN)
+        x = lanes[starts[on] + at] & _FIRST_BYTES[np.minimum(size[on] - at, 8)]
+        out[0][on] = mix((out[0][on] ^ x) * _ODD[0])
+        if halves > 1:
+            out[1][on] = mix((out[1][on] + x) * _ODD[1])
+    for i in np.flatnonzero(size > LONG_SPAN):
+        both = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), U)
+        for k in range(halves):
+            out[k][i] = both[k]
+    return out
+
+
+def run_hash(values: np.ndarray, n: int, half: int = 0) -> np.ndarray:
+    """Hash of every n successive values, joined in pairs, fours and so on with a scramble at each step."""
+    run, width, out, done = values, 1, None, 0
+    while True:
+        if n & width:
+            m = len(values) - done - width + 1
+            if m <= 0:
+                return np.zeros(0, U)
+            out = run if out is None else mix((out[:m] * _ODD[half] ^ run[done : done + m]) + U(done))
+            done += width
+        if 2 * width > n:
+            return out
+        m = len(run) - width
+        if m <= 0:
+            return np.zeros(0, U)
+        run = mix((run[:m] * _ODD[half] ^ run[width:]) + U(width))
+        width *= 2
 
 
 def by_row(ufunc: np.ufunc, values: np.ndarray, first: np.ndarray, empty) -> np.ndarray:

@@ -41,10 +41,7 @@ def windows(data: np.ndarray, at: np.ndarray, size: int) -> tuple:
     starts, ends, first = K.words(data, at)
     count = np.maximum(np.diff(first) - size + 1, 0)
     begin = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    keys = []
-    for seed in (1, 2):
-        sums = K.prefix_sums(K.word_hashes(data, starts, ends, seed))
-        keys.append(K.span_hash(sums, begin, begin + size))
+    keys = [K.run_hash(word, size, half)[begin] for half, word in enumerate(K.digests(data, starts, ends))]
     return starts, ends, first, begin, *keys
 
 

@@ -79,8 +79,7 @@ def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     stop[:-1] &= ~valid[1:] | new[1:]
     ends = np.flatnonzero(stop) + width
     at_anchor = anchor[starts]
-    sums = K.prefix_sums(K.byte_values(3)[data])
-    own = K.mix(K.span_hash(sums, starts, ends) + (at_anchor - starts).astype(U))
+    own = K.mix(K.digests(data, starts, ends, 1)[0] + (at_anchor - starts).astype(U))
     return starts, ends, at_anchor - starts, K.mix(h[at_anchor] ^ U(0xA0761D6478BD642F)), own  # a least hash lies near 0; shards are cut by value
 
 

@@ -208,8 +208,8 @@ def test_jaccard_classes(docs, rows, monkeypatch, block):
     assert len(got) == len(rows)
     full = {r[0] for r in rows if shingles(r[1])}
     assert Counter(tuple(r) for r in got if r["doc_id"] in full) == want
-    kept = jaccard.one_of_each(docs.where("doc_id is not null"), jaccard.jaccard_classes(docs)).select("doc_id").distinct().count()
-    assert kept == len({r["class_id"] for r in got if r["class_id"] is not None})
+    named = docs.where("doc_id is not null")
+    assert jaccard.representatives(named).count() == len({r["class_id"] for r in jaccard.jaccard_classes(named).collect()})
 
 
 LONG = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcd"]
