@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every node has one edge to a smaller one, or only edges from larger ones."""
-    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v"), F.lit(0), F.lit(1)))
+    ends = F.array(*[F.struct(F.col(c).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down")) for c, up in (("u", 1), ("v", 0))])
     one = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
     return one.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
