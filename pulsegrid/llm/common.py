@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import pickle
 import uuid
-from collections.abc import Callable
-from pathlib import Path
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = str(Path(__file__).resolve().parents[2])
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..session import shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables; Python workers find this package as well."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.pathsep.join(filter(None, [REPO, os.environ.get("PYTHONPATH")])))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["columns", "fitted", "fold", "free", "n_words", "partitions", "shared_dir", "stored", "table"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir("/tmp/pulsegrid-checkpoints")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -53,6 +34,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns(names: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """`name`, or where docs has it `name_2` and so on: what an operator adds never replaces a column of its input."""
+    taken, k, out = {c.lower() for c in docs.columns}, 1, name
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

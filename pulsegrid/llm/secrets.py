@@ -16,16 +16,22 @@ means grow with the length.  Fisher's method joins them.  A Benjamini-Hochberg t
 taken within each length class over all candidates of the corpus, from counts of p-values in
 fixed bins; candidates beyond it are added as kind `random`.
 
-Defined results: null and empty texts have no spans and the digest of the empty string;
-repeated rows give repeated rows; other columns of the input are ignored.
+Work is linear in the text, or nearly so in the number of matches (n^(4/3) for prefix sums within
+one text): places come from scans in blocks, and texts are put together from pieces once.
+
+Defined results: null and empty texts have no spans and the digest of the empty string; repeated
+rows give repeated rows; an empty table gives no rows; other columns stay as they are, and where one is
+called `secrets` the result is `secrets_2`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import columns, free, stored, table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind, pattern and whether a match counts; in the order in which equal starts are listed.
@@ -43,6 +49,8 @@ CHANGE, SERIAL = 0.15, 0.35
 LENGTHS = (24, 32, 48, 64, 128)
 #: p-values are counted in bins of 0.25 in -ln p.
 BIN, BINS = 0.25, 400
+#: Code points in a part of a text that is put together anew.
+PART = 256
 
 
 def let(value: Column, body) -> Column:
@@ -50,21 +58,40 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scanned(values: Column, join) -> Column:
+    """join of the whole numbers up to each place, in blocks so that no long array is copied for each value."""
+    start = F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("all"))
+
+    def fold(xs: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            return let(join(a["to"], x), lambda y: F.struct(y.alias("to"), F.concat(a["all"], F.array(y)).alias("all")))
+
+        return F.aggregate(xs, start, step)
+
+    def whole(xs: Column) -> Column:
+        def blocked(size: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda i: fold(F.slice(xs, i * size + 1, size)))
+            return let(blocks, lifted)
+
+        def lifted(blocks: Column) -> Column:
+            ends = let(F.transform(blocks, lambda b: b["to"]), lambda t: fold(t)["all"])
+            before = F.concat(F.array(F.lit(0)), ends)
+            return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, h: F.transform(b["all"], lambda v: join(h, v))))
+
+        return F.when(F.size(xs) > 0, let(F.ceil(F.cbrt(F.size(xs).cast("double"))).cast("int"), blocked)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, whole)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (start, end, found), in code points: what lies between two matches gives their places."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        def put(s: Column) -> Column:
-            e = s + F.length(x["found"])
-            one = F.struct(s.alias("start"), e.alias("end"), x["found"].alias("found"))
-            return F.struct(F.coalesce(e, s).alias("at"), F.when(e.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(one))).alias("out"))
 
-        return let(a["at"] + F.length(x["between"]), put)
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda f, b: F.length(f) + F.length(b))
+        out = F.zip_with(found, scanned(steps, lambda a, x: a + x), lambda f, e: F.struct((e - F.length(f)).alias("start"), e.alias("end"), f.alias("found")))
+        return F.when(F.size(found) > 0, out).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
 
-    pairs = F.zip_with(found, between, lambda f, b: F.struct(f.alias("found"), b.alias("between")))  # one more lies between than is found
-    return F.aggregate(pairs, start, step)["out"]
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def lower_tail(score: Column) -> Column:
@@ -123,72 +150,92 @@ def in_bin(score: Column) -> Column:
     return F.least(F.floor(score / BIN), F.lit(BINS)).cast("int")
 
 
-def thresholds(docs: DataFrame, rate: float) -> dict[int, int]:
-    """The least bin that counts as a discovery, by length class.
+def found_in(text: Column) -> Column:
+    """All base spans and candidates, as (start, rank, kind, end, found, bin); a base span has no bin."""
+    kinds = [_spans(F.filter(matches(text, pattern), _counts(holds)), rank, kind, lambda m: F.lit(None).cast("int")) for rank, (kind, pattern, holds) in enumerate(BASE)]
+    kinds.append(_spans(matches(text, CANDIDATE), len(BASE), "random", lambda m: in_bin(battery(m["found"]))))
+    return F.array_sort(F.concat(*kinds))
+
+
+def _counts(holds):
+    return lambda m: holds(m["found"])
+
+
+def _spans(found: Column, rank: int, kind: str, bin_of) -> Column:
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["found"].alias("found"), bin_of(m).alias("bin")))
+
+
+def thresholds(found: DataFrame, rate: float) -> dict[int, int]:
+    """The least bin that counts as a discovery, by length class; `found` has one column, of found_in().
 
     Benjamini-Hochberg over all candidates of a class: the largest p whose p <= rate * rank / m.
     Gathers one row for each class and bin at most.
     """
-    seen = docs.select(F.explode(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("token"))
-    bins = seen.select(length_class(F.col("token")).alias("cls"), in_bin(battery(F.col("token"))).alias("bin")).groupBy("cls", "bin").agg(F.count("*").alias("n"))
+    seen = found.toDF("found").select(F.explode(F.filter("found", lambda s: s["bin"].isNotNull())).alias("s"))
+    bins = seen.select(length_class(F.col("s.found")).alias("cls"), F.col("s.bin").alias("bin")).groupBy("cls", "bin").agg(F.count("*").alias("n"))
     beyond = F.sum("n").over(Window.partitionBy("cls").orderBy(F.col("bin").desc()))
     ranked = bins.select("cls", "bin", beyond.alias("rank"), F.sum("n").over(Window.partitionBy("cls")).alias("m"))
     held = ranked.where(F.exp(-F.col("bin") * BIN) <= rate * F.col("rank") / F.col("m"))
     return {r["cls"]: r["bin"] for r in held.groupBy("cls").agg(F.min("bin").alias("bin")).collect()}
 
 
-def scan(docs: DataFrame, rate: float = 0.001) -> DataFrame:
-    """Adds `secrets`, an array of (start, rank, kind, end, found) ordered by start and kind, to docs."""
-    least = thresholds(docs, rate)
-    text = F.coalesce("text", F.lit(""))
-    kinds = []
-    for rank, (kind, pattern, holds) in enumerate(BASE):
-        good = F.filter(matches(text, pattern), _counts(holds))
-        kinds.append(_spans(good, rank, kind))
-    if least:
-        bound = F.lit(BINS + 1)
-        is_random = lambda m: in_bin(battery(m["found"])) >= _bound(m["found"], least, bound)
-        kinds.append(_spans(F.filter(matches(text, CANDIDATE), is_random), len(BASE), "random"))
-    return docs.withColumn("secrets", F.array_sort(F.concat(*kinds)))
+def scan(docs: DataFrame, rate: float = 0.001, keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds `secrets`, an array of (start, rank, kind, end, found) ordered by start and kind, to docs or to its columns named in `keep`.
 
+    Texts are searched once: what is found is written to the shared folder before the thresholds are known.
+    """
+    names, name = docs.columns if keep is None else list(keep), free(docs, "secrets")
+    found = stored(docs.select(*columns(names), found_in(F.coalesce("text", F.lit(""))).alias(name)))
+    least = thresholds(found.select(*columns([name])), rate)
 
-def _counts(holds):
-    return lambda m: holds(m["found"])
+    def holds(s: Column) -> Column:
+        cls, bound = length_class(s["found"]), F.lit(BINS + 1)
+        for k, v in least.items():
+            bound = F.when(cls == k, F.lit(v)).otherwise(bound)
+        return s["bin"].isNull() | (s["bin"] >= bound)
 
+    kept = F.transform(F.filter(*columns([name]), holds), lambda s: F.struct(*[s[f].alias(f) for f in ("start", "rank", "kind", "end", "found")]))
+    return found.select(*columns(names), kept.alias(name))
 
-def _bound(token: Column, least: dict[int, int], none: Column) -> Column:
-    cls, out = length_class(token), none
-    for k, v in least.items():
-        out = F.when(cls == k, F.lit(v)).otherwise(out)
-    return out
+
+def listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _spans(found: Column, rank: int, kind: str) -> Column:
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["found"].alias("found")))
+def without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark for each run of overlapping spans; the text is cut into parts once, and pieces are taken from those."""
 
+    def joined(parts: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            def of(i: Column) -> Column:
+                at = F.greatest(a - i * PART, F.lit(0))
+                return F.substring(F.get(parts, i), at + 1, F.least(b - i * PART, F.lit(PART)) - at)
 
-def listed(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+            whole = F.array_join(F.transform(F.sequence(F.floor(a / PART).cast("int"), F.floor((b - 1) / PART).cast("int")), of), "")
+            return F.when(b > a, whole).otherwise(F.lit(""))
+
+        def assembled(reach: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), reach)
+            marked = F.zip_with(spans, F.slice(before, F.lit(1), F.size(spans)), lambda s, e: F.when(s["start"] >= e, F.concat(piece(e, s["start"]), F.lit(mark))).otherwise(F.lit("")))
+            return F.concat(F.array_join(marked, ""), piece(F.element_at(before, -1), F.length(text)))
+
+        return let(scanned(F.transform(spans, lambda s: s["end"]), F.greatest), assembled)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), joined)
 
 
 def redact(docs: DataFrame, rate: float = 0.001, mark: str = "<secret>") -> DataFrame:
     """docs with every found span of the text replaced by a mark; n_chars follows, other columns stay."""
     found = scan(docs, rate)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        out = F.when(s["end"] <= a["at"], a["out"]).when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], gap, F.lit(mark)))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate("secrets", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.size("secrets") > 0, clean).otherwise(F.col("text"))
-    changed = found.withColumn("text", text).drop("secrets")
-    return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed
+    (spans,) = columns(found.columns[-1:])
+    text = F.when(F.size(spans) > 0, without(F.col("text"), spans, mark)).otherwise(F.col("text"))
+    changed = found.select(*[text.alias("text") if c.lower() == "text" else own for c, own in zip(docs.columns, columns(docs.columns), strict=True)])
+    length = F.length("text").cast("long")
+    return changed.select(*[length.alias(c) if c == "n_chars" else own for c, own in zip(docs.columns, columns(docs.columns), strict=True)])
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("secrets", lambda s: s["kind"] != "random")
     return found.select("doc_id", *[of(k).alias(f"n_{k}") for k, _, _ in BASE], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), of("random").alias("n_random"))
