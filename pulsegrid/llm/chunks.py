@@ -1,41 +1,50 @@
-"""Documents dealt into chunks by ranges of their id, and packed messages between chunks and shards.
+"""Documents dealt into chunks, and packed messages between chunks and shards.
 
 Several operators compare strings far smaller than documents.  A row for each would cost many
-times the input, so a chunk (some tens of MB of neighbouring documents) sends one packed array to
-each shard (a range of hash values), and the shard's answer comes back as one packed array.
-Every hash stands once in a chunk's message however often the chunk repeats it, and shards are
-cut by hash, so neither a frequent string nor a frequent source makes a task large.
+times the input, so a chunk (a few MB of documents) sends one packed array to each shard (a range
+of hash values) that it has something for, and the shard's answer comes back as one packed array:
+never more messages than there are strings.  Every hash stands once in a chunk's message however
+often the chunk repeats it, and shards are cut by hash, so neither a frequent string nor a frequent
+source makes a task large.
+
+Rows are dealt by a hash of id, text and the place they are read from, so that no id, null included,
+and no text that repeats under one id meets in a chunk; a chunk holds a document whole.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir
+from .common import made, partitions, shared_dir, shuffle_files_let_go
 
 CHUNK_BYTES = 4 << 20
-#: Cut points are gathered on the driver: eight bytes for each chunk, at most so many.
+#: Ranges of ids have cut points on the driver: eight bytes for each, at most so many.
 MOST_CHUNKS = 100_000
 
 
 class Chunked:
-    """A table bucketed by chunk: (chunk, doc_id, text), read again and again without a shuffle."""
+    """A table bucketed by chunk: (chunk, doc_id, order, text, ..), read again and again without a shuffle. `order` is a hash of id and text."""
 
-    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES):
+    def __init__(self, docs: DataFrame, extra: Sequence[str] = (), chunk_bytes: int = CHUNK_BYTES):
         spark = docs.sparkSession
-        self.spark, (self.cuts, self.bytes) = spark, cut_points(docs, chunk_bytes)
-        self.n_chunks = len(self.cuts) + 1
-        n = max(1, min(self.n_chunks, max(partitions(spark), self.n_chunks // 4)))
+        self.bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.n_chunks = max(1, -(-self.bytes // chunk_bytes))
+        most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        n = min(most, self.n_chunks, max(partitions(spark), self.n_chunks // 4))
         self.name = f"chunks_{uuid.uuid4().hex}"
-        rows = docs.select(chunk_of(F.col("doc_id"), self.cuts).alias("chunk"), F.col("doc_id").cast("long"), F.col("text"))
+        order = F.xxhash64("doc_id", "text")
+        chunk = F.pmod(F.xxhash64(order, F.spark_partition_id()), F.lit(self.n_chunks)).cast("int")
+        rows = docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long"), order.alias("order"), "text", *extra)
         path = f"{shared_dir(spark)}/{self.name}"
-        rows.repartition(n, "chunk").write.bucketBy(n, "chunk").option("compression", "zstd").option("path", path).saveAsTable(self.name)
+        with shuffle_files_let_go(spark):
+            rows.repartition(n, "chunk").write.bucketBy(n, "chunk").option("compression", "zstd").option("path", path).saveAsTable(self.name)
+        made(path, self.name)
         self.table = spark.table(self.name)
 
     def each(self, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -50,6 +59,14 @@ class Chunked:
         return max(1, -(-self.bytes // unit))
 
 
+MESSAGE = "chunk int, shard int, data binary"
+
+
+def message(parts: list[tuple[int, int, bytes]]) -> pa.Table:
+    chunk, shard, data = zip(*parts, strict=True) if parts else ((), (), ())
+    return pa.table({"chunk": pa.array(chunk, pa.int32()), "shard": pa.array(shard, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
 def cut_points(docs: DataFrame, chunk_bytes: int) -> tuple[list[int], int]:
     """Ids at which chunks begin, by quantiles over all rows; and the bytes of all texts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -73,16 +90,24 @@ def chunk_of(doc_id: Column, cuts: list[int]) -> Column:
     return F.coalesce(before + F.size(F.filter(F.slice(fine, before + 1, F.lit(step)), lambda c: c <= doc_id)), F.lit(0)).cast("int")
 
 
+def ranks(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a chunk's rows are ordered by, among all rows: whether there is an id (without one first), the id, the hash of id and text."""
+    ids = docs["doc_id"]
+    return ids.is_valid().to_numpy().astype(np.uint8), ids.fill_null(0).to_numpy().astype(np.int64), docs["order"].to_numpy().astype(np.int64)
+
+
 def in_order(docs: pa.Table) -> pa.Table:
-    """A chunk's rows by id (null last) and text."""
-    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """A chunk's rows by rank."""
+    some, ids, order = ranks(docs)
+    return docs.take(pa.array(np.lexsort((order, ids, some))))
 
 
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def split_by_shard(h: np.ndarray, n: int) -> list[slice]:
-    """Slices of sorted hashes, one for each shard."""
-    edge = np.searchsorted(shard_of(h, n), np.arange(n + 1))
-    return [slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+def split_by_shard(h: np.ndarray, n: int) -> list[tuple[int, slice]]:
+    """Slices of sorted hashes, one for each shard that has any."""
+    shard = shard_of(h, n)
+    edge = np.flatnonzero(np.diff(shard, prepend=-1))
+    return [(int(shard[a]), slice(int(a), int(b))) for a, b in zip(edge, [*edge[1:], len(h)], strict=True)]

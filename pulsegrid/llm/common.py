@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,28 +13,64 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
 
-__all__ = ["columns", "fitted", "fold", "free", "n_words", "partitions", "shared_dir", "stored", "table"]
+__all__ = ["columns", "fitted", "fold", "free", "n_words", "made", "partitions", "settled", "shared_dir", "shuffle_files_let_go", "stored", "table"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage, survives lost executors.
+#: Folders and tables made inside temporary(), innermost last.
+_MADE: list[list[tuple[str, str | None]]] = []
 
-    The shuffle files of the write are let go when it is done, as nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+
+def made(path: str, name: str | None = None) -> None:
+    if _MADE:
+        _MADE[-1].append((path, name))
+
+
+@contextmanager
+def shuffle_files_let_go(spark: SparkSession):
+    """The shuffle files of the writes inside are let go when they are done, as nothing reads them again."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    with shuffle_files_let_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    made(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(plan: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of plan(), stored; what it stored on the way is deleted when they are."""
+    _MADE.append([])
+    try:
+        out = plan()
+        spark = out.sparkSession
+        own = _MADE[-1]
+        _MADE.append([])
+        out = stored(out)
+        kept = _MADE.pop()
+    finally:
+        _MADE.pop()
+    for path, name in own:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if _MADE:
+        _MADE[-1] += kept
+    return out
+
+
 def columns(names: Iterable[str]) -> list[Column]:
     """Columns by their exact names, dots and backticks included."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in names]

@@ -143,6 +143,35 @@ def run_hash(values: np.ndarray, n: int, half: int = 0) -> np.ndarray:
         width *= 2
 
 
+def order(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """A stable order of 128-bit values."""
+    out = np.argsort(h, kind="stable")
+    a, b = h[out], g[out]
+    return out if not ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else np.lexsort((g, h))
+
+
+def fresh(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Which of ordered 128-bit values differ from the one before."""
+    out = np.ones(len(h), bool)
+    out[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    return out
+
+
+def among(h: np.ndarray, g: np.ndarray, known_h: np.ndarray, known_g: np.ndarray) -> np.ndarray:
+    """Which 128-bit values are among the known ones."""
+    found = np.zeros(len(h), bool)
+    if not len(known_h) or not len(h):
+        return found
+    by = order(known_h, known_g)
+    a, b = known_h[by], known_g[by]
+    at = np.searchsorted(a, h)
+    longest = int(np.diff(np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))).max())
+    for k in range(longest):
+        near = np.minimum(at + k, len(a) - 1)
+        found |= (a[near] == h) & (b[near] == g)
+    return found
+
+
 def by_row(ufunc: np.ufunc, values: np.ndarray, first: np.ndarray, empty) -> np.ndarray:
     """ufunc over the values of each row, `first` as words() gives it; rows without values get `empty`."""
     n = len(first) - 1

@@ -4,17 +4,19 @@
    its distinct windows hit, with saturated counts.
 2. Each shard of the sketch adds up the chunks' parts and answers which cells reached two.  Counts
    are only ever too high, so a window with a cell below two in either row is truly single.
-3. Each chunk sends the 128-bit keys of the windows that both rows estimate as repeated; a shard
-   groups them exactly and answers, for each chunk, which of its keys an earlier chunk has.
-   Chunks are ranges of ids, so an earlier chunk's window starts earlier.
+3. Each chunk sends the 128-bit keys of the windows that both rows estimate as repeated, with the rank
+   of the first document that has them; a shard groups them exactly and answers, for each chunk,
+   which of its keys a document of another chunk has before all of its own.
 4. Each chunk removes the words under windows that start earlier elsewhere or in the chunk.
 
-The sketch's width grows with the text (see `SHARD_BYTES`), and it is never in one place.
-A chunk tells its own windows apart by 64 bits of the key, shards by all 128.
+The sketch's width grows with the text (see `SHARD_BYTES`), and it is never in one place.  Windows
+are the same where all 128 bits of their keys are, in chunks, shards and answers alike: words are
+digested by eight bytes at a time, windows by pairs of words, with a scramble at every step.
 
 Defined results: null and empty texts have no words and the digest of the empty string; a text
-shorter than a window keeps all words; rows with the same id count as one after the other, by
-text; rows without an id come first.
+shorter than a window keeps all words; rows with the same id count as one after the other, by a
+hash of id and text; rows without an id come first; the length of a text has no bound; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels as K
-from .chunks import Chunked, in_order, split_by_shard
-from .common import table
+from .chunks import MESSAGE, Chunked, in_order, message, ranks, split_by_shard
+from .common import settled, table
 
 WINDOW = 20
 #: Cells in each row of a shard's sketch, and the bytes of text that share a shard: about six cells for a window.
 CELLS, SHARD_BYTES = 1 << 24, 16 << 20
-MESSAGE = "chunk int, shard int, data binary"
 U = K.U
 
 
@@ -45,18 +46,19 @@ def windows(data: np.ndarray, at: np.ndarray, size: int) -> tuple:
     return starts, ends, first, begin, *keys
 
 
-def distinct(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys of a chunk's windows, their second halves, and how often each occurs."""
-    a, b = [np.zeros(0, U)], [np.zeros(0, U)]
-    for _, _, data, at in K.blocks(texts.combine_chunks()):
-        *_, h, g = windows(data, at, size)
+def distinct(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a chunk's windows in two halves, how often each occurs, and the first row that has it."""
+    a, b, rows = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for lo, _, data, at in K.blocks(texts.combine_chunks()):
+        _, _, first, begin, h, g = windows(data, at, size)
         a.append(h)
         b.append(g)
-    h, g = np.concatenate(a), np.concatenate(b)
-    order = np.argsort(h)
-    h, g = h[order], g[order]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
-    return h[new], g[new], np.diff(np.concatenate([new, [len(h)]]))
+        rows.append(lo + np.searchsorted(first, begin, side="right") - 1)
+    h, g, row = np.concatenate(a), np.concatenate(b), np.concatenate(rows)
+    order = K.order(h, g)
+    h, g, row = h[order], g[order], row[order]
+    new = np.flatnonzero(K.fresh(h, g))
+    return h[new], g[new], np.diff(np.concatenate([new, [len(h)]])), row[new]
 
 
 def cells(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,18 +90,13 @@ def undense(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     return np.cumsum(gaps, dtype=np.uint32), np.unpackbits(np.frombuffer(data[4 + 4 * n : end], np.uint8))[:n], data[end:]
 
 
-def message(parts: list[tuple[int, int, bytes]]) -> pa.Table:
-    chunk, shard, data = zip(*parts, strict=True) if parts else ((), (), ())
-    return pa.table({"chunk": pa.array(chunk, pa.int32()), "shard": pa.array(shard, pa.int32()), "data": pa.array(data, pa.binary())})
-
-
 def candidates_sketched(chunked: Chunked, size: int, n_shards: int) -> DataFrame:
     """Step 1. A message: for both rows the cells hit and which of them have a count of 2."""
 
     def f(docs: pa.Table) -> pa.Table:
-        h, g, count = distinct(docs["text"], size)
+        h, g, count, _ = distinct(docs["text"], size)
         parts, chunk = [], docs["chunk"][0].as_py()
-        for shard, s in enumerate(split_by_shard(h, n_shards)):
+        for shard, s in split_by_shard(h, n_shards):
             parts.append((chunk, shard, b"".join(dense(c, n == 2) for c, n in sketch_rows(h[s], g[s], count[s]))))
         return message(parts)
 
@@ -131,40 +128,43 @@ def candidates_sent(chunked: Chunked, flags: DataFrame, size: int, n_shards: int
     def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return message([])
-        h, g, count = distinct(docs["text"], size)
+        docs = in_order(docs)
+        h, g, count, row = distinct(docs["text"], size)
+        rank = ranks(docs)
         by_shard = dict(zip(answers["shard"].to_pylist(), answers["data"], strict=True))
         parts, chunk = [], docs["chunk"][0].as_py()
-        for shard, s in enumerate(split_by_shard(h, n_shards)):
-            if s.start == s.stop:
-                continue
+        for shard, s in split_by_shard(h, n_shards):
             (c0, _), (c1, _) = sketch_rows(h[s], g[s], count[s])
             bits = np.unpackbits(np.frombuffer(by_shard[shard].as_buffer(), np.uint8)).astype(bool)
             own0, own1 = cells(h[s], g[s])
             hit = bits[: len(c0)][np.searchsorted(c0, own0)] & bits[len(c0) : len(c0) + len(c1)][np.searchsorted(c1, own1)]
             if hit.any():
-                parts.append((chunk, shard, np.concatenate([h[s][hit], g[s][hit]]).tobytes()))
+                some, ids, order = (r[row[s][hit]] for r in rank)
+                parts.append((chunk, shard, b"".join(x.tobytes() for x in (h[s][hit], g[s][hit], ids, order, some))))
         return message(parts)
 
     return chunked.with_answers(flags, f, MESSAGE)
 
 
 def seen_earlier(keys: DataFrame) -> DataFrame:
-    """Step 3, a shard's part: the exact groups; the answer is a chunk's keys that an earlier chunk has."""
+    """Step 3, a shard's part: the exact groups; the answer is a chunk's keys of which another chunk has an earlier one."""
 
     def f(parts: pa.Table) -> pa.Table:
-        hs, gs, where = [], [], []
+        columns, where = [[] for _ in range(5)], []
         for k, blob in enumerate(parts["data"]):
-            x = np.frombuffer(blob.as_buffer(), U)
-            hs.append(x[: len(x) // 2])
-            gs.append(x[len(x) // 2 :])
-            where.append(np.full(len(x) // 2, k))
-        chunk = parts["chunk"].to_numpy()
-        h, g, k = np.concatenate(hs), np.concatenate(gs), np.concatenate(where)
-        order = np.lexsort((chunk[k], g, h))
-        h, g, k = h[order], g[order], k[order]
-        late = np.concatenate([[False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])])
-        rows = [(int(chunk[i]), 0, np.sort(h[late & (k == i)]).tobytes()) for i in range(len(chunk))]
-        return message([r for r in rows if r[2]])
+            raw = np.frombuffer(blob.as_buffer(), np.uint8)
+            n = len(raw) // 33
+            for j, kind in enumerate((U, U, np.int64, np.int64)):
+                columns[j].append(raw[8 * n * j : 8 * n * (j + 1)].view(kind))
+            columns[4].append(raw[32 * n :])
+            where.append(np.full(n, k))
+        h, g, ids, order, some = (np.concatenate(c) for c in columns)
+        k, chunk = np.concatenate(where), parts["chunk"].to_numpy()
+        by = np.lexsort((chunk[k], order, ids, some, g, h))
+        late = np.flatnonzero(~K.fresh(h[by], g[by]))
+        late = by[late][np.argsort(k[by[late]], kind="stable")]
+        edge = np.searchsorted(k[late], np.arange(len(chunk) + 1))
+        return message([(int(chunk[i]), 0, h[late[a:b]].tobytes() + g[late[a:b]].tobytes()) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a])
 
     return keys.groupBy("shard").applyInArrow(f, MESSAGE)
 
@@ -186,7 +186,7 @@ def kept_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.
     return [blob[a : max(a, b - 1)] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def removed_words(h: np.ndarray, begin: np.ndarray, late: np.ndarray, n_words: int, size: int) -> np.ndarray:
+def removed_words(begin: np.ndarray, late: np.ndarray, n_words: int, size: int) -> np.ndarray:
     """Marks the words under the windows that are late."""
     delta = np.zeros(n_words + 1, np.int64)
     np.add.at(delta, begin[late], 1)
@@ -196,6 +196,10 @@ def removed_words(h: np.ndarray, begin: np.ndarray, late: np.ndarray, n_words: i
 
 def dedup(docs: DataFrame, size: int = WINDOW, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row; with_text adds the kept words as `text`."""
+    return settled(lambda: _deduped(docs, size, with_text))
+
+
+def _deduped(docs: DataFrame, size: int, with_text: bool) -> DataFrame:
     chunked = Chunked(docs)
     n_shards = chunked.n_shards(SHARD_BYTES)
     flags = merged(candidates_sketched(chunked, size, n_shards))
@@ -203,19 +207,21 @@ def dedup(docs: DataFrame, size: int = WINDOW, with_text: bool = False) -> DataF
 
     def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = in_order(docs)
-        earlier = np.sort(np.concatenate([np.zeros(0, U), *[np.frombuffer(b.as_buffer(), U) for b in answers["data"]]]))
+        earlier = [np.zeros(0, U)], [np.zeros(0, U)]
+        for blob in answers["data"]:
+            both = np.frombuffer(blob.as_buffer(), U).reshape(2, -1)
+            earlier[0].append(both[0])
+            earlier[1].append(both[1])
         work = [windows(data, at, size) + (data,) for _, _, data, at in K.blocks(docs["text"].combine_chunks())]
-        h = np.concatenate([np.zeros(0, U), *[w[4] for w in work]])
-        order = np.argsort(h, kind="stable")
+        h, g = (np.concatenate([np.zeros(0, U), *[w[k] for w in work]]) for k in (4, 5))
+        order = K.order(h, g)
         again = np.zeros(len(h), bool)
-        again[order[1:]] = h[order[1:]] == h[order[:-1]]
-        if len(earlier):
-            near = np.minimum(np.searchsorted(earlier, h), len(earlier) - 1)
-            again |= earlier[near] == h
+        again[order] = ~K.fresh(h[order], g[order])
+        again |= K.among(h, g, np.concatenate(earlier[0]), np.concatenate(earlier[1]))
         n_words, n_removed, digest, texts, done = [], [], [], [], 0
-        for starts, ends, first, begin, own, _, data in work:
-            gone = removed_words(own, begin, again[done : done + len(own)], len(starts), size)
-            done += len(own)
+        for starts, ends, first, begin, _, _, data in work:
+            gone = removed_words(begin, again[done : done + len(begin)], len(starts), size)
+            done += len(begin)
             total = np.concatenate([[0], np.cumsum(gone)])[first]
             n_words.append(np.diff(first))
             n_removed.append(np.diff(total))

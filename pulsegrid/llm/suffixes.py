@@ -4,22 +4,25 @@ Placing.  Every 200-byte window has an anchor: its 32-byte gram of least hash, t
 ties.  The windows of one anchor are neighbours, and the bytes they span are its segment.
 Equal windows have equal anchors at equal offsets, so only segments of one anchor hash need to be
 held against each other, and no window stands in two segments.
-  1. Each chunk sends its distinct (anchor, segment) hashes to shards; a shard answers for each
-     whether the anchor is single (nothing repeats), whether the whole segment repeats (all its
-     windows do), and which segments of an anchor differ and must be compared.
-  2. The chunks send the bytes of those, of repeated ones from one chunk only.
+  1. Each chunk sends the 128-bit keys of its distinct segments to shards, which answer whether one
+     repeats and which chunk is to show it; and its distinct anchors with the key of the segment (or that
+     it has several), to shards that answer whether an anchor's segments differ anywhere.  Both are
+     counted in the chunk first, so an anchor or a segment of all documents is one entry for a chunk.
+     Of a segment whose anchor has no other nothing repeats in part: it repeats whole, or not at all.
+  2. The chunks send the bytes of segments whose anchor has different ones, of repeated ones once.
 Comparing.  Segments are gathered in blocks.  A block is sorted by suffixes to the depth of 200,
 its Burrows-Wheeler transform taken, and intervals are expanded breadth first by backward extension: an
 interval of depth d that ends where no common prefix is known yet gives the value d there, so
 values come in increasing order and the search stops at 200.  Neighbouring suffixes still without
 a value share 200 bytes or more; where both begin inside segments, the windows repeat.
   An anchor with more than `MOST` differing segments (the brink of a passage that many texts
-share) is halved by the windows' offsets, each half keyed by all bytes its windows have in common,
-until the parts are small or a single window, whose key is the window itself.
+share) is halved by the windows' offsets, each half keyed by the very bytes that all its windows
+have in common, until the parts are small, or single windows, which are equal where those bytes are.
   3. The answers go back to the chunks, which remove what the windows cover.
 
 Defined results: null and empty texts keep nothing and have the digest of the empty string; a text
-under 200 bytes keeps all; repeated rows repeat each other and are removed whole.
+under 200 bytes keeps all; repeated rows repeat each other and are removed whole; the length of a text
+has no bound; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .chunks import Chunked, in_order, split_by_shard
-from .common import stored, table
-from .substrings import MESSAGE, message
+from .chunks import MESSAGE, Chunked, message, split_by_shard
+from .common import settled, stored, table
 
 WIDTH, GRAM = 200, 32
 #: Text that shares a shard, bytes of segments that share a block, and segments of one key compared in one block.
@@ -46,11 +48,11 @@ SINGLE, WHOLE, ASK, SHOW = 0, 1, 2, 3
 
 
 def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Start and end byte of each segment, its anchor's offset in it, and hashes of anchor and segment."""
+    """Start and end byte of each segment, its anchor's offset in it, the anchor's hash, and two halves of a key of segment and offset."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < width:
-        return none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, *[none.astype(U)] * 3
     lanes = np.lib.stride_tricks.sliding_window_view(data, 8)[: n - GRAM + 1 + 24].view(U)[:, 0] if n >= GRAM else none.astype(U)
     grams = n - GRAM + 1
     h = np.zeros(grams, U)
@@ -79,92 +81,121 @@ def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     stop[:-1] &= ~valid[1:] | new[1:]
     ends = np.flatnonzero(stop) + width
     at_anchor = anchor[starts]
-    own = K.mix(K.digests(data, starts, ends, 1)[0] + (at_anchor - starts).astype(U))
-    return starts, ends, at_anchor - starts, K.mix(h[at_anchor] ^ U(0xA0761D6478BD642F)), own  # a least hash lies near 0; shards are cut by value
+    offset = at_anchor - starts
+    x, y = K.digests(data, starts, ends)
+    return starts, ends, offset, K.mix(h[at_anchor] ^ U(0xA0761D6478BD642F)), K.mix(x + offset.astype(U)), y  # a least hash lies near 0; shards are cut by value
 
 
 def all_segments(texts: pa.ChunkedArray, width: int) -> list[tuple]:
     return [(data, at, *segments(data, at, width)) for _, _, data, at in K.blocks(texts.combine_chunks(), SCAN)]
 
 
-def keyed(work: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (anchor, segment) of a chunk in order, whether each is there more than once, one place of each, and each place's number."""
-    a = np.concatenate([np.zeros(0, U), *[w[5] for w in work]])
-    x = np.concatenate([np.zeros(0, U), *[w[6] for w in work]])
-    order = np.lexsort((x, a))
-    sa, sx = a[order], x[order]
-    new = np.ones(len(sa), bool)
-    new[1:] = (sa[1:] != sa[:-1]) | (sx[1:] != sx[:-1])
-    number = np.empty(len(a), np.int64)
-    number[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    return sa[first], sx[first], np.diff(np.concatenate([first, [len(sa)]])) > 1, order[first], number
+class Keyed:
+    """A chunk's distinct segments and distinct anchors, each in the order in which they are sent.
+
+    x, y, twice: a segment's key and whether the chunk has it more than once; place: one place of it; number: the segment
+    at each place.  anchors, sole: an anchor's hash and one of its segments; many: whether it has several; anchor: each segment's.
+    """
+
+    def __init__(self, work: list[tuple]):
+        a, x, y = (np.concatenate([np.zeros(0, U), *[w[k] for w in work]]) for k in (5, 6, 7))
+        order = K.order(x, y)
+        new = K.fresh(x[order], y[order])
+        self.number = np.empty(len(a), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        self.place = order[first]
+        self.x, self.y = x[self.place], y[self.place]
+        self.twice = np.diff(np.concatenate([first, [len(order)]])) > 1
+        self.anchors, self.sole, self.anchor, count = np.unique(a[self.place], return_index=True, return_inverse=True, return_counts=True)
+        self.many = count > 1
 
 
 def keys_sent(chunked: Chunked, width: int, n_shards: int) -> DataFrame:
+    """Messages of segments to the shards from 0 on, of anchors to those from n_shards on."""
+
     def f(docs: pa.Table) -> pa.Table:
-        a, x, twice, _, _ = keyed(all_segments(in_order(docs)["text"], width))
-        chunk = docs["chunk"][0].as_py()
-        return message([(chunk, s, np.concatenate([a[k], x[k]]).tobytes() + twice[k].tobytes()) for s, k in enumerate(split_by_shard(a, n_shards)) if k.stop > k.start])
+        k, chunk = Keyed(all_segments(docs["text"], width)), docs["chunk"][0].as_py()
+        parts = [(chunk, s, k.x[at].tobytes() + k.y[at].tobytes() + k.twice[at].tobytes()) for s, at in split_by_shard(k.x, n_shards)]
+        parts += [(chunk, n_shards + s, b"".join(v[at].tobytes() for v in (k.anchors, k.x[k.sole], k.y[k.sole], k.many))) for s, at in split_by_shard(k.anchors, n_shards)]
+        return message(parts)
 
     return chunked.each(f, MESSAGE)
 
 
-def judged(keys: DataFrame) -> DataFrame:
-    """For each key of each chunk, in the order sent: SINGLE, WHOLE, ASK or SHOW."""
+def unpacked(parts: pa.Table, halves: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns of all messages (64-bit ones, and one of bytes), and the message of each row."""
+    out, where = [[] for _ in range(halves + 1)], []
+    for k, blob in enumerate(parts["data"]):
+        raw = np.frombuffer(blob.as_buffer(), np.uint8)
+        n = len(raw) // (8 * halves + 1)
+        for j in range(halves):
+            out[j].append(raw[8 * n * j : 8 * n * (j + 1)].view(U))
+        out[halves].append(raw[8 * n * halves :])
+        where.append(np.full(n, k))
+    return [np.concatenate(c) for c in out], np.concatenate(where)
+
+
+def judged(keys: DataFrame, n_shards: int) -> DataFrame:
+    """A byte for each key of each chunk, in the order sent: of segments 0, 1 (repeats) or 2 (repeats and is to be shown by this chunk), of anchors 1 where segments differ."""
+
+    def segments_of(parts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        (x, y, twice), part = unpacked(parts, 2)
+        order = np.lexsort((parts["chunk"].to_numpy()[part], y, x))
+        new = K.fresh(x[order], y[order])
+        group = np.cumsum(new) - 1
+        repeats = (np.bincount(group) > 1) | (np.bincount(group, twice[order]) > 0)
+        back = np.empty(len(x), np.uint8)
+        back[order] = repeats[group] * (1 + new)
+        return back, part
+
+    def anchors_of(parts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        (a, x, y, many), part = unpacked(parts, 3)
+        order = np.argsort(a, kind="stable")
+        a, x, y = a[order], x[order], y[order]
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        group = np.cumsum(new) - 1
+        other = ~new & K.fresh(x, y)
+        back = np.empty(len(a), np.uint8)
+        back[order] = (np.bincount(group, other | (many[order] > 0)) > 0)[group]
+        return back, part
 
     def f(parts: pa.Table) -> pa.Table:
-        chunk, a, x, twice, part = parts["chunk"].to_numpy(), [], [], [], []
-        for k, blob in enumerate(parts["data"]):
-            raw = np.frombuffer(blob.as_buffer(), np.uint8)
-            n = len(raw) // 17
-            both = raw[: 16 * n].view(U)
-            a.append(both[:n])
-            x.append(both[n:])
-            twice.append(raw[16 * n :])
-            part.append(np.full(n, k))
-        a, x, twice, part = map(np.concatenate, (a, x, twice, part))
-        order = np.lexsort((chunk[part], x, a))
-        a, x, twice, part = a[order], x[order], twice[order], part[order]
-        new_a, new_x = np.ones(len(a), bool), np.ones(len(a), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new_x[1:] = new_a[1:] | (x[1:] != x[:-1])
-        group_x, group_a = np.cumsum(new_x) - 1, np.cumsum(new_a) - 1
-        repeats = (np.bincount(group_x) > 1)[group_x] | (np.bincount(group_x, twice) > 0)[group_x]
-        mixed = (np.bincount(group_a, new_x) > 1)[group_a]
-        code = np.where(repeats, np.where(mixed & new_x, SHOW, WHOLE), np.where(mixed, ASK, SINGLE)).astype(np.uint8)
-        back = np.empty(len(code), np.uint8)
-        back[order] = code
-        edge = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=len(chunk)))])
-        return message([(int(chunk[k]), int(parts["shard"][k].as_py()), back[edge[k] : edge[k + 1]].tobytes()) for k in range(len(chunk))])
+        shard = parts["shard"][0].as_py()
+        back, part = (segments_of if shard < n_shards else anchors_of)(parts)
+        edge = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts.num_rows))])
+        return message([(c, shard, back[edge[k] : edge[k + 1]].tobytes()) for k, c in enumerate(parts["chunk"].to_pylist())])
 
     return keys.groupBy("shard").applyInArrow(f, MESSAGE)
 
 
-def codes_of(answers: pa.Table) -> np.ndarray:
-    """The shards' answers in the order of the chunk's keys."""
+def codes_of(k: Keyed, answers: pa.Table, n_shards: int) -> np.ndarray:
+    """SINGLE, WHOLE, ASK or SHOW for each distinct segment of the chunk."""
     rows = sorted(zip(answers["shard"].to_pylist(), answers["data"].to_pylist(), strict=True))
-    return np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(b, np.uint8) for _, b in rows]])
+    repeats, mixed = (np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(b, np.uint8) for s, b in rows if (s >= n_shards) == up]]) for up in (False, True))
+    mixed = mixed[k.anchor] > 0
+    return np.where(repeats > 0, np.where(mixed & (repeats == 2), SHOW, WHOLE), np.where(mixed, ASK, SINGLE)).astype(np.uint8)
 
 
-SHOWN = "chunk int, anchor long, segment long, offset int, repeats boolean, data binary"
+SHOWN = "chunk int, anchor long, segment int, offset int, repeats boolean, data binary"
 
 
-def shown(chunked: Chunked, answers: DataFrame, width: int) -> DataFrame:
-    """The bytes of segments to compare."""
+def shown(chunked: Chunked, answers: DataFrame, width: int, n_shards: int) -> DataFrame:
+    """The bytes of segments to compare; a segment goes by its number in the chunk."""
 
     def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        work = all_segments(in_order(docs)["text"], width) if docs.num_rows else []
-        a, x, _, place, _ = keyed(work)
-        code = codes_of(answers)
+        work = all_segments(docs["text"], width) if docs.num_rows else []
+        k = Keyed(work)
+        code = codes_of(k, answers, n_shards)
         ask = np.flatnonzero(code >= ASK)
         start = np.concatenate([[0], np.cumsum([len(w[2]) for w in work])]).astype(np.int64)
-        block = np.searchsorted(start, place[ask], side="right") - 1
-        local = place[ask] - start[block]
-        bodies = [work[b][0][work[b][2][k] : work[b][3][k]].tobytes() for b, k in zip(block, local, strict=True)]
-        offset = [int(work[b][4][k]) for b, k in zip(block, local, strict=True)]
+        block = np.searchsorted(start, k.place[ask], side="right") - 1
+        local = k.place[ask] - start[block]
+        bodies = [work[b][0][work[b][2][i] : work[b][3][i]].tobytes() for b, i in zip(block, local, strict=True)]
+        offset = [int(work[b][4][i]) for b, i in zip(block, local, strict=True)]
         chunk = docs["chunk"][0].as_py() if docs.num_rows else 0
-        return pa.table({"chunk": pa.array([chunk] * len(ask), pa.int32()), "anchor": pa.array(a[ask].view(np.int64)), "segment": pa.array(x[ask].view(np.int64)), "offset": pa.array(offset, pa.int32()), "repeats": pa.array(code[ask] == SHOW), "data": pa.array(bodies, pa.binary())})
+        return pa.table({"chunk": pa.array([chunk] * len(ask), pa.int32()), "anchor": pa.array(k.anchors[k.anchor[ask]].view(np.int64)), "segment": pa.array(ask, pa.int32()), "offset": pa.array(offset, pa.int32()), "repeats": pa.array(code[ask] == SHOW), "data": pa.array(bodies, pa.binary())})
 
     return chunked.with_answers(answers, f, SHOWN)
 
@@ -257,14 +288,14 @@ def repeated_starts(bodies: list[bytes], repeats: np.ndarray, width: int) -> lis
     return [hit[b : b + n - width + 1] | bool(r) for b, n, r in zip(begin, length, repeats, strict=True)]
 
 
-FOUND = "chunk int, anchor long, segment long, first int, hits binary"
+FOUND = "chunk int, segment int, first int, hits binary"
 PART = ("key", "low", "high", "chunk", "anchor", "segment", "offset", "first", "repeats", "data")
 
 
 def compared(rows: DataFrame, width: int) -> DataFrame:
     """Which windows of each asking segment repeat: `hits`, a byte for each window from the `first` on."""
     top = width - GRAM
-    parts = rows.withColumns({"low": F.lit(0), "high": F.lit(top), "first": F.lit(0), "key": F.xxhash64("anchor")}).select(*PART)
+    parts = rows.withColumns({"low": F.lit(0), "high": F.lit(top), "first": F.lit(0), "key": F.col("anchor").cast("string").cast("binary")}).select(*PART)
     small, big, single = parts, None, None
     done = []
     for _ in range(top.bit_length() + 1):
@@ -276,7 +307,7 @@ def compared(rows: DataFrame, width: int) -> DataFrame:
         count = small.groupBy("key").agg(F.count("*").alias("_n"), F.max("repeats").alias("_r")).where((F.col("_n") > 1) | F.col("_r")).select(F.col("key").alias("_key"), "_n")
         alive = small.join(count, small["key"] == count["_key"]).drop("_key")
         at_one = (F.col("low") == F.col("high")) & ~F.col("repeats") & (F.col("_n") > 1)
-        only = alive.where(at_one).select("chunk", "anchor", "segment", "first", F.lit(bytearray(b"\x01")).alias("hits"))
+        only = alive.where(at_one).select("chunk", "segment", "first", F.lit(bytearray(b"\x01")).alias("hits"))
         single = only if single is None else single.unionByName(only)
         small = stored(alive.where("low < high").select(*PART))
     for d in done:
@@ -290,7 +321,7 @@ def compared(rows: DataFrame, width: int) -> DataFrame:
         hits = repeated_starts(bodies, repeats, width)
         some = np.array([not r and h.any() for r, h in zip(repeats, hits, strict=True)], bool)
         kept = group.filter(pa.array(some))
-        return pa.table({"chunk": kept["chunk"], "anchor": kept["anchor"], "segment": kept["segment"], "first": kept["first"], "hits": pa.array([h.astype(np.uint8).tobytes() for h, k in zip(hits, some, strict=True) if k], pa.binary())})
+        return pa.table({"chunk": kept["chunk"], "segment": kept["segment"], "first": kept["first"], "hits": pa.array([h.astype(np.uint8).tobytes() for h, k in zip(hits, some, strict=True) if k], pa.binary())})
 
     found = rest.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(n_blocks))).groupBy("block").applyInArrow(f, FOUND)
     return found if single is None else found.unionByName(single)
@@ -309,7 +340,8 @@ def _halved(parts: DataFrame, width: int) -> DataFrame:
     end = F.least(F.col("offset") - F.col("half.l") + width, F.length("data"))
     out = out.withColumns({"_b": begin, "_e": end}).where(F.col("_e") - F.col("_b") >= width)
     common = F.expr(f"substring(data, offset - half.l + 1, {width} - (half.h - half.l))")
-    return out.select(F.xxhash64("anchor", "half.l", "half.h", common).alias("key"), F.col("half.l").alias("low"), F.col("half.h").alias("high"), "chunk", "anchor", "segment", (F.col("offset") - F.col("_b")).alias("offset"), (F.col("first") + F.col("_b")).alias("first"), "repeats", F.expr("substring(data, _b + 1, _e - _b)").alias("data"))
+    where = F.concat_ws(":", "anchor", "half.l", "half.h").cast("binary")  # the bytes, not a hash of them: parts that differ never meet
+    return out.select(F.concat(where, common).alias("key"), F.col("half.l").alias("low"), F.col("half.h").alias("high"), "chunk", "anchor", "segment", (F.col("offset") - F.col("_b")).alias("offset"), (F.col("first") + F.col("_b")).alias("first"), "repeats", F.expr("substring(data, _b + 1, _e - _b)").alias("data"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -317,33 +349,37 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
+    return settled(lambda: _without_repeats(docs, width))
+
+
+def _without_repeats(docs: DataFrame, width: int) -> DataFrame:
     chunked = Chunked(docs)
-    codes = stored(judged(keys_sent(chunked, width, chunked.n_shards(SHARD_BYTES))))
-    hits = compared(stored(shown(chunked, codes, width)), width)
-    answers = codes.select("chunk", "shard", "data", F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("long").alias("segment"), F.lit(None).cast("int").alias("first"))
-    answers = answers.unionByName(hits.select("chunk", F.lit(-1).alias("shard"), F.col("hits").alias("data"), "anchor", "segment", "first"))
+    n_shards = chunked.n_shards(SHARD_BYTES)
+    codes = stored(judged(keys_sent(chunked, width, n_shards), n_shards))
+    hits = compared(stored(shown(chunked, codes, width, n_shards)), width)
+    answers = codes.select("chunk", "shard", "data", F.lit(None).cast("int").alias("segment"), F.lit(None).cast("int").alias("first"))
+    answers = answers.unionByName(hits.select("chunk", F.lit(-1).alias("shard"), F.col("hits").alias("data"), "segment", "first"))
 
     def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = in_order(docs)
         work = all_segments(docs["text"], width)
-        a, x, _, place, number = keyed(work)
+        k = Keyed(work)
         mask = answers["shard"].to_numpy() >= 0
-        whole = codes_of(answers.filter(pa.array(mask)))
+        whole = codes_of(k, answers.filter(pa.array(mask)), n_shards)
         part = answers.filter(pa.array(~mask))
         asked = {}
-        for an, se, first, blob in zip(part["anchor"].to_pylist(), part["segment"].to_pylist(), part["first"].to_pylist(), part["data"].to_pylist(), strict=True):
-            asked.setdefault((an, se), []).append((first, np.frombuffer(blob, np.uint8)))
+        for se, first, blob in zip(part["segment"].to_pylist(), part["first"].to_pylist(), part["data"].to_pylist(), strict=True):
+            asked.setdefault(se, []).append((first, np.frombuffer(blob, np.uint8)))
         n_bytes, n_removed, n_spans, digest, done = [], [], [], [], 0
         for data, at, starts, ends, *_ in work:
             delta = np.zeros(len(data) + 1, np.int64)
-            own = number[done : done + len(starts)]
+            own = k.number[done : done + len(starts)]
             done += len(starts)
             full = (whole[own] == WHOLE) | (whole[own] == SHOW) if len(own) else np.zeros(0, bool)
             np.add.at(delta, starts[full], 1)
             np.add.at(delta, ends[full], -1)
-            for k in np.flatnonzero(whole[own] == ASK) if len(own) else ():
-                for first, bits in asked.get((int(a[own[k]].view(np.int64)), int(x[own[k]].view(np.int64))), ()):
-                    at_hits = starts[k] + first + np.flatnonzero(bits)
+            for i in np.flatnonzero(whole[own] == ASK) if len(own) else ():
+                for first, bits in asked.get(int(own[i]), ()):
+                    at_hits = starts[i] + first + np.flatnonzero(bits)
                     np.add.at(delta, at_hits, 1)
                     np.add.at(delta, at_hits + width, -1)
             gone = np.cumsum(delta)[:-1] > 0

@@ -47,7 +47,7 @@ def docs(spark, rows):
 
 @pytest.fixture
 def small_chunks(monkeypatch):
-    monkeypatch.setattr(chunks.Chunked.__init__, "__defaults__", (4000,))
+    monkeypatch.setattr(chunks.Chunked.__init__, "__defaults__", ((), 4000))
     monkeypatch.setattr(fingerprints, "CHUNK_BYTES", 4000)
     monkeypatch.setattr(quality, "CHUNK_BYTES", 4000)
 
