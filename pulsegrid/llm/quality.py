@@ -3,14 +3,16 @@
 Grams are `ORDER` bytes, held as integers, so a context is a shift and a shorter gram a mask.  Counts
 of trusted text are summed by gram over all its documents; shorter grams count how many
 different bytes come before them.  The three discounts of each order follow from the counts of counts.
-The grams that any document has are joined with counts, with sums of their contexts and with the
-next shorter order, sharded by gram; the answers go to the chunks of documents whose mean gives
-each document's perplexity by byte.  The threshold of a language is a quantile of the trusted documents
+Chunks of documents send their distinct grams, packed, to shards by hash.  The grams that any document
+has are joined with counts, with sums of their contexts and with the next shorter order; a shard
+answers each chunk with the packed values of its grams, whose mean gives each document's
+perplexity by byte.  The threshold of a language is a quantile of the trusted documents
 that the model isn't trained on.
 
 Defined results: null and empty texts have no perplexity and aren't kept; without a language, or
 with one that has no held-out trusted document, the quantile over all languages holds; without any
-there is no threshold and everything with a text is kept; repeated rows give repeated rows.
+there is no threshold and everything with a text is kept; repeated rows give repeated rows; the length
+of a text has no bound; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .chunks import chunk_of, cut_points
-from .common import fold, stored, table
+from .chunks import MESSAGE, Chunked, message, shard_of
+from .common import fold, settled, stored, table
 
-ORDER, QUANTILE, CHUNK_BYTES = 5, 0.99, 32 << 20
+ORDER, QUANTILE, CHUNK_BYTES, SHARD_BYTES = 5, 0.99, 8 << 20, 32 << 20
 
 
 def grams(data: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -97,38 +99,79 @@ def scored_grams(asked: DataFrame, counts: DataFrame, order: int = ORDER) -> Dat
     return lower.select("gram", F.log("p").alias("logp"))
 
 
+def shard_hash(gram: np.ndarray) -> np.ndarray:
+    return K.mix(gram.astype(K.U) ^ K.U(0x2545F4914F6CDD1D))
+
+
+def sent(u: np.ndarray, n_shards: int) -> list[tuple[int, np.ndarray]]:
+    """Sorted distinct grams by shard, each part sorted."""
+    shard = shard_of(shard_hash(u), n_shards)
+    order = np.argsort(shard, kind="stable")
+    edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    return [(int(shard[order[a]]), u[order[a:b]]) for a, b in zip(edge, [*edge[1:], len(u)], strict=True)]
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity) of each row under the model of the trusted texts."""
     counts = stored(trusted_counts(trusted))
-    cuts, _ = cut_points(docs, CHUNK_BYTES)
-    rows = docs.select(chunk_of(F.col("doc_id"), cuts).alias("chunk"), F.col("doc_id").cast("long"), "lang", "text")
+    chunked = Chunked(docs, ["lang"], CHUNK_BYTES)
+    n_shards = chunked.n_shards(SHARD_BYTES)
 
-    def f(docs: pa.Table) -> pa.Table:
+    def ask(docs: pa.Table) -> pa.Table:
         u, _ = counted(docs["text"].combine_chunks())
-        return pa.table({"chunk": pa.array(np.full(len(u), docs["chunk"][0].as_py()), pa.int32()), "gram": pa.array(u)})
+        chunk = docs["chunk"][0].as_py()
+        return message([(chunk, s, packed_grams(g)) for s, g in sent(u, n_shards)])
 
-    asked = stored(rows.select("chunk", "text").groupBy("chunk").applyInArrow(f, "chunk int, gram long"))
-    scored = scored_grams(stored(asked.select("gram").distinct()), counts)
-    answers = stored(asked.join(scored, "gram").select("chunk", "gram", "logp"))
+    def distinct(parts: pa.Table) -> pa.Table:
+        u = np.unique(np.concatenate([unpacked_grams(b.as_py()) for b in parts["data"]]))
+        return pa.table({"shard": pa.array(np.full(len(u), parts["shard"][0].as_py()), pa.int32()), "gram": pa.array(u)})
 
-    def g(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        gram, logp = answers["gram"].to_numpy(), answers["logp"].to_numpy()
+    def answer(parts: pa.Table, scored: pa.Table) -> pa.Table:
+        gram, logp = scored["gram"].to_numpy(), scored["logp"].to_numpy()
         order = np.argsort(gram)
         gram, logp = gram[order], logp[order]
+        return message([(c, s, logp[np.searchsorted(gram, unpacked_grams(b.as_py()))].tobytes()) for c, s, b in zip(parts["chunk"].to_pylist(), parts["shard"].to_pylist(), parts["data"], strict=True)])
+
+    asked = stored(chunked.each(ask, MESSAGE))
+    grams_of = stored(asked.groupBy("shard").applyInArrow(distinct, "shard int, gram long"))
+    scored = scored_grams(grams_of.select("gram"), counts)
+    answers = asked.groupBy("shard").cogroup(grams_of.join(scored, "gram").select("shard", "gram", "logp").groupBy("shard")).applyInArrow(answer, MESSAGE)
+
+    def g(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        own, _ = counted(docs["text"].combine_chunks())
+        by_shard = dict(zip(answers["shard"].to_pylist(), answers["data"], strict=True))
+        logp = np.zeros(len(own))
+        for s, part in sent(own, n_shards):
+            logp[np.searchsorted(own, part)] = np.frombuffer(by_shard[s].as_buffer(), np.float64)
         size, total = [np.zeros(0, np.int64)], [np.zeros(0)]
         for _, _, data, at in K.blocks(docs["text"].combine_chunks()):
-            u, inverse = np.unique(grams(data, at), return_inverse=True)
-            total.append(K.by_row(np.add, logp[np.searchsorted(gram, u)][inverse], at, 0.0))
+            total.append(K.by_row(np.add, logp[np.searchsorted(own, grams(data, at))], at, 0.0))
             size.append(np.diff(at))
         n, s = np.concatenate(size), np.concatenate(total)
         value = np.exp(-s / np.maximum(n, 1))
         return pa.table({"doc_id": docs["doc_id"], "lang": docs["lang"], "n_bytes": pa.array(n, pa.int64()), "perplexity": pa.array(value, pa.float64(), mask=n == 0)})
 
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(g, "doc_id long, lang string, n_bytes long, perplexity double")
+    return chunked.with_answers(answers, g, "doc_id long, lang string, n_bytes long, perplexity double")
+
+
+def packed_grams(u: np.ndarray) -> bytes:
+    """Sorted grams as gaps, split into planes of bytes, which shuffles compress."""
+    return np.diff(u, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :ORDER].T.tobytes()
+
+
+def unpacked_grams(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(ORDER, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :ORDER] = planes.T
+    return np.cumsum(gaps.view("<i8")[:, 0])
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """perplexities() with each language's threshold and whether a document is kept."""
+    return settled(lambda: _classified(docs, labels, quantile))
+
+
+def _classified(docs: DataFrame, labels: DataFrame, quantile: float) -> DataFrame:
     good = labels.where("quality = 1").select("doc_id").distinct()
     scored = stored(perplexities(docs, docs.where(fold() != 1).join(good, "doc_id", "left_semi")))
     held = scored.where(fold() == 1).join(good, "doc_id", "left_semi")
