@@ -35,7 +35,7 @@ from .graph import components
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 5
 #: A block of candidates holds at most about so many shingles and nodes.
-BLOCK_SHINGLES, BLOCK_NODES = 1_000_000, 1500
+BLOCK_SHINGLES, BLOCK_NODES = 500_000, 400
 #: Shingles in at least so many nodes of a task are multiplied as dense columns, others pair by pair.
 DENSE = 32
 

@@ -183,7 +183,7 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-@pytest.mark.parametrize("block", [2, 1500])
+@pytest.mark.parametrize("block", [2, 400])
 def test_jaccard_classes(docs, rows, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
     sets, parent = [shingles(r[1]) for r in rows], list(range(len(rows)))
