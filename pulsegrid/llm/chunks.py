@@ -29,9 +29,12 @@ MOST_CHUNKS = 100_000
 
 
 class Chunked:
-    """A table bucketed by chunk: (chunk, doc_id, order, text, ..), read again and again without a shuffle. `order` is a hash of id and text."""
+    """A table by chunk: (chunk, doc_id, order, text, ..); `order` is a hash of id and text.
 
-    def __init__(self, docs: DataFrame, extra: Sequence[str] = (), chunk_bytes: int = CHUNK_BYTES):
+    Written in buckets by chunk, it is read again and again without a shuffle; else each pass shuffles, and less is on disk at once.
+    """
+
+    def __init__(self, docs: DataFrame, extra: Sequence[str] = (), chunk_bytes: int = CHUNK_BYTES, bucketed: bool = True):
         spark = docs.sparkSession
         self.bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n_chunks = max(1, -(-self.bytes // chunk_bytes))
@@ -41,6 +44,9 @@ class Chunked:
         order = F.xxhash64("doc_id", "text")
         chunk = F.pmod(F.xxhash64(order, F.spark_partition_id()), F.lit(self.n_chunks)).cast("int")
         rows = docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long"), order.alias("order"), "text", *extra)
+        if not bucketed:
+            self.table = rows
+            return
         path = f"{shared_dir(spark)}/{self.name}"
         with shuffle_files_let_go(spark):
             rows.repartition(n, "chunk").write.bucketBy(n, "chunk").option("compression", "zstd").option("path", path).saveAsTable(self.name)
@@ -91,15 +97,15 @@ def chunk_of(doc_id: Column, cuts: list[int]) -> Column:
 
 
 def ranks(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What a chunk's rows are ordered by, among all rows: whether there is an id (without one first), the id, the hash of id and text."""
+    """What a chunk's rows are ordered by, among all rows: whether there is an id (without one first), the id, half of the hash of id and text."""
     ids = docs["doc_id"]
-    return ids.is_valid().to_numpy().astype(np.uint8), ids.fill_null(0).to_numpy().astype(np.int64), docs["order"].to_numpy().astype(np.int64)
+    return ids.is_valid().to_numpy().astype(np.uint8), ids.fill_null(0).to_numpy().astype(np.int64), (docs["order"].to_numpy().astype(np.int64) >> 32).astype(np.int32)
 
 
 def in_order(docs: pa.Table) -> pa.Table:
     """A chunk's rows by rank."""
     some, ids, order = ranks(docs)
-    return docs.take(pa.array(np.lexsort((order, ids, some))))
+    return docs.take(pa.array(np.lexsort((docs["order"].to_numpy(), order, ids, some))))
 
 
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -110,4 +116,4 @@ def split_by_shard(h: np.ndarray, n: int) -> list[tuple[int, slice]]:
     """Slices of sorted hashes, one for each shard that has any."""
     shard = shard_of(h, n)
     edge = np.flatnonzero(np.diff(shard, prepend=-1))
-    return [(int(shard[a]), slice(int(a), int(b))) for a, b in zip(edge, [*edge[1:], len(h)], strict=True)]
+    return [] if not len(h) else [(int(shard[a]), slice(int(a), int(b))) for a, b in zip(edge, [*edge[1:], len(h)], strict=True)]

@@ -108,13 +108,13 @@ def sent(u: np.ndarray, n_shards: int) -> list[tuple[int, np.ndarray]]:
     shard = shard_of(shard_hash(u), n_shards)
     order = np.argsort(shard, kind="stable")
     edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    return [(int(shard[order[a]]), u[order[a:b]]) for a, b in zip(edge, [*edge[1:], len(u)], strict=True)]
+    return [] if not len(u) else [(int(shard[order[a]]), u[order[a:b]]) for a, b in zip(edge, [*edge[1:], len(u)], strict=True)]
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity) of each row under the model of the trusted texts."""
     counts = stored(trusted_counts(trusted))
-    chunked = Chunked(docs, ["lang"], CHUNK_BYTES)
+    chunked = Chunked(docs, ["lang"], CHUNK_BYTES, bucketed=False)
     n_shards = chunked.n_shards(SHARD_BYTES)
 
     def ask(docs: pa.Table) -> pa.Table:
@@ -138,14 +138,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     answers = asked.groupBy("shard").cogroup(grams_of.join(scored, "gram").select("shard", "gram", "logp").groupBy("shard")).applyInArrow(answer, MESSAGE)
 
     def g(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        own, _ = counted(docs["text"].combine_chunks())
+        work = [(at, *np.unique(grams(data, at), return_inverse=True)) for _, _, data, at in K.blocks(docs["text"].combine_chunks())]
+        own = np.unique(np.concatenate([np.zeros(0, np.int64), *[u for _, u, _ in work]]))
         by_shard = dict(zip(answers["shard"].to_pylist(), answers["data"], strict=True))
         logp = np.zeros(len(own))
         for s, part in sent(own, n_shards):
             logp[np.searchsorted(own, part)] = np.frombuffer(by_shard[s].as_buffer(), np.float64)
         size, total = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for _, _, data, at in K.blocks(docs["text"].combine_chunks()):
-            total.append(K.by_row(np.add, logp[np.searchsorted(own, grams(data, at))], at, 0.0))
+        for at, u, inverse in work:
+            total.append(K.by_row(np.add, logp[np.searchsorted(own, u)][inverse], at, 0.0))
             size.append(np.diff(at))
         n, s = np.concatenate(size), np.concatenate(total)
         value = np.exp(-s / np.maximum(n, 1))

@@ -153,10 +153,11 @@ def seen_earlier(keys: DataFrame) -> DataFrame:
         columns, where = [[] for _ in range(5)], []
         for k, blob in enumerate(parts["data"]):
             raw = np.frombuffer(blob.as_buffer(), np.uint8)
-            n = len(raw) // 33
-            for j, kind in enumerate((U, U, np.int64, np.int64)):
+            n = len(raw) // 29
+            for j, kind in enumerate((U, U, np.int64)):
                 columns[j].append(raw[8 * n * j : 8 * n * (j + 1)].view(kind))
-            columns[4].append(raw[32 * n :])
+            columns[3].append(raw[24 * n : 28 * n].view(np.int32))
+            columns[4].append(raw[28 * n :])
             where.append(np.full(n, k))
         h, g, ids, order, some = (np.concatenate(c) for c in columns)
         k, chunk = np.concatenate(where), parts["chunk"].to_numpy()
