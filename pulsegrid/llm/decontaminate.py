@@ -10,7 +10,9 @@ The items are taken in blocks of at most `BLOCK_BYTES`, so what is sent to the e
 bounded; each block takes one pass over the documents, in which every text is searched whole.
 
 Defined results: null and empty texts have no leaks, null and empty items match nothing;
-repeated items count by id, repeated rows give repeated rows; ties go to the earliest end.
+repeated items count by id, repeated rows give repeated rows; ties go to the earliest end; the length
+of a text or an item has no bound; an empty table gives no rows; other columns stay as they are, and
+where one is called `leaks` the result is `leaks_2`.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import columns, free, mapped, table
 
 BLOCK_BYTES = 4 << 20
 RATE = 0.1
 LEAST_PIECE = 8
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 CHUNK, SYMBOLS = 1 << 14, 1 << 24  # windows verified at once, and characters in them
+ROWS_KEPT = 1 << 24
 
 
 def normal(text: Column) -> Column:
@@ -39,7 +42,7 @@ def budget(m: int, rate: float) -> int:
 
 
 class Items:
-    """A block of items: the pieces, and each item's match masks by character."""
+    """A block of items: the pieces, and each item's match masks by its own characters."""
 
     def __init__(self, ids: list[int], texts: list[str], rate: float):
         self.ids, self.texts = np.array(ids, np.int64), texts
@@ -65,14 +68,27 @@ class Items:
         self.code = np.zeros(self.top, np.int32)
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.n_words = -(-self.length // 64)
-        size = (len(letters) + 1) * self.n_words  # a row of words for each letter, as long as the item needs
+        points = [self.code[np.frombuffer(t.encode("utf-32-le"), np.uint32)] for t in self.texts]
+        self.own = [np.unique(p) for p in points]
+        size = (np.array([len(o) for o in self.own], np.int64) + 1) * self.n_words  # a row of words for each of the item's own letters, as long as the item needs
         self.start = np.cumsum(size) - size
         self.masks = np.zeros(int(size.sum()), np.uint64)
-        for i, t in enumerate(self.texts):
-            at = np.arange(len(t))
-            row = self.code[np.frombuffer(t.encode("utf-32-le"), np.uint32)].astype(np.int64) * self.n_words[i]
+        self.rows: dict[int, np.ndarray] = {}
+        for i, p in enumerate(points):
+            at = np.arange(len(p))
+            row = (np.searchsorted(self.own[i], p) + 1) * self.n_words[i]
             np.bitwise_or.at(self.masks, self.start[i] + row + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
 
+    def rows_of(self, item: int) -> np.ndarray:
+        """The item's row of masks for each letter of the block, 0 where the item hasn't the letter; as many are kept as fit `ROWS_KEPT` numbers."""
+        if item not in self.rows:
+            if len(self.rows) * (int(self.code.max()) + 1) > ROWS_KEPT:
+                self.rows.clear()
+            rows = np.zeros(int(self.code.max()) + 1, np.int32)
+            rows[self.own[item]] = np.arange(1, len(self.own[item]) + 1)
+            self.rows[item] = rows
+        return self.rows[item]
+
     def candidates(self, text: str) -> set[tuple[int, int]]:
         """(item, slot) of all piece hits; a slot is a run of errors + 1 starts of the item."""
         found = set()
@@ -92,13 +108,17 @@ class Items:
             part = order[a : a + CHUNK]
             for w in np.unique(self.n_words[item[part]]):
                 same = part[self.n_words[item[part]] == w]
+                if len(same) < 4 * w:
+                    for c in same:
+                        best[c], where[c] = self._myers_alone(self.rows_of(int(item[c]))[texts[doc[c]][lo[c] : lo[c] + width[c]]], int(item[c]))
+                    continue
                 step = max(1, SYMBOLS // int(width[same].max()))
                 for b in range(0, len(same), step):
                     own = same[b : b + step]
                     window = np.zeros((int(width[own].max()), len(own)), np.int32)
                     for k, c in enumerate(own):
                         piece = texts[doc[c]][lo[c] : lo[c] + width[c]]
-                        window[: len(piece), k] = piece
+                        window[: len(piece), k] = self.rows_of(int(item[c]))[piece]
                         window[len(piece) :, k] = -1
                     best[own], where[own] = self._myers(window, item[own], int(w))
         return best, lo + where
@@ -130,6 +150,25 @@ class Items:
             best[better], where[better] = score[better], step + 1
         return best, where
 
+    def _myers_alone(self, window: np.ndarray, item: int) -> tuple[int, int]:
+        """The same recurrence over one window, each of its vectors one long integer: for few windows of a long item."""
+        m, words = int(self.length[item]), int(self.n_words[item])
+        rows = self.masks[self.start[item] :][: (len(self.own[item]) + 1) * words].reshape(-1, words)
+        letters = {int(r): int.from_bytes(rows[r].tobytes(), "little") for r in np.unique(window)}
+        full, top = (1 << m) - 1, 1 << (m - 1)
+        up, down, score, best, where = full, 0, m, m, 0
+        for step, r in enumerate(window.tolist(), 1):
+            eq = letters[r]
+            xv = eq | down
+            xh = ((((eq & up) + up) ^ up) | eq) & full
+            plus, minus = down | (full ^ (xh | up)), up & xh
+            score += bool(plus & top) - bool(minus & top)
+            plus, minus = (plus << 1) & full, (minus << 1) & full
+            up, down = minus | (full ^ (xv | plus)), plus & xv
+            if score < best:
+                best, where = score, step
+        return best, where
+
     def encoded(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         return self.code[np.minimum(points, self.top - 1)]
@@ -166,16 +205,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-size // BLOCK_BYTES)
     names = docs.columns
-    out = docs.withColumns({"leaks": F.array().cast(LEAK), "_norm": normal(F.col("text"))})
+    out = docs.select(*columns(names), normal(F.col("text")).alias(free(docs, "norm")), F.array().cast(LEAK).alias(free(docs, "leaks")))
     for b in range(n_blocks):
         rows = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect()))
         if rows:
             out = _one_pass(out, spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], rate)))
-    return out.select(*names, "leaks")
+    return out.select(*columns(names), *columns(out.columns[-1:]))
 
 
 def _one_pass(docs: DataFrame, shared) -> DataFrame:
-    names, schema = docs.columns, docs.schema
+    """docs, whose last two columns are the compared text and the leaks found so far, with those of one block of items."""
+    schema = docs.schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -183,16 +223,16 @@ def _one_pass(docs: DataFrame, shared) -> DataFrame:
         if not hasattr(items, "automaton"):
             items.prepare()
         for batch in batches:
-            norm = batch.column("_norm")
+            norm = batch.column(batch.num_columns - 2)
             new = []
             for lo in range(0, len(norm), 1000):
                 new += leaks(items, norm.slice(lo, 1000).to_pylist())
-            old = batch.column("leaks").to_pylist()
+            old = batch.column(batch.num_columns - 1).to_pylist()
             merged = [sorted([*map(tuple, map(dict.values, a or [])), *b]) for a, b in zip(old, new, strict=True)]
             lists = pa.array([[dict(zip(("item_id", "distance", "end"), x, strict=True)) for x in row] for row in merged], kind)
-            yield pa.RecordBatch.from_arrays([lists if c == "leaks" else batch.column(c) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
