@@ -8,12 +8,12 @@ from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
 
-__all__ = ["columns", "fitted", "fold", "free", "n_words", "made", "partitions", "settled", "shared_dir", "shuffle_files_let_go", "stored", "table"]
+__all__ = ["bounded", "columns", "fitted", "fold", "free", "n_words", "made", "mapped", "partitions", "settled", "shared_dir", "shuffle_files_let_go", "stored", "table"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,15 +76,20 @@ def columns(names: Iterable[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in names]
 
 
-def free(docs: DataFrame, name: str) -> str:
+def free(docs: DataFrame | Iterable[str], name: str) -> str:
     """`name`, or where docs has it `name_2` and so on: what an operator adds never replaces a column of its input."""
-    taken, k, out = {c.lower() for c in docs.columns}, 1, name
+    taken, k, out = {c.lower() for c in (docs.columns if isinstance(docs, DataFrame) else docs)}, 1, name
     while out.lower() in taken:
         k += 1
         out = f"{name}_{k}"
     return out
 
 
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name; run sees them by place."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -99,6 +104,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bounded(rows: DataFrame, by: str, most_bytes: int) -> DataFrame:
+    """Of a sample (doc_id, text, `by`, ..) one row for each id, and for each value of `by` as many, by hash of the id, as `most_bytes` of text hold; the first one always."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest])
+    w = Window.partitionBy(by).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id")
+    size = F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    placed = one.withColumns({"_nth": F.row_number().over(w), "_bytes": size})
+    return placed.where((F.col("_nth") == 1) | (F.col("_bytes") <= most_bytes)).drop("_nth", "_bytes")
+
+
 def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object | None:
     """A model fitted on a bounded sample, in one task; only the model comes to the driver. None without rows."""
 

@@ -15,7 +15,8 @@ equal texts have equal fingerprints.
 
 Defined results: null and empty texts have the empty fingerprint, alike (1) to itself and unlike
 (0) to others; a text without a selectable window has one feature, the whole text; repeated ids
-are ordered by text; rows without an id come last; of a single row the next document is itself.
+are ordered by text; rows without an id come last; of a single row the next document is itself; the
+length of a text has no bound; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import stored, table
+from .common import columns, settled, stored, table
 from .graph import components
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 5
@@ -117,8 +117,8 @@ def node_rows(docs: DataFrame, n: int = N) -> DataFrame:
 
     Rows are reduced before they are dealt out, so a node with many copies sends one row from each task.
     """
-    columns = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
-    row = F.struct(F.col("doc_id").isNull(), *columns)  # fields by place: a column may have any name
+    names = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    row = F.struct(F.col("doc_id").isNull(), *columns(names))  # fields by place: a column may have any name
     packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"), row.alias("row"))
 
     def run(batches):
@@ -128,7 +128,7 @@ def node_rows(docs: DataFrame, n: int = N) -> DataFrame:
                 keys += node_keys(ids.slice(lo, hi - lo), *shingles(data, at, n))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(2)], names=["node", "row"])
 
-    kind = T.StructType([T.StructField("no_id", T.BooleanType()), *[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(columns)]])
+    kind = T.StructType([T.StructField("no_id", T.BooleanType()), *[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)]])
     named = packed.withColumn("row", F.col("row").cast(kind))
     keyed = named.mapInArrow(run, T.StructType([T.StructField("node", T.BinaryType()), T.StructField("row", kind)]))
     return keyed.groupBy("node").agg(F.min("row").alias("row"))
@@ -259,6 +259,10 @@ def linked_nodes(docs: DataFrame, texts: DataFrame, n: int, threshold: float, re
 
 def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, n_links) of each row: the least id linked directly or through others, and how many rows are at the threshold or above."""
+    return settled(lambda: _classes(docs, n, threshold, recall, rows))
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float, rows: int) -> DataFrame:
     texts = node_rows(docs.select("doc_id", "text"), n).select("node", F.col("row.c1").alias("text"))
     signed, nodes, named, checked = linked_nodes(docs, texts, n, threshold, recall, rows)
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))

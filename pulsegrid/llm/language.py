@@ -9,11 +9,13 @@ the runner-up's loss is close.
 Up to five languages get the exhaustive code (all 2^(k-1)-1 splits); more get pseudo-random
 balanced bits, four for each doubling, drawn by a fixed rule.
 
-Training takes at most `SAMPLE` rows of each language, chosen by hash of the id; prediction takes
-all rows and whole texts.
+Training takes about `SAMPLE` documents of each language, chosen by hash of the id, one row for each id,
+and of those as many as `SAMPLE_BYTES` of text hold; prediction takes all rows and whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; if no row can be
-learned from, so is everything; repeated rows give repeated rows.
+learned from, so is everything; repeated rows give repeated rows; the length of a text has no bound; an
+empty table gives no rows; other columns stay as they are, and where one has a result's name the
+result is `lang_pred_2` and so on.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import fitted, fold, table
+from .common import bounded, columns, fitted, fold, free, mapped, table
 
-#: Most rows of each language that the classifiers are fitted on.
-SAMPLE = 1200
-#: Longest text, in bytes, that a training row may have; prediction has no such bound.
-TRAIN_BYTES = 50_000
+#: Documents of each language that the classifiers are fitted on, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 1200, 16 << 20
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3)
 #: A lead in weighted loss per bit below this flags the text as ambiguous.
@@ -116,7 +116,7 @@ def fit(texts: pa.Array, langs: list[str], part: np.ndarray, rounds: int = 150)
     w, b, vw, vb = (np.zeros(s, np.float32) for s in ((BUCKETS, code.shape[1]), code.shape[1], (BUCKETS, code.shape[1]), code.shape[1]))
     zt, yt = z[train], y[train]
     for _ in range(rounds):
-        g = -yt / (1 + np.exp(yt * (zt @ w + b))) / len(yt)
+        g = -yt * np.exp(-np.logaddexp(0, yt * (zt @ w + b))) / len(yt)
         vw, vb = 0.9 * vw - 0.05 * (zt.T @ g + 1e-3 * w), 0.9 * vb - 0.05 * g.sum(0)
         w, b = w + vw, b + vb
     held = ~train if (~train).any() else train
@@ -127,37 +127,39 @@ def fit(texts: pa.Array, langs: list[str], part: np.ndarray, rounds: int = 150)
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fits on rows outside the held-out fold that have a language and a letter."""
-    known = docs.where((fold() != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= TRAIN_BYTES))
-    sizes = {r["lang"]: r["n"] for r in docs.where((fold() != 1) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.where((fold() != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
     if not sizes:
         return None
     h, share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)), F.lit(0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample / n) * (1 << 30)))).otherwise(share)
-    rows = known.where(h < share).select("doc_id", F.lower("text").alias("text"), "lang", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)).alias("part"))
-    return fitted(rows, lambda r: fit(r["text"].combine_chunks(), r["lang"].to_pylist(), r["part"].to_numpy()))
+        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30)))).otherwise(share)
+    rows = bounded(known.where(h < share).select("doc_id", F.lower("text").alias("text"), "lang"), "lang", SAMPLE_BYTES)
+    return fitted(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4))), lambda r: fit(r["text"].combine_chunks(), r["lang"].to_pylist(), r["part"].to_numpy()))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, lang_score and lang_ambiguous."""
-    schema = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_ambiguous": F.lit(True)}).schema
+    names = columns(docs.columns)
+    new = {"lang_pred": F.lit("und"), "lang_score": F.lit(0.0), "lang_ambiguous": F.lit(True)}
+    nothing = docs.select(*names, *[v.alias(free(docs, n)) for n, v in new.items()])
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0), "lang_ambiguous": F.lit(True)})
+        return nothing
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats
-    names = docs.columns
+    schema = nothing.schema
 
     def run(batches):
         for batch in batches:
             m, got = shared.value, [(np.zeros(0, int), np.zeros(0), np.zeros(0, bool))]
-            got += [m.predict(data, at) for _, _, data, at in K.blocks(batch.column("_lower"))]
+            got += [m.predict(data, at) for _, _, data, at in K.blocks(batch.column(batch.num_columns - 2))]
             best, score, unsure = (np.concatenate(x) for x in zip(*got, strict=True))
-            some = batch.column("_some").to_numpy(zero_copy_only=False)
+            some = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             lang = np.where(some, np.array(m.names, object)[best], "und")
             new = [pa.array(lang, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(unsure | ~some)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *new], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=schema.names)
 
     some = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumns({"_lower": F.lower("text"), "_some": some}).mapInArrow(run, schema)
+    return mapped(docs.select(*names, F.lower("text"), some), run, schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

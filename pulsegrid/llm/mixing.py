@@ -10,7 +10,9 @@ All copies are range-sorted by position.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of
 its own, ordered last; repeated rows are rows of their own; ties of the pseudo-random
-order are broken by id, size and text hash; an empty table gives an empty mix.
+order are broken by id, size and text hash; an empty table gives an empty mix; the length of a text
+has no bound; a kept column with the name of a result stays as it is, and the result is called
+`size_2` and so on (see `result_names`).
 """
 
 from __future__ import annotations
@@ -20,12 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import columns, free, n_words, table
 
 #: Offsets inside a source are prefix sums over this many slices of its pseudo-random order.
 SLICES = 4096
-#: One row for each source; above this the join with documents is left to Spark's planner.
-BROADCAST_SOURCES = 50_000
 #: Rising, level and falling weight over training time, dealt to sources in turn.
 CURRICULUM = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.6, 1.0), (1.0, 0.25)))
 
@@ -59,8 +59,6 @@ def with_schedule(targets: DataFrame, curriculum: Sequence = CURRICULUM) -> Data
     return targets.withColumn("segments", F.element_at(F.array(*rows), (F.col("rank") % len(curriculum) + 1).cast("int")))
 
 
-
-
 def due(share: Column, segments: Column) -> Column:
     """The time at which a source's demand has reached this share of its target: the integral inverted."""
     at = F.try_element_at(F.filter(segments, lambda s: s["before"] <= share), F.lit(-1))
@@ -69,6 +67,14 @@ def due(share: Column, segments: Column) -> Column:
     return F.least(F.lit(1.0), at["t"] + F.when(rest <= 0, F.lit(0.0)).otherwise(F.try_divide(2 * rest, at["w"] + root)))
 
 
+RESULTS = ("size", "source_size", "target", "taken", "copies", "position")
+
+
+def result_names(keep: Sequence[str] = ()) -> dict[str, str]:
+    """What the results are called beside the kept columns."""
+    return {name: free([*keep, "doc_id", "source"], name) for name in RESULTS}
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, curriculum: Sequence = CURRICULUM, seed: int = 11, keep: Sequence[str] = ()) -> DataFrame:
     """One row for each document: size, its source's size and target, words taken, and its copies.
 
@@ -76,7 +82,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     its demand ends, so a source's taken words are its target rounded to a word. Columns
     named in `keep` are carried along.
     """
-    own = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h"), F.xxhash64("text").alias("_t"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    own = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h"), F.xxhash64("text").alias("_t"), *[c.alias(f"_keep_{i}") for i, c in enumerate(columns(keep))])
     own = own.withColumn("_slice", F.pmod("_h", F.lit(SLICES)))
     slices = docs.select("source", n_words(F.col("text")).alias("size"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(SLICES)).alias("_slice")).groupBy("source", "_slice").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,12 +101,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     copies = F.filter(F.transform(epochs, one), lambda c: c["words"] > 0)
     out = both.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.filter(F.transform(epochs, one), lambda c: F.lit(False))))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", F.get("copies", F.lit(0))["position"].alias("position"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    values = {"taken": taken, "position": F.get("copies", F.lit(0))["position"]}
+    return out.select("doc_id", "source", *[values.get(n, F.col(n)).alias(name) for n, name in result_names(keep).items()], *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def in_training_order(mixed: DataFrame) -> DataFrame:
+def in_training_order(mixed: DataFrame, position: str = "position") -> DataFrame:
     """Range-sorted by first position; documents that are not taken come last."""
-    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return mixed.orderBy(F.col(position).asc_nulls_last(), "doc_id")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

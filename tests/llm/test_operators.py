@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures, with their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chunks, decontaminate, fingerprints, graph, jaccard, language, mixing, quality, secrets, substrings, suffixes, toxicity
+from pulsegrid.llm import chunks, common, decontaminate, fingerprints, graph, jaccard, kernels, language, mixing, quality, secrets, substrings, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,7 +48,7 @@ def docs(spark, rows):
 
 @pytest.fixture
 def small_chunks(monkeypatch):
-    monkeypatch.setattr(chunks.Chunked.__init__, "__defaults__", ((), 4000))
+    monkeypatch.setattr(chunks.Chunked.__init__, "__defaults__", ((), 4000, True))
     monkeypatch.setattr(fingerprints, "CHUNK_BYTES", 4000)
     monkeypatch.setattr(quality, "CHUNK_BYTES", 4000)
 
@@ -300,6 +301,10 @@ def test_memory_of_a_long_item_is_its_own(monkeypatch):
     items = decontaminate.Items(list(range(len(texts))), texts, decontaminate.RATE)
     items.prepare()
     assert items.masks.size <= 12 * sum(len(t) // 64 + 1 for t in texts)
+    scripts = [chr(0x4E00 + k) * 2000 + "".join(chr(0x5000 + 40 * k + j) for j in range(40)) for k in range(100)]
+    many = decontaminate.Items(list(range(100)), scripts, decontaminate.RATE)
+    many.prepare()
+    assert many.masks.size <= 42 * sum(len(t) // 64 + 1 for t in scripts)
     docs = [f"no {texts[0][:3000]}#{texts[0][3001:]} end", f"so {texts[7]} on {texts[9]}"]
     want = [[(0, 1, 6403)], [(7, 0, 103), (9, 0, 207)]]
     assert decontaminate.leaks(items, docs) == want
@@ -409,3 +414,245 @@ def test_quality(spark, small_chunks):
     for (i, _), v in zip(rows, want, strict=True):
         assert out[i]["perplexity"] == (pytest.approx(v, rel=1e-9) if v is not None else None)
     assert not out[900]["keep"] and out[0]["keep"]
+
+
+CLASHES = ["secrets", "size", "source_size", "taken", "copies", "position", "leaks", "norm", "_lower", "_norm", "score", "lang_pred", "lang_score", "chunk", "order", "node", "row", "_id", "a.b"]
+
+
+def all_operators(spark, docs, labels, items):
+    """What every operator returns for docs, by name."""
+    return {
+        "mix": mixing.mix(docs, keep=[c for c in docs.columns if c not in ("doc_id", "source")]),
+        "fingerprints": fingerprints.compare_with_edits(docs),
+        "suffixes": suffixes.remove_repeats(docs),
+        "substrings": substrings.dedup(docs),
+        "toxicity": toxicity.score(docs, toxicity.train(docs, labels)),
+        "jaccard": jaccard.jaccard_classes(docs),
+        "representatives": jaccard.representatives(docs),
+        "language": language.identify(docs, language.train(docs)),
+        "quality": quality.classify(docs, labels),
+        "secrets": secrets.scan(docs),
+        "redact": secrets.redact(docs),
+        "leaks": decontaminate.find_leaks(docs, items),
+    }
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    docs, labels = labelled(spark, 60)
+    return docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES]), labels, spark.createDataFrame([(1, "the ofa anda housea treeb greenc theb ofc and")], "item_id long, text string")
+
+
+def test_columns_of_any_name(spark, clashing):
+    docs, labels, items = clashing
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    n = docs.count()
+    for name, out in all_operators(spark, docs, labels, items).items():
+        assert out.count() == n or name == "representatives", name
+        if name in ("mix", "toxicity", "representatives", "language", "secrets", "redact", "leaks"):
+            for c, own in zip(CLASHES, common.columns(CLASHES), strict=True):
+                assert {r[0] for r in out.select(own).distinct().collect()} == {f"own {c}"}, (name, c)
+    got = secrets.redact(docs).select("doc_id", "text").collect()
+    assert Counter(got) == Counter(secrets.redact(plain).select("doc_id", "text").collect())
+
+
+def test_tables_without_rows(spark, clashing):
+    docs, labels, items = (t.where("false") for t in clashing)
+    for name, out in all_operators(spark, docs, labels, items).items():
+        assert out.count() == 0, name
+
+
+def test_very_long_texts(spark):
+    words = " ".join(f"w{i % 5000}x{i // 7}" for i in range(250_000))
+    rows = [(1, words, "en", "s", 1), (2, words[:-40] + " end of it", "en", "s", 1), (3, "y" * 1_500_000, "en", "s", 1), (4, "a few words only", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, words[500_000:500_300]), (2, words[900_000:990_000].upper())], "item_id long, text string")
+    out = all_operators(spark, docs, labels, items)
+    for name in ("mix", "fingerprints", "suffixes", "substrings", "toxicity", "jaccard", "language", "quality", "secrets", "leaks"):
+        out[name] = out[name].collect()
+        assert len(out[name]) == 4, name
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in out["jaccard"]} == {(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)}
+    assert {r["doc_id"]: sorted(x["item_id"] for x in r["leaks"]) for r in out["leaks"]} == {1: [1, 2], 2: [1, 2], 3: [], 4: []}
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in out["substrings"]}
+    assert removed[1] == (250_000, 0) and removed[2][1] > 249_000 and removed[3] == (1, 0)
+    assert {r["doc_id"]: r["n_removed"] for r in out["suffixes"]}[3] == 1_500_000
+
+
+def test_many_matches_in_a_text(spark):
+    text = " ".join(f"deadbeef{i:08x}" for i in range(20_000))
+    clean = secrets.redact(spark.createDataFrame([(1, f"é {text} token: abcdefghijklmnop end")], "doc_id long, text string")).first()["text"]
+    assert clean == "é " + " ".join(["<secret>"] * 20_000) + " <secret> end"
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Self-similar words that hashes of one base modulo 2**64 can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rest = " ".join(f"word{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.dedup(docs).collect()} == {1: 0, 2: 0, 3: 20}
+    assert {r["doc_id"]: r["class_id"] for r in jaccard.jaccard_classes(docs, threshold=0.95).collect()} == {1: 1, 2: 2, 3: 2}
+    data = np.frombuffer((a[:300] + b[:300]).encode(), np.uint8)
+    x, y = kernels.digests(data, np.array([0, 300]), np.array([300, 600]))
+    assert x[0] != x[1] and y[0] != y[1]
+
+
+def test_one_line_in_every_text(spark, small_chunks):
+    """A frequent anchor with other neighbours everywhere."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = [(i, noise(300) + "all rights reserved, every one of them" + noise(300), None, None, 1) for i in range(80)]
+    assert Counter(map(tuple, suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())) == brute_bytes(rows, 200)
+
+
+def test_repeated_ids_and_rows_in_order(spark, small_chunks):
+    w = [f"w{i}" for i in range(400)]
+    rows = [(None, " ".join(w[:60])), (5, " ".join(w[20:90])), (5, " ".join(w[40:120])), (5, " ".join(w[40:120])), (2, " ".join(w[10:50])), (9, " ".join(w[300:330])), (9, " ".join(w[300:330]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    seen, want = set(), Counter()
+    for r in sorted(order, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"])):
+        t = r["text"].split(" ")
+        gone = set()
+        for i in range(len(t) - 19):
+            k = tuple(t[i : i + 20])
+            if k in seen:
+                gone.update(range(i, i + 20))
+            seen.add(k)
+        want[r["doc_id"], len(t), len(gone)] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.dedup(docs).collect()) == want
+
+
+def test_nothing_is_left_behind(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    substrings.dedup(docs).count(), suffixes.remove_repeats(docs).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_battery_against_numpy(spark):
+    rng = random.Random(21)
+    kinds = ["0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    tokens = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (20, 33, 70)] + ["configurationmanagementsystemofthings", "thetionhaandoferentiontheshi=="]
+
+    def tail(z):
+        return max(0.5 * math.erfc(-z / math.sqrt(2)), 1e-300)
+
+    def direct(token):
+        body = token.rstrip("=")
+        size, spread = next((k, d) for _, p, k, d in secrets.ENCODINGS if re.search(p, token))
+        n, count = len(body), Counter(body)
+        shift = n * spread
+        chi = sum((c - n / size) ** 2 for c in count.values()) * size / n + (size - len(count)) * n / size
+        p_chi = tail((chi - (size - 1 + shift)) / math.sqrt(2 * (size - 1) + 4 * shift))
+        kind = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in body]
+        changes = sum(x != y for x, y in zip(kind, kind[1:]))  # noqa: B905
+        p_runs = tail(-(changes - 0.5 - (n - 1) * secrets.CHANGE) / math.sqrt((n - 1) * secrets.CHANGE * (1 - secrets.CHANGE)))
+        v = np.array([ord(c) for c in body], float) - np.mean([ord(c) for c in body])
+        r = abs((v[1:] * v[:-1]).sum()) / (v * v).sum() if (v * v).sum() else 1.0
+        x = -(math.log(p_chi) + math.log(p_runs) + math.log(tail((r - secrets.SERIAL) * math.sqrt(n))))
+        return x - math.log(1 + x + x * x / 2)
+
+    got = {r["t"]: r["v"] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t")).alias("v")).collect()}
+    for t in tokens:
+        assert got[t] == pytest.approx(direct(t), rel=2e-3, abs=1e-3), t
+
+
+def test_discoveries_against_the_definition(spark):
+    rng = random.Random(22)
+    values = [rng.expovariate(1) for _ in range(400)] + [rng.uniform(8, 30) for _ in range(30)]
+    bins = [int(min(v // secrets.BIN, secrets.BINS)) for v in values]
+    spans = [(0, 3, "random", 30, "x" * 30, b) for b in bins]
+    found = spark.createDataFrame([([s],) for s in spans], "found array<struct<start:int,rank:int,kind:string,end:int,found:string,bin:int>>")
+    p = sorted(math.exp(-b * secrets.BIN) for b in bins)
+    most = max(x for k, x in enumerate(p, 1) if x <= 0.001 * sum(y <= x for y in p) / len(p))
+    (got,) = secrets.thresholds(found, 0.001).values()
+    assert math.exp(-got * secrets.BIN) == pytest.approx(most)
+
+
+def test_convolution_against_loops():
+    rng = np.random.default_rng(31)
+    net = toxicity.Network(3, rng.standard_normal(toxicity.BUCKETS).astype(np.float32))
+    net.bias = rng.standard_normal(net.bias.shape).astype(np.float32)
+    ids = rng.integers(0, toxicity.BUCKETS + 1, (40, 8)).astype(np.int32)
+    first = np.array([0, 1, 1, 4, 30, 40])
+    want = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        x = [net.table[ids[i]].sum(0) for i in range(a, b)]
+        hidden = []
+        for k, f in enumerate(net.filters):
+            for c in range(toxicity.FILTERS):
+                z = [sum(float(x[i + j] @ f[j][:, c]) for j in range(len(f)) if i + j < len(x)) for i in range(len(x))]
+                hidden.append(max(max(z) + net.bias[k * toxicity.FILTERS + c], 0) if z else 0.0)
+        want.append(float(np.dot(hidden, net.dense)) + float(net.offset))
+    assert np.allclose(net.forward(ids, first), want, atol=1e-3)
+
+
+def test_decoding_against_loops():
+    rng = np.random.default_rng(32)
+    code = language.codewords(4)
+    m = language.Model(list("abcd"), code, np.zeros((1, 1)), np.zeros(1), rng.uniform(0.1, 1, code.shape[1]))
+    margins = rng.standard_normal((20, code.shape[1])) * 3
+    for row, got in zip(margins, m.losses(margins), strict=True):
+        want = [sum(t * math.log1p(math.exp(-v * c)) for t, v, c in zip(m.trust, row, word, strict=True)) / m.trust.sum() for word in code]
+        assert np.allclose(got, want)
+
+
+def test_samples_are_bounded(spark):
+    rows = [(1, "x" * 500, "en")] * 50 + [(i, "y" * 100, "en") for i in range(2, 40)] + [(50, "z" * 5000, "de"), (51, "z" * 5000, "de")]
+    got = common.bounded(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 2000).collect()
+    assert len({r["doc_id"] for r in got}) == len(got)
+    assert sum(len(r["text"]) for r in got if r["lang"] == "en") <= 2000 and sum(r["lang"] == "de" for r in got) == 1
+
+
+def test_likeness_against_the_definition():
+    rng = np.random.default_rng(33)
+    rank = np.arange(fingerprints.BINS)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (3000, 9000, 300)]
+    texts.append(texts[0][:2000] + texts[1][:4000])
+    prints = fingerprints.fingerprints(texts, rank)
+    for a in prints:
+        for b in prints:
+            x, y = (a[1], b[1]) if len(a[1]) <= len(b[1]) else (b[1], a[1])
+            bits = lambda f: np.unpackbits(f.view(np.uint8), axis=1).astype(int)
+            p, q = bits(x), bits(y)
+            total = 0.0
+            for u in p:
+                best = 0.0
+                for v in q:
+                    chance = u.sum() * v.sum() / fingerprints.FILTER_BITS
+                    most = min(u.sum(), v.sum()) - chance
+                    best = max(best, ((u & v).sum() - chance) / most if most > 0.5 else 0.0)
+                total += min(best, 1.0) * u.sum()
+            want = 1.0 if a[0] == b[0] else total / p.sum()
+            assert fingerprints.likeness(a, b) == pytest.approx(want)
+
+
+def test_selection_against_loops():
+    rng = np.random.default_rng(34)
+    text = bytes(rng.choice(np.frombuffer(b"abcdefgh     \n", np.uint8), 900))
+    x, begin, valid = fingerprints.padded(np.frombuffer(text, np.uint8), np.array([0, 900]))
+    rank = np.random.default_rng(35).permutation(fingerprints.BINS)
+    step = fingerprints.entropy_steps(x)
+    good = [i for i in range(len(x)) if valid[i] and step[i] >= fingerprints.LEAST_ENTROPY / 6 * fingerprints.BINS]
+    votes = Counter()
+    for i in range(len(x)):
+        run = [j for j in range(i, min(i + 64, len(x))) if j in set(good)]
+        if valid[i] and run:
+            votes[min(run, key=lambda j: (rank[step[j]], j))] += 1
+    pick, _ = fingerprints.selected(x, valid, rank)
+    assert sorted(pick) == sorted(i for i, v in votes.items() if v >= fingerprints.VOTES)
+
+
+def test_recall_at_the_threshold():
+    """Share of pairs just above 0.8 that share a band, over many random pairs."""
+    rng = np.random.default_rng(36)
+    hit = 0
+    for _ in range(300):
+        both, a, b = rng.integers(0, 1 << 62, 81), rng.integers(0, 1 << 62, 10), rng.integers(0, 1 << 62, 10)
+        sets = np.concatenate([np.sort(np.concatenate([both, a])), np.sort(np.concatenate([both, b]))]).astype(np.uint64)
+        keys = jaccard.band_keys(sets, np.array([0, 91, 182]), jaccard.n_bands(), jaccard.ROWS)
+        hit += bool((keys[0] == keys[1]).any())
+    assert hit / 300 >= 0.98
