@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept and returns a
 DataFrame that is written as Parquet and reread as the next one's docs.  All but the last
-return the columns of documents.
+return the columns of documents; columns of other names, those of results included, stay as they are.
 """
 
 from __future__ import annotations
@@ -11,36 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontaminate, jaccard, mixing, secrets, toxicity
-from pulsegrid.llm.common import stored, table
+from pulsegrid.llm.common import columns, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels' training fold, scores below its cut."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_toxic").where(F.col("_toxic") < toxicity.CUT).select(*docs.columns)
+    scored = toxicity.score(docs, model)
+    (score,) = columns(scored.columns[-1:])
+    return scored.where(score < toxicity.CUT).select(*columns(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of n-gram Jaccard links, the one with the least id."""
-    return jaccard.representatives(docs).select(*docs.columns)
+    return jaccard.representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    (leaks,) = columns(found.columns[-1:])
+    return found.where(F.size(leaks) == 0).select(*columns(docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced."""
-    return secrets.redact(docs).select(*docs.columns)
+    return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, in training order, with words taken and the position of each copy."""
     rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    mixed = mixing.mix(docs, keep=rest).where("taken > 0")
-    return mixing.in_training_order(mixed).select(*docs.columns, "size", "taken", "copies", "position")
+    name = mixing.result_names(rest)
+    mixed = mixing.mix(docs, keep=rest)
+    mixed = mixing.in_training_order(mixed.where(F.col(name["taken"]) > 0), name["position"])
+    return mixed.select(*columns([*docs.columns, *[name[n] for n in ("size", "taken", "copies", "position")]]))
 
 
 STAGES = [
