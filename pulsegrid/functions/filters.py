@@ -62,6 +62,11 @@ def filtfilt_matrix(t: int, order: int, low: float, high: float, fps: float) ->
     return filtfilt(*butter_bandpass(order, low, high, fps), np.eye(t))
 
 
+def finishing_matrix(t: int, band: tuple[float, float], fps: float) -> np.ndarray:
+    """Detrending, then a first-order band-pass: what the plane-orthogonal extractor does to its pulse."""
+    return filtfilt_matrix(t, 1, *band, fps) @ detrend_matrix(t)
+
+
 def next_power_of_2(t: int) -> int:
     return 1 if t == 0 else 1 << (t - 1).bit_length()
 
@@ -74,9 +79,11 @@ def band_bins(t: int, fps: float, low: float = 0.75, high: float = 2.5) -> np.nd
 
 
 @lru_cache(maxsize=16)
-def rate_weights(t: int, fps: float, cumulative: bool = False, detrended: bool = False, filtered: bool = False) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
-    """In-band bins and the (bins x t) real and imaginary weights of the whole chain."""
-    chain = np.tril(np.ones((t, t))) if cumulative else np.eye(t)
+def rate_weights(t: int, fps: float, cumulative: bool = False, detrended: bool = False, filtered: bool = False, own_band: tuple[float, float] | None = None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
+    """In-band bins and the (bins x t) real and imaginary weights of the whole chain; before it, with own_band, an extractor's own detrending and band-pass."""
+    chain = finishing_matrix(t, own_band, fps) if own_band else np.eye(t)
+    if cumulative:
+        chain = np.cumsum(chain, axis=0)
     if detrended:
         chain = detrend_matrix(t) @ chain
     if filtered:

@@ -7,13 +7,18 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import pulse
+from . import geometry, pulse, tracking
 
 #: name -> f(trace windows, keys, size, fps) giving rows (keys, at, v)
 EXTRACTORS: dict[str, Callable[..., DataFrame]] = {}
 #: name -> f(rows (keys, at, v), keys, size, fps) giving rows (keys, heart_rate)
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
+#: name -> f(raw outputs with anchors joined, ..) giving decoded boxes; f(tracks' boxes, ..) giving tracks; f(boxes, ..) giving regions
+DETECTORS: dict[str, Callable[..., DataFrame]] = {"distance": geometry.distance_boxes, "variance": geometry.variance_boxes}
+TRACKERS: dict[str, Callable[..., DataFrame]] = {"centroid": tracking.tracked}
+REGIONS: dict[str, Callable[..., DataFrame]] = {"full": geometry.full_region, "square": geometry.square_region}
 
 
 def extractor(name: str):
@@ -34,7 +39,7 @@ def estimator(name: str):
 
 @extractor("plane_orthogonal")
 def _plane(df: DataFrame, keys: Sequence[str], size: int, fps: float) -> DataFrame:
-    return pulse.plane_orthogonal(df, keys, size, fps).select(*keys, "at", "h").withColumnRenamed("h", "v")
+    return pulse.plane_pulse(df, keys, size, fps).withColumnRenamed("y", "v")
 
 
 @extractor("chrominance")
@@ -42,6 +47,21 @@ def _chrominance(df: DataFrame, keys: Sequence[str], size: int, fps: float) -> D
     return pulse.chrominance(df, keys, size, fps).withColumnRenamed("s", "v")
 
 
+def _unmixed(f: Callable[..., DataFrame], df: DataFrame, keys: Sequence[str], size: int, fps: float) -> DataFrame:
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return f(df, keys, schema, size, fps).select(*keys, F.posexplode("pulse").alias("at", "v"))
+
+
+@extractor("independent")
+def _independent(df: DataFrame, keys: Sequence[str], size: int, fps: float) -> DataFrame:
+    return _unmixed(pulse.independent_component, df, keys, size, fps)
+
+
+@extractor("guided")
+def _guided(df: DataFrame, keys: Sequence[str], size: int, fps: float) -> DataFrame:
+    return _unmixed(pulse.guided_component, df, keys, size, fps)
+
+
 @extractor("green")
 def _green(df: DataFrame, keys: Sequence[str], size: int, fps: float) -> DataFrame:
     return df.select(*keys, "at", "g").withColumnRenamed("g", "v")

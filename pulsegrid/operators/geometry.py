@@ -37,6 +37,16 @@ def square_region(df: DataFrame, frame_w: int, frame_h: int, larger: float = 1.0
     return out.select(*df.columns, *[F.when(some, F.col(c)).alias(c) for c in ("rx1", "ry1", "rx2", "ry2")])
 
 
+def corners(x: Column, y: Column, w: Column, h: Column) -> list[Column]:
+    """x1, y1, x2, y2 of a box given by corner and size."""
+    return [x, y, x + w, y + h]
+
+
+def absolute(x: Column, y: Column, w: Column, h: Column, frame_w: Column | int, frame_h: Column | int) -> list[Column]:
+    """x1, y1, x2, y2 in pixels of a box given relative to the frame; each part is cut to a whole number first."""
+    return corners(*[(v * size).cast("int") for v, size in ((x, frame_w), (y, frame_h), (w, frame_w), (h, frame_h))])
+
+
 def full_region(df: DataFrame) -> DataFrame:
     """Boxes with an area; others have no region."""
     return df.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
@@ -139,6 +149,21 @@ def suppressed(df: DataFrame, keys: Sequence[str], most: float = 0.6, ident: str
     return df.groupBy(*keys).applyInPandas(one, df.schema)
 
 
+def faces_by_frame(decoded: DataFrame, keys: Sequence[str], w: int, h: int, least: float, most: float, ident: str = "det") -> DataFrame:
+    """(keys, faces): each frame's faces as (score, x1, y1, x2, y2) in its own whole pixels, by score.
+
+    decoded has boxes in pixels of the w x h input, score and the image's size (iw, ih); boxes under the least score go,
+    the rest is suppressed frame by frame. A frame without a face gives no row.
+    """
+    alive = suppressed(decoded.where(F.col("score") >= least).select(*keys, ident, "score", "iw", "ih", "x1", "y1", "x2", "y2"), keys, most, ident)
+    back = letterbox(alive, w, h)
+    for k in ("1", "2"):
+        back = unletterbox(back, f"x{k}", f"y{k}", w, h).withColumns({f"_x{k}": F.col("ox").cast("int"), f"_y{k}": F.col("oy").cast("int")}).drop("ox", "oy")
+    face = F.struct((-F.col("score")).alias("rank"), F.col(ident).alias("ident"), F.col("score").alias("score"), *[F.col(f"_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    ordered = F.array_sort(F.collect_list(face))
+    return back.groupBy(*keys).agg(F.transform(ordered, lambda f: F.struct(*[f[c].alias(c) for c in ("score", "x1", "y1", "x2", "y2")])).alias("faces"))
+
+
 def nearest_matches(objects: DataFrame, detections: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One step of greedy assignment inside each frame: every object tries its nearest detection, the nearest object gets it.
 

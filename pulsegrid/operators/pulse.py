@@ -17,6 +17,8 @@ from ..functions import filters
 from ..functions.modes import modes
 
 RGB = ("r", "g", "b")
+#: The band of the plane-orthogonal extractor's own filter, in Hz.
+PLANE_BAND = (0.75, 3.0)
 
 
 def integrated(df: DataFrame, keys: Sequence[str], value: str, order: str = "at") -> DataFrame:
@@ -54,6 +56,11 @@ def plane_orthogonal(df: DataFrame, keys: Sequence[str], size: int, fps: float =
     return third.withColumn("h", F.col("r") * F.col("_tr") + F.col("g") * F.col("_tg") + F.col("b") * F.col("_tb")).select(*df.columns, "h")
 
 
+def plane_pulse(df: DataFrame, keys: Sequence[str], size: int, fps: float = 30.0) -> DataFrame:
+    """(keys, at, y): the plane-orthogonal pulse, detrended and filtered as the extractor returns it."""
+    return matrix_applied(plane_orthogonal(df, keys, size, fps), keys, "h", filters.finishing_matrix(size, PLANE_BAND, fps))
+
+
 def chrominance(df: DataFrame, keys: Sequence[str], size: int, fps: float = 30.0, filtered: bool = True) -> DataFrame:
     """The chrominance pulse (keys, at, s): half-overlapping stretches, each filtered, tuned and Hann-weighted, added up.
 
@@ -65,29 +72,40 @@ def chrominance(df: DataFrame, keys: Sequence[str], size: int, fps: float = 30.0
     n = (size - half) // half
     rows = df.withColumn("_i", F.explode(F.array(F.floor(F.col("at") / half) - 1, F.floor(F.col("at") / half)))).where((F.col("_i") >= 0) & (F.col("_i") < n))
     rows = rows.withColumn("_j", (F.col("at") - F.col("_i") * half).cast("int"))
+    hann = 0.5 - 0.5 * np.cos(2 * math.pi * np.arange(ell) / (ell - 1))
+    place = F.col("_i") * half + F.col("_j")
+    if filtered:
+        matrix = filters.filtfilt_matrix(ell, 3, 0.7, 2.5, fps)
+        sums = [F.sum(F.col(c) * F.get(F.lit(row), F.col("_j"))).alias(f"_{c}{j}") for c in RGB for j, row in enumerate(matrix)]
+        each = rows.groupBy(*keys, "_i").agg(*sums, *[F.avg(c).alias(f"_m{c}") for c in RGB])
+        filtered_by = lambda c: F.array(*[F.col(f"_{c}{j}") / F.col(f"_m{c}") for j in range(ell)])
+        each = each.select(*keys, "_i", *[filtered_by(c).alias(c) for c in RGB])
+        both = each.select(*keys, "_i", F.zip_with("r", "g", lambda r, g: 3 * r - 2 * g).alias("x"), F.zip_with(F.zip_with("r", "g", lambda r, g: 1.5 * r + g), "b", lambda a, b: a - 1.5 * b).alias("y"))
+        both = both.withColumn("_alpha", _spread(F.col("x"), ell) / _spread(F.col("y"), ell))
+        tuned = F.zip_with(F.zip_with("x", "y", lambda x, y: x - F.col("_alpha") * y), F.lit(hann), lambda v, w: v * w)
+        parts = both.select(*keys, "_i", F.posexplode(tuned).alias("_j", "_s")).withColumn("at", place)
+        return parts.groupBy(*keys, "at").agg(F.sum("_s").alias("s"))
     stretch = Window.partitionBy(*keys, "_i")
     norm = {c: F.col(c) / F.col(f"_m{c}") for c in RGB}
     rows = rows.withColumns({f"_m{c}": F.avg(c).over(stretch) for c in RGB})
     rows = rows.withColumns({"x": 3 * norm["r"] - 2 * norm["g"], "y": 1.5 * norm["r"] + norm["g"] - 1.5 * norm["b"]})
-    if filtered:
-        matrix = filters.filtfilt_matrix(ell, 3, 0.7, 2.5, fps)
-        ordered = F.array_sort(F.collect_list(F.struct("_j", "x", "y")))
-        each = rows.groupBy(*keys, "_i").agg(ordered.alias("_all")).select(*keys, "_i", "_all", F.explode(F.sequence(F.lit(0), F.lit(ell - 1))).alias("_j"))
-        row = F.slice(F.lit(matrix.ravel()), F.col("_j") * ell + 1, F.lit(ell))
-        dot = lambda f: F.aggregate(F.zip_with("_all", row, lambda s, w: s[f] * w), F.lit(0.0), lambda a, v: a + v)
-        rows = each.select(*keys, "_i", "_j", dot("x").alias("x"), dot("y").alias("y"))
     alpha = F.stddev_pop("x").over(stretch) / F.stddev_pop("y").over(stretch)
-    hann = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("_j") / (ell - 1))
-    parts = rows.withColumn("_s", (F.col("x") - alpha * F.col("y")) * hann).withColumn("at", F.col("_i") * half + F.col("_j"))
+    parts = rows.withColumn("_s", (F.col("x") - alpha * F.col("y")) * F.get(F.lit(hann), F.col("_j"))).withColumn("at", place)
     return parts.groupBy(*keys, "at").agg(F.sum("_s").alias("s"))
 
 
-def spectral_rate(df: DataFrame, keys: Sequence[str], value: str, size: int, fps: float = 30.0, cumulative: bool = False, detrended: bool = False, filtered: bool = False) -> DataFrame:
-    """Heart rate of each window: integration, detrending, band-pass and periodogram as one weighted sum for each bin.
+def _spread(values: Column, n: int) -> Column:
+    """Population deviation of an array of n numbers."""
+    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
+    return F.get(F.transform(F.array(mean), lambda m: F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / n)), F.lit(0))
+
+
+def spectral_rate(df: DataFrame, keys: Sequence[str], value: str, size: int, fps: float = 30.0, cumulative: bool = False, detrended: bool = False, filtered: bool = False, own_band: tuple[float, float] | None = None) -> DataFrame:
+    """Heart rate of each window: an extractor's own finish, integration, detrending, band-pass and periodogram as one weighted sum for each bin.
 
     The strongest in-band bin wins, the lowest of ties.
     """
-    bins, re, im = filters.rate_weights(size, fps, cumulative, detrended, filtered)
+    bins, re, im = filters.rate_weights(size, fps, cumulative, detrended, filtered, own_band)
     at = F.col("at").cast("int")
     sums = [F.sum(F.col(value) * F.get(F.lit(w[i]), at)).alias(f"_{p}{i}") for p, w in (("r", re), ("i", im)) for i in range(len(bins))]
     power = [F.struct((F.col(f"_r{i}") * F.col(f"_r{i}") + F.col(f"_i{i}") * F.col(f"_i{i}")).alias("p"), F.lit(-k).alias("k")) for i, k in enumerate(bins)]

@@ -46,9 +46,9 @@ def latest(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFra
     return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def displayed(tracks: DataFrame, regions: DataFrame, rates: DataFrame, keys: Sequence[str]) -> DataFrame:
+def displayed(tracks: DataFrame, regions: DataFrame, rates: DataFrame, keys: Sequence[str], rate_keys: Sequence[str]) -> DataFrame:
     """Tracks with their region and latest heart rate, where there are any."""
-    return tracks.join(regions, list(keys), "left").join(rates, list(keys), "left")
+    return tracks.join(regions, list(keys), "left").join(rates, list(rate_keys), "left")
 
 
 def update_rate(df: DataFrame, key: str, seconds: int, ts: str = "ts") -> DataFrame:

@@ -1,7 +1,7 @@
 """Count windows, chunks and rolling statistics of keyed, ordered signals.
 
-All of them need one shuffle by key.  Sliding sums are differences of running sums, so a row costs the
-same whatever the window's length.
+All of them need one shuffle by key.  A sliding sum is the end of one block of the window's length and the
+beginning of the next, so a row costs the same whatever the length, and no sum runs on over the whole history.
 """
 
 from __future__ import annotations
@@ -33,20 +33,23 @@ def sliding(df: DataFrame, key: str, size: int, step: int) -> DataFrame:
     return placed.withColumn("win_id", F.explode(F.sequence("_a", "_b"))).withColumn("at", F.col("pos") - F.col("win_id") * step).drop("_n", "_a", "_b")
 
 
-def running(x: Column, key: str) -> Column:
-    return F.sum(x).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-
-
-def over_last(total: Column, key: str, size: int) -> Column:
-    """A running total's part of the last `size` rows."""
-    return total - F.coalesce(F.lag(total, size).over(Window.partitionBy(key).orderBy("pos")), F.lit(0))
+def over_last(df: DataFrame, key: str, size: int, sums: dict[str, Column]) -> DataFrame:
+    """Adds the sum of each expression over the key's last `size` rows."""
+    block = df.withColumns({"_block": F.floor(F.col("pos") / size), **{f"_x{n}": x for n, x in sums.items()}})
+    inside = Window.partitionBy(key, "_block").orderBy("pos")
+    ends = {f"_h{n}": F.sum(f"_x{n}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for n in sums}
+    ends |= {f"_t{n}": F.sum(f"_x{n}").over(inside.rowsBetween(0, Window.unboundedFollowing)) for n in sums}
+    whole = F.col("pos") % size == size - 1
+    back = Window.partitionBy(key).orderBy("pos")
+    before = {n: F.when(whole, F.lit(0.0)).otherwise(F.coalesce(F.lag(f"_t{n}", size - 1).over(back), F.lit(0.0))) for n in sums}
+    out = block.withColumns(ends).withColumns({n: F.col(f"_h{n}") + before[n] for n in sums})
+    return out.drop("_block", *[f"_{c}{n}" for n in sums for c in "xht"])
 
 
 def rolling_stats(df: DataFrame, key: str, value: str, size: int = 180) -> DataFrame:
     """Mean and standard deviation over the last size + 1 rows; 0 for fewer than two."""
     x = F.col(value)
-    sums = df.withColumns({"_s": running(x, key), "_q": running(x * x, key)})
-    back = sums.withColumns({"_s": over_last(F.col("_s"), key, size + 1), "_q": over_last(F.col("_q"), key, size + 1), "n": F.least(F.col("pos") + 1, F.lit(size + 1))})
+    back = over_last(df, key, size + 1, {"_s": x, "_q": x * x}).withColumn("n", F.least(F.col("pos") + 1, F.lit(size + 1)))
     mean = F.col("_s") / F.col("n")
     var = F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - mean * mean)
     return back.withColumns({"roll_mean": mean, "roll_std": F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.sqrt(var))}).drop("_s", "_q")
@@ -61,8 +64,7 @@ def differences(df: DataFrame, key: str, value: str) -> DataFrame:
 def rolling_diff_std(df: DataFrame, key: str, value: str, size: int = 180) -> DataFrame:
     """Standard deviation of the last `size` differences: at least sqrt(1e-7), 1 for fewer than two."""
     d = F.coalesce("diff", F.lit(0.0))
-    sums = differences(df, key, value).withColumns({"_s": running(d, key), "_q": running(d * d, key)})
-    back = sums.withColumns({"_s": over_last(F.col("_s"), key, size), "_q": over_last(F.col("_q"), key, size), "n_diff": F.least(F.col("pos"), F.lit(size))})
+    back = over_last(differences(df, key, value), key, size, {"_s": d, "_q": d * d}).withColumn("n_diff", F.least(F.col("pos"), F.lit(size)))
     mean = F.col("_s") / F.col("n_diff")
     var = F.greatest(F.lit(1e-7), F.col("_q") / F.col("n_diff") - mean * mean)
     return back.withColumn("diff_std", F.when(F.col("n_diff") < 2, F.lit(1.0)).otherwise(F.sqrt(var))).drop("_s", "_q")
@@ -76,10 +78,11 @@ def chunk_ends(df: DataFrame, size: int = 30) -> DataFrame:
 def standardised_chunks(df: DataFrame, key: str, value: str, size: int = 180, chunk: int = 30) -> DataFrame:
     """Rows of closed chunks against the rolling statistics at closing time, beside their normalised differences."""
     stats = rolling_diff_std(rolling_stats(df, key, value, size), key, value, size)
-    ends = chunk_ends(stats, chunk).select(F.col(key).alias("_k"), "chunk_id", "roll_mean", "roll_std", "diff_std")
-    after = F.lead(value).over(Window.partitionBy(key).orderBy("pos"))
-    rows = df.withColumns({"chunk_id": F.floor(F.col("pos") / chunk), "_next": after})
-    joined = rows.join(ends, (rows[key] == ends["_k"]) & (rows["chunk_id"] == ends["chunk_id"])).drop(ends["chunk_id"]).drop("_k")
+    ahead = Window.partitionBy(key).orderBy("pos")
+    closing = F.struct("roll_mean", "roll_std", "diff_std")
+    at_close = F.first(F.when(F.col("pos") % chunk == 0, closing), ignorenulls=True).over(ahead.rowsBetween(1, chunk))  # the next row that begins a chunk closes this one
+    rows = stats.withColumns({"chunk_id": F.floor(F.col("pos") / chunk), "_next": F.lead(value).over(ahead), "_close": at_close}).where("_close is not null")
+    joined = rows.select(*df.columns, "chunk_id", "_next", "_close.*")
     d = (F.col("_next") - F.col(value)) / (F.col("_next") + F.col(value) + F.lit(1e-7))
     return joined.withColumns({"std_value": (F.col(value) - F.col("roll_mean")) / (F.col("roll_std") + F.lit(1e-7)), "diff_value": F.coalesce(d / F.col("diff_std"), F.lit(0.0))}).drop("_next")
 

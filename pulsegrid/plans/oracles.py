@@ -59,18 +59,17 @@ power AS (SELECT face_id, win_id, k, pow(sum({value} * cos({arg})), 2) + pow(sum
 SELECT face_id, win_id, CAST(arg_max(k, struct_pack(p := p, k := -k)) AS INTEGER) AS bin, arg_max(k, struct_pack(p := p, k := -k)) * 7.03125::DOUBLE AS heart_rate FROM power GROUP BY ALL"""
 
 
-def weighted(value: str, **chain: bool) -> str:
+def weighted(value: str, size: int = 180, **chain) -> str:
     """The same through a table of weights, one row for each bin and sample."""
-    bins, re, im = filters.rate_weights(180, 30.0, **chain)
-    rows = ",".join(f"({k},{t},{re[i, t]!r}::DOUBLE,{im[i, t]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::") for i, k in enumerate(bins) for t in range(180))
+    bins, re, im = filters.rate_weights(size, 30.0, **chain)
+    rows = ",".join(f"({k},{t},{re[i, t]!r}::DOUBLE,{im[i, t]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::") for i, k in enumerate(bins) for t in range(size))
     return f"""weights(k, at, re, im) AS (VALUES {rows}),
 power AS (SELECT face_id, win_id, k, pow(sum({value} * re), 2) + pow(sum({value} * im), 2) AS p FROM w JOIN weights USING (at) GROUP BY ALL)
 SELECT face_id, win_id, CAST(arg_max(k, struct_pack(p := p, k := -k)) AS INTEGER) AS bin, arg_max(k, struct_pack(p := p, k := -k)) * 7.03125::DOUBLE AS heart_rate FROM power GROUP BY ALL"""
 
 
 def applied(matrix) -> str:
-    rows = ",".join(f"({i},{j},{float(matrix[i, j])!r}::DOUBLE)" for i in range(len(matrix)) for j in range(len(matrix)))
-    return f"""WITH {SHORT}, m(at, j, x) AS (VALUES {rows})
+    return f"""WITH {SHORT}, m(at, j, x) AS (VALUES {entries(matrix)})
 SELECT face_id, win_id, m.at, round(sum(x * v), 4) AS y FROM w JOIN m ON w.at = m.j GROUP BY ALL"""
 
 
@@ -102,11 +101,57 @@ q3 AS (SELECT frame_idx, det, {side("x", 640)}, {side("y", 360)} FROM q2),
 q AS (SELECT frame_idx, det, CASE WHEN ok THEN rx1 END AS rx1, CASE WHEN ok THEN ry1 END AS ry1, CASE WHEN ok THEN rx2 END AS rx2, CASE WHEN ok THEN ry2 END AS ry2 FROM (SELECT *, rx2 > rx1 AND ry2 > ry1 AS ok FROM q3))"""
 
 
+CHROM = WINDOWS + """, x AS (SELECT *, unnest([at // 24 - 1, at // 24]) AS i FROM w),
+y AS (SELECT *, at - i * 24 AS j, r / avg(r) OVER z AS nr, g / avg(g) OVER z AS ng, b / avg(b) OVER z AS nb FROM x WHERE i >= 0 AND i < 6 WINDOW z AS (PARTITION BY face_id, win_id, i)),
+p AS (SELECT *, 3 * nr - 2 * ng AS xs, 1.5::DOUBLE * nr + ng - 1.5::DOUBLE * nb AS ys FROM y)"""
+
+
+def entries(matrix) -> str:
+    return ",".join(f"({i},{j},{float(matrix[i, j])!r}::DOUBLE)" for i in range(len(matrix)) for j in range(len(matrix)))
+
+
+def chrom_rate() -> str:
+    return f"""WITH {CHROM.replace("w AS (SELECT", "w0 AS (SELECT").replace("FROM w)", "FROM w0)")}, m(k, j, c) AS (VALUES {entries(filters.filtfilt_matrix(48, 3, 0.7, 2.5, 30.0))}),
+f AS (SELECT face_id, win_id, i, m.k AS j, sum(m.c * xs) AS xs, sum(m.c * ys) AS ys FROM p JOIN m ON p.j = m.j GROUP BY ALL),
+q AS (SELECT *, (xs - stddev_pop(xs) OVER z / stddev_pop(ys) OVER z * ys) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 47)) AS sw FROM f WINDOW z AS (PARTITION BY face_id, win_id, i)),
+w AS (SELECT face_id, win_id, i * 24 + j AS at, sum(sw) AS s FROM q GROUP BY ALL), {weighted("s", 168, detrended=True, filtered=True)}"""
+
+
+def suppressed(source: str, most: float) -> str:
+    """Boxes of `source` (frame_idx, det, score, x1 .. y2) that are kept, one box a step."""
+    overlap = "greatest(0, least(z.x2, r.x2) - greatest(z.x1, r.x1)) * greatest(0, least(z.y2, r.y2) - greatest(z.y1, r.y1))"
+    union = f"((z.x2 - z.x1) * (z.y2 - z.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {overlap})"
+    box = "struct_pack(det := r.det, x1 := r.x1, y1 := r.y1, x2 := r.x2, y2 := r.y2)"
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY score DESC, det) AS k FROM {source}),
+walk AS (SELECT frame_idx, k, [{box}] AS kept FROM ranked r WHERE k = 1
+  UNION ALL SELECT r.frame_idx, r.k, CASE WHEN len(list_filter(v.kept, lambda z: {overlap} / {union}::DOUBLE > {most}::DOUBLE)) = 0 THEN list_append(v.kept, {box}) ELSE v.kept END FROM walk v JOIN ranked r ON r.frame_idx = v.frame_idx AND r.k = v.k + 1),
+alive AS (SELECT frame_idx, unnest(kept).det AS det FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY k DESC) AS n FROM walk) WHERE n = 1)"""
+
+
+def detector(anchors: int, base: int, table: str, decoded: str, w: int, h: int) -> str:
+    """Faces of each frame, listed by score."""
+    back = lambda c, d, side, most: f"trunc(CASE WHEN iw = {w} AND ih = {h} THEN {side} * least(1, greatest(0, {c} / {most})) ELSE least(greatest(0, ({c} - {d}) / gain), {side}) END)::INTEGER"
+    return f"""WITH RECURSIVE {raw(anchors)}, a AS ({table}),
+framed AS (SELECT *, l_orderkey // 8 AS frame_idx, row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber, l_partkey, d0, d1, d2, d3) AS det FROM raw),
+scored AS (SELECT * EXCLUDE (anchor_id), anchor_id + {base} AS anchor_id, round((l_partkey * 7919 + det * 131) % 1000 / 1000.0::DOUBLE, 3) AS score, ((frame_idx % 5 + 3) * 160)::INTEGER AS iw, ((frame_idx % 4 + 3) * 160)::INTEGER AS ih FROM framed),
+{decoded},
+good AS (SELECT frame_idx, det, score, iw, ih, x1, y1, x2, y2 FROM boxed WHERE score >= 0.5), {suppressed("good", 0.4)},
+l1 AS (SELECT good.*, least({w}::DOUBLE / iw, {h}::DOUBLE / ih) AS scale FROM good JOIN alive USING (frame_idx, det)),
+l2 AS (SELECT *, least(CAST(round_even(iw * scale, 0) AS INTEGER), {w}) AS nw, least(CAST(round_even(ih * scale, 0) AS INTEGER), {h}) AS nh FROM l1),
+l3 AS (SELECT *, least(nh::DOUBLE / ih, nw::DOUBLE / iw) AS gain, CASE WHEN ih != iw THEN ({w} - nw) // 2 ELSE 0 END AS dx, CASE WHEN ih != iw THEN ({h} - nh) // 2 ELSE 0 END AS dy FROM l2),
+l4 AS (SELECT frame_idx, det, score, {back("x1", "dx", "iw", w)} AS a, {back("y1", "dy", "ih", h)} AS b, {back("x2", "dx", "iw", w)} AS c, {back("y2", "dy", "ih", h)} AS d FROM l3)
+SELECT frame_idx, count(*) AS n_faces, string_agg(a || ':' || b || ':' || c || ':' || d, ',' ORDER BY score DESC, det) AS faces FROM l4 GROUP BY 1"""
+
+
+BY_DISTANCE = "boxed AS (SELECT *, (cx - d0 * sx) * 640 AS x1, (cy - d1 * sy) * 640 AS y1, (cx + d2 * sx) * 640 AS x2, (cy + d3 * sy) * 640 AS y2 FROM scored JOIN a USING (anchor_id))"
+BY_VARIANCE = """z0 AS (SELECT *, sx * exp(d2 * 0.2::DOUBLE) AS bw, sy * exp(d3 * 0.2::DOUBLE) AS bh FROM scored JOIN a USING (anchor_id)),
+z1 AS (SELECT *, cx + d0 * 0.1::DOUBLE * sx - bw / 2 AS u, cy + d1 * 0.1::DOUBLE * sy - bh / 2 AS v FROM z0),
+boxed AS (SELECT *, u * 1280 AS x1, v * 736 AS y1, (bw + u) * 1280 AS x2, (bh + v) * 736 AS y2 FROM z1)"""
 COLOURS = "[0,255,0],[0,0,255],[255,0,0],[0,255,255],[255,0,255],[255,255,0],[0,165,255],[128,0,128],[203,192,255],[0,255,127],[147,20,255],[255,144,30],[0,69,255],[50,205,50],[0,215,255]"
 EPOCH = "epoch_us(ts)"
 RUNS = "runs AS (SELECT o_custkey AS run_id, count(*)::DOUBLE AS n, sum(round(o_totalprice)) AS total, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)::DOUBLE AS skipped FROM orders GROUP BY 1)"
 EAV = RUNS + ", eav AS (SELECT run_id, 0 AS ord, 'Processing Count' AS metric, n AS value FROM runs UNION ALL SELECT run_id, 1, 'Total Processing Time', total FROM runs UNION ALL SELECT run_id, 6, 'Skipped Frames', skipped FROM runs)"
-FOLDERS = "m AS (SELECT CAST(user_id % 50 AS VARCHAR) AS folder, coalesce(avg(CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value * 100) END), 0.0) AS average_fps FROM events GROUP BY 1)"
+FOLDERS = "m AS (SELECT CAST(user_id % 50 AS VARCHAR) AS folder, coalesce(avg(round(value * 100)), 0.0) AS average_fps FROM events GROUP BY 1)"
 RESIZE = """e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS p FROM embeddings),
 g AS (SELECT i, greatest((i // 12 + 0.5::DOUBLE) * 8 / 12 - 0.5, 0) AS y, greatest((i % 12 + 0.5::DOUBLE) * 8 / 12 - 0.5, 0) AS x FROM range(144) t(i)),
 c AS (SELECT i, y - floor(y) AS fy, x - floor(x) AS fx, floor(y)::INT AS y0, floor(x)::INT AS x0, least(floor(y)::INT + 1, 7) AS y1, least(floor(x)::INT + 1, 7) AS x1 FROM g)"""
@@ -116,8 +161,8 @@ SQL = {
     "tumbling_windows": f"WITH {WINDOWS} SELECT face_id, win_id, count(*) AS n, round(sum(r) / count(*), 6) AS mean_r, round(sum(g) / count(*), 6) AS mean_g FROM w GROUP BY ALL",
     "sliding_windows": f"WITH {TRACE}, c AS (SELECT face_id, (max(pos) + 1 - 180) // 30 AS last FROM trace GROUP BY 1 HAVING max(pos) + 1 >= 180), k AS (SELECT face_id, unnest(range(0, last + 1)) AS win_id FROM c) SELECT face_id, win_id, count(*) AS n, round(sum(g) / count(*), 6) AS mean_g FROM k JOIN trace USING (face_id) WHERE pos >= win_id * 30 AND pos < win_id * 30 + 180 GROUP BY ALL",
     "chunk_close": f"WITH {TRACE} SELECT face_id, pos // 30 - 1 AS chunk_id, pos AS closing_pos FROM trace WHERE pos > 0 AND pos % 30 = 0",
-    "rolling_mean_std": f"WITH {TRACE}, {ROLL} SELECT face_id, pos, n::BIGINT AS n, round(roll_mean, 6) AS roll_mean, round(roll_std, 6) AS roll_std FROM stats WHERE pos % 30 = 29",
-    "rolling_diff_std": f"WITH {TRACE}, {DIFFS} SELECT face_id, pos, round(diff_std, 5) AS diff_std FROM dstats WHERE pos % 30 = 29",
+    "rolling_mean_std": f"WITH {TRACE}, {ROLL} SELECT face_id, pos, n::BIGINT AS n, round(roll_mean, 6) AS roll_mean, round(roll_std, 6) AS roll_std FROM stats",
+    "rolling_diff_std": f"WITH {TRACE}, {DIFFS} SELECT face_id, pos, round(diff_std, 5) AS diff_std FROM dstats",
     "chunk_standardized": f"WITH {TRACE}, {ROLL}, {DIFFS}, e AS (SELECT face_id, pos // 30 - 1 AS chunk_id, roll_mean, roll_std, diff_std FROM stats JOIN dstats USING (face_id, pos) WHERE pos > 0 AND pos % 30 = 0), x AS (SELECT face_id, pos, r, pos // 30 AS chunk_id, {CHANGE.format(a='r', b='lead(r) OVER o')} AS d FROM trace WINDOW o AS (PARTITION BY face_id ORDER BY pos)) SELECT face_id, pos, chunk_id, round((r - roll_mean) / (roll_std + 1e-7::DOUBLE), 5) AS std_value, round(coalesce(d / diff_std, 0.0), 4) AS diff_value FROM x JOIN e USING (face_id, chunk_id)",
     "clip_zscore": f"WITH {WINDOWS}, m AS (SELECT face_id, win_id, sum(r) / count(*) AS mu, sum(r * r) / count(*) AS q FROM w GROUP BY ALL) SELECT face_id, win_id, at, round(coalesce((r - mu) / nullif(sqrt(greatest(0.0, q - mu * mu)), 0), 0), 5) AS z FROM w JOIN m USING (face_id, win_id)",
     "diff_normalize": f"WITH {WINDOWS}, d AS (SELECT face_id, win_id, at, {CHANGE.format(a='r', b='lead(r) OVER o')} AS d FROM w WINDOW o AS (PARTITION BY face_id, win_id ORDER BY pos)), m AS (SELECT face_id, win_id, stddev_pop(d) AS sd FROM d GROUP BY ALL) SELECT face_id, win_id, at, round(coalesce(d / sd, 0), 5) AS dn FROM d JOIN m USING (face_id, win_id)",
@@ -125,8 +170,14 @@ SQL = {
     "variance_formulas": f"WITH {WINDOWS} SELECT face_id, win_id, round(sum(r * r) / count(*) - (sum(r) / count(*)) * (sum(r) / count(*)), 4) AS by_moments, round(var_pop(r), 4) AS by_deviations, round(pow(stddev_pop(r), 2), 4) AS by_std FROM w GROUP BY ALL",
     "cumsum_signal": f"WITH {WINDOWS} SELECT face_id, win_id, at, sum(g) OVER (PARTITION BY face_id, win_id ORDER BY at) AS total FROM w",
     "pos_projection": f"WITH {PLANE} SELECT face_id, win_id, at, round(h, 4) AS h FROM h",
-    "pos_heart_rate": f"WITH {PLANE.replace('w AS (SELECT', 'w0 AS (SELECT').replace('FROM w WINDOW', 'FROM w0 WINDOW')}, w AS (SELECT * FROM h), {weighted('h', detrended=True, filtered=True)}",
+    "pos_heart_rate": f"WITH {PLANE.replace('w AS (SELECT', 'w0 AS (SELECT').replace('FROM w WINDOW', 'FROM w0 WINDOW')}, w AS (SELECT * FROM h), {weighted('h', detrended=True, filtered=True, own_band=(0.75, 3.0))}",
     "chrom_projection": f"WITH {WINDOWS}, x AS (SELECT *, unnest([at // 24 - 1, at // 24]) AS i FROM w), y AS (SELECT *, at - i * 24 AS j, r / avg(r) OVER z AS nr, g / avg(g) OVER z AS ng, b / avg(b) OVER z AS nb FROM x WHERE i >= 0 AND i < 6 WINDOW z AS (PARTITION BY face_id, win_id, i)), p AS (SELECT *, 3 * nr - 2 * ng AS xs, 1.5::DOUBLE * nr + ng - 1.5::DOUBLE * nb AS ys FROM y), q AS (SELECT *, (xs - stddev_pop(xs) OVER z / stddev_pop(ys) OVER z * ys) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 47)) AS sw FROM p WINDOW z AS (PARTITION BY face_id, win_id, i)) SELECT face_id, win_id, at, round(sum(sw), 4) AS s FROM q GROUP BY ALL",
+    "chrom_heart_rate": chrom_rate(),
+    "nms": f"WITH RECURSIVE {BOXES}, {suppressed('b', 0.3)} SELECT b.* FROM b JOIN alive USING (frame_idx, det)",
+    "distance_detector": detector(800, 16000, GRID, BY_DISTANCE, 640, 640),
+    "variance_detector": detector(1840, 36800, PRIORS, BY_VARIANCE, 1280, 736),
+    "corner_boxes": f"WITH {BOXES}, r AS (SELECT *, trunc(x1 / 1000.0::DOUBLE * 640)::INTEGER AS ax1, trunc(y1 / 1000.0::DOUBLE * 360)::INTEGER AS ay1, trunc((x2 - x1) / 1000.0::DOUBLE * 640)::INTEGER AS aw, trunc((y2 - y1) / 1000.0::DOUBLE * 360)::INTEGER AS ah FROM b) SELECT frame_idx, det, x1, y1, x2, y2, ax1, ay1, ax1 + aw AS ax2, ay1 + ah AS ay2 FROM r",
+    "stream_hr_state": f"WITH n AS (SELECT user_id AS face_id, round(value * 100) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events), w AS (SELECT face_id, pos // 16 AS win_id, pos % 16 AS at, v FROM n WHERE pos < n // 16 * 16), power AS (SELECT face_id, win_id, k, pow(sum(v * cos(2 * pi() * k * at / 16)), 2) + pow(sum(v * sin(2 * pi() * k * at / 16)), 2) AS p FROM w, (SELECT unnest(range(1, 9)) AS k) WHERE k * 30 / 16.0 BETWEEN 0.75 AND 2.5 GROUP BY ALL) SELECT face_id, win_id, CAST(arg_max(k, struct_pack(p := p, k := -k)) AS INTEGER) AS bin, arg_max(k, struct_pack(p := p, k := -k)) * 112.5::DOUBLE AS heart_rate FROM power GROUP BY ALL",
     "moving_average_signal": f"WITH {WINDOWS} SELECT face_id, win_id, at, round(sum(r) OVER (PARTITION BY face_id, win_id ORDER BY at ROWS BETWEEN 30 PRECEDING AND 29 FOLLOWING) / 60, 6) AS smooth FROM w",
     "clip_ids": f"WITH {WINDOWS} SELECT face_id, pos, win_id AS clip_id FROM w",
     "hr_fft_sql": f"WITH {WINDOWS}, {spectrum('g')}",
@@ -151,7 +202,7 @@ SQL = {
     "first_face": f"WITH {BOXES}, f AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY det) AS n FROM b WHERE score >= 0.6) SELECT frame_idx, det, x1, y1, x2, y2 FROM f WHERE n = 1",
     "pairwise_iou": f"WITH {BOXES}, p AS (SELECT a.frame_idx, a.det AS det_a, c.det AS det_b, greatest(0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0, least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (c.x2 - c.x1) * (c.y2 - c.y1) AS sb FROM b a JOIN b c ON a.frame_idx = c.frame_idx AND a.det < c.det) SELECT frame_idx, det_a, det_b, round(i::DOUBLE / (sa + sb - i), 6) AS iou FROM p WHERE i > 0",
     "greedy_assign_step": f"WITH {BOXES}, c AS (SELECT frame_idx, det, (x1 + x2) // 2 AS cx, (y1 + y2) // 2 AS cy FROM b), p AS (SELECT d.frame_idx, o.det AS obj, d.det, sqrt(((o.cx - d.cx) * (o.cx - d.cx) + (o.cy - d.cy) * (o.cy - d.cy))::DOUBLE) AS dist FROM c o JOIN c d ON o.frame_idx + 1 = d.frame_idx), n AS (SELECT *, row_number() OVER (PARTITION BY frame_idx, obj ORDER BY dist, det) AS k FROM p), m AS (SELECT *, row_number() OVER (PARTITION BY frame_idx, det ORDER BY dist, obj) AS j FROM n WHERE k = 1) SELECT frame_idx, obj, det, round(dist, 6) AS dist FROM m WHERE j = 1",
-    "display_rows": f"WITH {BOXES}, {square(1.0)}, {SAMPLES}, v AS (SELECT face_id, arg_max(v, struct_pack(a := ts, b := event_id)) AS v FROM s GROUP BY 1) SELECT b.frame_idx AS face_id, b.det, q.rx1, q.rx2, v.v FROM b LEFT JOIN q ON q.frame_idx = b.frame_idx AND q.det = b.det AND q.rx1 % 3 = 0 LEFT JOIN v ON v.face_id = b.frame_idx",
+    "display_rows": f"WITH {BOXES}, {square(1.0)}, {SAMPLES}, v AS (SELECT face_id, arg_max(v, struct_pack(a := ts, b := event_id)) AS v FROM s GROUP BY 1) SELECT b.frame_idx AS face_id, b.det, q.rx1, q.rx2, v.v FROM b LEFT JOIN q ON q.frame_idx = b.frame_idx AND q.det = b.det LEFT JOIN v ON v.face_id = b.frame_idx",
     "track_colours": f"WITH {BOXES}, c AS (SELECT frame_idx, det, [{COLOURS}][det % 15 + 1] AS c FROM b) SELECT frame_idx, det, c[1]::INTEGER AS blue, c[2]::INTEGER AS green, c[3]::INTEGER AS red FROM c",
     "spatial_mean": "WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, round((unnest(embedding) * 1000::FLOAT))::DOUBLE AS v FROM embeddings) SELECT vec_id, round(avg(v) FILTER (i % 3 = 0), 6) AS mean_r, round(avg(v) FILTER (i % 3 = 1), 6) AS mean_g, round(avg(v) FILTER (i % 3 = 2), 6) AS mean_b FROM p GROUP BY 1",
     "channels_first": "WITH k AS (SELECT i::INTEGER AS at FROM range(64) t(i)) SELECT vec_id, at, round(embedding[(at % 16) * 4 + at // 16 + 1]::DOUBLE, 6) AS v FROM embeddings, k",
@@ -173,6 +224,8 @@ SQL = {
     "expired_faces": f"WITH l AS (SELECT user_id AS face_id, max({EPOCH}) AS seen FROM events GROUP BY 1), n AS (SELECT max({EPOCH}) AS now FROM events) SELECT face_id, (now - seen) / 1e6::DOUBLE AS idle_seconds FROM l, n WHERE now - seen > 3600000000",
     "missing_subjects": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
 }
+SQL["chunk_rates_held"] = f"WITH {TRACE}, done AS (SELECT face_id, pos // 30 - 1 AS chunk_id FROM trace WHERE pos > 0 AND pos % 30 = 0), hr AS ({SQL['chunk_hr_emission']}) SELECT face_id, chunk_id, last_value(heart_rate IGNORE NULLS) OVER (PARTITION BY face_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS heart_rate FROM done LEFT JOIN hr USING (face_id, chunk_id)"
+SQL["rolling_against_truth"] = f"WITH {TRACE}, {ROLL}, truth AS ({SQL['window_truth_stats']}) SELECT face_id, count(*) AS steps, round(sqrt(avg((roll_mean - mean_r) * (roll_mean - mean_r))), 5) AS rmse_mean, round(max(abs(roll_std - std_r)), 5) AS most_std FROM stats JOIN truth USING (face_id) WHERE stats.pos = truth.step * 30 + 29 GROUP BY 1"
 #: `at` is a word of DuckDB's grammar.
 SQL = {name: re.sub(r"\bat\b", '"at"', text) for name, text in SQL.items()}
 #: Values that may round to minus zero here, where Spark has plain zero.

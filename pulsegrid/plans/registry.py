@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters, scalar
@@ -44,13 +44,13 @@ def chunk_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rolling_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows.rolling_stats(traces(spark, sf_dir), "face_id", "r", SIZE)
-    return rows.where("pos % 30 = 29").select("face_id", "pos", F.col("n").cast("long"), F.round("roll_mean", 6).alias("roll_mean"), F.round("roll_std", 6).alias("roll_std"))
+    return rows.select("face_id", "pos", F.col("n").cast("long"), F.round("roll_mean", 6).alias("roll_mean"), F.round("roll_std", 6).alias("roll_std"))
 
 
 @query
 def rolling_diff_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows.rolling_diff_std(traces(spark, sf_dir), "face_id", "r", SIZE)
-    return rows.where("pos % 30 = 29").select("face_id", "pos", F.round("diff_std", 5).alias("diff_std"))
+    return rows.select("face_id", "pos", F.round("diff_std", 5).alias("diff_std"))
 
 
 @query
@@ -103,14 +103,14 @@ def pos_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pos_heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plane-orthogonal pulse, then detrending, band-pass and periodogram as one weighted sum."""
+    """Plane-orthogonal pulse, its own detrending and band-pass, then the rate's detrending, band-pass and periodogram, as one weighted sum."""
     rows = pulse.plane_orthogonal(trace_windows(spark, sf_dir), WIN, SIZE)
-    return pulse.spectral_rate(rows, WIN, "h", SIZE, detrended=True, filtered=True)
+    return pulse.spectral_rate(rows, WIN, "h", SIZE, detrended=True, filtered=True, own_band=pulse.PLANE_BAND)
 
 
 @query
 def chrom_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chrominance overlap-add without the stretches' filter, which SQL has no word for."""
+    """Chrominance overlap-add without the stretches' filter."""
     rows = pulse.chrominance(trace_windows(spark, sf_dir), WIN, SIZE, filtered=False)
     return rows.select("face_id", "win_id", "at", F.round("s", 4).alias("s"))
 
@@ -125,14 +125,14 @@ def chrom_heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ica_heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pulse.independent_component(trace_windows(spark, sf_dir), WIN, "face_id long, win_id long", SIZE)
     long = rows.select(*WIN, F.posexplode("pulse").alias("at", "v"))
-    return pulse.spectral_rate(long, WIN, "v", SIZE, filtered=True)
+    return pulse.spectral_rate(long, WIN, "v", SIZE, detrended=True, filtered=True)
 
 
 @query
 def guided_ica_heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pulse.guided_component(trace_windows(spark, sf_dir), WIN, "face_id long, win_id long", SIZE)
     long = rows.select(*WIN, F.posexplode("pulse").alias("at", "v"))
-    return pulse.spectral_rate(long, WIN, "v", SIZE, filtered=True)
+    return pulse.spectral_rate(long, WIN, "v", SIZE, detrended=True, filtered=True)
 
 
 @query
@@ -190,6 +190,24 @@ def chunk_hr_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulse.spectral_rate(full, WIN, "v", SIZE).withColumnRenamed("win_id", "chunk_id")
 
 
+@query
+def chunk_rates_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every closed chunk with the heart rate that is shown after it: the last one that was emitted."""
+    closed = windows.chunk_ends(traces(spark, sf_dir)).select("face_id", "chunk_id")
+    all_chunks = closed.join(chunk_hr_emission(spark, sf_dir).select("face_id", "chunk_id", "heart_rate"), ["face_id", "chunk_id"], "left")
+    held = F.last("heart_rate", ignorenulls=True).over(Window.partitionBy("face_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, 0))
+    return all_chunks.select("face_id", "chunk_id", held.alias("heart_rate"))
+
+
+@query
+def rolling_against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling mean and deviation at the end of each step of 30 frames, those of the truth's window, and the difference by subject."""
+    rolled = windows.rolling_stats(traces(spark, sf_dir), "face_id", "r", SIZE).withColumn("step", F.floor(F.col("pos") / 30)).groupBy("face_id", "step").agg(F.max_by(F.struct("roll_mean", "roll_std"), "pos").alias("_last"), F.count("*").alias("_n"))
+    both = rolled.where("_n = 30").select("face_id", "step", "_last.*").join(window_truth_stats(spark, sf_dir), ["face_id", "step"])
+    rmse = F.sqrt(F.avg((F.col("roll_mean") - F.col("mean_r")) * (F.col("roll_mean") - F.col("mean_r"))))
+    return both.groupBy("face_id").agg(F.count("*").alias("steps"), F.round(rmse, 5).alias("rmse_mean"), F.round(F.max(F.abs(F.col("roll_std") - F.col("std_r"))), 5).alias("most_std"))
+
+
 @query
 def square_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.square_region(boxes(spark, sf_dir), 640, 360, 1.5).select("frame_idx", "det", "rx1", "ry1", "rx2", "ry2")
@@ -299,6 +317,46 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.suppressed(boxes(spark, sf_dir), ["frame_idx"], 0.3)
 
 
+def _frame_keys(rows: DataFrame) -> DataFrame:
+    """Raw outputs as detections of frames: eight orders to a frame, image sizes by frame, scores in thousandths."""
+    w = Window.partitionBy("frame_idx").orderBy("l_orderkey", "l_linenumber", "l_partkey", "d0", "d1", "d2", "d3")
+    framed = rows.withColumn("frame_idx", F.floor(F.col("l_orderkey") / 8)).withColumn("det", F.row_number().over(w))
+    score = F.round(F.pmod(F.col("l_partkey") * 7919 + F.col("det") * 131, F.lit(1000)) / 1000.0, 3)
+    return framed.withColumns({"score": score, "iw": ((F.col("frame_idx") % 5 + 3) * 160).cast("int"), "ih": ((F.col("frame_idx") % 4 + 3) * 160).cast("int")})
+
+
+def _listed(faces: DataFrame) -> DataFrame:
+    text = F.array_join(F.transform("faces", lambda f: F.concat_ws(":", f["x1"], f["y1"], f["x2"], f["y2"])), ",")
+    return faces.select("frame_idx", F.size("faces").cast("long").alias("n_faces"), text.alias("faces"))
+
+
+@query
+def distance_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors, distance decoding, score filter, suppression, undone letterbox and one array of faces for each frame."""
+    raw = _frame_keys(_raw(spark, sf_dir, 800)).withColumn("anchor_id", F.col("anchor_id") + 16000)
+    decoded = geometry.distance_boxes(raw.join(F.broadcast(geometry.grid_anchors(spark)), "anchor_id"), 640, 640)  # 16800 rows by construction
+    return _listed(geometry.faces_by_frame(decoded, ["frame_idx"], 640, 640, 0.5, 0.4))
+
+
+@query
+def variance_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for priors and variances, whose boxes are relative to the 1280 x 736 input."""
+    raw = _frame_keys(_raw(spark, sf_dir, 1840)).withColumn("anchor_id", F.col("anchor_id") + 36800)
+    decoded = geometry.variance_boxes(raw.join(F.broadcast(geometry.prior_boxes(spark)), "anchor_id"))  # 38640 rows by construction
+    pixels = decoded.withColumns({c: F.col(c) * size for c, size in (("x1", 1280), ("y1", 736), ("x2", 1280), ("y2", 736))})
+    return _listed(geometry.faces_by_frame(pixels, ["frame_idx"], 1280, 736, 0.5, 0.4))
+
+
+@query
+def corner_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes given by corner and size, and boxes given relative to a 640 x 360 frame, by their corners."""
+    b = boxes(spark, sf_dir)
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    by_size = geometry.corners(F.col("x1"), F.col("y1"), w, h)
+    relative = geometry.absolute(F.col("x1") / 1000.0, F.col("y1") / 1000.0, w / 1000.0, h / 1000.0, 640, 360)
+    return b.select("frame_idx", "det", *[c.alias(n) for c, n in zip(by_size, ("x1", "y1", "x2", "y2"), strict=True)], *[c.alias(n) for c, n in zip(relative, ("ax1", "ay1", "ax2", "ay2"), strict=True)])
+
+
 @query
 def greedy_assign_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a frame against those of the one before."""
@@ -323,9 +381,9 @@ def centroid_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faces of the boxes' frames with their region and latest value."""
     b = boxes(spark, sf_dir).withColumn("face_id", F.col("frame_idx"))
-    region = geometry.square_region(b, 640, 360).select("face_id", "det", "rx1", "rx2").where("rx1 % 3 = 0")
+    region = geometry.square_region(b, 640, 360).select("face_id", "det", "rx1", "rx2")
     rate = reports.latest(samples(spark, sf_dir), "face_id", "v", ["ts", "event_id"])
-    return b.select("face_id", "det").join(region, ["face_id", "det"], "left").join(rate, "face_id", "left")
+    return reports.displayed(b.select("face_id", "det"), region, rate, ["face_id", "det"], ["face_id"])
 
 
 @query
@@ -393,7 +451,7 @@ def fps_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("folder"), F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.round(F.col("value") * 100)).alias("fps"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("folder"), F.round(F.col("value") * 100).alias("fps"))
     return reports.mean_rates(e, "folder", "fps")
 
 

@@ -91,7 +91,11 @@ def write_by_run(df: DataFrame, path: str, *parts: str) -> None:
     df.write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
-def subjects(spark: SparkSession, last: int = 49, without=(2, 6, 7, 19, 21, 28, 29)) -> DataFrame:
+# The subjects that the public recordings exclude.
+EXCLUDED = (2, 6, 7, 19, 21, 28, 29)
+
+
+def subjects(spark: SparkSession, last: int = 49, without=EXCLUDED) -> DataFrame:
     """Subject numbers of the public recordings, without those that are excluded."""
     gone = spark.createDataFrame([(i,) for i in without], "idx long")
     return spark.range(1, last + 1).withColumnRenamed("id", "idx").join(gone, "idx", "left_anti")

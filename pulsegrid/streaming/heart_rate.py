@@ -16,13 +16,13 @@ from ..operators.tracking import OUT, Tracks, fold
 from ..session import shared_dir
 
 
-def window_rates(stream: DataFrame, key: str, value: str, size: int, fps: float = 30.0, idle_seconds: int | None = None) -> DataFrame:
-    """(key, win_id, bin, heart_rate) whenever a key has `size` more samples; what is left over waits in the key's state.
+def window_rates(stream: DataFrame, key: str, value: str, size: int, fps: float = 30.0, idle_seconds: int | None = None, step: int | None = None) -> DataFrame:
+    """(key, win_id, bin, heart_rate) of the last `size` samples whenever a key has `step` more (`size` by default); what later windows need waits in the key's state.
 
     stream has the key (long), `order` (long) and the value. With idle_seconds, a key that is idle for longer loses its state.
     """
     bins, re, im = filters.rate_weights(size, fps)
-    per_bin = fps / filters.next_power_of_2(size) * 60
+    per_bin, move = fps / filters.next_power_of_2(size) * 60, step or size
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -31,13 +31,13 @@ def window_rates(stream: DataFrame, key: str, value: str, size: int, fps: float
         done, waiting = state.get if state.exists else (0, [])
         new = pd.concat(list(parts)).sort_values("order")
         x = np.concatenate([np.array(waiting, float), new[value].to_numpy(float)])
-        n = len(x) // size
+        n = max(0, (len(x) - size) // move + 1)
         if n:
-            w = x[: n * size].reshape(n, size)
+            w = np.lib.stride_tricks.sliding_window_view(x, size)[::move][:n]
             power = (w @ re.T) ** 2 + (w @ im.T) ** 2
             best = np.array(bins)[power.argmax(1)]
             yield pd.DataFrame({key: k[0], "win_id": done + np.arange(n), "bin": best, "heart_rate": best * per_bin})
-        state.update((done + n, x[n * size :].tolist()))
+        state.update((done + n, x[n * move :].tolist()))
         if idle_seconds:
             state.setTimeoutDuration(idle_seconds * 1000)
 

@@ -41,3 +41,23 @@ def test_configuration_and_catalogue(spark, tmp_path):
     row = files.read_config(spark, str(tmp_path / "c.json")).first()
     assert (row["nms_threshold"], row["score_threshold"]) == (0.6, 0.5)
     assert files.subjects(spark).count() == 42
+
+
+def test_means_without_numbers_and_rows_without_a_region(spark):
+    rates = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", None), ("b", float("nan")), ("10", 2.0)], "folder string, fps double")
+    assert {r["folder"]: r["average_fps"] for r in reports.mean_rates(rates, "folder", "fps").collect()} == {"a": 1.0, "b": 0.0, "10": 2.0}
+    tracks = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "face_id long, det long")
+    regions, values = spark.createDataFrame([(1, 0, 5)], "face_id long, det long, rx1 int"), spark.createDataFrame([(2, 60.0)], "face_id long, v double")
+    got = reports.displayed(tracks, regions, values, ["face_id", "det"], ["face_id"]).select("face_id", "det", "rx1", "v")
+    assert sorted(map(str, map(tuple, got.collect()))) == ["(1, 0, 5, None)", "(1, 1, None, None)", "(2, 0, None, 60.0)"]
+
+
+def test_any_colour_is_one_of_the_fixed(spark):
+    from pyspark.sql import functions as F
+
+    from pulsegrid.functions import scalar
+
+    fixed = {tuple(r[0]) for r in spark.range(15).select(scalar.track_colour(F.col("id"))).collect()}
+    assert len(fixed) == 15
+    got = spark.range(50).select(scalar.any_colour(1).alias("c")).collect()
+    assert {tuple(r["c"]) for r in got} <= fixed
