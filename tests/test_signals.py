@@ -149,103 +149,6 @@ def test_network_signal(spark):
     assert [r["v"] for r in out.where("face_id = 1").orderBy("at").collect()] == [-1.0, -2.0, -3.0, -4.0, -5.0, -6.0] and out.count() == 12
 
 
-def test_bins_of_the_band():
-    assert list(filters.band_bins(180, FPS)) == list(range(7, 22))
-
-
-def traces(spark, rgb):
-    return spark.createDataFrame([(1, 0, i, *map(float, v)) for i, v in enumerate(rgb)], "face_id long, win_id long, at long, r double, g double, b double")
-
-
-def plane(rgb, ell=48):
-    """All stretches at once: their projections, tuned by their deviations, centred and added where they lie."""
-    stretches = np.lib.stride_tricks.sliding_window_view(rgb, ell, axis=0)[: len(rgb) - ell]
-    c = stretches / stretches.mean(2, keepdims=True)
-    u, v = c[:, 1] - c[:, 2], c[:, 1] + c[:, 2] - 2 * c[:, 0]
-    h = u + v * (u.std(1) / v.std(1))[:, None]
-    h -= h.mean(1, keepdims=True)
-    out = np.zeros(len(rgb))
-    np.add.at(out, np.arange(len(h))[:, None] + np.arange(ell), h)
-    return out
-
-
-def test_plane_projection(spark):
-    rgb = np.random.default_rng(2).uniform(50, 200, (120, 3))
-    got = pulse.plane_orthogonal(traces(spark, rgb), ["face_id", "win_id"], 120).orderBy("at").toPandas()["h"]
-    assert np.abs(got - plane(rgb)).max() < 1e-9
-
-
-def test_plane_pulse_is_detrended_and_filtered(spark):
-    rgb = np.random.default_rng(5).uniform(50, 200, (120, 3))
-    want = filters.filtfilt(*filters.butter_bandpass(1, 0.75, 3.0, FPS), filters.detrend_matrix(120) @ plane(rgb))
-    got = pulse.plane_pulse(traces(spark, rgb), ["face_id", "win_id"], 120).orderBy("at").toPandas()["y"]
-    assert np.abs(got - want).max() < 1e-9
-
-
-def rate_of(x):
-    """Detrending, band-pass, padded periodogram, strongest bin of the band."""
-    y = filters.filtfilt(*filters.butter_bandpass(1, 0.75, 2.5, FPS), filters.detrend_matrix(len(x)) @ x)
-    power = np.abs(np.fft.rfft(y, 256)) ** 2
-    return (7 + power[7:22].argmax()) * FPS / 256 * 60
-
-
-@pytest.mark.parametrize("name", ["plane_orthogonal", "independent", "guided", "chrominance"])
-def test_extractors_and_their_rates(spark, name):
-    from pulsegrid.operators import extensions
-
-    t = np.arange(180)
-    rng = np.random.default_rng(6)
-    beat = np.sin(2 * np.pi * 1.4 * t / FPS)
-    rgb = 120 + np.stack([0.3 * beat, 1.5 * beat, 0.6 * beat], 1) + rng.normal(0, 0.3, (180, 3)) + np.stack([t * 0.05] * 3, 1)
-    keys = ["face_id", "win_id"]
-    signal = extensions.EXTRACTORS[name](traces(spark, rgb), keys, 180, FPS)
-    rows = signal.orderBy("at").toPandas()["v"].to_numpy()
-    (got,) = extensions.ESTIMATORS["spectrum"](signal, keys, len(rows), FPS).collect()
-    assert got["heart_rate"] == pytest.approx(rate_of(rows)) and abs(got["heart_rate"] - 84) < 8
-
-
-def test_chrominance_by_stretches(spark):
-    rgb = np.random.default_rng(7).uniform(50, 200, (180, 3))
-    b, a = filters.butter_bandpass(3, 0.7, 2.5, FPS)
-    want, hann = np.zeros(168), np.hanning(48)
-    for i in range(6):
-        c = rgb[24 * i : 24 * i + 48]
-        n = c / c.mean(0)
-        x, y = filters.filtfilt(b, a, n @ [3.0, -2.0, 0.0]), filters.filtfilt(b, a, n @ [1.5, 1.0, -1.5])
-        want[24 * i : 24 * i + 48] += (x - x.std() / y.std() * y) * hann
-    got = pulse.chrominance(traces(spark, rgb), ["face_id", "win_id"], 180).orderBy("at").toPandas()["s"]
-    assert np.abs(got - want).max() < 1e-9
-
-
-def test_rolling_sums_don_t_drift(spark):
-    from pulsegrid.operators import windows
-
-    x = np.random.default_rng(8).uniform(0, 1, 500) + 1e6
-    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "face_id long, pos long, v double")
-    got = windows.rolling_stats(df, "face_id", "v", 30).orderBy("pos").toPandas()
-    for i in (0, 1, 29, 30, 31, 61, 62, 499):
-        part = x[max(0, i - 30) : i + 1]
-        assert got["n"][i] == len(part) and got["roll_mean"][i] == pytest.approx(part.mean(), rel=1e-12)
-    d = np.diff(x[:100]) / (x[1:100] + x[:99] + 1e-7)
-    diff = windows.rolling_diff_std(df.where("pos < 100"), "face_id", "v", 30).orderBy("pos").toPandas()["diff_std"]
-    assert diff[99] == pytest.approx(max(d[-30:].std(), 1e-7**0.5), rel=1e-6) and diff[0] == diff[1] == 1.0
-
-
-def test_network_signal(spark):
-    onnx = pytest.importorskip("onnx")  # only to write a model; running one needs onnxruntime alone
-    from onnx import TensorProto, helper
-
-    from pulsegrid.operators import extensions
-
-    node = helper.make_node("ReduceSum", ["x"], ["y"], keepdims=0, axes=[1])
-    graph = helper.make_graph([node], "g", [helper.make_tensor_value_info("x", TensorProto.FLOAT, [3, 2])], [helper.make_tensor_value_info("y", TensorProto.FLOAT, [3])])
-    model = helper.make_model(graph, opset_imports=[helper.make_opsetid("", 11)])
-    onnx.checker.check_model(model)
-    clips = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])], "face_id long, tensor array<double>")
-    out = extensions.network_signal(clips, model.SerializeToString(), (3, 2), "face_id long, at long, v double")
-    assert [r["v"] for r in out.orderBy("at").collect()] == [3.0, 7.0, 11.0]
-
-
 def test_unmixing_finds_sources():
     t = np.arange(600) / FPS
     sources = np.stack([np.sin(2 * np.pi * 1.2 * t), np.sign(np.sin(2 * np.pi * 0.37 * t)), (t * 0.7) % 1 - 0.5])
