@@ -42,6 +42,12 @@ def complete_runs(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     return metrics.where((F.col("metric") == "Skipped Frames") & (F.col("value") == 0)).select(*keys)
 
 
+def dropped_frames(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
+    """Frames of each key that load shedding left out: numbers missing between the first and the last."""
+    span = F.max(number) - F.min(number) + 1
+    return df.groupBy(*keys).agg(F.count_distinct(number).alias("frames"), (span - F.count_distinct(number)).cast("long").alias("dropped"))
+
+
 def latest(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 

@@ -217,6 +217,7 @@ SQL = {
     "fps_extremes": f"WITH {FOLDERS} SELECT round(avg(average_fps), 6) AS mean_fps, round(max(average_fps), 6) AS max_fps, round(min(average_fps), 6) AS min_fps, arg_max(folder, struct_pack(a := average_fps, b := folder)) AS max_folder, arg_min(folder, struct_pack(a := average_fps, b := folder)) AS min_folder FROM m",
     "metrics_eav": f"WITH {EAV} SELECT * FROM eav",
     "skipped_zero_gate": f"WITH {EAV} SELECT run_id FROM eav WHERE metric = 'Skipped Frames' AND value = 0",
+    "dropped_frames": "SELECT l_suppkey, count(DISTINCT l_partkey) AS frames, max(l_partkey) - min(l_partkey) + 1 - count(DISTINCT l_partkey) AS dropped FROM lineitem GROUP BY 1",
     "stage_totals": f"WITH {SAMPLES} SELECT face_id, count(*) AS n, sum(v) AS total, round(count(*) / nullif((max({EPOCH}) - min({EPOCH})) / 1e6::DOUBLE, 0), 6) AS average_fps FROM s GROUP BY 1",
     "latest_hr": f"WITH {SAMPLES} SELECT face_id, arg_max(v, struct_pack(a := ts, b := event_id)) AS v FROM s GROUP BY 1",
     "hr_update_rate": f"WITH {SAMPLES} SELECT event_id, face_id, round(count(*) OVER (PARTITION BY face_id ORDER BY {EPOCH} RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) / 3600.0::DOUBLE, 6) AS rate FROM s",

@@ -482,6 +482,12 @@ def skipped_zero_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.complete_runs(metrics_eav(spark, sf_dir), ["run_id"])
 
 
+@query
+def dropped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers missing among the parts of each supplier's items, as frames that were shed."""
+    return reports.dropped_frames(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_partkey")
+
+
 @query
 def stage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames, total value and frames a second of each face's time span."""

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..operators.reports import METRICS
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -87,6 +89,27 @@ def write_if_any(df: DataFrame, path: str) -> bool:
     return True
 
 
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """One run's metrics (ord, metric, value), a row for each in the report's order, in one file."""
+    write_csv(metrics.orderBy("ord").select(F.col("metric").alias("Metric"), F.col("value").alias("Value")).coalesce(1), path)  # ten rows by construction
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A run's metrics as (ord, metric, value); fails where the report has another metric or lacks one of the ten."""
+    known = spark.createDataFrame(list(enumerate(METRICS)), "ord int, known string")
+    rows = spark.read.csv(path, header=True, schema="Metric string, Value double")
+    both = known.join(rows, known["known"] == rows["Metric"], "full")
+    whole = F.assert_true(F.col("known").isNotNull() & F.col("Metric").isNotNull(), F.concat_ws(" ", F.lit("not a metrics report:"), F.coalesce("Metric", "known")))
+    return both.withColumn("_ok", whole).where("_ok is null").select("ord", F.col("Metric").alias("metric"), F.col("Value").alias("value"))
+
+
+def write_logs(folder: str, fps: DataFrame, heart_rates: DataFrame, metrics: DataFrame) -> None:
+    """All logs of a run at its end: fps.csv, heart_rate.csv where there is any rate, processing_metrics.csv."""
+    write_csv(fps, f"{folder}/fps.csv")
+    write_if_any(heart_rates, f"{folder}/heart_rate.csv")
+    write_metrics(metrics, f"{folder}/processing_metrics.csv")
+
+
 def write_by_run(df: DataFrame, path: str, *parts: str) -> None:
     df.write.mode("overwrite").partitionBy(*parts).parquet(path)
 

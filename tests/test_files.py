@@ -61,3 +61,21 @@ def test_any_colour_is_one_of_the_fixed(spark):
     assert len(fixed) == 15
     got = spark.range(50).select(scalar.any_colour(1).alias("c")).collect()
     assert {tuple(r["c"]) for r in got} <= fixed
+
+
+def test_all_logs_of_a_run(spark, tmp_path):
+    import pytest
+
+    fps = spark.createDataFrame([(1.0, 30.0)], "timestamp double, fps double")
+    rates = spark.createDataFrame([], "timestamp double, face_id long, heart_rate double")
+    metrics = spark.createDataFrame([(9 - k, m, float(9 - k)) for k, m in enumerate(reversed(reports.METRICS))], "ord int, metric string, value double")
+    files.write_logs(str(tmp_path), fps, rates, metrics)
+    assert not (tmp_path / "heart_rate.csv").exists() and (tmp_path / "fps.csv").exists()
+    (part,) = (tmp_path / "processing_metrics.csv").glob("part-*.csv")
+    lines = part.read_text().split()
+    assert lines[0] == "Metric,Value" and part.read_text().splitlines()[7] == "Skipped Frames,6.0"
+    back = files.read_metrics(spark, str(tmp_path / "processing_metrics.csv")).orderBy("ord").collect()
+    assert [r["metric"] for r in back] == list(reports.METRICS) and [r["value"] for r in back] == [float(k) for k in range(10)]
+    files.write_metrics(metrics.where("ord != 6"), str(tmp_path / "less"))
+    with pytest.raises(Exception, match="not a metrics report"):
+        files.read_metrics(spark, str(tmp_path / "less")).collect()
