@@ -7,11 +7,13 @@ return the columns of documents; columns of other names, those of results includ
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontaminate, jaccard, mixing, secrets, toxicity
-from pulsegrid.llm.common import columns, stored, table
+from pulsegrid.llm.common import columns, settled, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +65,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = settled(partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
