@@ -21,6 +21,11 @@ RGB = ("r", "g", "b")
 PLANE_BAND = (0.75, 3.0)
 
 
+def numbers(values: np.ndarray) -> Column:
+    """A constant array, as one expression: thousands of literals one by one would take longer than many a query."""
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
+
+
 def integrated(df: DataFrame, keys: Sequence[str], value: str, order: str = "at") -> DataFrame:
     return df.withColumn("total", F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -74,23 +79,21 @@ def chrominance(df: DataFrame, keys: Sequence[str], size: int, fps: float = 30.0
     rows = rows.withColumn("_j", (F.col("at") - F.col("_i") * half).cast("int"))
     hann = 0.5 - 0.5 * np.cos(2 * math.pi * np.arange(ell) / (ell - 1))
     place = F.col("_i") * half + F.col("_j")
+    stretch = Window.partitionBy(*keys, "_i")
+    norm = {c: F.col(c) / F.col(f"_m{c}") for c in RGB}
+    rows = rows.withColumns({f"_m{c}": F.avg(c).over(stretch) for c in RGB})
+    rows = rows.select(*keys, "_i", "_j", (3 * norm["r"] - 2 * norm["g"]).alias("x"), (1.5 * norm["r"] + norm["g"] - 1.5 * norm["b"]).alias("y"))
     if filtered:
         matrix = filters.filtfilt_matrix(ell, 3, 0.7, 2.5, fps)
-        sums = [F.sum(F.col(c) * F.get(F.lit(row), F.col("_j"))).alias(f"_{c}{j}") for c in RGB for j, row in enumerate(matrix)]
-        each = rows.groupBy(*keys, "_i").agg(*sums, *[F.avg(c).alias(f"_m{c}") for c in RGB])
-        filtered_by = lambda c: F.array(*[F.col(f"_{c}{j}") / F.col(f"_m{c}") for j in range(ell)])
-        each = each.select(*keys, "_i", *[filtered_by(c).alias(c) for c in RGB])
-        both = each.select(*keys, "_i", F.zip_with("r", "g", lambda r, g: 3 * r - 2 * g).alias("x"), F.zip_with(F.zip_with("r", "g", lambda r, g: 1.5 * r + g), "b", lambda a, b: a - 1.5 * b).alias("y"))
+        sums = [F.sum(F.col(c) * F.get(numbers(row), F.col("_j"))).alias(f"_{c}{j}") for c in "xy" for j, row in enumerate(matrix)]
+        each = rows.groupBy(*keys, "_i").agg(*sums)
+        both = each.select(*keys, "_i", *[F.array(*[f"_{c}{j}" for j in range(ell)]).alias(c) for c in "xy"])
         both = both.withColumn("_alpha", _spread(F.col("x"), ell) / _spread(F.col("y"), ell))
-        tuned = F.zip_with(F.zip_with("x", "y", lambda x, y: x - F.col("_alpha") * y), F.lit(hann), lambda v, w: v * w)
+        tuned = F.zip_with(F.zip_with("x", "y", lambda x, y: x - F.col("_alpha") * y), numbers(hann), lambda v, w: v * w)
         parts = both.select(*keys, "_i", F.posexplode(tuned).alias("_j", "_s")).withColumn("at", place)
         return parts.groupBy(*keys, "at").agg(F.sum("_s").alias("s"))
-    stretch = Window.partitionBy(*keys, "_i")
-    norm = {c: F.col(c) / F.col(f"_m{c}") for c in RGB}
-    rows = rows.withColumns({f"_m{c}": F.avg(c).over(stretch) for c in RGB})
-    rows = rows.withColumns({"x": 3 * norm["r"] - 2 * norm["g"], "y": 1.5 * norm["r"] + norm["g"] - 1.5 * norm["b"]})
     alpha = F.stddev_pop("x").over(stretch) / F.stddev_pop("y").over(stretch)
-    parts = rows.withColumn("_s", (F.col("x") - alpha * F.col("y")) * F.get(F.lit(hann), F.col("_j"))).withColumn("at", place)
+    parts = rows.withColumn("_s", (F.col("x") - alpha * F.col("y")) * F.get(numbers(hann), F.col("_j"))).withColumn("at", place)
     return parts.groupBy(*keys, "at").agg(F.sum("_s").alias("s"))
 
 
@@ -107,7 +110,7 @@ def spectral_rate(df: DataFrame, keys: Sequence[str], value: str, size: int, fps
     """
     bins, re, im = filters.rate_weights(size, fps, cumulative, detrended, filtered, own_band)
     at = F.col("at").cast("int")
-    sums = [F.sum(F.col(value) * F.get(F.lit(w[i]), at)).alias(f"_{p}{i}") for p, w in (("r", re), ("i", im)) for i in range(len(bins))]
+    sums = [F.sum(F.col(value) * F.get(numbers(w[i]), at)).alias(f"_{p}{i}") for p, w in (("r", re), ("i", im)) for i in range(len(bins))]
     power = [F.struct((F.col(f"_r{i}") * F.col(f"_r{i}") + F.col(f"_i{i}") * F.col(f"_i{i}")).alias("p"), F.lit(-k).alias("k")) for i, k in enumerate(bins)]
     best = F.array_max(F.array(*power))
     per_bin = fps / filters.next_power_of_2(size) * 60
@@ -133,7 +136,7 @@ def matrix_applied(df: DataFrame, keys: Sequence[str], value: str, matrix: np.nd
     size = matrix.shape[1]
     whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", value))).alias("_x")).where(F.size("_x") == size)
     each = whole.select(*keys, "_x", F.explode(F.sequence(F.lit(0), F.lit(len(matrix) - 1))).alias("at"))
-    row = F.slice(F.lit(matrix.ravel()), F.col("at") * size + 1, F.lit(size))
+    row = F.slice(numbers(matrix.ravel()), F.col("at") * size + 1, F.lit(size))
     y = F.aggregate(F.zip_with("_x", row, lambda s, w: s[value] * w), F.lit(0.0), lambda a, v: a + v)
     return each.select(*keys, "at", y.alias("y"))
 
