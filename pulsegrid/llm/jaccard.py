@@ -34,8 +34,8 @@ from .common import columns, settled, stored, table
 from .graph import components
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 5
-#: A block of candidates holds at most about so many shingles and nodes.
-BLOCK_SHINGLES, BLOCK_NODES = 500_000, 400
+#: Connected candidates that are verified whole have at most so many shingles and nodes; a block of a bucket has about so many.
+BLOCK_SHINGLES, BLOCK_NODES, PART_NODES = 500_000, 400, 100
 #: Shingles in at least so many nodes of a task are multiplied as dense columns, others pair by pair.
 DENSE = 32
 
@@ -230,7 +230,7 @@ def tasks(members: DataFrame) -> DataFrame:
 
     by_bucket = members.join(large, "component", "left_semi").withColumn("bucket", F.explode("bands"))
     counted = by_bucket.groupBy("bucket").agg(*sums).where("m > 1")
-    blocks = stored(counted.select(F.col("bucket").alias("_bucket"), F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_NODES)).cast("int").alias("n_blocks")))
+    blocks = stored(counted.select(F.col("bucket").alias("_bucket"), F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("m") / PART_NODES)).cast("int").alias("n_blocks")))
     placed = by_bucket.join(blocks, by_bucket["bucket"] == blocks["_bucket"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     grp = F.concat_ws(":", "bucket", F.least("side", "other"), F.greatest("side", "other"))

@@ -187,6 +187,7 @@ def shingles(t):
 @pytest.mark.parametrize("block", [2, 400])
 def test_jaccard_classes(docs, rows, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
+    monkeypatch.setattr(jaccard, "PART_NODES", block)
     sets, parent = [shingles(r[1]) for r in rows], list(range(len(rows)))
 
     def root(i):
