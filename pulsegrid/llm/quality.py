@@ -26,7 +26,7 @@ from . import kernels as K
 from .chunks import MESSAGE, Chunked, message, shard_of
 from .common import fold, settled, stored, table
 
-ORDER, QUANTILE, CHUNK_BYTES, SHARD_BYTES = 5, 0.99, 8 << 20, 32 << 20
+ORDER, QUANTILE, CHUNK_BYTES, SHARD_BYTES = 5, 0.99, 16 << 20, 32 << 20
 
 
 def grams(data: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -113,7 +113,6 @@ def sent(u: np.ndarray, n_shards: int) -> list[tuple[int, np.ndarray]]:
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity) of each row under the model of the trusted texts."""
-    counts = stored(trusted_counts(trusted))
     chunked = Chunked(docs, ["lang"], CHUNK_BYTES, bucketed=False)
     n_shards = chunked.n_shards(SHARD_BYTES)
 
@@ -132,10 +131,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         gram, logp = gram[order], logp[order]
         return message([(c, s, logp[np.searchsorted(gram, unpacked_grams(b.as_py()))].tobytes()) for c, s, b in zip(parts["chunk"].to_pylist(), parts["shard"].to_pylist(), parts["data"], strict=True)])
 
-    asked = stored(chunked.each(ask, MESSAGE))
-    grams_of = stored(asked.groupBy("shard").applyInArrow(distinct, "shard int, gram long"))
-    scored = scored_grams(grams_of.select("gram"), counts)
-    answers = asked.groupBy("shard").cogroup(grams_of.join(scored, "gram").select("shard", "gram", "logp").groupBy("shard")).applyInArrow(answer, MESSAGE)
+    def answered() -> DataFrame:
+        counts = stored(trusted_counts(trusted))
+        asked = stored(chunked.each(ask, MESSAGE))
+        grams_of = stored(asked.groupBy("shard").applyInArrow(distinct, "shard int, gram long"))
+        scored = grams_of.join(scored_grams(grams_of.select("gram"), counts), "gram").select("shard", "gram", "logp")
+        return asked.groupBy("shard").cogroup(scored.groupBy("shard")).applyInArrow(answer, MESSAGE)
+
+    answers = settled(answered)  # what led to them is gone before texts are shuffled again
 
     def g(docs: pa.Table, answers: pa.Table) -> pa.Table:
         work = [(at, *np.unique(grams(data, at), return_inverse=True)) for _, _, data, at in K.blocks(docs["text"].combine_chunks())]
