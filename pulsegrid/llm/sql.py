@@ -35,4 +35,12 @@ r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON
 SELECT r.a AS doc_id, min(r.b) AS class_id, coalesce(any_value(links), 0)::BIGINT AS n_links
 FROM r LEFT JOIN (SELECT a, count(*) AS links FROM e GROUP BY 1) l ON l.a = r.a GROUP BY r.a"""
 
-SQL = {"op3_suffixes": SUFFIXES, "op4_substrings": SUBSTRINGS, "op6_jaccard": JACCARD}
+LINES = r"""
+WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+           FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+g AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT l.doc_id, i, line, g.k IS NOT NULL AND l.doc_id != g.last AS gone FROM l LEFT JOIN g USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
+SQL = {"op11_lines": LINES, "op3_suffixes": SUFFIXES, "op4_substrings": SUBSTRINGS, "op6_jaccard": JACCARD}
