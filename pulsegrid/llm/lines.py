@@ -90,10 +90,10 @@ class Keys:
         self.last = np.maximum.reduceat(ids[at], key) if len(key) else np.zeros(0, np.int64)
         self.has_id = np.maximum.reduceat(some[at], key) if len(key) else np.zeros(0, bool)
 
-    def positions(self, s: slice) -> np.ndarray:
-        """(keys x HASHES) bits of the filters."""
+    def positions(self, s: slice, bits: int) -> np.ndarray:
+        """(keys x HASHES) positions in filters of so many bits."""
         step = self.g[s] | U(1)
-        return np.stack([((self.h[s] + U(k) * step) & U(BITS - 1)).astype(np.int64) for k in range(HASHES)], 1)
+        return np.stack([((self.h[s] + U(k) * step) & U(bits - 1)).astype(np.int64) for k in range(HASHES)], 1)
 
 
 def packed_bits(at: np.ndarray) -> bytes:
@@ -108,25 +108,25 @@ def unpacked_bits(data: bytes) -> tuple[np.ndarray, bytes]:
     return np.cumsum(gaps, dtype=np.int64), data[4 + 4 * n :]
 
 
-def filters_sent(chunked: Chunked, least: int, n_shards: int) -> DataFrame:
+def filters_sent(chunked: Chunked, least: int, n_shards: int, bits: int) -> DataFrame:
     """Step 1. A message: the positions set in the once-seen filter, then those in the twice-seen one."""
 
     def f(docs: pa.Table) -> pa.Table:
         keys, chunk = Keys(docs, least), docs["chunk"][0].as_py()
         parts = []
         for shard, s in split_by_shard(keys.h, n_shards):
-            at = keys.positions(s)
+            at = keys.positions(s, bits)
             parts.append((chunk, shard, packed_bits(np.unique(at)) + packed_bits(np.unique(at[keys.rows[s] > 1]))))
         return message(parts)
 
     return chunked.each(f, MESSAGE)
 
 
-def merged(sent: DataFrame) -> DataFrame:
+def merged(sent: DataFrame, bits: int) -> DataFrame:
     """Step 2. The answer: the merged twice-seen filter at a message's once-seen positions, a bit for each."""
 
     def f(parts: pa.Table) -> pa.Table:
-        once, twice, own = np.zeros(BITS, bool), np.zeros(BITS, bool), []
+        once, twice, own = np.zeros(bits, bool), np.zeros(bits, bool), []
         for blob in parts["data"]:
             a, rest = unpacked_bits(blob.as_py())
             twice[a[once[a]]] = True
@@ -141,7 +141,7 @@ def merged(sent: DataFrame) -> DataFrame:
 KEYS = "chunk int, h long, g long, rows long, last long"
 
 
-def suspects(chunked: Chunked, answers: DataFrame, least: int, n_shards: int) -> DataFrame:
+def suspects(chunked: Chunked, answers: DataFrame, least: int, n_shards: int, bits: int) -> DataFrame:
     """Step 3, a chunk's part: its keys whose positions all are twice-seen."""
 
     def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -150,10 +150,10 @@ def suspects(chunked: Chunked, answers: DataFrame, least: int, n_shards: int) ->
             keys = Keys(docs, least)
             by_shard = dict(zip(answers["shard"].to_pylist(), answers["data"], strict=True))
             for shard, s in split_by_shard(keys.h, n_shards):
-                at = keys.positions(s)
+                at = keys.positions(s, bits)
                 set_ = np.unique(at)
-                bits = np.unpackbits(np.frombuffer(by_shard[shard].as_buffer(), np.uint8))[: len(set_)].astype(bool)
-                hit = bits[np.searchsorted(set_, at)].all(1)
+                twice = np.unpackbits(np.frombuffer(by_shard[shard].as_buffer(), np.uint8))[: len(set_)].astype(bool)
+                hit = twice[np.searchsorted(set_, at)].all(1)
                 for name, parts in out.items():
                     parts.append(getattr(keys, name)[s][hit])
         h, g, rows, last, has_id = (np.concatenate(p) for p in out.values())
@@ -173,19 +173,19 @@ def confirmed(found: DataFrame, docs: int) -> DataFrame:
 RESULT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, least: int = LEAST_POINTS, least_docs: int = LEAST_DOCS, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST_POINTS, least_docs: int = LEAST_DOCS, with_text: bool = False, bits: int = BITS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of each row; with_text adds the kept lines, joined, as `text`.
 
-    Keys of `least` code points that `least_docs` rows have stay in the largest doc_id that has them only.
+    Keys of `least` code points that `least_docs` rows have stay in the largest doc_id that has them only. `bits` is the size of a shard's filters.
     """
-    return settled(lambda: _deduped(docs, least, least_docs, with_text))
+    return settled(lambda: _deduped(docs, least, least_docs, with_text, bits))
 
 
-def _deduped(docs: DataFrame, least: int, least_docs: int, with_text: bool) -> DataFrame:
+def _deduped(docs: DataFrame, least: int, least_docs: int, with_text: bool, bits: int) -> DataFrame:
     chunked = Chunked(docs)
     n_shards = chunked.n_shards(SHARD_BYTES)
-    answers = merged(filters_sent(chunked, least, n_shards))
-    drops = confirmed(stored(suspects(chunked, answers, least, n_shards)), least_docs)
+    answers = merged(filters_sent(chunked, least, n_shards, bits), bits)
+    drops = confirmed(stored(suspects(chunked, answers, least, n_shards, bits)), least_docs)
 
     def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
         known = [answers[c].to_numpy().view(U) for c in ("h", "g")]
