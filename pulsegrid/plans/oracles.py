@@ -227,6 +227,9 @@ SQL = {
 }
 SQL["chunk_rates_held"] = f"WITH {TRACE}, done AS (SELECT face_id, pos // 30 - 1 AS chunk_id FROM trace WHERE pos > 0 AND pos % 30 = 0), hr AS ({SQL['chunk_hr_emission']}) SELECT face_id, chunk_id, last_value(heart_rate IGNORE NULLS) OVER (PARTITION BY face_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS heart_rate FROM done LEFT JOIN hr USING (face_id, chunk_id)"
 SQL["rolling_against_truth"] = f"WITH {TRACE}, {ROLL}, truth AS ({SQL['window_truth_stats']}) SELECT face_id, count(*) AS steps, round(sqrt(avg((roll_mean - mean_r) * (roll_mean - mean_r))), 5) AS rmse_mean, round(max(abs(roll_std - std_r)), 5) AS most_std FROM stats JOIN truth USING (face_id) WHERE stats.pos = truth.step * 30 + 29 GROUP BY 1"
+EXACT_CHUNKS = SQL["chunk_standardized"].replace("round((r - roll_mean) / (roll_std + 1e-7::DOUBLE), 5)", "(r - roll_mean) / (roll_std + 1e-7::DOUBLE)").replace("round(coalesce(d / diff_std, 0.0), 4)", "coalesce(d / diff_std, 0.0)")
+SQL["stream_chunk_rates"] = f"WITH sized AS (SELECT face_id, chunk_id, CAST(count(*) AS INTEGER) AS n, round(sum(abs(std_value)), 3) AS std_size, round(sum(abs(diff_value)), 3) AS diff_size FROM ({EXACT_CHUNKS}) GROUP BY ALL), held AS ({SQL['chunk_rates_held']}), hr AS ({SQL['chunk_hr_emission']}) SELECT s.face_id, s.chunk_id, n, std_size, diff_size, hr.face_id IS NOT NULL AS fresh, held.heart_rate FROM sized s JOIN held USING (face_id, chunk_id) LEFT JOIN hr ON hr.face_id = s.face_id AND hr.chunk_id = s.chunk_id"
+SQL["region_arrays"] = "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, array_to_string(list_transform(embedding, lambda v: lpad(hex(greatest(0, least(255, CAST(floor(v::DOUBLE * 64) AS BIGINT) + 128))), 2, '0')), '') AS pixels, 0::BIGINT AS shed FROM embeddings"
 #: `at` is a word of DuckDB's grammar.
 SQL = {name: re.sub(r"\bat\b", '"at"', text) for name, text in SQL.items()}
 #: Values that may round to minus zero here, where Spark has plain zero.

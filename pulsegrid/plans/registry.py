@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters, scalar
 from ..operators import geometry, pulse, reports, tracking, windows
-from ..session import table
-from ..streaming import heart_rate
+from ..session import gone_at_the_end, shared_dir, table
+from ..sources import frames
+from ..streaming import chunks, heart_rate
 from .oracles import SQL
 from .tables import SIZE, boxes, samples, trace_windows, traces
 
@@ -531,3 +534,27 @@ def stream_hr_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     samples_in = raw.select(F.col("user_id").alias("face_id"), F.col("event_id").alias("order"), F.round(F.col("value") * 100).alias("v"))
     return heart_rate.run_to_end(heart_rate.window_rates(samples_in, "face_id", "v", 16))
+
+
+@query
+def region_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes written as one array for each label, and read again as a stream of frames."""
+    level = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 64) + 128)))
+    pixels = F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    planes = table(spark, sf_dir, "embeddings").select(F.col("label").alias("run"), "vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), pixels.alias("pixels"))
+    folder = f"{shared_dir(spark)}/regions-{uuid.uuid4().hex}"
+    frames.write_regions(planes, folder, order=["vec_id"])
+    gone_at_the_end(spark, folder)
+    back = heart_rate.run_to_end(frames.read_frame_stream(spark, folder))
+    return back.select(F.col("video").cast("int").alias("label"), "frame_idx", "width", "height", F.hex("pixels").alias("pixels"), "shed")
+
+
+@query
+def stream_chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a stream of line items as they close: prepared against the state's rolling statistics, with the rate that is shown after each."""
+    raw = spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    items = raw.select(F.col("l_suppkey").alias("face_id"), F.col("l_quantity").alias("r"), *order)
+    out = heart_rate.run_to_end(chunks.chunk_rates(items, "face_id", "r", "l_shipdate", order, SIZE, SIZE))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + F.abs(v)), 3)
+    return out.select("face_id", "chunk_id", F.size("std").alias("n"), total("std").alias("std_size"), total("diff").alias("diff_size"), "fresh", "heart_rate")

@@ -28,3 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir("/tmp/pulsegrid-checkpoints")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def file_system(spark: SparkSession, path: str):
+    """The store that holds a path, and the path as it knows it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def gone_at_the_end(spark: SparkSession, path: str) -> str:
+    """The path of something that is there; it is deleted when the driver ends."""
+    store, where = file_system(spark, path)
+    store.deleteOnExit(where)
+    return path

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import filters
 from ..operators.tracking import OUT, Tracks, fold
-from ..session import shared_dir
+from ..session import file_system, gone_at_the_end, shared_dir
 
 
 def window_rates(stream: DataFrame, key: str, value: str, size: int, fps: float = 30.0, idle_seconds: int | None = None, step: int | None = None) -> DataFrame:
@@ -78,9 +78,12 @@ def sessions(stream: DataFrame, key: str, gap: str = "30 seconds", ts: str = "ts
 
 
 def run_to_end(out: DataFrame) -> DataFrame:
-    """Runs a stream over all there is, into files of the shared folder, and reads them."""
+    """Runs a stream over all there is, into files of the shared folder, and reads them; they go when the driver ends."""
     spark = out.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()
+    store, state = file_system(spark, f"{at}/state")
+    store.delete(state, True)
+    gone_at_the_end(spark, at)
     return spark.read.schema(out.schema).parquet(f"{at}/out")
