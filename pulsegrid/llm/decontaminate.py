@@ -3,20 +3,24 @@
 Texts and items are compared in lower case with blanks collapsed.  An item of m characters may
 differ from a passage by e = floor(rate * m) edits, but so few that its pieces keep eight
 characters.  Cut into e + 1 pieces, at least one piece of it stands unchanged in any such passage.
-One automaton finds all pieces in a text; around every hit Myers' bit-parallel recurrence,
-run over many windows at once, gives the least edit distance of the whole item.
-
-The items are taken in blocks of at most `BLOCK_BYTES`, so what is sent to the executors is
-bounded; each block takes one pass over the documents, in which every text is searched whole.
-
-Defined results: null and empty texts have no leaks, null and empty items match nothing;
-repeated items count by id, repeated rows give repeated rows; ties go to the earliest end; the length
-of a text or an item has no bound; an empty table gives no rows; other columns stay as they are, and
-where one is called `leaks` the result is `leaks_2`.
+One automaton finds all pieces in a text.  A piece that many items share (a prompt's phrase) makes all of them
+candidates at each of its hits, so candidates are sieved first: of an item's runs of four characters, of which an edit
+spoils one at most, all but e must stand in the text around the hit.  For what is left Myers' bit-parallel
+recurrence, run over many windows at once, gives the least edit distance of the whole item.
+
+The items are taken in blocks of at most `BLOCK_BYTES`. One pass over the documents searches every text whole for all of
+them: a worker holds `BATCH_BYTES` of texts and one block's automaton at a time.
+
+Defined results: null and empty texts have no leaks, null and empty items match nothing; an item without an id is found
+as any other and has a null item_id, each of its texts counting for itself; repeated items count by id, the best of their
+texts; repeated rows give repeated rows; ties go to the earliest end; the length of a text or an item has no bound; an empty table gives no
+rows; other columns stay as they are, and where one is called `leaks` the result is `leaks_2`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,12 +29,15 @@ from pyspark.sql import types as T
 
 from .common import columns, free, mapped, table
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 64 << 20
 RATE = 0.1
 LEAST_PIECE = 8
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 CHUNK, SYMBOLS = 1 << 14, 1 << 24  # windows verified at once, and characters in them
 ROWS_KEPT = 1 << 24
+#: Code points of text whose runs of four are looked up together, and items sieved at once.
+REGION, SIEVED = 1024, 20_000
+_FOUR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 def normal(text: Column) -> Column:
@@ -41,11 +48,18 @@ def budget(m: int, rate: float) -> int:
     return max(0, min(int(rate * m), m // LEAST_PIECE - 1))
 
 
+def fours(codes: np.ndarray) -> np.ndarray:
+    """16 bits of every run of four codes."""
+    c = codes.astype(np.uint32)
+    n = len(c) - 3
+    return (sum(c[k : n + k] * _FOUR[k] for k in range(4)) >> np.uint32(16)).astype(np.uint16) if n > 0 else np.zeros(0, np.uint16)
+
+
 class Items:
     """A block of items: the pieces, and each item's match masks by its own characters."""
 
-    def __init__(self, ids: list[int], texts: list[str], rate: float):
-        self.ids, self.texts = np.array(ids, np.int64), texts
+    def __init__(self, ids: list[int | None], texts: list[str], rate: float):
+        self.ids, self.texts = ids, texts
         self.length = np.array([len(t) for t in texts], np.int64)
         self.errors = np.array([budget(len(t), rate) for t in texts], np.int64)
         self.pieces: dict[str, list[tuple[int, int]]] = {}
@@ -61,7 +75,8 @@ class Items:
 
         self.automaton = ahocorasick.Automaton()
         for piece, where in self.pieces.items():
-            self.automaton.add_word(piece, (len(piece), where))
+            own = np.array(where, np.int64)
+            self.automaton.add_word(piece, (len(piece), own[:, 0], own[:, 1]))
         self.automaton.make_automaton()
         letters = sorted(set("".join(self.texts)))
         self.top = ord(letters[-1]) + 2
@@ -78,6 +93,11 @@ class Items:
             at = np.arange(len(p))
             row = (np.searchsorted(self.own[i], p) + 1) * self.n_words[i]
             np.bitwise_or.at(self.masks, self.start[i] + row + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        runs = [fours(p)[::4] for p in points]
+        self.fours = np.concatenate([np.zeros(0, np.uint16), *runs])
+        self.four_at = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
+        self.groups = {}
+        self.group = np.array([self.groups.setdefault((True, v) if v is not None else (False, i), len(self.groups)) for i, v in enumerate(self.ids)], np.int64)
 
     def rows_of(self, item: int) -> np.ndarray:
         """The item's row of masks for each letter of the block, 0 where the item hasn't the letter; as many are kept as fit `ROWS_KEPT` numbers."""
@@ -89,19 +109,46 @@ class Items:
             self.rows[item] = rows
         return self.rows[item]
 
-    def candidates(self, text: str) -> set[tuple[int, int]]:
-        """(item, slot) of all piece hits; a slot is a run of errors + 1 starts of the item."""
-        found = set()
-        for end, (n, where) in self.automaton.iter(text):
-            for i, s in where:
-                found.add((i, (end + 1 - n - s) // int(self.errors[i] + 1)))
-        return found
+    def candidates(self, text: str) -> np.ndarray:
+        """(item, slot) of all piece hits, each once; a slot is a run of errors + 1 starts of the item."""
+        begin, item, at = [], [], []
+        for end, (n, items, starts) in self.automaton.iter(text):
+            begin.append(np.full(len(items), end + 1 - n))
+            item.append(items)
+            at.append(starts)
+        if not begin:
+            return np.zeros((0, 2), np.int64)
+        i = np.concatenate(item)
+        slot = (np.concatenate(begin) - np.concatenate(at)) // (self.errors[i] + 1)
+        return np.unique(np.stack([i, slot], 1), axis=0)
+
+    def around(self, item: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each candidate's window begins, and its width."""
+        e = self.errors[item]
+        return np.maximum(slot * (e + 1) - e, 0), self.length[item] + 3 * e + 1
+
+    def plausible(self, text: np.ndarray, item: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Which candidates of a text have as many of their runs of four around as their errors must leave; others can't match."""
+        lo, width = self.around(item, slot)
+        good = np.zeros(len(item), bool)
+        region = lo // REGION
+        order = np.argsort(region, kind="stable")
+        edge = np.flatnonzero(np.diff(region[order], prepend=-1))
+        for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
+            for k in range(a, b, SIEVED):
+                own = order[k : min(b, k + SIEVED)]
+                there = np.zeros(1 << 16, np.int64)
+                there[fours(text[int(lo[own].min()) : int((lo[own] + width[own]).max())])] = 1
+                first, n = self.four_at[item[own]], np.diff(self.four_at)[item[own]]
+                flat = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                seen = np.concatenate([[0], np.cumsum(there[self.fours[flat]])])
+                at = np.concatenate([[0], np.cumsum(n)])
+                good[own] = seen[at[1:]] - seen[at[:-1]] >= n - self.errors[item[own]]
+        return good
 
     def verify(self, texts: list[np.ndarray], doc: np.ndarray, item: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least distance of each candidate's item in its window, and where the first such passage ends."""
-        e = self.errors[item]
-        lo = np.maximum(slot * (e + 1) - e, 0)
-        width = self.length[item] + 3 * e + 1
+        lo, width = self.around(item, slot)
         best, where = np.full(len(item), np.iinfo(np.int32).max, np.int64), np.zeros(len(item), np.int64)
         order = np.lexsort((width, self.n_words[item]))
         for a in range(0, len(order), CHUNK):
@@ -174,65 +221,105 @@ class Items:
         return self.code[np.minimum(points, self.top - 1)]
 
 
-def leaks(items: Items, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+def leaks(items: Items, texts: list[str | None]) -> list[list[tuple[int | None, int, int]]]:
     """(item id, distance, end) of each item within its budget, for each text."""
     doc, item, slot, codes = [], [], [], {}
     for d, text in enumerate(texts):
         found = items.candidates(text) if text else ()
-        if found:
-            codes[d] = items.encoded(text)
-            for i, s in found:
-                doc.append(d)
-                item.append(i)
-                slot.append(s)
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        if len(found):
+            code = items.encoded(text)
+            good = items.plausible(code, found[:, 0], found[:, 1])
+            if good.any():
+                codes[d] = code
+                doc.append(np.full(int(good.sum()), d))
+                item.append(found[good, 0])
+                slot.append(found[good, 1])
+    out: list[list[tuple[int | None, int, int]]] = [[] for _ in texts]
     if not doc:
         return out
-    doc, item, slot = np.array(doc), np.array(item), np.array(slot)
+    doc, item, slot = np.concatenate(doc), np.concatenate(item), np.concatenate(slot)
     best, end = items.verify(codes, doc, item, slot)
     good = np.flatnonzero(best <= items.errors[item])
-    for k in good[np.lexsort((end[good], best[good], item[good], doc[good]))]:
-        row = out[doc[k]]
-        if not row or row[-1][0] != items.ids[item[k]]:
-            row.append((int(items.ids[item[k]]), int(best[k]), int(end[k])))
+    group = items.group[item]
+    last = (-1, -1)
+    for k in good[np.lexsort((end[good], best[good], group[good], doc[good]))]:
+        if last != (doc[k], group[k]):
+            last = (doc[k], group[k])
+            out[doc[k]].append((items.ids[item[k]], int(best[k]), int(end[k])))
+    return [sorted(row, key=_by_item) for row in out]
+
+
+def _by_item(leak: tuple[int | None, int, int]) -> tuple:
+    return leak[0] is None, leak[0] or 0, leak[1], leak[2]
+
+
+def joined(parts: list[list[tuple[int | None, int, int]]]) -> list[tuple[int | None, int, int]]:
+    """The leaks of one text over all blocks: the best of each id; leaks without an id stay for themselves."""
+    out: list[tuple[int | None, int, int]] = []
+    for leak in sorted((x for p in parts for x in p), key=_by_item):
+        if leak[0] is None or not out or out[-1][0] != leak[0]:
+            out.append(leak)
     return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs with `leaks`: (item_id, distance, end in the compared text) of every item found, by item."""
+    """docs with `leaks`: (item_id, distance, end in the compared text) of every item found, by item, those without an id last."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", normal(F.col("text")).alias("text")).where(F.length("text") > 0).where(F.col("item_id").isNotNull()).distinct()
+    items = benchmark.select("item_id", normal(F.col("text")).alias("text")).where(F.length("text") > 0).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-size // BLOCK_BYTES)
-    names = docs.columns
-    out = docs.select(*columns(names), normal(F.col("text")).alias(free(docs, "norm")), F.array().cast(LEAK).alias(free(docs, "leaks")))
+    shared = []
     for b in range(n_blocks):
-        rows = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect()))
+        rows = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if rows:
-            out = _one_pass(out, spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], rate)))
-    return out.select(*columns(names), *columns(out.columns[-1:]))
+            shared.append(spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], rate)))  # BLOCK_BYTES of texts
+    names, found = docs.columns, free(docs, "leaks")
+    schema = docs.select(*columns(names), F.array().cast(LEAK).alias(found)).schema
+    return mapped(docs.select(*columns(names), normal(F.col("text")).alias(found)), _search(shared, schema.names), schema)
 
 
-def _one_pass(docs: DataFrame, shared) -> DataFrame:
-    """docs, whose last two columns are the compared text and the leaks found so far, with those of one block of items."""
-    schema = docs.schema
+def _search(shared: list, names: list[str]):
+    """The leaks of batches whose last column is the compared text."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches):
-        items = shared.value
-        if not hasattr(items, "automaton"):
-            items.prepare()
+    def of(texts: pa.Array) -> pa.Array:
+        rows: dict[int, list] = {}
+        for block in shared:
+            items = block.value
+            if not hasattr(items, "automaton"):
+                items.prepare()
+            for lo in range(0, len(texts), 1000):
+                for i, found in enumerate(leaks(items, texts.slice(lo, 1000).to_pylist()), lo):
+                    if found:
+                        rows.setdefault(i, []).append(found)
+            if len(shared) > 1:  # one block is held at a time; it is read again from the executor's copy
+                vars(block).pop("_value", None)
+        size = np.zeros(len(texts) + 1, np.int32)
+        all_ = []
+        for i in sorted(rows):
+            own = joined(rows[i])
+            size[i + 1] = len(own)
+            all_ += own
+        values = pa.StructArray.from_arrays([pa.array([x[k] for x in all_], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), values)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches as they come, or for several blocks as many at once as BATCH_BYTES hold."""
+        held, size = [], 0
         for batch in batches:
-            norm = batch.column(batch.num_columns - 2)
-            new = []
-            for lo in range(0, len(norm), 1000):
-                new += leaks(items, norm.slice(lo, 1000).to_pylist())
-            old = batch.column(batch.num_columns - 1).to_pylist()
-            merged = [sorted([*map(tuple, map(dict.values, a or [])), *b]) for a, b in zip(old, new, strict=True)]
-            lists = pa.array([[dict(zip(("item_id", "distance", "end"), x, strict=True)) for x in row] for row in merged], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=schema.names)
-
-    return mapped(docs, run, schema)
+            held.append(batch)
+            size += batch.column(batch.num_columns - 1).nbytes
+            if len(shared) < 2 or size > BATCH_BYTES:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def run(batches):
+        for batch in gathered(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], of(batch.column(batch.num_columns - 1))], names=names)
+
+    return run
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
