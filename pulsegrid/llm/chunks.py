@@ -18,9 +18,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import gone_at_the_end
 from .common import made, partitions, shared_dir, shuffle_files_let_go
 
 CHUNK_BYTES = 4 << 20
@@ -28,10 +30,21 @@ CHUNK_BYTES = 4 << 20
 MOST_CHUNKS = 100_000
 
 
+def row_place(docs: DataFrame) -> Column | None:
+    """A hash of each row's file and its place in it, the same however the scan is split; None where docs isn't read straight from files."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    try:
+        docs.select(place)
+    except AnalysisException:
+        return None
+    return place
+
+
 class Chunked:
     """A table by chunk: (chunk, doc_id, order, text, ..); `order` is a hash of id and text.
 
-    Written in buckets by chunk, it is read again and again without a shuffle; else each pass shuffles, and less is on disk at once.
+    Written in buckets by chunk, it is read again and again without a shuffle; else each pass shuffles, and less is
+    on disk at once. Passes must find the same chunks, so for that rows need places in files; where they have none the table is written.
     """
 
     def __init__(self, docs: DataFrame, extra: Sequence[str] = (), chunk_bytes: int = CHUNK_BYTES, bucketed: bool = True):
@@ -42,7 +55,9 @@ class Chunked:
         n = min(most, self.n_chunks, max(partitions(spark), self.n_chunks // 4))
         self.name = f"chunks_{uuid.uuid4().hex}"
         order = F.xxhash64("doc_id", "text")
-        chunk = F.pmod(F.xxhash64(order, F.spark_partition_id()), F.lit(self.n_chunks)).cast("int")
+        place = None if bucketed else row_place(docs)
+        bucketed = place is None
+        chunk = F.pmod(F.xxhash64(order, F.spark_partition_id() if bucketed else place), F.lit(self.n_chunks)).cast("int")
         rows = docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long"), order.alias("order"), "text", *extra)
         if not bucketed:
             self.table = rows
@@ -50,7 +65,7 @@ class Chunked:
         path = f"{shared_dir(spark)}/{self.name}"
         with shuffle_files_let_go(spark):
             rows.repartition(n, "chunk").write.bucketBy(n, "chunk").option("compression", "zstd").option("path", path).saveAsTable(self.name)
-        made(path, self.name)
+        made(gone_at_the_end(spark, path), self.name)
         self.table = spark.table(self.name)
 
     def each(self, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, table
+from ..session import file_system, gone_at_the_end, shared_dir, table
 
-__all__ = ["bounded", "columns", "fitted", "fold", "free", "n_words", "made", "mapped", "partitions", "settled", "shared_dir", "shuffle_files_let_go", "stored", "table"]
+__all__ = ["bounded", "columns", "fitted", "fold", "free", "let_go", "n_words", "made", "mapped", "partitions", "settled", "shared_dir", "shuffle_files_let_go", "stored", "table"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,12 +40,12 @@ def shuffle_files_let_go(spark: SparkSession):
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage, survives lost executors."""
+    """df written once to the shared folder and read back: cuts lineage, survives lost executors; it goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     with shuffle_files_let_go(spark):
         df.write.option("compression", "zstd").parquet(path)
-    made(path)
+    made(gone_at_the_end(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,15 +62,30 @@ def settled(plan: Callable[[], DataFrame]) -> DataFrame:
     finally:
         _MADE.pop()
     for path, name in own:
-        if name:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _drop(spark, path, name)
     if _MADE:
         _MADE[-1] += kept
     return out
 
 
+@contextmanager
+def let_go(spark: SparkSession):
+    """What is stored inside is deleted when it is over; nothing that is read later may rest on it."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path, name in _MADE.pop():
+            _drop(spark, path, name)
+
+
+def _drop(spark: SparkSession, path: str, name: str | None) -> None:
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    store, where = file_system(spark, path)
+    store.delete(where, True)
+
+
 def columns(names: Iterable[str]) -> list[Column]:
     """Columns by their exact names, dots and backticks included."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in names]

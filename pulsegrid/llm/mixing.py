@@ -82,9 +82,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     its demand ends, so a source's taken words are its target rounded to a word. Columns
     named in `keep` are carried along.
     """
-    own = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h"), F.xxhash64("text").alias("_t"), *[c.alias(f"_keep_{i}") for i, c in enumerate(columns(keep))])
+    place = F.xxhash64(F.xxhash64("doc_id", "text"), F.lit(seed))  # of id and text: rows without an id, or of one id, spread over all slices
+    own = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), place.alias("_h"), F.xxhash64("text").alias("_t"), *[c.alias(f"_keep_{i}") for i, c in enumerate(columns(keep))])
     own = own.withColumn("_slice", F.pmod("_h", F.lit(SLICES)))
-    slices = docs.select("source", n_words(F.col("text")).alias("size"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(SLICES)).alias("_slice")).groupBy("source", "_slice").agg(F.sum("size").alias("_words"))
+    slices = docs.select("source", n_words(F.col("text")).alias("size"), F.pmod(place, F.lit(SLICES)).alias("_slice")).groupBy("source", "_slice").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select("source", "_slice", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before"))
     targets = with_schedule(source_targets(slices.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, budget, cap), curriculum)

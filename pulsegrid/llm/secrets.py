@@ -19,6 +19,8 @@ fixed bins; candidates beyond it are added as kind `random`.
 Work is linear in the text, or nearly so in the number of matches (n^(4/3) for prefix sums within
 one text): places come from scans in blocks, and texts are put together from pieces once.
 
+A secret itself is never written: `found` holds as many asterisks as it has characters, `LENGTHS[-1]` at most.
+
 Defined results: null and empty texts have no spans and the digest of the empty string; repeated
 rows give repeated rows; an empty table gives no rows; other columns stay as they are, and where one is
 called `secrets` the result is `secrets_2`.
@@ -31,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns, free, stored, table
+from .common import columns, free, settled, stored, table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind, pattern and whether a match counts; in the order in which equal starts are listed.
@@ -157,12 +159,16 @@ def found_in(text: Column) -> Column:
     return F.array_sort(F.concat(*kinds))
 
 
+def masked(found: Column) -> Column:
+    return F.repeat(F.lit("*"), F.least(F.length(found), F.lit(LENGTHS[-1])))
+
+
 def _counts(holds):
     return lambda m: holds(m["found"])
 
 
 def _spans(found: Column, rank: int, kind: str, bin_of) -> Column:
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["found"].alias("found"), bin_of(m).alias("bin")))
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), masked(m["found"]).alias("found"), bin_of(m).alias("bin")))
 
 
 def thresholds(found: DataFrame, rate: float) -> dict[int, int]:
@@ -182,10 +188,12 @@ def thresholds(found: DataFrame, rate: float) -> dict[int, int]:
 def scan(docs: DataFrame, rate: float = 0.001, keep: Sequence[str] | None = None) -> DataFrame:
     """Adds `secrets`, an array of (start, rank, kind, end, found) ordered by start and kind, to docs or to its columns named in `keep`.
 
-    Texts are searched once: what is found is written to the shared folder before the thresholds are known.
+    With `keep`, texts are searched once and the spans are written to the shared folder, beside the kept columns, before the
+    thresholds are known; without it, texts are searched for the thresholds and again for the spans, and nothing is written.
     """
     names, name = docs.columns if keep is None else list(keep), free(docs, "secrets")
-    found = stored(docs.select(*columns(names), found_in(F.coalesce("text", F.lit(""))).alias(name)))
+    found = docs.select(*columns(names), found_in(F.coalesce("text", F.lit(""))).alias(name))
+    found = found if keep is None else stored(found)
     least = thresholds(found.select(*columns([name])), rate)
 
     def holds(s: Column) -> Column:
@@ -235,7 +243,7 @@ def redact(docs: DataFrame, rate: float = 0.001, mark: str = "<secret>") -> Data
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    found = settled(lambda: scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("secrets", lambda s: s["kind"] != "random")
     return found.select("doc_id", *[of(k).alias(f"n_{k}") for k, _, _ in BASE], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), of("random").alias("n_random"))

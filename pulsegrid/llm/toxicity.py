@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bounded, columns, fitted, fold, free, mapped, stored, table
+from .common import bounded, columns, fitted, fold, free, let_go, mapped, stored, table
 
 #: Documents of each label that the network is fitted on, and bytes of their texts.
 SAMPLE, SAMPLE_BYTES = 3000, 48 << 20
@@ -216,7 +216,7 @@ def cut(logits: np.ndarray, labels: np.ndarray, otherwise: float) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fits on labelled rows outside the held-out fold, at most `sample` of each label, by hash of the id."""
+    """Fits on labelled rows outside the held-out fold, at most `sample` of each label, by hash of the id; of several labels of an id the largest counts."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 1)
     h = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -225,15 +225,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     share = F.lit(0)
     for label in (0, 1):
         share = F.when(F.col("toxic") == label, F.lit(int(min(1.0, sample / sizes[label]) * (1 << 30)))).otherwise(share)
-    chosen = stored(known.where(h < share))  # ids and labels alone: Spark sees that they are small and shuffles no text for them
-    texts = docs.where((fold() != 1) & F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("text"), "lang")
-    rows = bounded(texts.join(chosen, "doc_id"), "toxic", SAMPLE_BYTES).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(5)))
 
     def on_sample(rows: pa.Table) -> Model | None:
         y = rows["toxic"].to_numpy().astype(np.float32)
         return fit(rows["text"].combine_chunks(), y, rows["lang"].to_pylist(), rows["part"].to_numpy()) if y.min() != y.max() else None
 
-    return fitted(rows, on_sample)
+    with let_go(docs.sparkSession):
+        chosen = stored(known.where(h < share))  # ids and labels alone: Spark sees that they are small and shuffles no text for them
+        texts = docs.where((fold() != 1) & F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("text"), "lang")
+        rows = bounded(texts.join(chosen, "doc_id"), "toxic", SAMPLE_BYTES).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(5)))
+        return fitted(rows, on_sample)
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
