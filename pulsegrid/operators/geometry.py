@@ -149,13 +149,13 @@ def suppressed(df: DataFrame, keys: Sequence[str], most: float = 0.6, ident: str
     return df.groupBy(*keys).applyInPandas(one, df.schema)
 
 
-def faces_by_frame(decoded: DataFrame, keys: Sequence[str], w: int, h: int, least: float, most: float, ident: str = "det") -> DataFrame:
+def faces_by_frame(decoded: DataFrame, keys: Sequence[str], w: int, h: int, least: float, most: float, ident: str = "det", strict: bool = False) -> DataFrame:
     """(keys, faces): each frame's faces as (score, x1, y1, x2, y2) in its own whole pixels, by score.
 
-    decoded has boxes in pixels of the w x h input, score and the image's size (iw, ih); boxes under the least score go,
-    the rest is suppressed frame by frame. A frame without a face gives no row.
+    decoded has boxes in pixels of the w x h input, score and the image's size (iw, ih); boxes under the least score go, with
+    `strict` those of just that score as well; the rest is suppressed frame by frame. A frame without a face gives no row.
     """
-    alive = suppressed(decoded.where(F.col("score") >= least).select(*keys, ident, "score", "iw", "ih", "x1", "y1", "x2", "y2"), keys, most, ident)
+    alive = suppressed(decoded.where(F.col("score") > least if strict else F.col("score") >= least).select(*keys, ident, "score", "iw", "ih", "x1", "y1", "x2", "y2"), keys, most, ident)
     back = letterbox(alive, w, h)
     for k in ("1", "2"):
         back = unletterbox(back, f"x{k}", f"y{k}", w, h).withColumns({f"_x{k}": F.col("ox").cast("int"), f"_y{k}": F.col("oy").cast("int")}).drop("ox", "oy")

@@ -128,14 +128,14 @@ walk AS (SELECT frame_idx, k, [{box}] AS kept FROM ranked r WHERE k = 1
 alive AS (SELECT frame_idx, unnest(kept).det AS det FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY k DESC) AS n FROM walk) WHERE n = 1)"""
 
 
-def detector(anchors: int, base: int, table: str, decoded: str, w: int, h: int) -> str:
+def detector(anchors: int, base: int, table: str, decoded: str, w: int, h: int, passes: str) -> str:
     """Faces of each frame, listed by score."""
     back = lambda c, d, side, most: f"trunc(CASE WHEN iw = {w} AND ih = {h} THEN {side} * least(1, greatest(0, {c} / {most})) ELSE least(greatest(0, ({c} - {d}) / gain), {side}) END)::INTEGER"
     return f"""WITH RECURSIVE {raw(anchors)}, a AS ({table}),
 framed AS (SELECT *, l_orderkey // 8 AS frame_idx, row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber, l_partkey, d0, d1, d2, d3) AS det FROM raw),
 scored AS (SELECT * EXCLUDE (anchor_id), anchor_id + {base} AS anchor_id, round((l_partkey * 7919 + det * 131) % 1000 / 1000.0::DOUBLE, 3) AS score, ((frame_idx % 5 + 3) * 160)::INTEGER AS iw, ((frame_idx % 4 + 3) * 160)::INTEGER AS ih FROM framed),
 {decoded},
-good AS (SELECT frame_idx, det, score, iw, ih, x1, y1, x2, y2 FROM boxed WHERE score >= 0.5), {suppressed("good", 0.4)},
+good AS (SELECT frame_idx, det, score, iw, ih, x1, y1, x2, y2 FROM boxed WHERE score {passes} 0.5), {suppressed("good", 0.4)},
 l1 AS (SELECT good.*, least({w}::DOUBLE / iw, {h}::DOUBLE / ih) AS scale FROM good JOIN alive USING (frame_idx, det)),
 l2 AS (SELECT *, least(CAST(round_even(iw * scale, 0) AS INTEGER), {w}) AS nw, least(CAST(round_even(ih * scale, 0) AS INTEGER), {h}) AS nh FROM l1),
 l3 AS (SELECT *, least(nh::DOUBLE / ih, nw::DOUBLE / iw) AS gain, CASE WHEN ih != iw THEN ({w} - nw) // 2 ELSE 0 END AS dx, CASE WHEN ih != iw THEN ({h} - nh) // 2 ELSE 0 END AS dy FROM l2),
@@ -147,6 +147,32 @@ BY_DISTANCE = "boxed AS (SELECT *, (cx - d0 * sx) * 640 AS x1, (cy - d1 * sy) *
 BY_VARIANCE = """z0 AS (SELECT *, sx * exp(d2 * 0.2::DOUBLE) AS bw, sy * exp(d3 * 0.2::DOUBLE) AS bh FROM scored JOIN a USING (anchor_id)),
 z1 AS (SELECT *, cx + d0 * 0.1::DOUBLE * sx - bw / 2 AS u, cy + d1 * 0.1::DOUBLE * sy - bh / 2 AS v FROM z0),
 boxed AS (SELECT *, u * 1280 AS x1, v * 736 AS y1, (bw + u) * 1280 AS x2, (bh + v) * 736 AS y2 FROM z1)"""
+
+
+def planes(w: int, h: int, boxes: str, score: str, mark: str, decoded: str, marks: str, passes: str, category: int, label: str) -> str:
+    """Faces from planes: every value of every anchor by its place in the bytes, for two anchors to a cell."""
+    grids = " UNION ALL ".join(f"SELECT {s} AS stride, {k} AS nth, {sum((w // t) * (h // t) * 2 for t in (8, 16, 32) if t < s)} + i AS anchor_id, i, i // 2 % {w // s} AS col, i // 2 // {w // s} AS line FROM range({(w // s) * (h // s) * 2}) t(i)" for k, s in enumerate((8, 16, 32)))
+    value = lambda j, layer, n: f"level[((i * {n} + {j}) * 7 + (nth * 3 + {layer}) * 13) % 64 + 1]"
+    logits = 1 if score.count("s1") == 0 else 2
+    raw_ = [boxes.format(value(j, 0, 4)) + f" AS d{j}" for j in range(4)] + [f"{value(j, 1, logits)} AS s{j}" for j in range(logits)] + [mark.format(value(j, 2, 10)) + f" AS q{j}" for j in range(10)]
+    back = lambda c, d, side, most: f"trunc(CASE WHEN iw = {w} AND ih = {h} THEN {side} * least(1, greatest(0, {c} / {most})) ELSE least(greatest(0, ({c} - {d}) / gain), {side}) END)::INTEGER"
+    listed = " || ',' || ".join(f"printf('%.3f', round({marks.format(f'q{2 * i}', 'cx', 'sx', w)}, 3) + 0.0) || ':' || printf('%.3f', round({marks.format(f'q{2 * i + 1}', 'cy', 'sy', h)}, 3) + 0.0)" for i in range(5))
+    return f"""WITH RECURSIVE e AS (SELECT vec_id AS frame_idx, list_transform(embedding, lambda v: (CAST(floor(v::DOUBLE * 4096) AS BIGINT) % 256 + 256) % 256) AS level FROM embeddings),
+g AS ({grids}), r AS (SELECT frame_idx, anchor_id, stride, i, col, line, {', '.join(raw_)} FROM e, g), p AS (SELECT *, {score} AS score FROM r),
+kept AS (SELECT * FROM p WHERE score {passes}), {decoded},
+good AS (SELECT frame_idx, anchor_id AS det, score, x1, y1, x2, y2, {listed} AS landmarks FROM boxed), {suppressed("good", 0.4)},
+l1 AS (SELECT good.*, ((frame_idx % 5 + 3) * 160)::INTEGER AS iw, ((frame_idx % 4 + 3) * 160)::INTEGER AS ih FROM good JOIN alive USING (frame_idx, det)),
+l2 AS (SELECT *, least(CAST(round_even(iw * least({w}::DOUBLE / iw, {h}::DOUBLE / ih), 0) AS INTEGER), {w}) AS nw, least(CAST(round_even(ih * least({w}::DOUBLE / iw, {h}::DOUBLE / ih), 0) AS INTEGER), {h}) AS nh FROM l1),
+l3 AS (SELECT *, least(nh::DOUBLE / ih, nw::DOUBLE / iw) AS gain, CASE WHEN ih != iw THEN ({w} - nw) // 2 ELSE 0 END AS dx, CASE WHEN ih != iw THEN ({h} - nh) // 2 ELSE 0 END AS dy FROM l2)
+SELECT frame_idx, CAST(row_number() OVER (PARTITION BY frame_idx ORDER BY score DESC, det) - 1 AS INTEGER) AS face, CAST({category} AS INTEGER) AS category_id, '{label}' AS label, round(score, 6) AS score,
+       {back("x1", "dx", "iw", w)} AS x1, {back("y1", "dy", "ih", h)} AS y1, {back("x2", "dx", "iw", w)} AS x2, {back("y2", "dy", "ih", h)} AS y2, landmarks FROM l3"""
+
+
+FACES_BY_DISTANCE = """a AS (SELECT *, col * stride / 64.0::DOUBLE AS cx, line * stride / 64.0::DOUBLE AS cy, stride / 64.0::DOUBLE AS sx, stride / 64.0::DOUBLE AS sy FROM kept),
+boxed AS (SELECT *, (cx - d0 * sx) * 64 AS x1, (cy - d1 * sy) * 64 AS y1, (cx + d2 * sx) * 64 AS x2, (cy + d3 * sy) * 64 AS y2 FROM a)"""
+FACES_BY_VARIANCE = """a AS (SELECT *, (col + 0.5::DOUBLE) * stride / 96 AS cx, (line + 0.5::DOUBLE) * stride / 64 AS cy, (stride * CASE WHEN i % 2 = 0 THEN CASE stride WHEN 8 THEN 2 WHEN 16 THEN 4 ELSE 8 END ELSE CASE stride WHEN 8 THEN 4 WHEN 16 THEN 8 ELSE 16 END END) / 96.0::DOUBLE AS sx, (stride * CASE WHEN i % 2 = 0 THEN CASE stride WHEN 8 THEN 2 WHEN 16 THEN 4 ELSE 8 END ELSE CASE stride WHEN 8 THEN 4 WHEN 16 THEN 8 ELSE 16 END END) / 64.0::DOUBLE AS sy FROM kept),
+z0 AS (SELECT *, sx * exp(d2 * 0.2::DOUBLE) AS bw, sy * exp(d3 * 0.2::DOUBLE) AS bh FROM a), z1 AS (SELECT *, cx + d0 * 0.1::DOUBLE * sx - bw / 2 AS u, cy + d1 * 0.1::DOUBLE * sy - bh / 2 AS v FROM z0),
+boxed AS (SELECT *, u * 96 AS x1, v * 64 AS y1, (bw + u) * 96 AS x2, (bh + v) * 64 AS y2 FROM z1)"""
 COLOURS = "[0,255,0],[0,0,255],[255,0,0],[0,255,255],[255,0,255],[255,255,0],[0,165,255],[128,0,128],[203,192,255],[0,255,127],[147,20,255],[255,144,30],[0,69,255],[50,205,50],[0,215,255]"
 EPOCH = "epoch_us(ts)"
 RUNS = "runs AS (SELECT o_custkey AS run_id, count(*)::DOUBLE AS n, sum(round(o_totalprice)) AS total, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)::DOUBLE AS skipped FROM orders GROUP BY 1)"
@@ -174,8 +200,8 @@ SQL = {
     "chrom_projection": f"WITH {WINDOWS}, x AS (SELECT *, unnest([at // 24 - 1, at // 24]) AS i FROM w), y AS (SELECT *, at - i * 24 AS j, r / avg(r) OVER z AS nr, g / avg(g) OVER z AS ng, b / avg(b) OVER z AS nb FROM x WHERE i >= 0 AND i < 6 WINDOW z AS (PARTITION BY face_id, win_id, i)), p AS (SELECT *, 3 * nr - 2 * ng AS xs, 1.5::DOUBLE * nr + ng - 1.5::DOUBLE * nb AS ys FROM y), q AS (SELECT *, (xs - stddev_pop(xs) OVER z / stddev_pop(ys) OVER z * ys) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 47)) AS sw FROM p WINDOW z AS (PARTITION BY face_id, win_id, i)) SELECT face_id, win_id, at, round(sum(sw), 4) AS s FROM q GROUP BY ALL",
     "chrom_heart_rate": chrom_rate(),
     "nms": f"WITH RECURSIVE {BOXES}, {suppressed('b', 0.3)} SELECT b.* FROM b JOIN alive USING (frame_idx, det)",
-    "distance_detector": detector(800, 16000, GRID, BY_DISTANCE, 640, 640),
-    "variance_detector": detector(1840, 36800, PRIORS, BY_VARIANCE, 1280, 736),
+    "distance_detector": detector(800, 16000, GRID, BY_DISTANCE, 640, 640, ">="),
+    "variance_detector": detector(1840, 36800, PRIORS, BY_VARIANCE, 1280, 736, ">"),
     "corner_boxes": f"WITH {BOXES}, r AS (SELECT *, trunc(x1 / 1000.0::DOUBLE * 640)::INTEGER AS ax1, trunc(y1 / 1000.0::DOUBLE * 360)::INTEGER AS ay1, trunc((x2 - x1) / 1000.0::DOUBLE * 640)::INTEGER AS aw, trunc((y2 - y1) / 1000.0::DOUBLE * 360)::INTEGER AS ah FROM b) SELECT frame_idx, det, x1, y1, x2, y2, ax1, ay1, ax1 + aw AS ax2, ay1 + ah AS ay2 FROM r",
     "stream_hr_state": f"WITH n AS (SELECT user_id AS face_id, round(value * 100) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events), w AS (SELECT face_id, pos // 16 AS win_id, pos % 16 AS at, v FROM n WHERE pos < n // 16 * 16), power AS (SELECT face_id, win_id, k, pow(sum(v * cos(2 * pi() * k * at / 16)), 2) + pow(sum(v * sin(2 * pi() * k * at / 16)), 2) AS p FROM w, (SELECT unnest(range(1, 9)) AS k) WHERE k * 30 / 16.0 BETWEEN 0.75 AND 2.5 GROUP BY ALL) SELECT face_id, win_id, CAST(arg_max(k, struct_pack(p := p, k := -k)) AS INTEGER) AS bin, arg_max(k, struct_pack(p := p, k := -k)) * 112.5::DOUBLE AS heart_rate FROM power GROUP BY ALL",
     "moving_average_signal": f"WITH {WINDOWS} SELECT face_id, win_id, at, round(sum(r) OVER (PARTITION BY face_id, win_id ORDER BY at ROWS BETWEEN 30 PRECEDING AND 29 FOLLOWING) / 60, 6) AS smooth FROM w",
@@ -229,6 +255,8 @@ SQL["chunk_rates_held"] = f"WITH {TRACE}, done AS (SELECT face_id, pos // 30 - 1
 SQL["rolling_against_truth"] = f"WITH {TRACE}, {ROLL}, truth AS ({SQL['window_truth_stats']}) SELECT face_id, count(*) AS steps, round(sqrt(avg((roll_mean - mean_r) * (roll_mean - mean_r))), 5) AS rmse_mean, round(max(abs(roll_std - std_r)), 5) AS most_std FROM stats JOIN truth USING (face_id) WHERE stats.pos = truth.step * 30 + 29 GROUP BY 1"
 EXACT_CHUNKS = SQL["chunk_standardized"].replace("round((r - roll_mean) / (roll_std + 1e-7::DOUBLE), 5)", "(r - roll_mean) / (roll_std + 1e-7::DOUBLE)").replace("round(coalesce(d / diff_std, 0.0), 4)", "coalesce(d / diff_std, 0.0)")
 SQL["stream_chunk_rates"] = f"WITH sized AS (SELECT face_id, chunk_id, CAST(count(*) AS INTEGER) AS n, round(sum(abs(std_value)), 3) AS std_size, round(sum(abs(diff_value)), 3) AS diff_size FROM ({EXACT_CHUNKS}) GROUP BY ALL), held AS ({SQL['chunk_rates_held']}), hr AS ({SQL['chunk_hr_emission']}) SELECT s.face_id, s.chunk_id, n, std_size, diff_size, hr.face_id IS NOT NULL AS fresh, held.heart_rate FROM sized s JOIN held USING (face_id, chunk_id) LEFT JOIN hr ON hr.face_id = s.face_id AND hr.chunk_id = s.chunk_id"
+SQL["distance_faces"] = planes(64, 64, "{} / 64.0::DOUBLE", "s0 / 256.0::DOUBLE", "({} - 128) / 64.0::DOUBLE", FACES_BY_DISTANCE, "({1} + {0} * {2}) * {3}", ">= 0.96875", 0, "face")
+SQL["variance_faces"] = planes(96, 64, "({} - 128) / 32.0::DOUBLE", "1 / (exp((s0 - s1) / 64.0::DOUBLE) + 1)", "({} - 128) / 64.0::DOUBLE", FACES_BY_VARIANCE, "({1} + {0} * 0.1::DOUBLE * {2}) * {3}", "> 0.95", 1, "class_1")
 SQL["region_arrays"] = "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, array_to_string(list_transform(embedding, lambda v: lpad(hex(greatest(0, least(255, CAST(floor(v::DOUBLE * 64) AS BIGINT) + 128))), 2, '0')), '') AS pixels, 0::BIGINT AS shed FROM embeddings"
 #: `at` is a word of DuckDB's grammar.
 SQL = {name: re.sub(r"\bat\b", '"at"', text) for name, text in SQL.items()}

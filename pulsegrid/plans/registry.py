@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters, scalar
-from ..operators import geometry, pulse, reports, tracking, windows
+from ..operators import detections, geometry, pulse, reports, tracking, windows
 from ..session import gone_at_the_end, shared_dir, table
 from ..sources import frames
 from ..streaming import chunks, heart_rate
@@ -347,7 +347,44 @@ def variance_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _frame_keys(_raw(spark, sf_dir, 1840)).withColumn("anchor_id", F.col("anchor_id") + 36800)
     decoded = geometry.variance_boxes(raw.join(F.broadcast(geometry.prior_boxes(spark)), "anchor_id"))  # 38640 rows by construction
     pixels = decoded.withColumns({c: F.col(c) * size for c, size in (("x1", 1280), ("y1", 736), ("x2", 1280), ("y2", 736))})
-    return _listed(geometry.faces_by_frame(pixels, ["frame_idx"], 1280, 736, 0.5, 0.4))
+    return _listed(geometry.faces_by_frame(pixels, ["frame_idx"], 1280, 736, 0.5, 0.4, strict=True))
+
+
+def _planes(spark: SparkSession, sf_dir: str, layers, shapes, bytes_to_values) -> DataFrame:
+    """Output planes of a frame for each vector: byte j of layer k is taken from entry 7j + 13k, in 256 steps of 1/4096."""
+    level = F.transform("embedding", lambda v: F.pmod(F.floor(v.cast("double") * 4096), F.lit(256)))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_idx"), level.alias("level"))
+    each = [F.struct(F.lit(name).alias("layer"), F.lit(k).alias("k"), F.lit(n).alias("cells"), F.lit(c).alias("channels"), F.lit(zero).alias("zero"), F.lit(scale).alias("scale")) for k, (name, (n, c), (zero, scale)) in enumerate(zip(layers, shapes, bytes_to_values, strict=True))]
+    placed = rows.select("frame_idx", "level", F.explode(F.array(*each)).alias("p")).select("frame_idx", "level", "p.*")
+    byte = lambda j: F.lpad(F.hex(F.get("level", F.pmod(j * 7 + F.col("k") * 13, F.lit(64)).cast("int"))), 2, "0")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.col("cells") * F.col("channels") - 1), byte), ""))
+    return placed.select("frame_idx", "layer", "channels", data.alias("data"), "zero", "scale")
+
+
+def _faces(spark: SparkSession, sf_dir: str, detector: detections.Detector, values) -> DataFrame:
+    """One row for each face, from planes whose values are given for boxes, scores and landmarks."""
+    logits = 1 if detector.kind == "distance" else 2
+    shapes = [((detector.width // s) * (detector.height // s), c * len(own)) for s, own in zip(detector.steps, detector.sizes, strict=True) for c in (4, logits, 10)]
+    planes = _planes(spark, sf_dir, detector.layers, shapes, values * len(detector.steps))
+    frame = F.col("vec_id")
+    sizes = table(spark, sf_dir, "embeddings").select(frame.alias("frame_idx"), ((frame % 5 + 3) * 160).cast("int").alias("iw"), ((frame % 4 + 3) * 160).cast("int").alias("ih"))
+    found = detections.faces(planes, sizes, detector).select("frame_idx", F.posexplode("faces").alias("face", "f"))
+    marks = F.array_join(F.transform("f.landmarks", lambda p: F.concat_ws(":", F.format_string("%.3f", F.round(p["x"], 3) + 0.0), F.format_string("%.3f", F.round(p["y"], 3) + 0.0))), ",")
+    return found.select("frame_idx", "face", "f.category_id", "f.label", F.round("f.score", 6).alias("score"), "f.x1", "f.y1", "f.x2", "f.y2", marks.alias("landmarks"))
+
+
+@query
+def distance_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces with label and landmarks from nine quantised planes of all three strides of a 64 x 64 detector."""
+    detector = detections.Detector("distance", detections.SCRFD_2_5G, 64, 64, least=0.96875, most=0.4, labels={"0": "face"})
+    return _faces(spark, sf_dir, detector, [(0.0, 1 / 64), (0.0, 1 / 256), (128.0, 1 / 64)])
+
+
+@query
+def variance_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for priors, variances and two logits, of a 96 x 64 detector."""
+    detector = detections.Detector("variance", detections.RETINA, 96, 64, least=0.95, most=0.4)
+    return _faces(spark, sf_dir, detector, [(128.0, 1 / 32), (128.0, 1 / 64), (128.0, 1 / 64)])
 
 
 @query

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.detections import Detector
 from ..operators.reports import METRICS
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -77,6 +78,20 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.coalesce(post["OutputNMSThreshold"], F.lit(0.4)).alias("nms_threshold"), F.coalesce(post["OutputConfThreshold"], F.lit(0.5)).alias("score_threshold"), post["AnchorConfig"].alias("anchors"))
 
 
+def read_detector(spark: SparkSession, path: str, kind: str, layers: Sequence[str]) -> Detector:
+    """A detector as its JSON configuration says: input size, strides, anchors, thresholds and the labels in the file beside it."""
+    raw = spark.read.json(path, multiLine=True)
+    pre, post = F.col("PRE_PROCESS")[0], F.col("POST_PROCESS")[0]
+    has = {f.name for f in raw.schema["POST_PROCESS"].dataType.elementType.fields}
+    if "LabelsPath" not in has or "AnchorConfig" not in has:
+        raise ValueError(f"{path} names no labels or no anchors")
+    limit = lambda name, otherwise: F.coalesce(post[name], F.lit(otherwise)) if name in has else F.lit(otherwise)
+    anchors = post["AnchorConfig"]
+    one = raw.select(pre["InputW"].cast("int").alias("w"), pre["InputH"].cast("int").alias("h"), anchors["Steps"].alias("steps"), anchors["MinSizes"].alias("sizes"), limit("OutputConfThreshold", 0.5).alias("least"), limit("OutputNMSThreshold", 0.4).alias("most"), post["LabelsPath"].alias("labels")).first()  # one file
+    labels = spark.read.text(f"{path.rpartition('/')[0]}/{one['labels']}", wholetext=True).select(F.from_json("value", "map<string,string>").alias("m")).first()["m"]
+    return Detector(kind, tuple(layers), one["w"], one["h"], tuple(one["steps"]), tuple(map(tuple, one["sizes"])), one["least"], one["most"], labels)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
