@@ -1,70 +1,140 @@
 """Count windows, chunks and rolling statistics of keyed, ordered signals.
 
-All of them need one shuffle by key.  A sliding sum is the end of one block of the window's length and the
-beginning of the next, so a row costs the same whatever the length, and no sum runs on over the whole history.
+A key's rows are numbered once; from then on the number says where a row belongs, so no operator needs a key's whole
+history in one task. Windows over neighbouring rows work on segments of a key, with the rows that reach over
+a segment's edges copied into it. A sliding sum is the end of one block of the window's length and the
+beginning of the next, so no sum runs on over the whole history.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a segment.
+SEGMENT = 1 << 15
 
-def positions(df: DataFrame, key: str, order: Sequence[str], name: str = "pos") -> DataFrame:
-    """Numbers each key's rows from 0."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+
+def positions(df: DataFrame, key: str, order: Sequence[str], name: str = "pos", coarse: Column | None = None) -> DataFrame:
+    """Numbers each key's rows from 0.
+
+    With `coarse`, a function of the first order column that never falls while that one rises (a time cut to hours), rows are numbered in each
+    (key, coarse) for itself and moved on by the rows before it, so that a key with many rows is dealt to many tasks.
+    """
+    if coarse is None:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+    sizes = df.groupBy(F.col(key).alias("_key"), coarse.alias("_of")).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_key", "_of", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    local = df.withColumn("_part", coarse).withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1)
+    both = local.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")))
+    return both.select(*df.columns, (F.col("_before") + F.col("_nth")).cast("long").alias(name))
+
+
+def with_size(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds the number of the key's rows."""
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias(name))
+    return df.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def tumbling(df: DataFrame, key: str, size: int) -> DataFrame:
     """Rows of full windows, with the window's number and the position inside it."""
-    n = F.count("*").over(Window.partitionBy(key))
-    full = df.withColumn("_n", n).where(F.col("pos") < F.floor(F.col("_n") / size) * size)
+    full = with_size(df, key, "_n").where(F.col("pos") < F.floor(F.col("_n") / size) * size)
     return full.withColumns({"win_id": F.floor(F.col("pos") / size), "at": F.col("pos") % size}).drop("_n")
 
 
 def sliding(df: DataFrame, key: str, size: int, step: int) -> DataFrame:
     """As tumbling, each row once for every full window that covers it."""
-    n = F.count("*").over(Window.partitionBy(key))
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / step) + 1)
     last = F.least(F.floor(F.col("pos") / step), F.floor((F.col("_n") - size) / step))
-    placed = df.withColumn("_n", n).withColumns({"_a": first, "_b": last}).where("_a <= _b")
+    placed = with_size(df, key, "_n").withColumns({"_a": first, "_b": last}).where("_a <= _b")
     return placed.withColumn("win_id", F.explode(F.sequence("_a", "_b"))).withColumn("at", F.col("pos") - F.col("win_id") * step).drop("_n", "_a", "_b")
 
 
-def over_last(df: DataFrame, key: str, size: int, sums: dict[str, Column]) -> DataFrame:
-    """Adds the sum of each expression over the key's last `size` rows."""
+def by_segment(df: DataFrame, key: str, before: int, after: int, op: Callable[[DataFrame, list[str]], DataFrame], size: int = SEGMENT) -> DataFrame:
+    """op over segments of each key: it gets the rows, with `before` rows ahead of each segment and `after` behind it, and the columns to partition by."""
+    seg, at = F.floor(F.col("pos") / size), F.col("pos") % size
+    if max(before, after) > size:
+        raise ValueError(f"windows of {max(before, after)} rows don't fit segments of {size}")
+    place = lambda s, own: F.struct(s.alias("seg"), F.lit(own).alias("own"))
+    others = F.array(F.when(at >= size - before, place(seg + 1, False)), F.when((at < after) & (seg > 0), place(seg - 1, False)))
+    edge = (at >= size - before) | ((at < after) & (seg > 0))
+    places = F.when(edge, F.concat(F.array(place(seg, True)), F.filter(others, lambda p: p.isNotNull()))).otherwise(F.array(place(seg, True)))
+    rows = df.withColumn("_place", F.explode(places)).select(*df.columns, F.col("_place.seg").alias("_seg"), F.col("_place.own").alias("_own"))
+    rows = rows.repartition(key, "_seg")  # once, for windows by segment and by block of a segment alike
+    return op(rows, [key, "_seg"]).where("_own").drop("_seg", "_own")
+
+
+def over_last(df: DataFrame, keys: Sequence[str], size: int, sums: dict[str, Column]) -> DataFrame:
+    """Adds the sum of each expression over the last `size` rows."""
     block = df.withColumns({"_block": F.floor(F.col("pos") / size), **{f"_x{n}": x for n, x in sums.items()}})
-    inside = Window.partitionBy(key, "_block").orderBy("pos")
+    inside = Window.partitionBy(*keys, "_block").orderBy("pos")
     ends = {f"_h{n}": F.sum(f"_x{n}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for n in sums}
     ends |= {f"_t{n}": F.sum(f"_x{n}").over(inside.rowsBetween(0, Window.unboundedFollowing)) for n in sums}
     whole = F.col("pos") % size == size - 1
-    back = Window.partitionBy(key).orderBy("pos")
+    back = Window.partitionBy(*keys).orderBy("pos")
     before = {n: F.when(whole, F.lit(0.0)).otherwise(F.coalesce(F.lag(f"_t{n}", size - 1).over(back), F.lit(0.0))) for n in sums}
     out = block.withColumns(ends).withColumns({n: F.col(f"_h{n}") + before[n] for n in sums})
     return out.drop("_block", *[f"_{c}{n}" for n in sums for c in "xht"])
 
 
-def rolling_stats(df: DataFrame, key: str, value: str, size: int = 180) -> DataFrame:
+def merged(a: Column, b: Column) -> Column:
+    """Moments (n, mean, m2) of two sets of numbers together, by the pairwise rule; m2 is the sum of squared deviations."""
+    n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
+    mean = a["mean"] + gap * b["n"] / n
+    m2 = a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / n
+    return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2")))
+
+
+def moments(value: Column, frame) -> Column:
+    """Moments of a frame of rows."""
+    n = F.count(value).over(frame)
+    return F.struct(n.cast("double").alias("n"), F.coalesce(F.avg(value).over(frame), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(value).over(frame) * n, F.lit(0.0)).alias("m2"))
+
+
+def moments_over_last(df: DataFrame, keys: Sequence[str], size: int, value: Column, name: str) -> DataFrame:
+    """Adds the moments of the last `size` rows: those of the end of one block merged with those of the beginning of the next.
+
+    No square of a value is ever summed, so means far above the deviations cost no digits.
+    """
+    block = df.withColumns({"_block": F.floor(F.col("pos") / size), "_x": value})
+    inside = Window.partitionBy(*keys, "_block")
+    up, down = inside.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0), inside.orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    ends = block.withColumn("_head", moments(F.col("_x"), up)).withColumn("_tail", moments(F.col("_x"), down))
+    earlier = F.when(F.col("pos") % size == size - 1, none).otherwise(F.coalesce(F.lag("_tail", size - 1).over(Window.partitionBy(*keys).orderBy("pos")), none))
+    return ends.withColumn("_early", earlier).withColumn(name, merged(F.col("_early"), F.col("_head"))).drop("_block", "_x", "_head", "_tail", "_early")
+
+
+def rolling_stats(df: DataFrame, key: str, value: str, size: int = 180, segment: int = SEGMENT) -> DataFrame:
     """Mean and standard deviation over the last size + 1 rows; 0 for fewer than two."""
+    return by_segment(df, key, size + 1, 0, lambda d, keys: _rolling_stats(d, keys, value, size), segment)
+
+
+def _rolling_stats(df: DataFrame, keys: Sequence[str], value: str, size: int) -> DataFrame:
     x = F.col(value)
-    back = over_last(df, key, size + 1, {"_s": x, "_q": x * x}).withColumn("n", F.least(F.col("pos") + 1, F.lit(size + 1)))
+    back = over_last(df, keys, size + 1, {"_s": x, "_q": x * x}).withColumn("n", F.least(F.col("pos") + 1, F.lit(size + 1)))
     mean = F.col("_s") / F.col("n")
     var = F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - mean * mean)
     return back.withColumns({"roll_mean": mean, "roll_std": F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.sqrt(var))}).drop("_s", "_q")
 
 
-def differences(df: DataFrame, key: str, value: str) -> DataFrame:
+def differences(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Normalised change from the row before; none for the first."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy("pos"))
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy("pos"))
     return df.withColumn("diff", (F.col(value) - before) / (F.col(value) + before + F.lit(1e-7)))
 
 
-def rolling_diff_std(df: DataFrame, key: str, value: str, size: int = 180) -> DataFrame:
+def rolling_diff_std(df: DataFrame, key: str, value: str, size: int = 180, segment: int = SEGMENT) -> DataFrame:
     """Standard deviation of the last `size` differences: at least sqrt(1e-7), 1 for fewer than two."""
+    return by_segment(df, key, size + 1, 0, lambda d, keys: _rolling_diff_std(d, keys, value, size), segment)
+
+
+def _rolling_diff_std(df: DataFrame, keys: Sequence[str], value: str, size: int) -> DataFrame:
     d = F.coalesce("diff", F.lit(0.0))
-    back = over_last(differences(df, key, value), key, size, {"_s": d, "_q": d * d}).withColumn("n_diff", F.least(F.col("pos"), F.lit(size)))
+    back = over_last(differences(df, keys, value), keys, size, {"_s": d, "_q": d * d}).withColumn("n_diff", F.least(F.col("pos"), F.lit(size)))
     mean = F.col("_s") / F.col("n_diff")
     var = F.greatest(F.lit(1e-7), F.col("_q") / F.col("n_diff") - mean * mean)
     return back.withColumn("diff_std", F.when(F.col("n_diff") < 2, F.lit(1.0)).otherwise(F.sqrt(var))).drop("_s", "_q")
@@ -75,10 +145,14 @@ def chunk_ends(df: DataFrame, size: int = 30) -> DataFrame:
     return df.where((F.col("pos") > 0) & (F.col("pos") % size == 0)).withColumn("chunk_id", F.floor(F.col("pos") / size) - 1)
 
 
-def standardised_chunks(df: DataFrame, key: str, value: str, size: int = 180, chunk: int = 30) -> DataFrame:
+def standardised_chunks(df: DataFrame, key: str, value: str, size: int = 180, chunk: int = 30, segment: int = SEGMENT) -> DataFrame:
     """Rows of closed chunks against the rolling statistics at closing time, beside their normalised differences."""
-    stats = rolling_diff_std(rolling_stats(df, key, value, size), key, value, size)
-    ahead = Window.partitionBy(key).orderBy("pos")
+    return by_segment(df, key, size + 1, chunk, lambda d, keys: _standardised_chunks(d, keys, value, size, chunk), segment)
+
+
+def _standardised_chunks(df: DataFrame, keys: Sequence[str], value: str, size: int, chunk: int) -> DataFrame:
+    stats = _rolling_diff_std(_rolling_stats(df, keys, value, size), keys, value, size)
+    ahead = Window.partitionBy(*keys).orderBy("pos")
     closing = F.struct("roll_mean", "roll_std", "diff_std")
     at_close = F.first(F.when(F.col("pos") % chunk == 0, closing), ignorenulls=True).over(ahead.rowsBetween(1, chunk))  # the next row that begins a chunk closes this one
     rows = stats.withColumns({"chunk_id": F.floor(F.col("pos") / chunk), "_next": F.lead(value).over(ahead), "_close": at_close}).where("_close is not null")
@@ -87,6 +161,22 @@ def standardised_chunks(df: DataFrame, key: str, value: str, size: int = 180, ch
     return joined.withColumns({"std_value": (F.col(value) - F.col("roll_mean")) / (F.col("roll_std") + F.lit(1e-7)), "diff_value": F.coalesce(d / F.col("diff_std"), F.lit(0.0))}).drop("_next")
 
 
+def rolling_forms(df: DataFrame, key: str, value: str, size: int = 180, step: int = 30, segment: int = SEGMENT) -> DataFrame:
+    """(key, pos, ..) at the end of each step: mean and deviation of the last size + 1 rows in three forms, the deviation of the last `size` differences, and whether enough rows are there.
+
+    `sums` from block sums and sums of squares, `direct` from each window's own rows, `merged` from merged moments of blocks.
+    """
+
+    def op(d: DataFrame, keys: list[str]) -> DataFrame:
+        rows = _rolling_diff_std(_rolling_stats(d, keys, value, size), keys, value, size)
+        rows = moments_over_last(rows, keys, size + 1, F.col(value), "_m")
+        own = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-size, 0)
+        return rows.withColumns({"direct_mean": F.avg(value).over(own), "direct_std": F.stddev_pop(value).over(own), "merged_mean": F.col("_m.mean"), "merged_std": F.sqrt(F.col("_m.m2") / F.col("_m.n"))})
+
+    rows = by_segment(df, key, size + 1, 0, op, segment).where(F.col("pos") % step == step - 1)
+    return rows.select(key, "pos", F.col("roll_mean").alias("sums_mean"), F.col("roll_std").alias("sums_std"), "direct_mean", "direct_std", "merged_mean", "merged_std", "diff_std", (F.col("pos") >= step).alias("ready"))
+
+
 def z_scored(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Against the mean and population deviation of the whole clip; 0 where there is no deviation."""
     w = Window.partitionBy(*keys)

@@ -211,6 +211,21 @@ def rolling_against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("face_id").agg(F.count("*").alias("steps"), F.round(rmse, 5).alias("rmse_mean"), F.round(F.max(F.abs(F.col("roll_std") - F.col("std_r"))), 5).alias("most_std"))
 
 
+@query
+def rolling_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rolling forms at the end of each step beside the truth of the step's window, with both deviations of differences and the ready flag."""
+    t = traces(spark, sf_dir)
+    first = F.floor(F.col("pos") / 30)
+    rows = t.withColumn("step", F.explode(F.sequence(first, first + 5)))
+    before = F.lag("r").over(Window.partitionBy("face_id", "step").orderBy("pos"))
+    change = (F.col("r") - before) / (F.col("r") + before + F.lit(1e-7))
+    truth = rows.withColumn("_d", change).groupBy("face_id", "step").agg(F.min("pos").alias("start_idx"), (F.max("pos") + 1).alias("end_idx"), F.avg("r").alias("gt_mean"), F.stddev_pop("r").alias("gt_std"), F.stddev_pop("_d").alias("gt_diff_std"))
+    rolled = windows.rolling_forms(t, "face_id", "r", SIZE).withColumn("step", F.floor(F.col("pos") / 30)).drop("pos")
+    both = truth.join(rolled, ["face_id", "step"])  # a step that isn't full has no last row
+    named = [c for c in both.columns if c.endswith(("_mean", "_std"))]
+    return both.select("face_id", "step", "start_idx", "end_idx", "ready", *[F.round(c, 5).alias(c) for c in named])
+
+
 @query
 def square_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.square_region(boxes(spark, sf_dir), 640, 360, 1.5).select("frame_idx", "det", "rx1", "ry1", "rx2", "ry2")
