@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of the metrics report, in order.
@@ -52,6 +52,32 @@ def latest(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFra
     return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
+def as_of(frames: DataFrame, rates: DataFrame, key: str, value: str, ts: str, tie: str, coarse: Column | None = None) -> DataFrame:
+    """Each row of frames with the value of the key's last rate that isn't later than it; of rates of one time the one with the highest tie.
+
+    Both are brought together by time and the last rate is carried on. With `coarse`, time cut to hours say, it is carried
+    inside each (key, coarse) and from there on to the later ones, so a key is dealt to many tasks.
+    """
+    of = coarse if coarse is not None else F.lit(0)
+    own = frames.select(F.col(key).alias("_key"), of.alias("_of"), F.col(ts).alias("_ts"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_tie"), F.lit(None).cast(rates.schema[value].dataType).alias("_v"), F.struct(*frames.columns).alias("_row"))
+    their = rates.select(F.col(key).alias("_key"), of.alias("_of"), F.col(ts).alias("_ts"), F.lit(0).alias("_kind"), F.col(tie).cast("long").alias("_tie"), F.col(value).alias("_v"), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"))
+    mark = F.when(F.col("_kind") == 0, F.struct(F.col("_v").alias("v")))
+    w = Window.partitionBy("_key", "_of").orderBy("_ts", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    carried = own.unionByName(their).withColumn("_last", F.last(mark, ignorenulls=True).over(w)).where("_kind = 1")
+    end = F.max_by(mark, F.when(F.col("_kind") == 0, F.struct("_ts", "_tie")))
+    parts = own.drop("_row").unionByName(their.drop("_row")).groupBy("_key", "_of").agg(end.alias("_end"))
+    ahead = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col("_key").alias("_k"), F.col("_of").alias("_o"), F.last("_end", ignorenulls=True).over(ahead).alias("_before"))
+    both = carried.join(before, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_of").eqNullSafe(F.col("_o")), "left")
+    known = F.when(F.col("_last").isNotNull(), F.col("_last.v")).otherwise(F.col("_before.v"))
+    return both.select("_row.*", known.alias(value))
+
+
+def shown_text(face: Column, rate: Column) -> Column:
+    """The text beside a face."""
+    return F.concat(face.cast("string"), F.lit(" | "), F.when(rate.isNotNull(), F.format_string("%.1f", rate)).otherwise(F.lit("--")))
+
+
 def displayed(tracks: DataFrame, regions: DataFrame, rates: DataFrame, keys: Sequence[str], rate_keys: Sequence[str]) -> DataFrame:
     """Tracks with their region and latest heart rate, where there are any."""
     return tracks.join(regions, list(keys), "left").join(rates, list(rate_keys), "left")

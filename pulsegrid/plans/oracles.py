@@ -258,6 +258,8 @@ SQL["stream_chunk_rates"] = f"WITH sized AS (SELECT face_id, chunk_id, CAST(coun
 SQL["distance_faces"] = planes(64, 64, "{} / 64.0::DOUBLE", "s0 / 256.0::DOUBLE", "({} - 128) / 64.0::DOUBLE", FACES_BY_DISTANCE, "({1} + {0} * {2}) * {3}", ">= 0.96875", 0, "face")
 SQL["variance_faces"] = planes(96, 64, "({} - 128) / 32.0::DOUBLE", "1 / (exp((s0 - s1) / 64.0::DOUBLE) + 1)", "({} - 128) / 64.0::DOUBLE", FACES_BY_VARIANCE, "({1} + {0} * 0.1::DOUBLE * {2}) * {3}", "> 0.95", 1, "class_1")
 SQL["rolling_comparison"] = f"WITH {TRACE}, {ROLL}, {DIFFS}, c AS (SELECT face_id, pos, r, unnest(range(pos // 30, pos // 30 + 6)) AS step FROM trace), cd AS (SELECT *, {CHANGE.format(a='lag(r) OVER o', b='r')} AS d FROM c WINDOW o AS (PARTITION BY face_id, step ORDER BY pos)), truth AS (SELECT face_id, step, min(pos) AS start_idx, max(pos) + 1 AS end_idx, round(avg(r), 5) AS gt_mean, round(stddev_pop(r), 5) AS gt_std, round(stddev_pop(d), 5) AS gt_diff_std FROM cd GROUP BY ALL) SELECT t.face_id, t.step, start_idx, end_idx, stats.pos >= 30 AS ready, gt_mean, gt_std, gt_diff_std, round(roll_mean, 5) AS sums_mean, round(roll_std, 5) AS sums_std, round(roll_mean, 5) AS direct_mean, round(roll_std, 5) AS direct_std, round(roll_mean, 5) AS merged_mean, round(roll_std, 5) AS merged_std, round(diff_std, 5) AS diff_std FROM truth t JOIN stats ON stats.face_id = t.face_id AND stats.pos = t.step * 30 + 29 JOIN dstats ON dstats.face_id = t.face_id AND dstats.pos = stats.pos"
+SQL["rates_at_frames"] = "WITH r AS (SELECT user_id, ts, arg_max(round(value * 100), event_id) AS heart_rate FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, e.user_id AS face_id, heart_rate, e.user_id || ' | ' || coalesce(printf('%.1f', heart_rate), '--') AS shown FROM events e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts >= r.ts"
+SQL["stream_rates_at_frames"] = SQL["rates_at_frames"]
 SQL["region_arrays"] = "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, array_to_string(list_transform(embedding, lambda v: lpad(hex(greatest(0, least(255, CAST(floor(v::DOUBLE * 64) AS BIGINT) + 128))), 2, '0')), '') AS pixels, 0::BIGINT AS shed FROM embeddings"
 #: `at` is a word of DuckDB's grammar.
 SQL = {name: re.sub(r"\bat\b", '"at"', text) for name, text in SQL.items()}

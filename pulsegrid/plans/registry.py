@@ -11,7 +11,7 @@ from ..functions import filters, scalar
 from ..operators import detections, geometry, pulse, reports, tracking, windows
 from ..session import gone_at_the_end, shared_dir, table
 from ..sources import frames
-from ..streaming import chunks, heart_rate
+from ..streaming import chunks, display, heart_rate
 from .oracles import SQL
 from .tables import SIZE, boxes, samples, trace_windows, traces
 
@@ -441,6 +441,32 @@ def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.displayed(b.select("face_id", "det"), region, rate, ["face_id", "det"], ["face_id"])
 
 
+def _frames_and_rates(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All events as frames of their user's face, clicks as rates."""
+    frames = events.select("event_id", F.col("user_id").alias("face_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rates = events.where("event_type = 'click'").select(F.col("user_id").alias("face_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.round(F.col("value") * 100).alias("heart_rate"))
+    return frames, rates
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", "face_id", "heart_rate", reports.shown_text(F.col("face_id"), F.col("heart_rate")).alias("shown"))
+
+
+@query
+def rates_at_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame with the rate that is known at its own time."""
+    frames_, rates = _frames_and_rates(table(spark, sf_dir, "events"))
+    return _shown(reports.as_of(frames_, rates, "face_id", "heart_rate", "ts", "event_id", coarse=F.date_trunc("day", "ts")))
+
+
+@query
+def stream_rates_at_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from streams of frames and rates."""
+    schema = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _shown(heart_rate.run_to_end(display.shown(*_frames_and_rates(raw), "face_id", "heart_rate", "ts", "event_id", late="0 seconds")))
+
+
 @query
 def track_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = scalar.track_colour(F.col("det"))
