@@ -6,7 +6,10 @@ target recall at the threshold.  Band hashes are shuffled; nodes that share one
 A link is a pair that shares a band and whose full sets reach the threshold.
 
 Candidates that are connected through bands and fit a block are verified together in one task.
-Where they don't fit, each band's bucket is a task of its own, and a bucket that doesn't fit is cut
+Where they don't fit, as with texts on one template that are alike but below the threshold, they are parted first, before any text
+is moved: two sets at the threshold share one of the rarest shingles of each (the prefix filter), so only candidates connected
+through those stay together. Rarity comes from counts in a sketch of bounded size; any order would do, and the better it
+is the smaller the parts. Where a part doesn't fit either, each band's bucket of it is a task of its own, and a bucket that doesn't fit is cut
 into blocks, each pair of blocks a task; a pair counts in the first band that it shares.  So no task
 holds a whole group, no text is held against what it shares no bucket with beyond a block, and pairs
 are counted there and never become rows.
@@ -38,6 +41,8 @@ N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 5
 BLOCK_SHINGLES, BLOCK_NODES, PART_NODES = 500_000, 400, 100
 #: Shingles in at least so many nodes of a task are multiplied as dense columns, others pair by pair.
 DENSE = 32
+#: Rarity of shingles is counted in 2 to this power counters at most.
+MOST_COUNTERS = 22
 
 
 def n_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -215,26 +220,105 @@ def fits(shingles: str, nodes: str) -> Column:
     return (F.col(shingles) <= BLOCK_SHINGLES) & (F.col(nodes) <= BLOCK_NODES)
 
 
-def tasks(members: DataFrame) -> DataFrame:
+def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
+    """Of how many of its shingles, in an order that all sets have in common, a set at the threshold shares one at least."""
+    return size - np.ceil(threshold * size - 1e-6).astype(np.int64) + 1
+
+
+def counter_of(sets: np.ndarray, component: np.ndarray, counters: int) -> np.ndarray:
+    """Where a component's shingle is counted."""
+    return (K.mix(sets ^ K.mix(component.astype(K.U))) & K.U(counters - 1)).astype(np.int64)
+
+
+def shingle_counts(members: DataFrame, n: int, counters: int) -> np.ndarray:
+    """In how many sets of a component a shingle is, or more, by its counter; 64 and above in steps of a 16th of a doubling."""
+    width = max(1, counters // 64)
+
+    def run(batches):
+        total = np.zeros(counters, np.uint32)
+        for batch in batches:
+            component = batch.column("component").to_numpy()
+            for lo, _, data, at in K.blocks(batch.column("text")):
+                sets, first = shingles(data, at, n)
+                np.add.at(total, counter_of(sets, np.repeat(component[lo : lo + len(first) - 1], np.diff(first)), counters), 1)
+        at = np.flatnonzero(total)
+        edge = np.searchsorted(at, np.arange(0, counters + width, width))
+        parts = [(k, at[a:b].astype("<u4").tobytes() + total[at[a:b]].tobytes()) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], names=["part", "data"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        k, total = parts["part"][0].as_py(), np.zeros(width, np.int64)
+        for blob in parts["data"]:
+            at, count = np.frombuffer(blob.as_buffer(), "<u4").reshape(2, -1)
+            total[at.astype(np.int64) - k * width] += count
+        steps = np.where(total < 64, total, 64 + 16 * np.log2(np.maximum(total, 64) / 64)).astype(np.int64)
+        return pa.table({"part": pa.array([k], pa.int32()), "data": pa.array([np.minimum(steps, 255).astype(np.uint8).tobytes()], pa.binary())})
+
+    out = np.zeros(counters, np.uint8)
+    for r in members.select("component", "text").mapInArrow(run, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary").collect():  # `counters` bytes
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["data"], np.uint8)
+    return out
+
+
+def parted(members: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(id, part) of the members that share a rare shingle with another of their component; parts are connected through such shingles."""
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    counters = 1 << min(MOST_COUNTERS, max(16, int(total).bit_length()))
+    shared = members.sparkSession.sparkContext.broadcast(shingle_counts(members, n, counters))  # 1 << MOST_COUNTERS bytes at most
+
+    def run(batches):
+        for batch in batches:
+            component, ids = batch.column("component").to_numpy(), batch.column("id").to_numpy()
+            for lo, _, data, at in K.blocks(batch.column("text")):
+                sets, first = shingles(data, at, n)
+                size = np.diff(first)
+                row = np.repeat(np.arange(len(size)), size)
+                count = shared.value[counter_of(sets, component[lo + row], counters)]
+                order = np.lexsort((sets, count, row))
+                place = np.arange(len(row)) - np.repeat(first[:-1], size)
+                own = order[(place < prefix_length(size, threshold)[row]) & (count[order] > 1)]  # what is counted once is shared by none
+                yield pa.RecordBatch.from_arrays([pa.array(component[lo + row[own]]), pa.array(sets[own].view(np.int64)), pa.array(ids[lo + row[own]])], names=["component", "shingle", "id"])
+
+    rare = stored(members.select("component", "id", "text").mapInArrow(run, "component long, shingle long, id long"))
+    heads = stored(rare.groupBy("component", "shingle").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1").select(F.col("component").alias("_component"), F.col("shingle").alias("_shingle"), "least"))
+    edges = rare.join(heads, (rare["component"] == heads["_component"]) & (rare["shingle"] == heads["_shingle"])).select(F.col("id").alias("u"), F.col("least").alias("v"))
+    return components(edges).select(F.col("node").alias("id"), F.col("component").alias("part"))
+
+
+def tasks(members: DataFrame, n: int, threshold: float) -> DataFrame:
     """What each task verifies; members: component, id, copies, n_shingles, bands, text.
 
     Sizes are summed and written before they are joined, so a large component or bucket is split in the join.
     """
     sums = (F.sum("n_shingles").alias("s"), F.count("*").alias("m"))
-    large = stored(members.groupBy("component").agg(*sums).where(~fits("s", "m")).select("component"))
-    alone = members.join(large, "component", "left_anti")
+    rest = ["id", "copies", "bands", "text"]
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     grp = F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(max(1, total // 400_000))).cast("string"))
-    rest = ["id", "copies", "bands", "text"]
-    whole = alone.select(grp.alias("grp"), F.col("component").alias("comp"), F.lit(None).cast("long").alias("bucket"), F.lit(0).alias("side"), F.lit(True).alias("within"), F.lit(False).alias("split"), *rest)
 
-    by_bucket = members.join(large, "component", "left_semi").withColumn("bucket", F.explode("bands"))
-    counted = by_bucket.groupBy("bucket").agg(*sums).where("m > 1")
-    blocks = stored(counted.select(F.col("bucket").alias("_bucket"), F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("m") / PART_NODES)).cast("int").alias("n_blocks")))
-    placed = by_bucket.join(blocks, by_bucket["bucket"] == blocks["_bucket"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.select(grp.alias("grp"), F.col("component").alias("comp"), F.lit(None).cast("long").alias("bucket"), F.lit(0).alias("side"), F.lit(True).alias("within"), F.lit(False).alias("split"), *rest)
+
+    def large_of(sizes: DataFrame) -> DataFrame:
+        return stored(sizes.agg(*sums).where(~fits("s", "m")).select("component"))
+
+    large = large_of(members.groupBy("component"))
+    if large.isEmpty():
+        return whole(members)
+    alone, crowd = members.join(large, "component", "left_anti"), members.join(large, "component", "left_semi")
+    parts = stored(parted(crowd, n, threshold))
+    named = stored(parts.join(members.select(F.col("id").alias("_id"), "n_shingles"), F.col("id") == F.col("_id")).select("id", F.col("part").alias("component"), "n_shingles"))
+    large = large_of(named.groupBy("component"))
+    crowd = crowd.drop("component").join(named.select(F.col("id").alias("_id"), "component"), F.col("id") == F.col("_id")).drop("_id")
+    small = crowd.join(large, "component", "left_anti")
+
+    by_bucket = crowd.join(large, "component", "left_semi").withColumn("bucket", F.explode("bands"))
+    counted = by_bucket.groupBy("component", "bucket").agg(*sums).where("m > 1")
+    blocks = stored(counted.select(F.col("component").alias("_component"), F.col("bucket").alias("_bucket"), F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("m") / PART_NODES)).cast("int").alias("n_blocks")))
+    placed = by_bucket.join(blocks, (by_bucket["bucket"] == blocks["_bucket"]) & (by_bucket["component"] == blocks["_component"])).withColumn("side", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    grp = F.concat_ws(":", "bucket", F.least("side", "other"), F.greatest("side", "other"))
-    return whole.unionByName(placed.select(grp.alias("grp"), F.col("bucket").alias("comp"), "bucket", "side", (F.col("side") == F.col("other")).alias("within"), F.lit(True).alias("split"), *rest))
+    of = F.concat_ws(":", "component", "bucket", F.least("side", "other"), F.greatest("side", "other"))
+    split = placed.select(of.alias("grp"), F.col("bucket").alias("comp"), "bucket", "side", (F.col("side") == F.col("other")).alias("within"), F.lit(True).alias("split"), *rest)
+    return whole(alone).unionByName(whole(small)).unionByName(split)
 
 
 def linked_nodes(docs: DataFrame, texts: DataFrame, n: int, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -251,7 +335,7 @@ def linked_nodes(docs: DataFrame, texts: DataFrame, n: int, threshold: float, re
     groups = stored(components(edges))
 
     members = nodes.join(groups, nodes["id"] == groups["node"]).select(nodes["node"], "id", "copies", "n_shingles", "bands", "component")
-    checked = stored(verify(tasks(stored(members.join(texts, "node").drop("node"))), n, threshold))
+    checked = stored(verify(tasks(stored(members.join(texts, "node").drop("node")), n, threshold), n, threshold))
     across = components(checked.where("split").select(F.col("id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("id"), F.col("component").alias("root"))
     named = checked.where("not split").select("id", "root").unionByName(across)
     return signed, nodes, named.join(nodes.select("id", "node", "rep"), "id"), checked
