@@ -48,6 +48,9 @@ def budget(m: int, rate: float) -> int:
     return max(0, min(int(rate * m), m // LEAST_PIECE - 1))
 
 
+NONE = np.zeros((0, 2), np.int64)
+
+
 def fours(codes: np.ndarray) -> np.ndarray:
     """16 bits of every run of four codes."""
     c = codes.astype(np.uint32)
@@ -96,6 +99,7 @@ class Items:
         runs = [fours(p)[::4] for p in points]
         self.fours = np.concatenate([np.zeros(0, np.uint16), *runs])
         self.four_at = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
+        self.there = np.zeros(1 << 16, np.uint8)  # which runs of four are around, emptied after each use
         self.groups = {}
         self.group = np.array([self.groups.setdefault((True, v) if v is not None else (False, i), len(self.groups)) for i, v in enumerate(self.ids)], np.int64)
 
@@ -111,16 +115,17 @@ class Items:
 
     def candidates(self, text: str) -> np.ndarray:
         """(item, slot) of all piece hits, each once; a slot is a run of errors + 1 starts of the item."""
-        begin, item, at = [], [], []
-        for end, (n, items, starts) in self.automaton.iter(text):
-            begin.append(np.full(len(items), end + 1 - n))
-            item.append(items)
-            at.append(starts)
-        if not begin:
-            return np.zeros((0, 2), np.int64)
-        i = np.concatenate(item)
-        slot = (np.concatenate(begin) - np.concatenate(at)) // (self.errors[i] + 1)
-        return np.unique(np.stack([i, slot], 1), axis=0)
+        hits = [(end + 1 - n, items, starts) for end, (n, items, starts) in self.automaton.iter(text)]
+        if not hits:
+            return NONE
+        i = np.concatenate([h[1] for h in hits])
+        at = np.repeat(np.array([h[0] for h in hits], np.int64), [len(h[1]) for h in hits]) - np.concatenate([h[2] for h in hits])
+        slot = at // (self.errors[i] + 1)
+        order = np.lexsort((slot, i))
+        i, slot = i[order], slot[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (slot[1:] != slot[:-1])
+        return np.stack([i[new], slot[new]], 1)
 
     def around(self, item: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each candidate's window begins, and its width."""
@@ -130,20 +135,22 @@ class Items:
     def plausible(self, text: np.ndarray, item: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """Which candidates of a text have as many of their runs of four around as their errors must leave; others can't match."""
         lo, width = self.around(item, slot)
-        good = np.zeros(len(item), bool)
+        good, there = np.zeros(len(item), bool), self.there
         region = lo // REGION
         order = np.argsort(region, kind="stable")
         edge = np.flatnonzero(np.diff(region[order], prepend=-1))
         for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
             for k in range(a, b, SIEVED):
                 own = order[k : min(b, k + SIEVED)]
-                there = np.zeros(1 << 16, np.int64)
-                there[fours(text[int(lo[own].min()) : int((lo[own] + width[own]).max())])] = 1
-                first, n = self.four_at[item[own]], np.diff(self.four_at)[item[own]]
+                around = fours(text[int(lo[own].min()) : int((lo[own] + width[own]).max())])
+                there[around] = 1
+                first = self.four_at[item[own]]
+                n = self.four_at[item[own] + 1] - first
                 flat = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                seen = np.concatenate([[0], np.cumsum(there[self.fours[flat]])])
+                seen = np.concatenate([[0], np.cumsum(there[self.fours[flat]], dtype=np.int64)])
                 at = np.concatenate([[0], np.cumsum(n)])
                 good[own] = seen[at[1:]] - seen[at[:-1]] >= n - self.errors[item[own]]
+                there[around] = 0
         return good
 
     def verify(self, texts: list[np.ndarray], doc: np.ndarray, item: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
