@@ -260,6 +260,14 @@ SQL["variance_faces"] = planes(96, 64, "({} - 128) / 32.0::DOUBLE", "1 / (exp((s
 SQL["rolling_comparison"] = f"WITH {TRACE}, {ROLL}, {DIFFS}, c AS (SELECT face_id, pos, r, unnest(range(pos // 30, pos // 30 + 6)) AS step FROM trace), cd AS (SELECT *, {CHANGE.format(a='lag(r) OVER o', b='r')} AS d FROM c WINDOW o AS (PARTITION BY face_id, step ORDER BY pos)), truth AS (SELECT face_id, step, min(pos) AS start_idx, max(pos) + 1 AS end_idx, round(avg(r), 5) AS gt_mean, round(stddev_pop(r), 5) AS gt_std, round(stddev_pop(d), 5) AS gt_diff_std FROM cd GROUP BY ALL) SELECT t.face_id, t.step, start_idx, end_idx, stats.pos >= 30 AS ready, gt_mean, gt_std, gt_diff_std, round(roll_mean, 5) AS sums_mean, round(roll_std, 5) AS sums_std, round(roll_mean, 5) AS direct_mean, round(roll_std, 5) AS direct_std, round(roll_mean, 5) AS merged_mean, round(roll_std, 5) AS merged_std, round(diff_std, 5) AS diff_std FROM truth t JOIN stats ON stats.face_id = t.face_id AND stats.pos = t.step * 30 + 29 JOIN dstats ON dstats.face_id = t.face_id AND dstats.pos = stats.pos"
 SQL["rates_at_frames"] = "WITH r AS (SELECT user_id, ts, arg_max(round(value * 100), event_id) AS heart_rate FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, e.user_id AS face_id, heart_rate, e.user_id || ' | ' || coalesce(printf('%.1f', heart_rate), '--') AS shown FROM events e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts >= r.ts"
 SQL["stream_rates_at_frames"] = SQL["rates_at_frames"]
+SQL["letterbox_pixels"] = """WITH e AS (SELECT vec_id, [8, 4, 16, 2][vec_id % 4 + 1] AS ih, 64 // [8, 4, 16, 2][vec_id % 4 + 1] AS iw, list_transform(embedding, lambda v: (CAST(floor(v::DOUBLE * 4096) AS BIGINT) % 256 + 256) % 256) AS p FROM embeddings),
+s AS (SELECT *, least(CAST(round_even(iw * least(12::DOUBLE / iw, 10::DOUBLE / ih), 0) AS INTEGER), 12) AS nw, least(CAST(round_even(ih * least(12::DOUBLE / iw, 10::DOUBLE / ih), 0) AS INTEGER), 10) AS nh FROM e),
+d AS (SELECT *, CASE WHEN ih != iw THEN 12 ELSE nw END AS w, CASE WHEN ih != iw THEN 10 ELSE nh END AS h, CASE WHEN ih != iw THEN (12 - nw) // 2 ELSE 0 END AS dx, CASE WHEN ih != iw THEN (10 - nh) // 2 ELSE 0 END AS dy FROM s),
+o AS (SELECT *, i // w - dy AS y, i % w - dx AS x FROM (SELECT *, unnest(range(0, w * h)) AS i FROM d)),
+f AS (SELECT *, (y + 0.5::DOUBLE) * ih / nh - 0.5::DOUBLE AS sy, (x + 0.5::DOUBLE) * iw / nw - 0.5::DOUBLE AS sx FROM o),
+g AS (SELECT *, sy - floor(sy) AS fy, sx - floor(sx) AS fx, greatest(0, least(ih - 1, floor(sy)::INTEGER)) AS ya, greatest(0, least(ih - 1, floor(sy)::INTEGER + 1)) AS yb, greatest(0, least(iw - 1, floor(sx)::INTEGER)) AS xa, greatest(0, least(iw - 1, floor(sx)::INTEGER + 1)) AS xb FROM f),
+v AS (SELECT *, CASE WHEN y < 0 OR y >= nh OR x < 0 OR x >= nw THEN 0 ELSE floor((p[ya * iw + xa + 1] * (1 - fx) + p[ya * iw + xb + 1] * fx) * (1 - fy) + (p[yb * iw + xa + 1] * (1 - fx) + p[yb * iw + xb + 1] * fx) * fy + 0.5::DOUBLE)::BIGINT END AS b FROM g)
+SELECT vec_id, CAST(h AS INTEGER) AS height, CAST(w AS INTEGER) AS width, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, round(least(nh::DOUBLE / ih, nw::DOUBLE / iw), 6) AS gain, string_agg(lpad(hex(b), 2, '0'), '' ORDER BY i) AS pixels FROM v GROUP BY ALL"""
 SQL["region_arrays"] = "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, array_to_string(list_transform(embedding, lambda v: lpad(hex(greatest(0, least(255, CAST(floor(v::DOUBLE * 64) AS BIGINT) + 128))), 2, '0')), '') AS pixels, 0::BIGINT AS shed FROM embeddings"
 #: `at` is a word of DuckDB's grammar.
 SQL = {name: re.sub(r"\bat\b", '"at"', text) for name, text in SQL.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters, scalar
-from ..operators import detections, geometry, pulse, reports, tracking, windows
+from ..operators import detections, geometry, pixels, pulse, reports, tracking, windows
 from ..session import gone_at_the_end, shared_dir, table
 from ..sources import frames
 from ..streaming import chunks, display, heart_rate
@@ -511,6 +511,21 @@ def resize_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.posexplode(scalar.area_means(plane, 8, 8, 2)).alias("at", "_v")).select("vec_id", "at", F.round("_v", 5).alias("v"))
 
 
+def _byte_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as frames of 64 bytes and one channel, in four shapes."""
+    level = F.transform("embedding", lambda v: F.pmod(F.floor(v.cast("double") * 4096), F.lit(256)))
+    data = F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    height = F.get(F.array(*[F.lit(h) for h in (8, 4, 16, 2)]), F.pmod("vec_id", F.lit(4)).cast("int"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", height.alias("height"), (F.lit(64) / height).cast("int").alias("width"), data.alias("pixels"))
+
+
+@query
+def letterbox_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames scaled into 12 x 10 and padded with black."""
+    out = pixels.letterboxed(_byte_frames(spark, sf_dir), 12, 10)
+    return out.select("vec_id", "height", "width", "dx", "dy", F.round("gain", 6).alias("gain"), F.hex("pixels").alias("pixels"))
+
+
 @query
 def luma_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces(spark, sf_dir).select("face_id", "pos", F.round(scalar.luma(F.col("r"), F.col("g"), F.col("b")), 4).alias("luma"))
