@@ -6,10 +6,11 @@ Traces are rows (key, win_id, at, r, g, b): `at` counts from 0 inside a window.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,13 +133,19 @@ def peak_rate(df: DataFrame, keys: Sequence[str], value: str, fps: float = 30.0)
 
 
 def matrix_applied(df: DataFrame, keys: Sequence[str], value: str, matrix: np.ndarray) -> DataFrame:
-    """(keys, at, y): a constant matrix times each window's values, for any detrending or filter of functions.filters."""
-    size = matrix.shape[1]
+    """(keys, at, y): a constant matrix times each window's values, one product for a batch of windows; a window with a null gives nulls."""
+    size, each = matrix.shape[1], len(matrix)
     whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", value))).alias("_x")).where(F.size("_x") == size)
-    each = whole.select(*keys, "_x", F.explode(F.sequence(F.lit(0), F.lit(len(matrix) - 1))).alias("at"))
-    row = F.slice(numbers(matrix.ravel()), F.col("at") * size + 1, F.lit(size))
-    y = F.aggregate(F.zip_with("_x", row, lambda s, w: s[value] * w), F.lit(0.0), lambda a, v: a + v)
-    return each.select(*keys, "at", y.alias("y"))
+    rows = whole.select(*keys, F.transform("_x", lambda s: s[value].cast("double")).alias("_x"))
+    schema = rows.withColumnRenamed("_x", "_y").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            y = pa.array((x @ matrix.T).ravel(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(np.arange(0, len(y) + 1, each), pa.int32()), y)], names=schema.names)
+
+    return rows.mapInArrow(run, schema).select(*keys, F.posexplode("_y").alias("at", "y"))
 
 
 def jade(x: np.ndarray) -> np.ndarray:

@@ -268,6 +268,22 @@ f AS (SELECT *, (y + 0.5::DOUBLE) * ih / nh - 0.5::DOUBLE AS sy, (x + 0.5::DOUBL
 g AS (SELECT *, sy - floor(sy) AS fy, sx - floor(sx) AS fx, greatest(0, least(ih - 1, floor(sy)::INTEGER)) AS ya, greatest(0, least(ih - 1, floor(sy)::INTEGER + 1)) AS yb, greatest(0, least(iw - 1, floor(sx)::INTEGER)) AS xa, greatest(0, least(iw - 1, floor(sx)::INTEGER + 1)) AS xb FROM f),
 v AS (SELECT *, CASE WHEN y < 0 OR y >= nh OR x < 0 OR x >= nw THEN 0 ELSE floor((p[ya * iw + xa + 1] * (1 - fx) + p[ya * iw + xb + 1] * fx) * (1 - fy) + (p[yb * iw + xa + 1] * (1 - fx) + p[yb * iw + xb + 1] * fx) * fy + 0.5::DOUBLE)::BIGINT END AS b FROM g)
 SELECT vec_id, CAST(h AS INTEGER) AS height, CAST(w AS INTEGER) AS width, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, round(least(nh::DOUBLE / ih, nw::DOUBLE / iw), 6) AS gain, string_agg(lpad(hex(b), 2, '0'), '' ORDER BY i) AS pixels FROM v GROUP BY ALL"""
+BOX = "{{'id': {i}, 'x1': {b}.x1, 'y1': {b}.y1, 'x2': {b}.x2, 'y2': {b}.y2, 'm': 0}}"
+#: Every object tries its nearest box, the nearest object gets it: so an object is matched if no nearer one has the same nearest box.
+SQL["centroid_tracks"] = f"""WITH RECURSIVE {BOXES},
+v AS (SELECT frame_idx // 8 AS video_id, frame_idx, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY det) AS boxes FROM b WHERE score >= 0.6 GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS k FROM v),
+t AS (SELECT video_id, k, frame_idx, len(boxes)::BIGINT AS next_id, list_transform(boxes, lambda b, i: {BOX.format(i="(i - 1)::BIGINT", b="b")}) AS objs FROM f WHERE k = 1
+UNION ALL
+SELECT video_id, k, frame_idx, next_id + CASE WHEN len(objs) < len(boxes) THEN len(free) ELSE 0 END,
+       list_concat(list_filter(list_transform(objs, lambda o, i: CASE WHEN won[i] THEN {{'id': o.id, 'x1': boxes[near[i]].x1, 'y1': boxes[near[i]].y1, 'x2': boxes[near[i]].x2, 'y2': boxes[near[i]].y2, 'm': 0}} ELSE {{'id': o.id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 'm': o.m + CASE WHEN len(objs) >= len(boxes) THEN 1 ELSE 0 END}} END), lambda o: o.m <= 2),
+                   CASE WHEN len(objs) < len(boxes) THEN list_transform(free, lambda c, i: {BOX.format(i="next_id + i - 1", b="boxes[c]")}) ELSE [] END)
+FROM (SELECT *, list_filter(range(1, len(boxes) + 1), lambda c: NOT list_contains(list_transform(list_filter(range(1, len(objs) + 1), lambda i: won[i]), lambda i: near[i]), c)) AS free
+FROM (SELECT *, list_transform(range(1, len(objs) + 1), lambda i: len(list_filter(range(1, len(objs) + 1), lambda j: near[j] = near[i] AND (gap[j] < gap[i] OR gap[j] = gap[i] AND j < i))) = 0) AS won
+FROM (SELECT *, list_transform(dist, lambda d: list_position(d, list_min(d))) AS near, list_transform(dist, lambda d: list_min(d)) AS gap
+FROM (SELECT f.*, next_id, objs, list_transform(objs, lambda o: list_transform(boxes, lambda b: ((o.x1 + o.x2) // 2 - (b.x1 + b.x2) // 2) * ((o.x1 + o.x2) // 2 - (b.x1 + b.x2) // 2) + ((o.y1 + o.y2) // 2 - (b.y1 + b.y2) // 2) * ((o.y1 + o.y2) // 2 - (b.y1 + b.y2) // 2))) AS dist
+FROM t JOIN f ON f.video_id = t.video_id AND f.k = t.k + 1)))))
+SELECT video_id, frame_idx, o.id AS object_id, o.x1, o.y1, o.x2, o.y2, o.m > 0 AS is_stale FROM (SELECT video_id, frame_idx, unnest(objs) AS o FROM t)"""
 SQL["region_arrays"] = "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, array_to_string(list_transform(embedding, lambda v: lpad(hex(greatest(0, least(255, CAST(floor(v::DOUBLE * 64) AS BIGINT) + 128))), 2, '0')), '') AS pixels, 0::BIGINT AS shed FROM embeddings"
 #: `at` is a word of DuckDB's grammar.
 SQL = {name: re.sub(r"\bat\b", '"at"', text) for name, text in SQL.items()}
