@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept and returns a
 DataFrame that is written as Parquet and reread as the next one's docs.  All but the last
 return the columns of documents; columns of other names, those of results included, stay as they are.
+
+Every stage takes empty tables, nulls in any column, repeated rows and ids, and texts of any length; its docstring says what
+they give.
 """
 
 from __future__ import annotations
@@ -17,7 +20,11 @@ from pulsegrid.llm.common import columns, settled, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels' training fold, scores below its cut."""
+    """Documents that the classifier, fitted on the labels' training fold, scores below its cut.
+
+    Null and empty texts have the score of no words and stay, as all do where no label of both kinds is there to learn from; of
+    several labels of an id the largest counts; equal texts have equal scores, so repeated rows stay or go together.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     (score,) = columns(scored.columns[-1:])
@@ -25,24 +32,38 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of n-gram Jaccard links, the one with the least id."""
+    """One document of each class of n-gram Jaccard links, the one with the least id (null last).
+
+    Repeated rows are copies, of which one stays; texts without words are a class by id; a row that shares a dropped row's id
+    but not its text stays.
+    """
     return jaccard.representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts and items match nothing; an item without an id counts as any other; without items all stay.
+    """
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     (leaks,) = columns(found.columns[-1:])
     return found.where(F.size(leaks) == 0).select(*columns(docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced."""
+    """All documents, with secrets in their texts replaced; n_chars follows the text.
+
+    Null texts stay null and empty ones empty, with an n_chars of null and 0.
+    """
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, in training order, with words taken and the position of each copy."""
+    """The documents that the mix takes, in training order, with words taken and the position of each copy.
+
+    Texts without words are never taken; a null source is a source of its own; repeated rows are taken each for itself; ties
+    of position stand by id.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "source")]
     name = mixing.result_names(rest)
     mixed = mixing.mix(docs, keep=rest)
