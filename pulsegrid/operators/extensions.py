@@ -9,16 +9,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import geometry, pulse, tracking
+from . import detections, geometry, pulse, tracking
 
 #: name -> f(trace windows, keys, size, fps) giving rows (keys, at, v)
 EXTRACTORS: dict[str, Callable[..., DataFrame]] = {}
 #: name -> f(rows (keys, at, v), keys, size, fps) giving rows (keys, heart_rate)
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
-#: name -> f(raw outputs with anchors joined, ..) giving decoded boxes; f(tracks' boxes, ..) giving tracks; f(boxes, ..) giving regions
-DETECTORS: dict[str, Callable[..., DataFrame]] = {"distance": geometry.distance_boxes, "variance": geometry.variance_boxes}
-TRACKERS: dict[str, Callable[..., DataFrame]] = {"centroid": tracking.tracked}
-REGIONS: dict[str, Callable[..., DataFrame]] = {"full": geometry.full_region, "square": geometry.square_region}
+#: name -> f(planes, sizes, settings, key) giving rows (key, faces)
+DETECTORS: dict[str, Callable[..., DataFrame]] = {}
+#: name -> f(boxes by frame, key, most_missing) giving rows (key, frame_idx, object_id, x1 .. y2, is_stale)
+TRACKERS: dict[str, Callable[..., DataFrame]] = {}
+#: name -> f(boxes, frame_w, frame_h) adding rx1 .. ry2, null where nothing is left
+REGIONS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def detector(name: str):
+    def put(f):
+        DETECTORS[name] = f
+        return f
+
+    return put
+
+
+def tracker(name: str):
+    def put(f):
+        TRACKERS[name] = f
+        return f
+
+    return put
+
+
+def region(name: str):
+    def put(f):
+        REGIONS[name] = f
+        return f
+
+    return put
 
 
 def extractor(name: str):
@@ -37,6 +63,31 @@ def estimator(name: str):
     return put
 
 
+@detector("distance")
+@detector("variance")
+def _planes(planes: DataFrame, sizes: DataFrame, settings: detections.Detector, key: str) -> DataFrame:
+    return detections.faces(planes, sizes, settings, key)
+
+
+@tracker("centroid")
+def _centroid(boxes: DataFrame, key: str, most_missing: int) -> DataFrame:
+    return tracking.tracked(boxes, key, boxes.schema[key].dataType.simpleString(), most_missing)
+
+
+@region("full")
+def _full(boxes: DataFrame, frame_w: int, frame_h: int) -> DataFrame:
+    """The box itself, cut to the frame."""
+    cut = {"rx1": ("x1", frame_w), "ry1": ("y1", frame_h), "rx2": ("x2", frame_w), "ry2": ("y2", frame_h)}
+    out = boxes.withColumns({r: F.greatest(F.lit(0), F.least(F.col(c), F.lit(most))) for r, (c, most) in cut.items()})
+    some = (F.col("rx2") > F.col("rx1")) & (F.col("ry2") > F.col("ry1"))
+    return out.select(*boxes.columns, *[F.when(some, F.col(r)).alias(r) for r in cut])
+
+
+@region("square")
+def _square(boxes: DataFrame, frame_w: int, frame_h: int) -> DataFrame:
+    return geometry.square_region(boxes, frame_w, frame_h)
+
+
 @extractor("plane_orthogonal")
 def _plane(df: DataFrame, keys: Sequence[str], size: int, fps: float) -> DataFrame:
     return pulse.plane_pulse(df, keys, size, fps).withColumnRenamed("y", "v")

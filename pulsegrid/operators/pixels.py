@@ -137,3 +137,19 @@ def cropped(frames: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[c], kind[c]) if c in kind else batch.column(c) for c in names], names=names)
 
     return frames.mapInArrow(run, schema)
+
+
+def channel_means(frames: DataFrame) -> DataFrame:
+    """Adds r, g and b, the means of the first three channels; null where there are no pixels or fewer channels."""
+    names = frames.columns
+    schema = T.StructType([*frames.schema, *[T.StructField(c, T.DoubleType()) for c in "rgb"]])
+
+    def run(batches):
+        for batch in batches:
+            means = np.full((batch.num_rows, 3), np.nan)
+            for rows, stack in by_shape(batch):
+                if stack.shape[3] >= 3:
+                    means[rows] = stack[..., :3].sum((1, 2), dtype=np.int64) / (stack.shape[1] * stack.shape[2])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(means[:, c], from_pandas=True) for c in range(3)]], names=[*names, *"rgb"])
+
+    return frames.mapInArrow(run, schema)

@@ -284,6 +284,11 @@ FROM (SELECT *, list_transform(dist, lambda d: list_position(d, list_min(d))) AS
 FROM (SELECT f.*, next_id, objs, list_transform(objs, lambda o: list_transform(boxes, lambda b: ((o.x1 + o.x2) // 2 - (b.x1 + b.x2) // 2) * ((o.x1 + o.x2) // 2 - (b.x1 + b.x2) // 2) + ((o.y1 + o.y2) // 2 - (b.y1 + b.y2) // 2) * ((o.y1 + o.y2) // 2 - (b.y1 + b.y2) // 2))) AS dist
 FROM t JOIN f ON f.video_id = t.video_id AND f.k = t.k + 1)))))
 SELECT video_id, frame_idx, o.id AS object_id, o.x1, o.y1, o.x2, o.y2, o.m > 0 AS is_stale FROM (SELECT video_id, frame_idx, unnest(objs) AS o FROM t)"""
+SQL["video_rates"] = f"""WITH e AS (SELECT label::BIGINT AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, count(*) OVER (PARTITION BY label) AS n_all, list_transform(embedding, lambda v: (CAST(floor(v::DOUBLE * 4096) AS BIGINT) % 256 + 256) % 256) AS p FROM embeddings),
+o AS (SELECT *, unnest([0, 1]) AS object_id FROM e WHERE n < n_all // 24 * 24),
+w AS (SELECT video_id * 10 + object_id AS face_id, n // 24 AS win_id, n % 24 AS at, CASE object_id WHEN 0 THEN list_sum(list_transform(range(6), lambda i: p[(i // 3 * 5 + i % 3) * 3 + 2])) / 6.0::DOUBLE ELSE list_sum(list_transform(range(9), lambda i: p[((i // 3 + 1) * 5 + i % 3 + 2) * 3 + 2])) / 9.0::DOUBLE END AS g FROM o),
+{weighted("g", 24, detrended=True, filtered=True).replace("7.03125", "56.25")}"""
+SQL["video_rates"] = f"SELECT face_id // 10 AS video_id, face_id % 10 AS object_id, win_id, heart_rate FROM ({SQL['video_rates']})"
 SQL["region_arrays"] = "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, array_to_string(list_transform(embedding, lambda v: lpad(hex(greatest(0, least(255, CAST(floor(v::DOUBLE * 64) AS BIGINT) + 128))), 2, '0')), '') AS pixels, 0::BIGINT AS shed FROM embeddings"
 #: `at` is a word of DuckDB's grammar.
 SQL = {name: re.sub(r"\bat\b", '"at"', text) for name, text in SQL.items()}

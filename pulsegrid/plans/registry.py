@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters, scalar
-from ..operators import detections, geometry, pixels, pulse, reports, tracking, windows
+from ..operators import detections, faces, geometry, pixels, pulse, reports, tracking, windows
 from ..session import gone_at_the_end, shared_dir, table
 from ..sources import frames
 from ..streaming import chunks, display, heart_rate
@@ -526,6 +526,19 @@ def letterbox_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "height", "width", "dx", "dy", F.round("gain", 6).alias("gain"), F.hex("pixels").alias("pixels"))
 
 
+@query
+def video_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as colour frames of 5 x 4, labels as videos: two boxes tracked, cut out, averaged and rated in windows of 24 frames."""
+    level = F.transform(F.slice("embedding", 1, 60), lambda v: F.pmod(F.floor(v.cast("double") * 4096), F.lit(256)))
+    data = F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    frames_ = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("video_id"), at.cast("long").alias("frame_idx"), F.lit(4).alias("height"), F.lit(5).alias("width"), data.alias("pixels"))
+    corners = F.array(*[F.struct(F.lit(i).cast("long").alias("det"), *[F.lit(v).alias(c) for c, v in zip(faces.BOX, box, strict=True)]) for i, box in enumerate(((0, 0, 3, 2), (2, 1, 5, 4)))])
+    found = frames_.select("video_id", "frame_idx", F.explode(corners).alias("b")).select("video_id", "frame_idx", "b.*")
+    traces_ = faces.colour_traces(frames_, found, 5, 4, region="full")
+    return faces.heart_rates(traces_, 24, extract="green").select("video_id", "object_id", "win_id", "heart_rate")
+
+
 @query
 def luma_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces(spark, sf_dir).select("face_id", "pos", F.round(scalar.luma(F.col("r"), F.col("g"), F.col("b")), 4).alias("luma"))
