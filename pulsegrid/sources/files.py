@@ -96,6 +96,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_fps_summary(means: DataFrame, path: str, folder: str = "folder") -> None:
+    """One file (folder, average_fps) of all folders, those named by numbers first and in their order."""
+    rows = means.select(F.col(folder).cast("string").alias("folder"), "average_fps")  # one row for each folder
+    write_csv(rows.repartition(1).sortWithinPartitions(F.expr("try_cast(folder as bigint)").asc_nulls_last(), "folder"), path)
+
+
 def write_if_any(df: DataFrame, path: str) -> bool:
     """Writes nothing for an empty table."""
     if df.isEmpty():

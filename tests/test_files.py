@@ -79,3 +79,11 @@ def test_all_logs_of_a_run(spark, tmp_path):
     files.write_metrics(metrics.where("ord != 6"), str(tmp_path / "less"))
     with pytest.raises(Exception, match="not a metrics report"):
         files.read_metrics(spark, str(tmp_path / "less")).collect()
+
+
+def test_summary_is_one_ordered_file(spark, tmp_path):
+    means = spark.createDataFrame([(str(k), float(k)) for k in (10, 9, 100, 2)] + [("b", 1.5), ("a", None)], "folder string, average_fps double").repartition(4)
+    files.write_fps_summary(means, f"{tmp_path}/summary.csv")
+    parts = list(tmp_path.glob("summary.csv/*.csv"))
+    assert len(parts) == 1
+    assert parts[0].read_text().split() == ["folder,average_fps", "2,2.0", "9,9.0", "10,10.0", "100,100.0", 'a,""' if '""' in parts[0].read_text() else "a,", "b,1.5"]

@@ -181,3 +181,17 @@ def test_clips_must_be_whole(spark):
     assert pulse.whole_clips(df.where("pos < 6"), "face_id", 3).where("clip_id = 1").count() == 3
     with pytest.raises(Exception, match="not a multiple"):
         pulse.whole_clips(df, "face_id", 3).collect()
+
+
+def test_matrix_products_of_many_windows(spark):
+    rng = np.random.default_rng(51)
+    x, m = rng.standard_normal((9, 180)), filters.detrend_matrix(180)
+    rows = [(f"w{i}", t, None if (i, t) == (4, 7) else float(v)) for i, w in enumerate(x) for t, v in enumerate(w)] + [("short", 0, 1.0)]
+    df = spark.createDataFrame(rows, "key string, at int, v double").repartition(5)
+    out = pulse.matrix_applied(df, ["key"], "v", m)
+    assert "ArrayType" not in out._jdf.queryExecution().optimizedPlan().toString() and len(out._jdf.queryExecution().toString()) < 50_000
+    got = {(r["key"], r["at"]): r["y"] for r in out.collect()}
+    assert len(got) == 9 * 180
+    for i, w in enumerate(x):
+        own = [got[f"w{i}", t] for t in range(180)]
+        assert own == [None] * 180 if i == 4 else np.allclose(own, m @ w, atol=1e-9)
