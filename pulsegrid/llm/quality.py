@@ -3,7 +3,8 @@
 Grams are `ORDER` bytes, held as integers, so a context is a shift and a shorter gram a mask.  Counts
 of trusted text are summed by gram over all its documents; shorter grams count how many
 different bytes come before them.  The three discounts of each order follow from the counts of counts.
-Chunks of documents send their distinct grams, packed, to shards by hash.  The grams that any document
+Chunks of documents send their distinct grams, packed, to shards by hash; a row's chunk follows from its id, text and place in
+its file, so every pass finds the same chunks however its scan is split.  The grams that any document
 has are joined with counts, with sums of their contexts and with the next shorter order; a shard
 answers each chunk with the packed values of its grams, whose mean gives each document's
 perplexity by byte.  The threshold of a language is a quantile of the trusted documents
@@ -11,7 +12,7 @@ that the model isn't trained on.
 
 Defined results: null and empty texts have no perplexity and aren't kept; without a language, or
 with one that has no held-out trusted document, the quantile over all languages holds; without any
-there is no threshold and everything with a text is kept; repeated rows give repeated rows; the length
+there is no threshold and everything with a text is kept; a perplexity at the threshold is kept; repeated rows give repeated rows; the length
 of a text has no bound; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 

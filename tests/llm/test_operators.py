@@ -224,10 +224,11 @@ def test_rows_without_an_id_are_linked(spark):
     assert got == Counter([(1, 1, 2), (None, 1, 2), (None, 1, 2), (None, None, 1), (None, None, 1), (7, 7, 0), (7, 7, 1), (8, 7, 1)])
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("alone", [0, 20, graph.ALONE])
+def test_components_of_chains(spark, alone):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
-    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert all(got[i] == 0 for i in range(41)) and got[300] == got[200] == got[100] == 100
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long"), alone).collect()}
+    assert len(got) == 44 and all(got[i] == 0 for i in range(41)) and got[300] == got[200] == got[100] == 100
 
 
 def test_bands_reach_the_recall():
