@@ -161,6 +161,31 @@ def _standardised_chunks(df: DataFrame, keys: Sequence[str], value: str, size: i
     return joined.withColumns({"std_value": (F.col(value) - F.col("roll_mean")) / (F.col("roll_std") + F.lit(1e-7)), "diff_value": F.coalesce(d / F.col("diff_std"), F.lit(0.0))}).drop("_next")
 
 
+def six_channel_chunks(df: DataFrame, key: str, channels: Sequence[str], size: int = 180, chunk: int = 30, segment: int = SEGMENT) -> DataFrame:
+    """(key, pos, chunk_id, input): what a network gets for each row of a closed chunk, the normalised differences of all channels and then the standardised values.
+
+    Statistics are those at closing time, over all channels of the last size + 1 rows and the last `size` differences together.
+    """
+    total = lambda columns: sum(columns[1:], columns[0])
+
+    def op(d: DataFrame, keys: list[str]) -> DataFrame:
+        back = Window.partitionBy(*keys).orderBy("pos")
+        change = lambda a, b: (b - a) / (b + a + F.lit(1e-7))
+        moves = d.withColumns({f"_d{i}": F.coalesce(change(F.lag(c).over(back), F.col(c)), F.lit(0.0)) for i, c in enumerate(channels)})
+        own, diff = [F.col(c) for c in channels], [F.col(f"_d{i}") for i in range(len(channels))]
+        rolled = over_last(moves, keys, size + 1, {"_s": total(own), "_q": total([c * c for c in own])})
+        rolled = over_last(rolled, keys, size, {"_ds": total(diff), "_dq": total([c * c for c in diff])})
+        n, m = F.least(F.col("pos") + 1, F.lit(size + 1)) * len(channels), F.least(F.col("pos"), F.lit(size)) * len(channels)
+        mean, gone = F.col("_s") / n, F.col("_ds") / F.nullif(m, F.lit(0))
+        closing = F.struct(mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / n - mean * mean)).alias("std"), F.sqrt(F.greatest(F.lit(1e-7), F.col("_dq") / F.nullif(m, F.lit(0)) - gone * gone)).alias("diff_std"))
+        at_close = F.first(F.when(F.col("pos") % chunk == 0, closing), ignorenulls=True).over(back.rowsBetween(1, chunk))
+        rows = rolled.withColumns({"_close": at_close, **{f"_n{i}": F.lead(c).over(back) for i, c in enumerate(channels)}}).where("_close is not null")
+        values = [change(F.col(c), F.col(f"_n{i}")) / F.col("_close.diff_std") for i, c in enumerate(channels)] + [(F.col(c) - F.col("_close.mean")) / (F.col("_close.std") + F.lit(1e-7)) for c in channels]
+        return rows.withColumns({"chunk_id": F.floor(F.col("pos") / chunk), "input": F.array(*values)})
+
+    return by_segment(df, key, size + 1, chunk, op, segment).select(key, "pos", "chunk_id", "input")
+
+
 def rolling_forms(df: DataFrame, key: str, value: str, size: int = 180, step: int = 30, segment: int = SEGMENT) -> DataFrame:
     """(key, pos, ..) at the end of each step: mean and deviation of the last size + 1 rows in three forms, the deviation of the last `size` differences, and whether enough rows are there.
 

@@ -289,6 +289,11 @@ o AS (SELECT *, unnest([0, 1]) AS object_id FROM e WHERE n < n_all // 24 * 24),
 w AS (SELECT video_id * 10 + object_id AS face_id, n // 24 AS win_id, n % 24 AS at, CASE object_id WHEN 0 THEN list_sum(list_transform(range(6), lambda i: p[(i // 3 * 5 + i % 3) * 3 + 2])) / 6.0::DOUBLE ELSE list_sum(list_transform(range(9), lambda i: p[((i // 3 + 1) * 5 + i % 3 + 2) * 3 + 2])) / 9.0::DOUBLE END AS g FROM o),
 {weighted("g", 24, detrended=True, filtered=True).replace("7.03125", "56.25")}"""
 SQL["video_rates"] = f"SELECT face_id // 10 AS video_id, face_id % 10 AS object_id, win_id, heart_rate FROM ({SQL['video_rates']})"
+SIX_MOVES = ", ".join(f"coalesce({CHANGE.format(a=f'lag({c}) OVER o', b=c)}, 0) AS d{c}, {CHANGE.format(a=c, b=f'lead({c}) OVER o')} AS n{c}" for c in "rgb")
+SQL["six_channel_chunks"] = f"""WITH {TRACE}, m AS (SELECT *, {SIX_MOVES} FROM trace WINDOW o AS (PARTITION BY face_id ORDER BY pos)),
+s AS (SELECT *, least(pos + 1, 181) * 3 AS n, least(pos, 180) * 3 AS nd, {BACK.format(x="r + g + b", k=180)} AS s1, {BACK.format(x="r * r + g * g + b * b", k=180)} AS s2, {BACK.format(x="dr + dg + db", k=179)} AS d1, {BACK.format(x="dr * dr + dg * dg + db * db", k=179)} AS d2 FROM m),
+e AS (SELECT face_id, pos // 30 - 1 AS chunk_id, s1 / n AS mean, sqrt(greatest(0.0, s2 / n - (s1 / n) * (s1 / n))) AS std, sqrt(greatest(1e-7::DOUBLE, d2 / nd - (d1 / nd) * (d1 / nd))) AS diff_std FROM s WHERE pos > 0 AND pos % 30 = 0)
+SELECT m.face_id, m.pos, e.chunk_id, {", ".join(f"round(n{c} / diff_std, 4) AS c{i}" for i, c in enumerate("rgb"))}, {", ".join(f"round(({c} - mean) / (std + 1e-7::DOUBLE), 4) AS c{i + 3}" for i, c in enumerate("rgb"))} FROM m JOIN e ON e.face_id = m.face_id AND e.chunk_id = m.pos // 30"""
 SQL["region_arrays"] = "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, array_to_string(list_transform(embedding, lambda v: lpad(hex(greatest(0, least(255, CAST(floor(v::DOUBLE * 64) AS BIGINT) + 128))), 2, '0')), '') AS pixels, 0::BIGINT AS shed FROM embeddings"
 #: `at` is a word of DuckDB's grammar.
 SQL = {name: re.sub(r"\bat\b", '"at"', text) for name, text in SQL.items()}
@@ -297,6 +302,7 @@ SIGNED = {
     "clip_zscore": ["z"],
     "diff_normalize": ["dn"],
     "chunk_standardized": ["std_value", "diff_value"],
+    "six_channel_chunks": ["c0", "c1", "c2", "c3", "c4", "c5"],
     "pos_projection": ["h"],
     "chrom_projection": ["s"],
     "detrend_signal": ["y"],

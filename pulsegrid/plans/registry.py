@@ -62,6 +62,13 @@ def chunk_standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("face_id", "pos", "chunk_id", F.round("std_value", 5).alias("std_value"), F.round("diff_value", 4).alias("diff_value"))
 
 
+@query
+def six_channel_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed chunks as a network's input: differences of three channels, then the standardised channels."""
+    rows = windows.six_channel_chunks(traces(spark, sf_dir), "face_id", ["r", "g", "b"], SIZE)
+    return rows.select("face_id", "pos", "chunk_id", *[F.round(F.get("input", F.lit(i)), 4).alias(f"c{i}") for i in range(6)])
+
+
 @query
 def clip_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows.z_scored(trace_windows(spark, sf_dir), WIN, "r")
