@@ -113,7 +113,8 @@ class FrameStream(DataSource):
     """spark.readStream.format("npy_frame_stream").load(path): arrays (frames, height, width, channels), channels reversed on load.
 
     Options: fps (paced, with a queue of queueFrames), framesPerTrigger, framesPerPartition, start and frameRate (event
-    times), flip. An array may be longer at each trigger, and new arrays may come.
+    times), flip. An array may be longer at each trigger, and new arrays may come. With framesPerTrigger the trigger
+    availableNow ends after one such step; the next run of the query goes on from there.
     """
 
     @classmethod
