@@ -102,6 +102,22 @@ def write_fps_summary(means: DataFrame, path: str, folder: str = "folder") -> No
     write_csv(rows.repartition(1).sortWithinPartitions(F.expr("try_cast(folder as bigint)").asc_nulls_last(), "folder"), path)
 
 
+# Columns of the statistics by step, in order, and what they are called in the table.
+STEP_STATS = {"step_number": "step", "start_idx": "start_idx", "end_idx": "end_idx", "gt_mean": "gt_mean", "gt_std": "gt_std", "gt_diffnorm_std": "gt_diff_std", "rolling_mean": "sums_mean", "rolling_std": "sums_std", "rolling_diffnorm_std": "diff_std"}
+
+
+def write_step_stats(stats: DataFrame, folder: str, video: str, step: int = 30, size: int = 180) -> str:
+    """One video's statistics by step in one file, ordered; its name says video, step and window. Returns the path.
+
+    A step whose rolling statistics aren't ready has the word ERROR there.
+    """
+    path = f"{folder}/{video}_preprocess_stats_rolling_step{step}_windowsize{size}.csv"
+    late = ("rolling_mean", "rolling_std", "rolling_diffnorm_std")
+    cells = [F.when(F.col("ready"), F.col(c).cast("string")).otherwise(F.lit("ERROR")).alias(n) if n in late else F.col(c).alias(n) for n, c in STEP_STATS.items()]
+    write_csv(stats.select(*cells).repartition(1).sortWithinPartitions("step_number"), path)  # a row for each second of video
+    return path
+
+
 def write_if_any(df: DataFrame, path: str) -> bool:
     """Writes nothing for an empty table."""
     if df.isEmpty():

@@ -87,3 +87,14 @@ def test_summary_is_one_ordered_file(spark, tmp_path):
     parts = list(tmp_path.glob("summary.csv/*.csv"))
     assert len(parts) == 1
     assert parts[0].read_text().split() == ["folder,average_fps", "2,2.0", "9,9.0", "10,10.0", "100,100.0", 'a,""' if '""' in parts[0].read_text() else "a,", "b,1.5"]
+
+
+def test_statistics_by_step(spark, tmp_path):
+    rows = [(k, max(0, 30 * k - 150), 30 * k + 30, k > 0, *[k + x / 8 for x in range(6)]) for k in (11, 2, 0, 1)]
+    stats = spark.createDataFrame(rows, "step long, start_idx long, end_idx long, ready boolean, gt_mean double, gt_std double, gt_diff_std double, sums_mean double, sums_std double, diff_std double").repartition(3)
+    path = files.write_step_stats(stats, str(tmp_path), "video_07")
+    (part,) = tmp_path.glob("video_07_preprocess_stats_rolling_step30_windowsize180.csv/*.csv")
+    lines = part.read_text().splitlines()
+    assert path.endswith("video_07_preprocess_stats_rolling_step30_windowsize180.csv") and lines[0].split(",") == list(files.STEP_STATS)
+    assert [x.split(",")[0] for x in lines[1:]] == ["0", "1", "2", "11"]
+    assert lines[1] == "0,0,30,0.0,0.125,0.25,ERROR,ERROR,ERROR" and lines[4] == "11,180,360,11.0,11.125,11.25,11.375,11.5,11.625"
