@@ -484,7 +484,8 @@ def track_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spatial_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel means of interleaved pixels."""
     e = table(spark, sf_dir, "embeddings")
-    means = scalar.channel_means(F.transform("embedding", lambda v: F.round(v * 1000).cast("double")))
+    thousand = F.lit(1000.0).cast("float")  # of a whole number Spark would make the product a double, which is rounded differently near halves
+    means = scalar.channel_means(F.transform("embedding", lambda v: F.round(v * thousand).cast("double")))
     return e.select("vec_id", *[F.round(m, 6).alias(n) for m, n in zip(means, ("mean_r", "mean_g", "mean_b"), strict=True)])
 
 
