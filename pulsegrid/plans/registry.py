@@ -13,7 +13,7 @@ from ..session import gone_at_the_end, shared_dir, table
 from ..sources import frames
 from ..streaming import chunks, display, heart_rate
 from .oracles import SQL
-from .tables import SIZE, boxes, samples, trace_windows, traces
+from .tables import SIZE, boxes, parts, samples, trace_windows, traces
 
 QUERIES = {}
 WIN = ["face_id", "win_id"]
@@ -342,10 +342,10 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.suppressed(boxes(spark, sf_dir), ["frame_idx"], 0.3)
 
 
-def _frame_keys(rows: DataFrame) -> DataFrame:
-    """Raw outputs as detections of frames: eight orders to a frame, image sizes by frame, scores in thousandths."""
+def _frame_keys(rows: DataFrame, tasks: int) -> DataFrame:
+    """Raw outputs as detections of frames: eight orders to a frame, image sizes by frame, scores in thousandths; every frame in one of the tasks."""
     w = Window.partitionBy("frame_idx").orderBy("l_orderkey", "l_linenumber", "l_partkey", "d0", "d1", "d2", "d3")
-    framed = rows.withColumn("frame_idx", F.floor(F.col("l_orderkey") / 8)).withColumn("det", F.row_number().over(w))
+    framed = rows.withColumn("frame_idx", F.floor(F.col("l_orderkey") / 8)).repartition(tasks, "frame_idx").withColumn("det", F.row_number().over(w))
     score = F.round(F.pmod(F.col("l_partkey") * 7919 + F.col("det") * 131, F.lit(1000)) / 1000.0, 3)
     return framed.withColumns({"score": score, "iw": ((F.col("frame_idx") % 5 + 3) * 160).cast("int"), "ih": ((F.col("frame_idx") % 4 + 3) * 160).cast("int")})
 
@@ -358,7 +358,7 @@ def _listed(faces: DataFrame) -> DataFrame:
 @query
 def distance_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors, distance decoding, score filter, suppression, undone letterbox and one array of faces for each frame."""
-    raw = _frame_keys(_raw(spark, sf_dir, 800)).withColumn("anchor_id", F.col("anchor_id") + 16000)
+    raw = _frame_keys(_raw(spark, sf_dir, 800), parts(spark, sf_dir, "lineitem")).withColumn("anchor_id", F.col("anchor_id") + 16000)
     decoded = geometry.distance_boxes(raw.join(F.broadcast(geometry.grid_anchors(spark)), "anchor_id"), 640, 640)  # 16800 rows by construction
     return _listed(geometry.faces_by_frame(decoded, ["frame_idx"], 640, 640, 0.5, 0.4))
 
@@ -366,7 +366,7 @@ def distance_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def variance_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for priors and variances, whose boxes are relative to the 1280 x 736 input."""
-    raw = _frame_keys(_raw(spark, sf_dir, 1840)).withColumn("anchor_id", F.col("anchor_id") + 36800)
+    raw = _frame_keys(_raw(spark, sf_dir, 1840), parts(spark, sf_dir, "lineitem")).withColumn("anchor_id", F.col("anchor_id") + 36800)
     decoded = geometry.variance_boxes(raw.join(F.broadcast(geometry.prior_boxes(spark)), "anchor_id"))  # 38640 rows by construction
     pixels = decoded.withColumns({c: F.col(c) * size for c, size in (("x1", 1280), ("y1", 736), ("x2", 1280), ("y2", 736))})
     return _listed(geometry.faces_by_frame(pixels, ["frame_idx"], 1280, 736, 0.5, 0.4, strict=True))

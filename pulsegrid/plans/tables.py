@@ -13,6 +13,13 @@ from ..operators import windows
 from ..session import table
 
 SIZE = 180
+#: Rows of a task, about.
+ROWS = 1 << 18
+
+
+def parts(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Into how many tasks a table's rows are dealt, so that a task's rows don't grow with the table; the count is in the files' footers."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, name).count() // ROWS))
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:

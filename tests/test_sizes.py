@@ -1,9 +1,11 @@
 """Steps that larger tables found wanting."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import geometry
 from pulsegrid.plans import registry
 
 
@@ -15,3 +17,31 @@ def test_spatial_mean_multiplies_in_single_precision(spark, tmp_path):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.sql(registry.SQL["spatial_mean"]).df().sort_values("vec_id", ignore_index=True)
     pd.testing.assert_frame_equal(got, want, check_exact=True)
+
+
+def _greedy(p: pd.DataFrame, most: float) -> list:
+    """Suppression of one frame box by box."""
+    kept = []
+    for b in p.sort_values(["score", "det"], ascending=[False, True]).itertuples():
+        area = lambda r: (r.x2 - r.x1) * (r.y2 - r.y1)
+        inter = lambda r: max(0, min(b.x2, r.x2) - max(b.x1, r.x1)) * max(0, min(b.y2, r.y2) - max(b.y1, r.y1))  # noqa: E731, B023
+        if all(inter(r) / (area(r) + area(b) - inter(r)) <= most for r in kept):
+            kept.append(b)
+    return [(r.frame_idx, r.det) for r in kept]
+
+
+def test_suppression_takes_many_frames_at_once(spark):
+    """Frames of all sizes, some longer than a batch; Python sees batches of rows, not a group for each frame."""
+    rng = np.random.default_rng(3)
+    size = np.concatenate([rng.integers(1, 40, 300), [130]])
+    n = size.sum()
+    x, y, w, h = (rng.integers(lo, hi, n) for lo, hi in ((0, 60), (0, 60), (5, 30), (5, 30)))
+    pdf = pd.DataFrame({"frame_idx": np.repeat(np.arange(len(size)), size), "det": np.arange(n), "score": rng.integers(0, 20, n) / 20, "x1": x, "y1": y, "x2": x + w, "y2": y + h})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        out = geometry.suppressed(spark.createDataFrame(pdf), ["frame_idx"], 0.3)
+        got = sorted((r.frame_idx, r.det) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(k for _, p in pdf.groupby("frame_idx") for k in _greedy(p, 0.3))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
