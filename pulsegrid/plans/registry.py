@@ -46,26 +46,26 @@ def chunk_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rolling_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = windows.rolling_stats(traces(spark, sf_dir), "face_id", "r", SIZE)
+    rows = windows.rolling_stats(traces(spark, sf_dir), "face_id", "r", SIZE, parts=parts(spark, sf_dir, "lineitem"))
     return rows.select("face_id", "pos", F.col("n").cast("long"), F.round("roll_mean", 6).alias("roll_mean"), F.round("roll_std", 6).alias("roll_std"))
 
 
 @query
 def rolling_diff_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = windows.rolling_diff_std(traces(spark, sf_dir), "face_id", "r", SIZE)
+    rows = windows.rolling_diff_std(traces(spark, sf_dir), "face_id", "r", SIZE, parts=parts(spark, sf_dir, "lineitem"))
     return rows.select("face_id", "pos", F.round("diff_std", 5).alias("diff_std"))
 
 
 @query
 def chunk_standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = windows.standardised_chunks(traces(spark, sf_dir), "face_id", "r", SIZE)
+    rows = windows.standardised_chunks(traces(spark, sf_dir), "face_id", "r", SIZE, parts=parts(spark, sf_dir, "lineitem"))
     return rows.select("face_id", "pos", "chunk_id", F.round("std_value", 5).alias("std_value"), F.round("diff_value", 4).alias("diff_value"))
 
 
 @query
 def six_channel_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed chunks as a network's input: differences of three channels, then the standardised channels."""
-    rows = windows.six_channel_chunks(traces(spark, sf_dir), "face_id", ["r", "g", "b"], SIZE)
+    rows = windows.six_channel_chunks(traces(spark, sf_dir), "face_id", ["r", "g", "b"], SIZE, parts=parts(spark, sf_dir, "lineitem"))
     return rows.select("face_id", "pos", "chunk_id", *[F.round(F.get("input", F.lit(i)), 4).alias(f"c{i}") for i in range(6)])
 
 
@@ -84,12 +84,8 @@ def diff_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def window_truth_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of the growing, then sliding windows that rolling statistics are held against."""
-    t = traces(spark, sf_dir)
-    n = t.withColumn("step", F.explode(F.sequence(F.floor(F.col("pos") / 30), F.floor(F.col("pos") / 30) + 5)))
-    last = t.groupBy("face_id").agg(F.floor(F.count("*") / 30).alias("steps"))
-    rows = n.join(last, "face_id").where("step < steps")
-    mean = F.sum("r") / F.count("*")
-    return rows.groupBy("face_id", "step").agg(F.count("*").alias("n"), F.round(mean, 6).alias("mean_r"), F.round(F.sqrt(F.sum(F.col("r") * F.col("r")) / F.count("*") - mean * mean), 6).alias("std_r"))
+    rows = windows.step_stats(traces(spark, sf_dir), "face_id", "r", parts=parts(spark, sf_dir, "lineitem"))
+    return rows.select("face_id", "step", "n", F.round("mean", 6).alias("mean_r"), F.round("std", 6).alias("std_r"))
 
 
 @query
@@ -212,8 +208,8 @@ def chunk_rates_held(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rolling_against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling mean and deviation at the end of each step of 30 frames, those of the truth's window, and the difference by subject."""
-    rolled = windows.rolling_stats(traces(spark, sf_dir), "face_id", "r", SIZE).withColumn("step", F.floor(F.col("pos") / 30)).groupBy("face_id", "step").agg(F.max_by(F.struct("roll_mean", "roll_std"), "pos").alias("_last"), F.count("*").alias("_n"))
-    both = rolled.where("_n = 30").select("face_id", "step", "_last.*").join(window_truth_stats(spark, sf_dir), ["face_id", "step"])
+    rolled = windows.rolling_stats(traces(spark, sf_dir), "face_id", "r", SIZE, parts=parts(spark, sf_dir, "lineitem")).where("pos % 30 = 29")
+    both = rolled.select("face_id", F.floor(F.col("pos") / 30).alias("step"), "roll_mean", "roll_std").join(window_truth_stats(spark, sf_dir), ["face_id", "step"])
     rmse = F.sqrt(F.avg((F.col("roll_mean") - F.col("mean_r")) * (F.col("roll_mean") - F.col("mean_r"))))
     return both.groupBy("face_id").agg(F.count("*").alias("steps"), F.round(rmse, 5).alias("rmse_mean"), F.round(F.max(F.abs(F.col("roll_std") - F.col("std_r"))), 5).alias("most_std"))
 
@@ -221,14 +217,8 @@ def rolling_against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rolling_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rolling forms at the end of each step beside the truth of the step's window, with both deviations of differences and the ready flag."""
-    t = traces(spark, sf_dir)
-    first = F.floor(F.col("pos") / 30)
-    rows = t.withColumn("step", F.explode(F.sequence(first, first + 5)))
-    before = F.lag("r").over(Window.partitionBy("face_id", "step").orderBy("pos"))
-    change = (F.col("r") - before) / (F.col("r") + before + F.lit(1e-7))
-    truth = rows.withColumn("_d", change).groupBy("face_id", "step").agg(F.min("pos").alias("start_idx"), (F.max("pos") + 1).alias("end_idx"), F.avg("r").alias("gt_mean"), F.stddev_pop("r").alias("gt_std"), F.stddev_pop("_d").alias("gt_diff_std"))
-    rolled = windows.rolling_forms(t, "face_id", "r", SIZE).withColumn("step", F.floor(F.col("pos") / 30)).drop("pos")
-    both = truth.join(rolled, ["face_id", "step"])  # a step that isn't full has no last row
+    rows = windows.rolling_forms(traces(spark, sf_dir), "face_id", "r", SIZE, parts=parts(spark, sf_dir, "lineitem"))
+    both = rows.withColumn("step", F.floor(F.col("pos") / 30))
     named = [c for c in both.columns if c.endswith(("_mean", "_std"))]
     return both.select("face_id", "step", "start_idx", "end_idx", "ready", *[F.round(c, 5).alias(c) for c in named])
 

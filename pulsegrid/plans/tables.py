@@ -30,7 +30,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.tumbling(traces(spark, sf_dir), "face_id", SIZE)
+    return windows.tumbling(traces(spark, sf_dir), "face_id", SIZE, parts(spark, sf_dir, "lineitem"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
