@@ -6,10 +6,9 @@ Traces are rows (key, win_id, at, r, g, b): `at` counts from 0 inside a window.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,55 +148,68 @@ def matrix_applied(df: DataFrame, keys: Sequence[str], value: str, matrix: np.nd
 
 
 def jade(x: np.ndarray) -> np.ndarray:
-    """Independent components (rows) of centred signals (rows): whitening, fourth-order cumulants, Jacobi rotations."""
-    m, t = x.shape
-    x = x - x.mean(1, keepdims=True)
-    value, vector = np.linalg.eigh(x @ x.T / t)
-    white = (vector / np.sqrt(np.maximum(value, 1e-12))).T[::-1]
+    """Independent components (rows) of signals (rows) of a window, or of many windows at once: whitening, fourth-order cumulants, Jacobi rotations.
+
+    A window whose rotations have become small is turned by nothing while others go on.
+    """
+    if x.ndim == 2:
+        return jade(x[None])[0]
+    n, m, t = x.shape
+    across = lambda v: v.transpose(0, 2, 1)
+    x = x - x.mean(2, keepdims=True)
+    value, vector = np.linalg.eigh(x @ across(x) / t)
+    white = across(vector / np.sqrt(np.maximum(value, 1e-12))[:, None])[:, ::-1]
     z = white @ x
     stack = []
     for i in range(m):
         for j in range(i, m):
-            q = (z * z[i] * z[j]) @ z.T / t - (i == j) * np.eye(m)
-            q[i, j] -= 1
-            q[j, i] -= 1
+            q = (z * z[:, i : i + 1] * z[:, j : j + 1]) @ across(z) / t - (i == j) * np.eye(m)
+            q[:, i, j] -= 1
+            q[:, j, i] -= 1
             stack.append(q * (1 if i == j else math.sqrt(2)))
-    turn, moved = np.eye(m), True
+    c, turn, moved = np.stack(stack, 1), np.broadcast_to(np.eye(m), (n, m, m)), True
     while moved:
         moved = False
         for p in range(m):
             for q in range(p + 1, m):
-                g = np.array([[c[p, p] - c[q, q], c[p, q] + c[q, p]] for c in stack])
-                gg = g.T @ g
-                on, off = gg[0, 0] - gg[1, 1], gg[0, 1] + gg[1, 0]
-                angle = 0.5 * math.atan2(off, on + math.hypot(on, off))
-                if abs(math.sin(angle)) > 0.01 / math.sqrt(t):
+                g, h = c[..., p, p] - c[..., q, q], c[..., p, q] + c[..., q, p]
+                on, off = (g * g).sum(1) - (h * h).sum(1), 2 * (g * h).sum(1)
+                angle = 0.5 * np.arctan2(off, on + np.hypot(on, off))
+                far = np.abs(np.sin(angle)) > 0.01 / math.sqrt(t)
+                if far.any():
                     moved = True
-                    r = np.eye(m)
-                    r[p, p] = r[q, q] = math.cos(angle)
-                    r[p, q], r[q, p] = -math.sin(angle), math.sin(angle)
-                    stack = [r.T @ c @ r for c in stack]
+                    angle = np.where(far, angle, 0.0)
+                    r = np.tile(np.eye(m), (n, 1, 1))
+                    r[:, p, p] = r[:, q, q] = np.cos(angle)
+                    r[:, p, q], r[:, q, p] = -np.sin(angle), np.sin(angle)
+                    c = across(r)[:, None] @ c @ r[:, None]
                     turn = turn @ r
-    return turn.T @ z
+    return across(turn) @ z
 
 
-def independent_component(df: DataFrame, keys: Sequence[str], key_schema: str, size: int, fps: float = 30.0) -> DataFrame:
-    """(keys, pulse): detrended, standardised channels are unmixed, the source with the tallest normalised peak is filtered."""
-    detrend = filters.detrend_matrix(size)
-    band = filters.filtfilt_matrix(size, 3, 0.7, 2.5, fps)
-    names = list(keys)
+def unmixed(df: DataFrame, keys: Sequence[str], key_schema: str, size: int, fps: float, finish: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], at_once: int = 256) -> DataFrame:
+    """(keys, pulse): detrended, standardised channels are unmixed; finish(channels, sources, tallest normalised peak of each) gives a signal, which is filtered. Windows are worked on together."""
+    detrend, band = filters.detrend_matrix(size), filters.filtfilt_matrix(size, 3, 0.7, 2.5, fps)
+    whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", *[F.col(c).cast("double").alias(c) for c in RGB]))).alias("_x")).where(F.size("_x") == size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                rows = part.column(part.num_columns - 1).flatten()
+                x = np.stack([rows.field(c).to_numpy(zero_copy_only=False).reshape(-1, size) for c in RGB], 1) @ detrend.T
+                x = (x - x.mean(2, keepdims=True)) / x.std(2, keepdims=True)
+                sources = jade(x)
+                p = np.abs(np.fft.fft(sources, axis=2)[..., 1:][..., : (size - 1) // 2]) ** 2
+                pulse = finish(x, sources, (p / p.sum(2, keepdims=True)).max(2)) @ band.T
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(np.arange(0, pulse.size + 1, size), pa.int32()), pa.array(pulse.ravel()))], names=[*keys, "pulse"])
+
+    return whole.mapInArrow(run, f"{key_schema}, pulse array<double>")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) != size:
-            return pd.DataFrame({**{k: [] for k in names}, "pulse": []})
-        x = detrend @ pdf.sort_values("at")[list(RGB)].to_numpy()
-        x = (x - x.mean(0)) / x.std(0)
-        sources = jade(x.T)
-        p = np.abs(np.fft.fft(sources, axis=1)[:, 1:][:, : (size - 1) // 2]) ** 2
-        best = sources[(p / p.sum(1, keepdims=True)).max(1).argmax()]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in names}, "pulse": [(band @ best).tolist()]})
 
-    return df.groupBy(*names).applyInPandas(one, f"{key_schema}, pulse array<double>")
+def independent_component(df: DataFrame, keys: Sequence[str], key_schema: str, size: int, fps: float = 30.0) -> DataFrame:
+    """(keys, pulse): detrended, standardised channels are unmixed, the source with the tallest normalised peak is filtered."""
+    return unmixed(df, keys, key_schema, size, fps, lambda x, sources, peak: sources[np.arange(len(x)), peak.argmax(1)])
 
 
 def moving_average(df: DataFrame, keys: Sequence[str], value: str, width: int) -> DataFrame:
@@ -209,24 +221,16 @@ def moving_average(df: DataFrame, keys: Sequence[str], value: str, width: int) -
 def guided_component(df: DataFrame, keys: Sequence[str], key_schema: str, size: int, fps: float = 30.0) -> DataFrame:
     """(keys, pulse): as independent_component, but the source is chosen by its peak times its likeness to green,
     reduced to its three fastest modes, smoothed over two seconds and filtered."""
-    detrend = filters.detrend_matrix(size)
-    band = filters.filtfilt_matrix(size, 3, 0.7, 2.5, fps)
-    width, names = int(fps * 2), list(keys)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) != size:
-            return pd.DataFrame({**{k: [] for k in names}, "pulse": []})
-        x = detrend @ pdf.sort_values("at")[list(RGB)].to_numpy()
-        x = (x - x.mean(0)) / x.std(0)
-        sources = jade(x.T)
-        p = np.abs(np.fft.fft(sources, axis=1)[:, 1:][:, : (size - 1) // 2]) ** 2
-        likeness = np.abs([np.corrcoef(s, x[:, 1])[0, 1] for s in sources])
-        best = sources[((p / p.sum(1, keepdims=True)).max(1) * likeness).argmax()]
-        parts = modes(best)
-        smooth = np.convolve(np.sum(parts, axis=0) if parts else best, np.ones(width) / width, mode="same")
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in names}, "pulse": [(band @ smooth).tolist()]})
-
-    return df.groupBy(*names).applyInPandas(one, f"{key_schema}, pulse array<double>")
+    width = int(fps * 2)
+
+    def finish(x: np.ndarray, sources: np.ndarray, peak: np.ndarray) -> np.ndarray:
+        s, green = sources - sources.mean(2, keepdims=True), x[:, 1:2] - x[:, 1:2].mean(2, keepdims=True)
+        likeness = np.abs((s * green).sum(2) / np.sqrt((s * s).sum(2) * (green * green).sum(2)))
+        best = sources[np.arange(len(x)), (peak * likeness).argmax(1)]
+        parts = [(b, modes(b)) for b in best]
+        return np.stack([np.convolve(np.sum(m, axis=0) if m else b, np.ones(width) / width, mode="same") for b, m in parts])
+
+    return unmixed(df, keys, key_schema, size, fps, finish)
 
 
 def whole_clips(df: DataFrame, key: str, size: int = 180) -> DataFrame:

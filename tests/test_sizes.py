@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import geometry, windows
+from pulsegrid.operators import geometry, pulse, windows
 from pulsegrid.plans import registry
 
 
@@ -76,3 +76,16 @@ def test_assignment_makes_no_rows_of_pairs(spark):
     out = geometry.nearest_matches(a, b, ["f"])
     assert sorted(map(tuple, out.collect())) == [(1, 0, 5, 2.0), (1, 2, 9, 1.0)]
     assert out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].count(" Window ") == 1
+
+
+def test_many_windows_are_unmixed_at_once(spark):
+    """What a window gives doesn't depend on the others; Python gets batches of windows, not a group for each."""
+    x = np.random.default_rng(4).laplace(size=(5, 3, 180)) * np.array([1.0, 2.0, 5.0])[:, None]
+    assert np.allclose(pulse.jade(x), np.stack([pulse.jade(one) for one in x]), atol=1e-9)
+    df = spark.createDataFrame([(1, w, i, *map(float, x[w, :, i])) for w in range(5) for i in range(180)], "face_id long, win_id long, at long, r double, g double, b double").where("win_id < 4 or at > 0")
+    for f in (pulse.independent_component, pulse.guided_component):
+        out = f(df, ["face_id", "win_id"], "face_id long, win_id long", 180)
+        got = {r["win_id"]: r["pulse"] for r in out.collect()}
+        (alone,) = f(df.where("win_id = 2"), ["face_id", "win_id"], "face_id long, win_id long", 180).collect()
+        assert sorted(got) == [0, 1, 2, 3] and np.allclose(got[2], alone["pulse"], atol=1e-9)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
