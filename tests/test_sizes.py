@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import geometry, pulse, windows
+from pulsegrid.operators import geometry, pulse, tracking, windows
 from pulsegrid.plans import registry
 
 
@@ -89,3 +89,34 @@ def test_many_windows_are_unmixed_at_once(spark):
         (alone,) = f(df.where("win_id = 2"), ["face_id", "win_id"], "face_id long, win_id long", 180).collect()
         assert sorted(got) == [0, 1, 2, 3] and np.allclose(got[2], alone["pulse"], atol=1e-9)
         assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_video_is_tracked_as_it_comes(spark):
+    """Frames reach over batches and some have no boxes; Python sees batches of rows, not a group for each video, and small videos stay in many tasks."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for video in (1, 2, None):
+        for f in range(60):
+            n = int(rng.integers(0, 12))
+            xy = rng.integers(-40, 40, (n, 2)).tolist()
+            rows += [(video, f, d, x, y, x + 9, y + 7) for d, (x, y) in enumerate(xy)] or [(video, f, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "video_id long, frame_idx long, det long, x1 int, y1 int, x2 int, y2 int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = tracking.tracked(df, "video_id", "long", 3, 5)
+        got = sorted(map(str, map(tuple, out.collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pdf = pd.DataFrame(rows, columns=df.columns)
+    want = [(v, *r) for v in (1, 2, None) for r in tracking.fold(pdf[pdf["video_id"].isna() if v is None else pdf["video_id"] == v], tracking.Tracks(), 3)]
+    assert got == sorted(map(str, want))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "REPARTITION_BY_NUM" in tracking.tracked(df, "video_id", "long")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_boxes_of_few_and_many():
+    rng = np.random.default_rng(7)
+    objects, boxes = (rng.integers(-20, 20, (n, 4)).tolist() for n in (9, 11))
+    nearest, far = tracking.nearest_boxes(objects, boxes)
+    few = [tracking.nearest_boxes([o], boxes) for o in objects]
+    assert len(objects) * len(boxes) >= tracking.MANY > len(boxes) and nearest == [n for (n,), _ in few] and far == [f for _, (f,) in few]
