@@ -18,20 +18,24 @@ from pyspark.sql import functions as F
 SEGMENT = 1 << 15
 
 
-def positions(df: DataFrame, key: str, order: Sequence[str], name: str = "pos", coarse: Column | None = None) -> DataFrame:
+def positions(df: DataFrame, key: str, order: Sequence[str], name: str = "pos", coarse: Column | None = None, parts: int | None = None) -> DataFrame:
     """Numbers each key's rows from 0.
 
     With `coarse`, a function of the first order column that never falls while that one rises (a time cut to hours), rows are numbered in each
-    (key, coarse) for itself and moved on by the rows before it, so that a key with many rows is dealt to many tasks.
+    (key, coarse) for itself and moved on by the rows before it, so that a key with many rows is dealt to many tasks. The number of those
+    is a row ahead of them, so rows are dealt and sorted once; `parts` is into how many tasks.
     """
     if coarse is None:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
-    sizes = df.groupBy(F.col(key).alias("_key"), coarse.alias("_of")).agg(F.count("*").alias("_n"))
+    pairs = df.select(F.col(key).alias("_key"), coarse.alias("_of"))
+    sizes = (pairs.repartition(parts, "_key", "_of") if parts else pairs).groupBy("_key", "_of").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_key", "_of", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    local = df.withColumn("_part", coarse).withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1)
-    both = local.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")))
-    return both.select(*df.columns, (F.col("_before") + F.col("_nth")).cast("long").alias(name))
+    before = (sizes.repartition(parts, "_key") if parts else sizes).select(F.col("_key").alias(key), F.col("_of").alias("_part"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    rows = df.withColumns({"_part": coarse, "_before": F.lit(None).cast("long")}).unionByName(before, allowMissingColumns=True)
+    inside = Window.partitionBy(key, "_part").orderBy(F.col("_before").isNull(), *order).rowsBetween(Window.unboundedPreceding, 0)
+    both = dealt(rows, parts, key, "_part") if parts else rows
+    numbered = both.withColumns({"_first": F.first("_before").over(inside), "_nth": F.row_number().over(inside)}).where("_before is null")
+    return numbered.select(*df.columns, (F.col("_first") + F.col("_nth") - 2).cast("long").alias(name))
 
 
 def with_size(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ def parts(spark: SparkSession, sf_dir: str, name: str) -> int:
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(face_id, pos, r, g, b) from line items, by supplier and date."""
     item = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax")
-    placed = windows.positions(item, "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], coarse=F.date_trunc("month", "l_shipdate"))
+    placed = windows.positions(item, "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], coarse=F.date_trunc("month", "l_shipdate"), parts=parts(spark, sf_dir, "lineitem"))
     return placed.select(F.col("l_suppkey").alias("face_id"), "pos", F.col("l_quantity").alias("r"), F.round("l_extendedprice").alias("g"), (F.round(F.col("l_tax") * 100) + 1).alias("b"))
 
 
@@ -35,7 +35,7 @@ def trace_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(face_id, pos, ts, v) from events, by user and time."""
-    placed = windows.positions(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], coarse=F.date_trunc("day", "ts"))
+    placed = windows.positions(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], coarse=F.date_trunc("day", "ts"), parts=parts(spark, sf_dir, "events"))
     return placed.select(F.col("user_id").alias("face_id"), "pos", "ts", "event_id", "event_type", F.round(F.col("value") * 100).alias("v"))
 
 

@@ -120,3 +120,13 @@ def test_nearest_boxes_of_few_and_many():
     nearest, far = tracking.nearest_boxes(objects, boxes)
     few = [tracking.nearest_boxes([o], boxes) for o in objects]
     assert len(objects) * len(boxes) >= tracking.MANY > len(boxes) and nearest == [n for (n,), _ in few] and far == [f for _, (f,) in few]
+
+
+def test_rows_are_numbered_with_one_deal_and_sort(spark):
+    """The number of rows ahead comes with the rows instead of by a join, in as many tasks as the caller asks for."""
+    rows = [(None if i % 50 == 0 else i % 3, None if i % 17 == 0 else i * 37 % 400, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, t long, id long")
+    out = windows.positions(df, "k", ["t", "id"], coarse=F.floor(F.col("t") / 25), parts=7)
+    assert sorted(map(str, out.collect())) == sorted(map(str, windows.positions(df, "k", ["t", "id"]).collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+    assert "Join" not in plan and plan.count(", 7), REPARTITION_BY_NUM") == 3 and plan.count("Exchange") == 3
