@@ -30,35 +30,50 @@ def integrated(df: DataFrame, keys: Sequence[str], value: str, order: str = "at"
     return df.withColumn("total", F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def plane_orthogonal(df: DataFrame, keys: Sequence[str], size: int, fps: float = 30.0) -> DataFrame:
-    """The plane-orthogonal-to-skin pulse H in two passes of window sums.
+def plane_projections(x: np.ndarray, ell: int) -> np.ndarray:
+    """The plane-orthogonal pulses (n, size) of n windows (3, n, size).
 
     A stretch of l frames that begins at m adds v + alpha*u, applied to the frame's colours over
     their means, to each of its frames; the mean it takes off is zero, as both projections cancel means.
-    So the first pass finds the three coefficients of each stretch and the second adds those of the l
-    stretches over a frame.  The last frame of a window is in no stretch.
+    So a stretch is three coefficients, found from sums over its frames, and a frame has those of the l
+    stretches over it.  The last frame of a window is in no stretch.  A stretch with a mean of zero adds nothing.
     """
+    size = x.shape[2]
+    if size <= ell:
+        return np.zeros(x.shape[1:])
+    over = lambda v, n: np.lib.stride_tricks.sliding_window_view(v, ell, axis=-1)[:, :n].sum(-1)
+    mu = [over(c, size - ell) / ell for c in x]
+    cov = {(c, d): over(x[c] * x[d], size - ell) / ell - mu[c] * mu[d] for c in range(3) for d in range(c, 3)}
+
+    def spread(w: dict[int, float]) -> np.ndarray:
+        terms = [w[c] * w[d] * cov[min(c, d), max(c, d)] / (mu[c] * mu[d]) for c in w for d in w]
+        return np.sqrt(np.maximum(sum(terms[1:], terms[0]), 0.0))
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u, v = spread({1: 1.0, 2: -1.0}), spread({0: -2.0, 1: 1.0, 2: 1.0})
+        alpha = np.divide(u, v, out=np.zeros_like(u), where=v != 0)
+        some = (mu[0] != 0) & (mu[1] != 0) & (mu[2] != 0)
+        weight = [np.where(some, w / m, 0.0) for w, m in zip((-2 * alpha, 1 + alpha, alpha - 1), mu, strict=True)]
+    return sum(c * over(np.pad(w, ((0, 0), (ell - 1, ell))), size) for c, w in zip(x, weight, strict=True))
+
+
+def plane_orthogonal(df: DataFrame, keys: Sequence[str], size: int, fps: float = 30.0, at_once: int = 256) -> DataFrame:
+    """(keys, at, h): the plane-orthogonal-to-skin pulse of whole windows, many of them at once. A null counts as nothing in sums, and its frame's pulse is null."""
     ell = math.ceil(1.6 * fps)
-    ahead = Window.partitionBy(*keys).orderBy("at").rowsBetween(0, ell - 1)
-    sums = {f"_s{c}": F.sum(c).over(ahead) for c in RGB}
-    sums |= {f"_q{c}{d}": F.sum(F.col(c) * F.col(d)).over(ahead) for c, d in ("rr", "gg", "bb", "rg", "rb", "gb")}
-    first = df.withColumns(sums)
-    mu = {c: F.col(f"_s{c}") / ell for c in RGB}
-    pair = {"rg": "rg", "gr": "rg", "rb": "rb", "br": "rb", "gb": "gb", "bg": "gb", "rr": "rr", "gg": "gg", "bb": "bb"}
-    cov = lambda c, d: F.col(f"_q{pair[c + d]}") / ell - mu[c] * mu[d]
-
-    def spread(w: dict[str, float]) -> Column:
-        terms = [w[c] * w[d] * cov(c, d) / (mu[c] * mu[d]) for c in w for d in w]
-        return F.sqrt(F.greatest(sum(terms[1:], terms[0]), F.lit(0.0)))
-
-    alpha = F.coalesce(F.try_divide(spread({"g": 1.0, "b": -1.0}), spread({"r": -2.0, "g": 1.0, "b": 1.0})), F.lit(0.0))
-    second = first.withColumn("_a", alpha)
-    inside = F.col("at") + ell <= size - 1
-    weight = {"r": -2 * F.col("_a"), "g": 1 + F.col("_a"), "b": F.col("_a") - 1}
-    second = second.withColumns({f"_k{c}": F.when(inside, weight[c] / mu[c]).otherwise(F.lit(0.0)) for c in RGB})
-    over = Window.partitionBy(*keys).orderBy("at").rowsBetween(-(ell - 1), 0)
-    third = second.withColumns({f"_t{c}": F.sum(f"_k{c}").over(over) for c in RGB})
-    return third.withColumn("h", F.col("r") * F.col("_tr") + F.col("g") * F.col("_tg") + F.col("b") * F.col("_tb")).select(*df.columns, "h")
+    whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", *[F.col(c).cast("double").alias(c) for c in RGB]))).alias("_x")).where(F.size("_x") == size)
+    schema = whole.withColumn("_x", F.lit(None).cast("array<double>")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                rows = part.column(part.num_columns - 1).flatten()
+                x = np.stack([rows.field(c).fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, size) for c in RGB])
+                missing = np.any([rows.field(c).is_null().to_numpy(zero_copy_only=False) for c in RGB], axis=0)
+                h = pa.array(plane_projections(x, ell).ravel(), mask=missing)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) + 1, size), pa.int32()), h)], names=schema.names)
+
+    return whole.mapInArrow(run, schema).select(*keys, F.posexplode("_x").alias("_at", "h")).select(*keys, F.col("_at").cast(df.schema["at"].dataType).alias("at"), "h")
 
 
 def plane_pulse(df: DataFrame, keys: Sequence[str], size: int, fps: float = 30.0) -> DataFrame:

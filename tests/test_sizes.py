@@ -130,3 +130,19 @@ def test_rows_are_numbered_with_one_deal_and_sort(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, windows.positions(df, "k", ["t", "id"]).collect()))
     plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
     assert "Join" not in plan and plan.count(", 7), REPARTITION_BY_NUM") == 3 and plan.count("Exchange") == 3
+
+
+def test_plane_pulses_of_many_windows_at_once(spark):
+    """No sum over neighbouring rows for each row; nulls and black frames don't touch other windows, incomplete windows are left out."""
+    x = np.random.default_rng(8).uniform(50, 200, (5, 60, 3))
+    rows = [(1, w, i, *(map(float, v) if w != 3 else (0.0, 0.0, 0.0))) for w in range(5) for i, v in enumerate(x[w])]
+    df = spark.createDataFrame(rows, "face_id long, win_id long, at long, r double, g double, b double").where("win_id < 4 or at > 0")
+    df = df.withColumn("g", F.expr("if(win_id = 2 and at = 7, null, g)"))
+    out = pulse.plane_orthogonal(df, ["face_id", "win_id"], 60, at_once=2)
+    got = out.orderBy("win_id", "at").toPandas()
+    want = pulse.plane_projections(x.transpose(2, 0, 1), 48)
+    h = {w: p["h"].to_numpy() for w, p in got.groupby("win_id")}
+    assert sorted(h) == [0, 1, 2, 3] and all(np.allclose(h[w], want[w], atol=1e-9) for w in (0, 1))
+    assert np.isnan(h[2][7]) and np.isfinite(np.delete(h[2], 7)).all() and not h[3].any() and dict(out.dtypes)["at"] == "bigint"
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert not pulse.plane_projections(x.transpose(2, 0, 1), 60).any()
