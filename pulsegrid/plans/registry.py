@@ -461,7 +461,7 @@ def stream_rates_at_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from streams of frames and rates."""
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return _shown(heart_rate.run_to_end(display.shown(*_frames_and_rates(raw), "face_id", "heart_rate", "ts", "event_id", late="0 seconds")))
+    return _shown(heart_rate.run_to_end(display.shown(*_frames_and_rates(raw), "face_id", "heart_rate", "ts", "event_id", late="0 seconds", groups=64 * parts(spark, sf_dir, "events"))))
 
 
 @query

@@ -81,3 +81,22 @@ def test_table_of_latest_rates(spark, tmp_path):
 def test_text(spark):
     rows = spark.createDataFrame([(3, 71.26), (4, None)], "id long, rate double")
     assert [r[0] for r in rows.select(reports.shown_text(F.col("id"), F.col("rate"))).collect()] == ["3 | 71.3", "4 | --"]
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_faces_that_share_a_state(spark, tmp_path, groups):
+    """A group of faces gives what each would by itself; a face's frame that comes late and is earlier than what waits is let go in its time."""
+    frames, rates = data(3)
+    frames = [(f or 9, t, n) for f, t, n in frames if t < 120 or f != 1] + [(1, 130, 1000)]
+    rates = [(f or 9, t, i, v) for f, t, i, v in rates]
+    a = written(spark, timed(spark, [*frames, (2, 250, 999)], FRAMES), f"{tmp_path}/frames", [120, 200, 260])
+    timed(spark, frames, FRAMES).where("n != 999 and unix_seconds(ts) < 1000000120").coalesce(1).write.mode("append").parquet(f"{tmp_path}/frames")
+    b = written(spark, timed(spark, rates, RATES), f"{tmp_path}/rates", [0, 100, 220])
+    out = display.shown(a, b, "face_id", "rate", "ts", "id", late="300 seconds", groups=groups)
+    end = written(spark, timed(spark, [(7, 600, 0)], FRAMES), f"{tmp_path}/frames", [500, 700])  # moves the watermark to 300
+    assert end.isStreaming
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").where("face_id != 7").collect()
+    assert out.columns == ["face_id", "ts", "n", "rate"]
+    assert sorted((r["n"], r["rate"]) for r in rows) == brute([*frames, (2, 250, 999)], rates)
